@@ -76,7 +76,7 @@ def main() -> int:
     spark.sparkContext.setLogLevel("ERROR")
     con, oracle, bad = connect(root), oracle_sql(), 0
     for name, plan in queries().items():
-        if prefixes and not any(name == p or name.startswith(p + "_") for p in prefixes):
+        if prefixes and not any(name.split("_")[0] == p or name.rstrip("_").startswith(p) and p.isalpha() for p in prefixes):
             continue
         start = time.time()
         try:
