@@ -18,6 +18,7 @@ from kinelake.operators.blocks import (
 )
 from kinelake.operators.projections import positions
 from kinelake.schema import CHANNEL_COLUMN, KIND_SCHEMA, SCHEMA_VERSION
+from kinelake.session import stage
 
 # --- fixed values -------------------------------------------------------------------------------------------------
 CAMERA_CHANNELS = 3
@@ -151,20 +152,37 @@ def tracking_error(frames: DataFrame) -> DataFrame:
     )
 
 
-def jerk_rms(values: DataFrame, value: str = "value") -> DataFrame:
-    """Root mean square of the third difference per (episode, channel); 0 with fewer than four frames.
+def vector_width(frames: DataFrame, columns: Sequence[str]) -> int:
+    """Widest joint vector of the table; give the width where it is known, this reads the table."""
+    return frames.agg(F.max(F.greatest(*[F.size(c) for c in columns]))).first()[0] or 0
 
-    Input is in long form.
-    """
-    def third(w):
-        v = F.col(value)
-        return v - 3 * F.lag(value, 1).over(w) + 3 * F.lag(value, 2).over(w) - F.lag(value, 3).over(w)
-
-    keys = [*EPISODE, "channel", "joint"]
-    stepped = with_neighbours(values.select(*keys, "frame_index", value), 3, 0, {"_d": third}, keys)
-    return stepped.groupBy(*EPISODE, "channel").agg(
-        F.coalesce(F.sqrt(F.avg(F.col("_d") * F.col("_d"))), F.lit(0.0)).alias("jerk_rms")
+
+def jerk_rms(frames: DataFrame, channels: Sequence[str] = ("action",), width: int | None = None) -> DataFrame:
+    """Root mean square of the third difference per (episode, channel); 0 with fewer than four frames."""
+    columns = [CHANNEL_COLUMN[c] for c in channels]
+    width = width or vector_width(frames, columns)
+
+    def squares(column: str):
+        def over(w):
+            now, one, two, three = [F.col(column)] + [F.lag(column, k).over(w) for k in (1, 2, 3)]
+            sums, joints = F.lit(0.0), F.lit(0)
+            for j in range(width):
+                x, x1, x2, x3 = [F.get(a, F.lit(j)).cast("double") for a in (now, one, two, three)]
+                d = x - 3 * x1 + 3 * x2 - x3
+                sums = sums + F.coalesce(d * d, F.lit(0.0))
+                joints = joints + d.isNotNull().cast("int")
+            return F.struct(sums.alias("s"), joints.alias("n"))
+
+        return over
+
+    stepped = with_neighbours(
+        frames.select(*EPISODE, "frame_index", *columns), 3, 0, {f"_{c}": squares(c) for c in columns}
     )
+    def one(column: str) -> Column:
+        return F.coalesce(F.sqrt(F.try_divide(F.sum(f"_{column}.s"), F.sum(f"_{column}.n"))), F.lit(0.0))
+
+    wide = stepped.groupBy(*EPISODE).agg(*[one(col).alias(c) for c, col in zip(channels, columns)])
+    return wide.unpivot(list(EPISODE), list(channels), "channel", "jerk_rms")
 
 
 def reduction(raw: Column, smooth: Column) -> Column:
@@ -172,10 +190,12 @@ def reduction(raw: Column, smooth: Column) -> Column:
     return F.when(raw > JERK_FLOOR, F.greatest(F.lit(0.0), (1 - smooth / raw) * 100)).otherwise(F.lit(0.0))
 
 
-def jerk_reduction(raw: DataFrame, smoothed: DataFrame, channel: str = "action") -> DataFrame:
-    """Jerk before and after, and the reduction in percent, of the previewed channel (long-form inputs)."""
-    before = jerk_rms(raw.where(F.col("channel") == channel)).withColumnRenamed("jerk_rms", "jerk_raw")
-    after = jerk_rms(smoothed.where(F.col("channel") == channel)).withColumnRenamed("jerk_rms", "jerk_smoothed")
+def jerk_reduction(
+    raw: DataFrame, smoothed: DataFrame, channel: str = "action", width: int | None = None
+) -> DataFrame:
+    """Jerk before and after, and the reduction in percent, of the previewed channel."""
+    before = jerk_rms(raw, [channel], width).withColumnRenamed("jerk_rms", "jerk_raw")
+    after = jerk_rms(smoothed, [channel], width).withColumnRenamed("jerk_rms", "jerk_smoothed")
     return before.join(after, [*EPISODE, "channel"]).withColumn(
         "jerk_reduction_pct", reduction(F.col("jerk_raw"), F.col("jerk_smoothed"))
     )
@@ -205,7 +225,7 @@ def lower_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med
 
 def mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Lower median and the lower median of the distances from it."""
-    centre = lower_median(df, keys, value).select(*keys, "median")
+    centre = stage(lower_median(df, keys, value).select(*keys, "median"))
     gaps = df.join(centre, list(keys)).withColumn("_gap", F.abs(F.col(value) - F.col("median")))
     return centre.join(lower_median(gaps, keys, "_gap", "mad").select(*keys, "mad"), list(keys))
 

@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from kinelake.functions import scalars as X
 from kinelake.operators.blocks import dense_index, running_total, with_neighbours
 from kinelake.plans.registry import cte
 from kinelake.schema import KIND_SAMPLE
+from kinelake.session import stage
 
 JOINTS = ("shoulder", "elbow", "gripper")
 EVENTS_DATASET = "events-demo"
@@ -32,6 +34,29 @@ def f32(col):
     return col.cast("float").cast("double")
 
 
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staged_view(build):
+    """A view that is written once per application, as an ingested table would be, and then scanned by every query."""
+
+    def view(self: Tables) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.root, build.__name__)
+        if key not in _STAGED or not still_there(_STAGED[key]):
+            _STAGED[key] = stage(build(self))
+        return _STAGED[key]
+
+    view.__name__ = build.__name__
+    view.build = build
+    return cached_property(view)
+
+
+def still_there(df: DataFrame) -> bool:
+    """Temporary folders of a local run may be cleared at any time."""
+    files = df.inputFiles()
+    return not files or not files[0].startswith("file:") or os.path.exists(files[0].removeprefix("file:").replace("///", "/"))
+
+
 class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -47,7 +72,7 @@ class Tables:
             "event_id", "user_id", "event_type", "value", "ts", k.alias("k"), ns.alias("captured_at_ns")
         )
 
-    @cached_property
+    @staged_view
     def frames_events(self) -> DataFrame:
         day = F.floor(F.col("captured_at_ns") / F.lit(86_400_000_000_000)).cast("long")
         opened = F.col("event_type").isin("purchase", "signup", "error")
@@ -91,7 +116,7 @@ class Tables:
             F.array("a0", "a1", "a2").alias("leader_state"),
         )
 
-    @cached_property
+    @staged_view
     def frames_lines(self) -> DataFrame:
         order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -119,7 +144,7 @@ class Tables:
             F.array("a0", "a1", "a2", "a3").alias("leader_state"),
         )
 
-    @cached_property
+    @staged_view
     def frames_vec(self) -> DataFrame:
         block = F.floor(F.col("vec_id") / 65536).cast("long")
         flat = self("embeddings").select(
@@ -184,7 +209,7 @@ class Tables:
             F.col("n_nationkey").alias("n_nationkey"),
         )
 
-    @cached_property
+    @staged_view
     def orders(self) -> DataFrame:
         """Every order with its dataset, its number of line items and its place among the dataset's episodes."""
         counts = self("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("rows"))
@@ -242,7 +267,7 @@ class Tables:
             F.col("o_orderdate").cast("timestamp").alias("started_at"),
         )
 
-    @cached_property
+    @staged_view
     def frames_orders(self) -> DataFrame:
         """Frames of the saved manifest episodes, one per line item."""
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",

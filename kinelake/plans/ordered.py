@@ -160,8 +160,7 @@ FROM (SELECT episode_index, channel, v - 3 * lag(v, 1) OVER w + 3 * lag(v, 2) OV
     sql=f"SELECT episode_index, channel, round(jerk, 6) AS jerk_rms FROM ({JERK_SQL.format(src='fel')})",
 )
 def a11(t):
-    values = A.long_form(t.frames_events, ("observation", "action", "leader"))
-    return A.jerk_rms(values).select("episode_index", "channel", r6(F.col("jerk_rms")).alias("jerk_rms"))
+    return A.jerk_rms(t.frames_events, ("observation", "action", "leader"), 3).select("episode_index", "channel", r6(F.col("jerk_rms")).alias("jerk_rms"))
 
 
 @query(

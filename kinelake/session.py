@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_ROWS_CONF = "spark.kinelake.blockRows"
 BLOCK_ROWS_DEFAULT = 8192
 
-BROADCAST_BYTES_CONF = "spark.kinelake.broadcastBytes"
-BROADCAST_BYTES_DEFAULT = 32 << 20
+_LOCAL: dict[str, str] = {}
 
 
 def build_session(app: str = "kinelake", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,24 +37,24 @@ def block_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BLOCK_ROWS_CONF, str(BLOCK_ROWS_DEFAULT)))
 
 
-def broadcast_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get(BROADCAST_BYTES_CONF, str(BROADCAST_BYTES_DEFAULT)))
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names for intermediate tables; only a local master gets a temporary one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="spark-kinelake-"))
+    return folder
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a result that several later branches read.
+    """Write a result that several later branches read, and read it back.
 
-    The checkpoint goes to the shared folder the cluster names in ``spark.checkpoint.dir``; executors may then be
-    lost without recomputing the branches. Only a local master gets a temporary folder of its own. On a cluster
-    that names no folder the plan is left uncut.
+    Each branch then scans only its own columns, and a lost executor costs a re-read instead of the whole lineage.
+    The table goes to the shared folder; a cluster that names none gets the plan uncut.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="spark-kinelake-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = shared_folder(spark)
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
