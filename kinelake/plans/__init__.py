@@ -1,6 +1,6 @@
 """Query plans over the given tables. Importing the package registers all of them."""
 
-from kinelake.plans import basics, ordered, smoothing  # noqa: F401
+from kinelake.plans import basics, evaluation, ordered, smoothing  # noqa: F401
 from kinelake.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
