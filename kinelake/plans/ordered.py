@@ -386,20 +386,18 @@ def w11(t):
     return W.not_increasing(t.frames_orders).select("dataset_id", "episode_index", "frame_index")
 
 
-@query(
-    "W12_autopause",
-    "tick", "ctl",
-    sql="""
+AUTOPAUSE_SQL = """
 WITH u AS (SELECT run_id, sequence, error, NULL AS event FROM tick UNION ALL SELECT run_id, sequence, NULL, event FROM ctl),
 f AS (SELECT *, error IS NOT NULL AS fail, sum(CASE WHEN event = 'resume' THEN 1 ELSE 0 END) OVER w AS stretch FROM u
       WINDOW w AS (PARTITION BY run_id ORDER BY sequence)),
 g AS (SELECT *, coalesce(fail AND lag(fail, 1) OVER w AND lag(fail, 2) OVER w, FALSE) OR coalesce(event = 'pause', FALSE) AS stop FROM f
       WINDOW w AS (PARTITION BY run_id ORDER BY sequence)),
 p AS (SELECT run_id, stretch, min(sequence) AS stop_at FROM g WHERE stop GROUP BY ALL)
-SELECT g.run_id, g.sequence, CASE WHEN g.sequence > stop_at THEN 'skipped' WHEN fail THEN 'dropped' ELSE 'captured' END AS outcome,
-       coalesce(g.sequence = stop_at, FALSE) AS pauses
-FROM g LEFT JOIN p ON p.run_id = g.run_id AND p.stretch = g.stretch WHERE event IS NULL""",
-)
+SELECT g.run_id, g.sequence, CASE WHEN g.sequence > stop_at THEN 'skipped' WHEN fail THEN 'dropped' ELSE 'captured' END AS outcome{extra}
+FROM g LEFT JOIN p ON p.run_id = g.run_id AND p.stretch = g.stretch WHERE event IS NULL"""
+
+
+@query("W12_autopause", "tick", "ctl", sql=AUTOPAUSE_SQL.format(extra=", coalesce(g.sequence = stop_at, FALSE) AS pauses"))
 def w12(t):
     return W.apply_autopause(*ticks(t)).select("run_id", "sequence", "outcome", "pauses")
 

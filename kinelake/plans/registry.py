@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+SQL_PARTS: dict[str, tuple[tuple[str, ...], str]] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -45,7 +45,12 @@ def query(name: str, *ctes: str, sql: str | None = None):
 
         QUERIES[name] = lambda spark, sf_dir: plan(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLE[name] = with_ctes(ctes, sql)
+            SQL_PARTS[name] = (ctes, sql)
         return plan
 
     return register
+
+
+def oracle() -> dict[str, str]:
+    """SQL text of every query that has one; expressions may come from any module, so this runs after all imports."""
+    return {name: with_ctes(ctes, sql) for name, (ctes, sql) in SQL_PARTS.items()}

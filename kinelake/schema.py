@@ -41,6 +41,7 @@ JOURNAL_FRAME = T.StructType(
         T.StructField("task", T.StringType()),
         T.StructField("robot", SAMPLE),
         T.StructField("cameras", T.MapType(T.StringType(), CAMERA_STAMP)),
+        T.StructField("run_id", T.StringType()),
         T.StructField("_corrupt_record", T.StringType()),
     ]
 )

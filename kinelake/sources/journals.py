@@ -29,13 +29,13 @@ def frame_to_json(records: DataFrame) -> Column:
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """Journal frames with the run each file belongs to (the name of its folder); unreadable lines keep their text.
+    """Journal frames with their run: named in the line itself, else by the folder of the file.
 
     Blank lines are skipped. An unreadable line has no frame fields, only ``_corrupt_record``.
     """
     lines = spark.read.schema(JOURNAL_FRAME).option("mode", "PERMISSIVE").json(path)
-    run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return lines.withColumn("run_id", run)
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return lines.withColumn("run_id", F.coalesce("run_id", folder))
 
 
 def journal_vectors(journal: DataFrame) -> DataFrame:
@@ -51,7 +51,8 @@ def journal_vectors(journal: DataFrame) -> DataFrame:
         return F.transform(names, lambda n: F.element_at(F.col(f"robot.{channel}"), n).cast("float"))
 
     zero = F.lit(0).cast("long")
-    return journal.select(
+    # Unreadable lines carry no robot record and are no frames.
+    return journal.where(F.col("robot").isNotNull()).select(
         "run_id",
         "frame_index",
         F.col("timestamp").cast("float").alias("timestamp"),
