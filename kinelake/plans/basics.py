@@ -164,7 +164,12 @@ def x11(t):
     return t("events").select("event_id", raw.alias("raw"), X.flag(raw, True).alias("flag"))
 
 
-@query("X12_frame_json")
+@query(
+    "X12_frame_json",
+    "fe",
+    sql="""
+SELECT episode_index, frame_index, TRUE AS same_index, round(o0, 6) AS shoulder, task, length(task) > 0 AND captured_at_ns > 0 AS has_clock FROM fe""",
+)
 def x12(t):
     from kinelake.sources.journals import frame_from_json, frame_to_json
 
@@ -172,9 +177,10 @@ def x12(t):
     text = records.select("episode_index", "frame_index", frame_to_json(records).alias("line"))
     back = text.withColumn("frame", frame_from_json(F.col("line")))
     return back.select(
-        "episode_index", "frame_index", "line",
+        "episode_index", "frame_index",
         (F.col("frame.frame_index") == F.col("frame_index")).alias("same_index"),
-        r6(F.col("frame.robot.observation")["shoulder"]).alias("shoulder"),
+        r6(F.col("frame.robot.observation")["shoulder"]).alias("shoulder"), F.col("frame.task").alias("task"),
+        (F.col("frame.robot.captured_at_ns") > 0).alias("has_clock"),
     )
 
 

@@ -528,7 +528,11 @@ def s14_attributes(t):
     )
 
 
-@query("S15_write_export")
+@query(
+    "S15_write_export",
+    "fo",
+    sql="SELECT dataset_id, count(*) AS frames, count(*) - 1 AS last_index, 'checked exported exists exported' AS steps FROM fo GROUP BY 1",
+)
 def s15(t):
     path, kind = scratch(t, "export"), "episode.lerobot-export"
     rows = X.lerobot_frames(t.frames_orders)

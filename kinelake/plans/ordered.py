@@ -592,6 +592,24 @@ def j7(t):
     )
 
 
+@query(
+    "U4_mapping_arguments",
+    "fe",
+    sql="""
+SELECT episode_index, frame_index, joint, target, round(v * s, 6) + 0.0::DOUBLE AS output
+FROM fe, LATERAL (SELECT DISTINCT j.joint, 'axis-' || s_nationkey AS target, j.v, 1.0::DOUBLE + s_nationkey AS s FROM supplier JOIN (VALUES ('shoulder', o0, 0), ('gripper', o2, 1)) AS j(joint, v, k) ON k = s_suppkey)""",
+)
+def u4(t):
+    """A mapping the caller supplies as a table, here from two suppliers."""
+    given = t("supplier").where("s_suppkey < 2").select(
+        F.when(F.col("s_suppkey") == 0, "shoulder").otherwise("gripper").alias("joint"),
+        F.concat(F.lit("axis-"), "s_nationkey").alias("target"), (F.lit(1.0) + F.col("s_nationkey")).alias("scale"),
+        F.lit(0.0).alias("offset"),
+    )
+    out = J.retarget(t.frames_events, given, "observation", "degrees")
+    return out.select("episode_index", "frame_index", "joint", "target", r6(F.col("output")).alias("output"))
+
+
 @query(
     "J8_reorder",
     "fe",

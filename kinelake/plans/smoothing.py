@@ -259,7 +259,43 @@ def w9(t):
     return G.keep_segments(G.split_path(t.points), totals).select("episode_index", "frame_index", "minimum_points", "kept")
 
 
-@query("W13_clean_path")
+# Spikes judged against the last kept point, frame by frame.
+SPIKE_SQL = """RECURSIVE WITH s AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2) + power(z - lag(z) OVER w, 2)) AS step,
+                  lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz, count(*) OVER (PARTITION BY episode_index) AS n
+           FROM pts WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index)),
+m AS (SELECT episode_index, quantile_disc(step, 0.5) AS med FROM s WHERE step IS NOT NULL GROUP BY 1),
+h AS (SELECT m.episode_index, greatest(m.med * 8, m.med + 8 * quantile_disc(abs(s.step - m.med), 0.5), 1e-4) AS lim
+      FROM m JOIN s ON s.episode_index = m.episode_index WHERE s.step IS NOT NULL GROUP BY m.episode_index, m.med),
+k(episode_index, frame_index, kx, ky, kz, kept) AS (
+  SELECT episode_index, frame_index, x, y, z, TRUE FROM s WHERE frame_index = 0
+  UNION ALL
+  SELECT episode_index, frame_index, CASE WHEN spike THEN kx ELSE x END, CASE WHEN spike THEN ky ELSE y END, CASE WHEN spike THEN kz ELSE z END, NOT spike
+  FROM (SELECT s.*, k.kx, k.ky, k.kz, s.n >= 4 AND s.frame_index < s.n - 1
+               AND sqrt(power(x - kx, 2) + power(y - ky, 2) + power(z - kz, 2)) > lim AND sqrt(power(x - nx, 2) + power(y - ny, 2) + power(z - nz, 2)) > lim
+               AND sqrt(power(kx - nx, 2) + power(ky - ny, 2) + power(kz - nz, 2)) <= lim * 2 AS spike
+        FROM k JOIN s ON s.episode_index = k.episode_index AND s.frame_index = k.frame_index + 1 JOIN h ON h.episode_index = s.episode_index))
+"""
+CLEAN_SQL = """,
+p1 AS (SELECT s.episode_index, s.frame_index, s.x, s.y, s.z FROM k JOIN s ON s.episode_index = k.episode_index AND s.frame_index = k.frame_index WHERE kept),
+p2 AS (SELECT * FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz FROM p1 WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index))
+       WHERE px IS NULL OR px <> x OR py <> y OR pz <> z),
+p3 AS (SELECT episode_index, frame_index, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2) + power(z - lag(z) OVER w, 2)) AS step
+       FROM p2 WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index)),
+p4 AS (SELECT episode_index, quantile_disc(step, 0.5) AS med FROM p3 WHERE step > 1e-9 GROUP BY 1),
+p5 AS (SELECT p4.episode_index, greatest(p4.med * 8, p4.med + 8 * quantile_disc(abs(step - p4.med), 0.5), 1e-4) AS lim
+       FROM p4 JOIN p3 ON p3.episode_index = p4.episode_index WHERE step > 1e-9 GROUP BY p4.episode_index, p4.med),
+p6 AS (SELECT p3.episode_index, sum(CASE WHEN coalesce(step > lim, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY p3.episode_index ORDER BY frame_index ROWS UNBOUNDED PRECEDING) AS piece
+       FROM p3 JOIN p5 ON p5.episode_index = p3.episode_index),
+p7 AS (SELECT episode_index, piece, count(*) AS c FROM p6 GROUP BY ALL HAVING count(*) >= 2),
+p8 AS (SELECT episode_index, count(*) AS total FROM p2 GROUP BY 1),
+p9 AS (SELECT p8.episode_index, p8.total, count(p7.c) FILTER (p8.total >= 4 AND p7.c >= least(p8.total, greatest(8, least(30, CAST(ceil(p8.total * 0.02) AS BIGINT))))) AS segments, count(p7.c) AS pieces
+       FROM p8 LEFT JOIN p7 ON p7.episode_index = p8.episode_index GROUP BY ALL)
+SELECT episode_index, total, segments, pieces - segments AS discarded_fragments,
+       CASE WHEN segments > 0 THEN 'built' WHEN pieces > 0 THEN 'discarded' ELSE 'stationary' END AS outcome FROM p9
+"""
+
+
+@query("W13_clean_path", "pts", sql=SPIKE_SQL + CLEAN_SQL)
 def w13(t):
     return G.clean_path(t.points).select("episode_index", "total", "segments", "discarded_fragments", "outcome")
 
@@ -306,25 +342,19 @@ def f9(t):
     )
 
 
+@query("F10_reject_spikes", "pts", sql=SPIKE_SQL + "SELECT episode_index, frame_index FROM k WHERE kept")
+def f10(t):
+    return G.reject_spikes(t.points).select("episode_index", "frame_index")
+
+
 @query(
-    "F10_reject_spikes",
-    "pts",
+    "U3_filter_arguments",
+    "fel",
     sql="""
-RECURSIVE WITH s AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2) + power(z - lag(z) OVER w, 2)) AS step,
-                  lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz, count(*) OVER (PARTITION BY episode_index) AS n
-           FROM pts WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index)),
-m AS (SELECT episode_index, quantile_disc(step, 0.5) AS med FROM s WHERE step IS NOT NULL GROUP BY 1),
-h AS (SELECT m.episode_index, greatest(m.med * 8, m.med + 8 * quantile_disc(abs(s.step - m.med), 0.5), 1e-4) AS lim
-      FROM m JOIN s ON s.episode_index = m.episode_index WHERE s.step IS NOT NULL GROUP BY m.episode_index, m.med),
-k(episode_index, frame_index, kx, ky, kz, kept) AS (
-  SELECT episode_index, frame_index, x, y, z, TRUE FROM s WHERE frame_index = 0
-  UNION ALL
-  SELECT episode_index, frame_index, CASE WHEN spike THEN kx ELSE x END, CASE WHEN spike THEN ky ELSE y END, CASE WHEN spike THEN kz ELSE z END, NOT spike
-  FROM (SELECT s.*, k.kx, k.ky, k.kz, s.n >= 4 AND s.frame_index < s.n - 1
-               AND sqrt(power(x - kx, 2) + power(y - ky, 2) + power(z - kz, 2)) > lim AND sqrt(power(x - nx, 2) + power(y - ny, 2) + power(z - nz, 2)) > lim
-               AND sqrt(power(kx - nx, 2) + power(ky - ny, 2) + power(kz - nz, 2)) <= lim * 2 AS spike
-        FROM k JOIN s ON s.episode_index = k.episode_index AND s.frame_index = k.frame_index + 1 JOIN h ON h.episode_index = s.episode_index))
-SELECT episode_index, frame_index FROM k WHERE kept""",
+SELECT a.episode_index, a.frame_index, a.joint, round(CASE WHEN a.frame_index = 0 OR a.frame_index = a.n - 1 THEN any_value(a.v) ELSE avg(b.v) END, 6) AS value
+FROM (SELECT * FROM fel WHERE channel = 'action') a CROSS JOIN range(-6, 7) AS k(k)
+JOIN fel b ON b.episode_index = a.episode_index AND b.channel = a.channel AND b.joint = a.joint AND b.frame_index = least(greatest(a.frame_index + k.k, 0), a.n - 1)
+GROUP BY a.episode_index, a.frame_index, a.joint, a.n""",
 )
-def f10(t):
-    return G.reject_spikes(t.points).select("episode_index", "frame_index")
+def u3(t):
+    return long_action(t, S.smooth(t.frames_events, "moving_average", 2.0, channels=ACTION, width=3))
