@@ -51,9 +51,9 @@ BENCH = {
         t.frames_lines.select("dataset_id", "episode_index", F.get("action", F.lit(0)).cast("double").alias("v")),
         ["dataset_id", "episode_index"], "v", {"p1": 0.01, "p60": 0.6, "p99": 0.99},
     ),
-    "F1_moving_average": lambda t: S.moving_average(t.frames_lines, 1.0, CHANNELS, 4),
-    "F2_gaussian": lambda t: S.gaussian(t.frames_lines, 1.0, CHANNELS, 4),
-    "F3_savgol": lambda t: S.savgol(t.frames_lines, 1.0, CHANNELS, 4),
+    "F1_moving_average": lambda t: S.moving_average(t.frames_lines, 1.0, CHANNELS),
+    "F2_gaussian": lambda t: S.gaussian(t.frames_lines, 1.0, CHANNELS),
+    "F3_savgol": lambda t: S.savgol(t.frames_lines, 1.0, CHANNELS),
     "F4_spline": lambda t: S.spline(t.frames_lines, 1.0, CHANNELS),
     "F5_one_euro": lambda t: S.one_euro_filter(t.frames_lines, 1.0, 30.0, CHANNELS),
     "F9_sanitize": lambda t: G.sanitize(A.long_form(t.frames_lines, ("action",))),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,26 +164,28 @@ def jerk_rms(frames: DataFrame, channels: Sequence[str] = ("action",), width: in
     columns = [CHANNEL_COLUMN[c] for c in channels]
     width = width or vector_width(frames, columns)
 
-    def squares(column: str):
-        def over(w):
-            now, one, two, three = [F.col(column)] + [F.lag(column, k).over(w) for k in (1, 2, 3)]
-            sums, joints = F.lit(0.0), F.lit(0)
-            for j in range(width):
-                x, x1, x2, x3 = [F.get(a, F.lit(j)).cast("double") for a in (now, one, two, three)]
-                d = x - 3 * x1 + 3 * x2 - x3
-                sums = sums + F.coalesce(d * d, F.lit(0.0))
-                joints = joints + d.isNotNull().cast("int")
-            return F.struct(sums.alias("s"), joints.alias("n"))
-
-        return over
-
-    stepped = with_neighbours(
-        frames.select(*EPISODE, "frame_index", *columns), 3, 0, {f"_{c}": squares(c) for c in columns}
+    lags = {
+        f"_{c}_{k}": (lambda w, c=c, k=k: F.lag(c, k).over(w)) for c in columns for k in (1, 2, 3)
+    }
+    lagged = with_neighbours(frames.select(*EPISODE, "frame_index", *columns), 3, 0, lags)
+
+    def joint(column: str, lag: int, j: int) -> Column:
+        return F.get(F.col(f"_{column}_{lag}" if lag else column), F.lit(j)).cast("double")
+
+    def third(column: str, j: int) -> Column:
+        return joint(column, 0, j) - 3 * joint(column, 1, j) + 3 * joint(column, 2, j) - joint(column, 3, j)
+
+    differences = lagged.select(
+        *EPISODE, *[third(c, j).alias(f"_{c}_d{j}") for c in columns for j in range(width)]
     )
+
     def one(column: str) -> Column:
-        return F.coalesce(F.sqrt(F.try_divide(F.sum(f"_{column}.s"), F.sum(f"_{column}.n"))), F.lit(0.0))
+        cells = [F.col(f"_{column}_d{j}") for j in range(width)]
+        squares = reduce(add, [F.coalesce(F.sum(d * d), F.lit(0.0)) for d in cells])
+        count = reduce(add, [F.count(d) for d in cells])
+        return F.coalesce(F.sqrt(F.try_divide(squares, count)), F.lit(0.0))
 
-    wide = stepped.groupBy(*EPISODE).agg(*[one(col).alias(c) for c, col in zip(channels, columns)])
+    wide = differences.groupBy(*EPISODE).agg(*[one(col).alias(c) for c, col in zip(channels, columns)])
     return wide.unpivot(list(EPISODE), list(channels), "channel", "jerk_rms")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -210,27 +212,24 @@ def derive_signals(frames: DataFrame, separations: DataFrame | None = None) -> S
         {"mismatch": mismatch, "stall": F.coalesce(F.col("gap") > F.col("stall_cutoff"), F.lit(False))}
     )
 
-    def slip(w):
-        # A frame lies in a run of three when one of the three windows of that length around it mismatches throughout.
-        at = {
-            k: F.coalesce((F.lag("mismatch", -k) if k < 0 else F.lead("mismatch", k)).over(w), F.lit(False)) if k
-            else F.col("mismatch")
-            for k in range(1 - SLIP_FRAMES, SLIP_FRAMES)
-        }
-        held = F.lit(False)
-        for start in range(1 - SLIP_FRAMES, 1):
-            run = F.lit(True)
-            for k in range(start, start + SLIP_FRAMES):
-                run = run & at[k]
-            held = held | run
-        return held
-
-    def full(w):
-        return F.coalesce(F.col("moving"), F.lead("moving").over(w), F.lit(False))
-
-    slipped = with_neighbours(
-        judged, SLIP_FRAMES - 1, SLIP_FRAMES - 1,
-        {"slip": slip, "move_full": full, "previous_state": lambda w: F.lag("state").over(w)},
+    around = [k for k in range(1 - SLIP_FRAMES, SLIP_FRAMES) if k]
+    beside = {
+        f"_m{k}": (lambda w, k=k: F.coalesce((F.lag("mismatch", -k) if k < 0 else F.lead("mismatch", k)).over(w), F.lit(False)))
+        for k in around
+    }
+    beside["_next_moving"] = lambda w: F.lead("moving").over(w)
+    beside["previous_state"] = lambda w: F.lag("state").over(w)
+    neighbours = with_neighbours(judged, SLIP_FRAMES - 1, SLIP_FRAMES - 1, beside)
+
+    def held(start: int) -> Column:
+        cells = [F.col(f"_m{k}") if k else F.col("mismatch") for k in range(start, start + SLIP_FRAMES)]
+        return reduce(and_, cells)
+
+    # A frame lies in a run of three when one of the windows of that length around it mismatches throughout.
+    slip = reduce(or_, [held(start) for start in range(1 - SLIP_FRAMES, 1)])
+    move_full = F.coalesce(F.col("moving"), F.col("_next_moving"), F.lit(False))
+    slipped = neighbours.withColumns({"slip": slip, "move_full": move_full}).drop(
+        "_next_moving", *[f"_m{k}" for k in around]
     )
     flips = with_neighbours(
         slipped, 1, 0,

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from kinelake.session import block_rows
+from kinelake.session import block_rows, hot_rows, stage
 
 EPISODE = ("dataset_id", "episode_index")
 BLOCK = "_block"
@@ -66,7 +66,8 @@ def with_neighbours(
 ) -> DataFrame:
     """Add window columns that look at most ``before``/``after`` rows away.
 
-    ``columns`` maps a name to a function of the ordered window.
+    ``columns`` maps a name to a function of the ordered window. A neighbour that an expression uses more than once
+    should be a column of its own: every mention of a window function is evaluated separately.
     """
     window = block_window(keys, index)
     haloed = add_halo(df, before, after, index)
@@ -125,70 +126,92 @@ def carry(
 # Ranks the sketch may be off by, as a share of the group: 1/accuracy by contract, four times that for the bracket.
 SKETCH_ACCURACY = 20_000
 BRACKET = 4.0 / SKETCH_ACCURACY
-SMALL_GROUP = 5_000
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    interpolate: bool = True,
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], interpolate: bool = True
 ) -> DataFrame:
     """Exact quantiles per group, one row per group, plus the group's size ``_n``.
 
-    ``interpolate`` gives ``lo + (hi - lo) * fraction`` between the two neighbouring ranks; without it the element at
-    position ``floor((n - 1) * p)`` is taken (the lower median for 0.5). A sketch brackets each wanted rank, rows below
-    the bracket are only counted, and equal values inside it are merged before they are ordered. A small group is taken
-    whole, so its answer never rests on the sketch; a bracket that misses its rank raises.
+    ``interpolate`` gives ``lo + (hi - lo) * fraction`` between the two neighbouring ranks; without it the first element
+    that at least the share ``p`` of the group does not exceed is taken (the lower median for 0.5).
+
+    The built-in aggregate keeps every distinct value of a group in one task. That is fine for ordinary groups; those
+    above ``hot_rows`` are told apart by a count and take the bracketed way.
+    """
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows(df.sparkSession))
+    hot = stage(hot)
+    if hot.isEmpty():
+        return _direct_quantiles(rows, keys, probs, interpolate)
+    named = hot.select(*keys)
+    cold = _direct_quantiles(rows.join(named, keys, "left_anti"), keys, probs, interpolate)
+    return cold.unionByName(
+        _bracketed_quantiles(stage(rows.join(named, keys, "left_semi")), keys, probs, interpolate)
+    )
+
+
+def _direct_quantiles(rows: DataFrame, keys: list[str], probs: dict[str, float], interpolate: bool) -> DataFrame:
+    names = list(probs)
+    if interpolate:
+        found = rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_n"), F.percentile("_x", [probs[n] for n in names]).alias("_q")
+        )
+        return found.select(*keys, "_n", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    picks = [F.expr(f"percentile_disc({probs[n]!r}) WITHIN GROUP (ORDER BY _x)").alias(n) for n in names]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *picks)
+
+
+def _bracketed_quantiles(rows: DataFrame, keys: list[str], probs: dict[str, float], interpolate: bool) -> DataFrame:
+    """Quantiles of groups too large for one task.
+
+    A sketch brackets each wanted rank; rows below the bracket are only counted, equal values inside it are merged, and
+    only what is left is ordered. A bracket that misses its rank raises instead of giving a wrong answer.
     """
-    cuts = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-BRACKET, BRACKET)})
-    stats = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+    # Three ranks more on each side cover the neighbouring ranks themselves; every group here exceeds ``hot_rows``.
+    reach = BRACKET + 3.0 / hot_rows(rows.sparkSession)
+    cuts = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-reach, reach)})
+    stats = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), SKETCH_ACCURACY).alias("_cuts"),
+        F.percentile_approx("_x", F.array(*[F.lit(c) for c in cuts]), SKETCH_ACCURACY).alias("_cuts"),
     )
-    small = F.col("_n") <= SMALL_GROUP
 
-    def edge(p: float, delta: float, open_end: float) -> Column:
-        at = p + delta
-        if not 0.0 < at < 1.0:
-            return F.lit(open_end)
-        return F.when(small, F.lit(open_end)).otherwise(F.get("_cuts", F.lit(cuts.index(at))).cast("double"))
+    def edge(at: float, open_end: float) -> Column:
+        return F.get("_cuts", F.lit(cuts.index(at))).cast("double") if 0.0 < at < 1.0 else F.lit(open_end)
 
     brackets = F.array(
         *[
             F.struct(
-                F.lit(name).alias("q"),
-                F.lit(p).alias("p"),
-                edge(p, -BRACKET, float("-inf")).alias("lo"),
-                edge(p, BRACKET, float("inf")).alias("hi"),
+                F.lit(name).alias("q"), F.lit(p).alias("p"),
+                edge(p - reach, float("-inf")).alias("lo"), edge(p + reach, float("inf")).alias("hi"),
             )
             for name, p in probs.items()
         ]
     )
     ranges = stats.select(*keys, "_n", F.explode(brackets).alias("_b")).select(*keys, "_n", "_b.*")
     inside = (
-        df.where(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias("_x"))
-        .join(ranges, list(keys))
+        rows.join(ranges, keys)
         .where(F.col("_x") <= F.col("hi"))
         .groupBy(*keys, "q", "p", "_n", F.when(F.col("_x") >= F.col("lo"), F.col("_x")).alias("_x"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     rising = Window.partitionBy(*keys, "q").orderBy(F.col("_x").asc_nulls_first())
     upto = F.sum("_c").over(rising.rowsBetween(Window.unboundedPreceding, 0))
-    position = F.col("p") * (F.col("_n") - 1)
     ranked = inside.withColumn("_hi_rank", upto).withColumn("_lo_rank", F.col("_hi_rank") - F.col("_c"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_lo_rank") <= rank) & (rank < F.col("_hi_rank")), F.col("_x")))
 
-    low_rank = F.floor(position).cast("long")
-    high_rank = F.least(low_rank + 1, F.col("_n") - 1) if interpolate else low_rank
+    position = F.col("p") * (F.col("_n") - 1)
+    if interpolate:
+        low_rank = F.floor(position).cast("long")
+        high_rank = F.least(low_rank + 1, F.col("_n") - 1)
+    else:
+        low_rank = F.greatest(F.lit(0), F.ceil(F.col("p") * F.col("_n")) - 1).cast("long")
+        high_rank = low_rank
     picked = ranked.groupBy(*keys, "q").agg(
-        F.first("_n").alias("_n"),
-        at(low_rank).alias("_lo"),
-        at(high_rank).alias("_hi"),
+        F.first("_n").alias("_n"), at(low_rank).alias("_lo"), at(high_rank).alias("_hi"),
         F.first(position - low_rank).alias("_f"),
     )
     found = F.when(
@@ -197,12 +220,3 @@ def exact_quantiles(
     return picked.groupBy(*keys).agg(
         F.max("_n").alias("_n"), *[F.max(F.when(F.col("q") == name, found)).alias(name) for name in probs]
     )
-
-
-def attach(frames: DataFrame, per_group: DataFrame, keys: Sequence[str] = EPISODE, how: str = "left") -> DataFrame:
-    """Bring per-episode values to the episode's frames.
-
-    The small side is broadcast only if the planner's size estimate allows it; otherwise an adaptive sort-merge join
-    splits the partitions of a hot episode.
-    """
-    return frames.join(per_group, list(keys), how)

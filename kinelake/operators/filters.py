@@ -12,12 +12,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinelake.functions import vectors as V
-from kinelake.operators.aggregates import vector_width
 from kinelake.operators.blocks import BLOCK, EPISODE, HOME, add_halo, block_window, drop_halo
 from kinelake.schema import CHANNEL_COLUMN, CHANNELS
 from kinelake.session import block_rows
@@ -97,48 +96,48 @@ def savgol_matrix(frames: int, window: int) -> np.ndarray:
 # --- window filters -----------------------------------------------------------------------------------------------
 
 
-def _rebuild(column: str, width: int, joint: Callable[[int], Column]) -> Column:
-    """Assemble a vector from per-joint expressions, as wide as the row's own vector."""
-    return F.slice(F.array(*[joint(j) for j in range(width)]), F.lit(1), F.size(column))
+def _weighted(column: str, vectors: Column, weights: Column) -> Column:
+    """Per joint of a row, the weighted sum of a list of vectors."""
+    return F.transform(
+        F.col(column),
+        lambda _, j: F.aggregate(
+            F.zip_with(vectors, weights, lambda v, w: w * F.get(v, j).cast("double")), F.lit(0.0), lambda a, x: a + x
+        ),
+    )
 
 
-def _fir(frames: DataFrame, columns: Sequence[str], width: int, weights: Sequence[float]) -> DataFrame:
-    """Weighted neighbour sum with the first and last sample repeated beyond the ends."""
-    reach = len(weights) // 2
-    window = block_window()
-    everything = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    haloed = add_halo(frames, reach, max(reach, 1))
-    taps: dict[str, Column] = {}
-    for c in columns:
-        for k in range(-reach, reach + 1):
-            near = F.lag(c, -k).over(window) if k < 0 else F.lead(c, k).over(window) if k else F.col(c)
-            end = (F.first if k < 0 else F.last)(c).over(everything)
-            taps[f"_t_{c}_{k + reach}"] = F.coalesce(near, end) if k else near
-    ends = (F.col("frame_index") == 0) | F.lead("frame_index", 1).over(window).isNull()
-    tapped = drop_halo(haloed.withColumns({**taps, "_end": ends}))
+def _around(frames: DataFrame, columns: Sequence[str], reach: int) -> DataFrame:
+    """Adds ``_w_<column>``: the vectors at most ``reach`` frames away, fewer near an end of the episode."""
+    window = block_window().rowsBetween(-reach, reach)
+    haloed = add_halo(frames, reach, reach)
+    return drop_halo(haloed.withColumns({f"_w_{c}": F.collect_list(c).over(window) for c in columns}))
 
-    def smooth(c: str) -> Column:
-        def joint(j: int) -> Column:
-            terms = [
-                F.lit(w) * F.get(F.col(f"_t_{c}_{k}"), F.lit(j)).cast("double") for k, w in enumerate(weights)
-            ]
-            out = terms[0]
-            for term in terms[1:]:
-                out = out + term
-            return out
 
-        return F.when(F.col("_end"), V.widen(F.col(c))).otherwise(_rebuild(c, width, joint))
+def _fir(frames: DataFrame, columns: Sequence[str], weights: Sequence[float]) -> DataFrame:
+    """Weighted neighbour sum with the first and last sample repeated beyond the ends.
 
-    return tapped.withColumns({c: smooth(c) for c in columns}).drop("_end", *taps)
+    The neighbours are gathered as a short list and summed by higher-order functions: one expression per joint and
+    tap would make methods too large for the JVM to compile.
+    """
+    reach = len(weights) // 2
+    if reach == 0:
+        return frames.withColumns({c: V.widen(F.col(c)) for c in columns})
+    taps = F.expr(_literal(list(weights)))
 
+    def smooth(c: str) -> Column:
+        near = F.col(f"_w_{c}")
+        ahead = F.greatest(F.lit(0), F.lit(reach) - F.col("frame_index")).cast("int")
+        behind = F.lit(len(weights)) - F.size(near) - ahead
+        full = F.when(F.size(near) == len(weights), near).otherwise(
+            F.concat(
+                F.array_repeat(F.get(near, F.lit(0)), ahead), near, F.array_repeat(F.try_element_at(near, F.lit(-1)), behind)
+            )
+        )
+        end = (F.col("frame_index") == 0) | (behind == reach)
+        return F.when(end, V.widen(F.col(c))).otherwise(_weighted(c, full, taps))
 
-def _dot(weights: Column, vectors: Column, width: int) -> Column:
-    """Per joint, the weighted sum of a list of vectors."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda j: F.aggregate(
-            F.zip_with(weights, vectors, lambda w, v: w * F.get(v, j).cast("double")), F.lit(0.0), lambda a, x: a + x
-        ),
+    return _around(frames, columns, reach).withColumns({c: smooth(c) for c in columns}).drop(
+        *[f"_w_{c}" for c in columns]
     )
 
 
@@ -149,52 +148,29 @@ def _literal(values) -> str:
     return f"{float(values)!r}D"
 
 
-def _savgol(frames: DataFrame, columns: Sequence[str], width: int, window_size: int) -> DataFrame:
+def _savgol(frames: DataFrame, columns: Sequence[str], size: int) -> DataFrame:
     """Local cubic fit; within half a window of an end, the cubic of the outermost full window is followed."""
-    half, fit = window_size // 2, polynomial_projection(window_size)
-    interior = [float(x) for x in fit[half]]
-    window = block_window()
-    everything = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    haloed = add_halo(frames, window_size, window_size)
-    ranged = haloed.withColumn("_last", F.max("frame_index").over(everything))
-    index, last = F.col("frame_index"), F.col("_last")
-    helpers: dict[str, Column] = {"_near_end": F.lead("frame_index", half).over(window).isNull()}
-    for c in columns:
-        for k in range(-half, half + 1):
-            helpers[f"_t_{c}_{k + half}"] = (
-                F.lag(c, -k).over(window) if k < 0 else F.lead(c, k).over(window) if k else F.col(c)
-            )
-        helpers[f"_head_{c}"] = F.collect_list(F.when(index < window_size, F.col(c))).over(everything)
-        helpers[f"_tail_{c}"] = F.collect_list(F.when(last - index < window_size, F.col(c))).over(everything)
-    tapped = drop_halo(ranged.withColumns(helpers))
-    edge = F.expr(_literal(fit))
-    short = F.expr(_literal([savgol_matrix(n, window_size) for n in range(1, window_size)]))
-    at = index.cast("int")
+    half, reach = size // 2, size - 1
+    rows = F.expr(_literal(polynomial_projection(size)))
+    short = F.expr(_literal([savgol_matrix(n, size) for n in range(1, size)]))
+    at = F.col("frame_index").cast("int")
 
     def smooth(c: str) -> Column:
-        def joint(j: int) -> Column:
-            out = F.lit(0.0)
-            for k, w in enumerate(interior):
-                out = out + F.lit(w) * F.get(F.col(f"_t_{c}_{k}"), F.lit(j)).cast("double")
-            return out
-
-        from_end = (last - index).cast("int")
-        # An episode shorter than the window lies in one block, whose last index is its length less one.
-        tiny = last < window_size - 1
-        head, tail = F.col(f"_head_{c}"), F.col(f"_tail_{c}")
-        whole = F.get(F.get(short, last.cast("int")), at)
+        near = F.col(f"_w_{c}")
+        base = F.greatest(F.lit(0), at - reach)
+        last = base + F.size(near) - 1
+        start = F.greatest(F.lit(0), F.least(at - half, last - size + 1))
+        # Fewer vectors than the window means the list is the whole episode.
+        whole = F.size(near) < size
         return (
-            F.when((index == 0) | (F.col("_near_end") & (index == last)), V.widen(F.col(c)))
-            .when(tiny, F.slice(_dot(whole, head, width), F.lit(1), F.size(c)))
-            .when(index < half, F.slice(_dot(F.get(edge, at), head, width), F.lit(1), F.size(c)))
-            .when(
-                F.col("_near_end"),
-                F.slice(_dot(F.get(edge, F.lit(window_size - 1) - from_end), tail, width), F.lit(1), F.size(c)),
-            )
-            .otherwise(_rebuild(c, width, joint))
+            F.when((at == 0) | (last == at), V.widen(F.col(c)))
+            .when(whole, _weighted(c, near, F.get(F.get(short, F.size(near) - 1), at)))
+            .otherwise(_weighted(c, F.slice(near, start - base + 1, F.lit(size)), F.get(rows, at - start)))
         )
 
-    return tapped.withColumns({c: smooth(c) for c in columns}).drop("_last", *helpers)
+    return _around(frames, columns, reach).withColumns({c: smooth(c) for c in columns}).drop(
+        *[f"_w_{c}" for c in columns]
+    )
 
 
 # --- grouped maps -------------------------------------------------------------------------------------------------
@@ -342,25 +318,16 @@ def passthrough(frames: DataFrame, channels: Sequence[str] = CHANNELS) -> DataFr
     return frames.withColumns({c: V.widen(F.col(c)) for c in _columns(channels)})
 
 
-def moving_average(
-    frames: DataFrame, strength: float = 1.0, channels: Sequence[str] = CHANNELS, width: int | None = None
-) -> DataFrame:
-    columns = _columns(channels)
-    return _fir(frames, columns, width or vector_width(frames, columns), moving_average_weights(max(0.0, strength)))
+def moving_average(frames: DataFrame, strength: float = 1.0, channels: Sequence[str] = CHANNELS) -> DataFrame:
+    return _fir(frames, _columns(channels), moving_average_weights(max(0.0, strength)))
 
 
-def gaussian(
-    frames: DataFrame, strength: float = 1.0, channels: Sequence[str] = CHANNELS, width: int | None = None
-) -> DataFrame:
-    columns = _columns(channels)
-    return _fir(frames, columns, width or vector_width(frames, columns), gaussian_weights(max(0.0, strength)))
+def gaussian(frames: DataFrame, strength: float = 1.0, channels: Sequence[str] = CHANNELS) -> DataFrame:
+    return _fir(frames, _columns(channels), gaussian_weights(max(0.0, strength)))
 
 
-def savgol(
-    frames: DataFrame, strength: float = 1.0, channels: Sequence[str] = CHANNELS, width: int | None = None
-) -> DataFrame:
-    columns = _columns(channels)
-    return _savgol(frames, columns, width or vector_width(frames, columns), savgol_window(max(0.0, strength)))
+def savgol(frames: DataFrame, strength: float = 1.0, channels: Sequence[str] = CHANNELS) -> DataFrame:
+    return _savgol(frames, _columns(channels), savgol_window(max(0.0, strength)))
 
 
 # Blocks of the whole-series filters: long, so that ordinary episodes are never cut at all.
@@ -403,7 +370,7 @@ def one_euro_filter(
 
 def smooth(
     frames: DataFrame, method: str | None = "spline", strength: float = 1.0, fps: float | str = 30.0,
-    channels: Sequence[str] = CHANNELS, width: int | None = None,
+    channels: Sequence[str] = CHANNELS,
 ) -> DataFrame:
     """Smooth the channels of every episode; adds ``smoothing_method`` and ``smoothing_strength``."""
     name, strength = resolve_method(method), max(0.0, float(strength))
@@ -412,11 +379,11 @@ def smooth(
     elif name == "spline":
         out = spline(frames, strength, channels)
     elif name == "savgol":
-        out = savgol(frames, strength, channels, width)
+        out = savgol(frames, strength, channels)
     elif name == "moving_average":
-        out = moving_average(frames, strength, channels, width)
+        out = moving_average(frames, strength, channels)
     elif name == "one_euro":
         out = one_euro_filter(frames, strength, fps, channels)
     else:
-        out = gaussian(frames, strength, channels, width)
+        out = gaussian(frames, strength, channels)
     return out.withColumns({"smoothing_method": F.lit(name), "smoothing_strength": F.lit(strength)})

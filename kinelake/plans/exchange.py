@@ -380,7 +380,7 @@ SELECT p.episode_index, p.frame_index, row_number() OVER (ORDER BY p.episode_ind
 FROM fga p WHERE p.joint = 0""",
 )
 def s8_smoothed(t):
-    return X.lerobot_frames(t.frames_events, "gaussian", 1.0, 30.0, 3).select(
+    return X.lerobot_frames(t.frames_events, "gaussian", 1.0, 30.0).select(
         "episode_index", "frame_index", "index", (F.round(F.get("action", F.lit(0)).cast("double"), 5)).alias("a0")
     )
 

@@ -63,17 +63,17 @@ FILTERED = "SELECT episode_index, frame_index, joint, round(v, 6) AS value FROM
 
 @query("F1_moving_average", "fma", sql=FILTERED + "fma")
 def f1(t):
-    return long_action(t, S.moving_average(t.frames_events, 1.0, ACTION, 3))
+    return long_action(t, S.moving_average(t.frames_events, 1.0, ACTION))
 
 
 @query("F2_gaussian", "fga", sql=FILTERED + "fga")
 def f2(t):
-    return long_action(t, S.gaussian(t.frames_events, 1.0, ACTION, 3))
+    return long_action(t, S.gaussian(t.frames_events, 1.0, ACTION))
 
 
 @query("F3_savgol", "fsg", sql=FILTERED + "fsg")
 def f3(t):
-    return long_action(t, S.savgol(t.frames_events, 1.0, ACTION, 3))
+    return long_action(t, S.savgol(t.frames_events, 1.0, ACTION))
 
 
 @query("F4_spline")
@@ -133,7 +133,7 @@ FROM a JOIN b ON b.episode_index = a.episode_index""",
 )
 def f8(t):
     frames = t.frames_events
-    smoothed = S.smooth(frames, "gaussian", 1.0, width=3)
+    smoothed = S.smooth(frames, "gaussian", 1.0)
     kinds = smoothed.groupBy("episode_index").agg(
         F.first("smoothing_method").alias("method"), F.first("smoothing_strength").alias("strength")
     )
@@ -152,7 +152,7 @@ SELECT a.episode_index, round(CASE WHEN a.jerk > 1e-12 THEN greatest(0, (1 - b.j
 FROM a JOIN b ON b.episode_index = a.episode_index""",
 )
 def a12(t):
-    smoothed = S.moving_average(t.frames_events, 1.0, ACTION, 3)
+    smoothed = S.moving_average(t.frames_events, 1.0, ACTION)
     return A.jerk_reduction(t.frames_events, smoothed, "action", 3).select(
         "episode_index", r6(F.col("jerk_reduction_pct")).alias("jerk_reduction_pct")
     )
@@ -167,7 +167,7 @@ FROM fel r JOIN fga s ON s.episode_index = r.episode_index AND s.frame_index = r
 WHERE r.channel = 'action' AND r.joint = 0""",
 )
 def l5(t):
-    smoothed = S.gaussian(t.frames_events, 1.0, ACTION, 3)
+    smoothed = S.gaussian(t.frames_events, 1.0, ACTION)
     return P.preview(t.frames_events, smoothed, "no-such-channel", 7).select(
         "episode_index", "frame_index", r6(F.col("raw")).alias("raw"), r6(F.col("smoothed")).alias("smoothed")
     )
@@ -357,4 +357,4 @@ JOIN fel b ON b.episode_index = a.episode_index AND b.channel = a.channel AND b.
 GROUP BY a.episode_index, a.frame_index, a.joint, a.n""",
 )
 def u3(t):
-    return long_action(t, S.smooth(t.frames_events, "moving_average", 2.0, channels=ACTION, width=3))
+    return long_action(t, S.smooth(t.frames_events, "moving_average", 2.0, channels=ACTION))

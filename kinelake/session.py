@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_ROWS_CONF = "spark.kinelake.blockRows"
 BLOCK_ROWS_DEFAULT = 8192
 
+HOT_ROWS_CONF = "spark.kinelake.hotRows"
+HOT_ROWS_DEFAULT = 250_000
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -25,6 +28,9 @@ def build_session(app: str = "kinelake", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.compression.codec": "snappy",
+        # HotSpot never compiles a method above 8000 bytes of bytecode. Filter taps over many joints can exceed that;
+        # with this limit Spark splits them into small methods instead of running one huge method interpreted.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
     }
     for key, value in settings.items():
@@ -37,6 +43,11 @@ def block_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BLOCK_ROWS_CONF, str(BLOCK_ROWS_DEFAULT)))
 
 
+def hot_rows(spark: SparkSession) -> int:
+    """Group size above which an exact quantile no longer keeps the group's values in one task."""
+    return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder the cluster names for intermediate tables; only a local master gets a temporary one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -33,7 +33,7 @@ def _floats(frames: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def lerobot_frames(
-    frames: DataFrame, method: str = "none", strength: float = 1.0, fps: float | str = 30.0, width: int | None = None,
+    frames: DataFrame, method: str = "none", strength: float = 1.0, fps: float | str = 30.0,
     renumber: bool = True,
 ) -> DataFrame:
     """Frame table with frames renumbered per episode and a global index running on through each dataset's episodes.
@@ -43,7 +43,7 @@ def lerobot_frames(
     sized = full_episodes(frames)
     offsets = episode_offsets(sized).select(*EPISODE, "dataset_from_index")
     if method != "none":
-        frames = smooth(frames, method, strength, fps, ("observation", "action"), width)
+        frames = smooth(frames, method, strength, fps, ("observation", "action"))
     if renumber:
         frames = dense_index(frames, EPISODE, ["frame_index"], frame_block(frames), "_place").withColumn(
             "frame_index", F.col("_place")
@@ -219,11 +219,11 @@ def hub_media(facts: DataFrame, cameras: Sequence[str]) -> DataFrame:
 
 
 def training_table(
-    frames: DataFrame, method: str = "none", strength: float = 1.0, fps: float | str = 30.0, width: int | None = None
+    frames: DataFrame, method: str = "none", strength: float = 1.0, fps: float | str = 30.0
 ) -> DataFrame:
     """Content of the per-episode tensor files: single-precision vectors and the frame's clocks."""
     if method != "none":
-        frames = smooth(frames, method, strength, fps, width=width)
+        frames = smooth(frames, method, strength, fps)
     has = set(frames.columns)
     optional = [c for c in ("sample_sequence", "captured_at_ns", "recorded_at_ns", "cameras") if c in has]
     return _floats(frames, ("observation_state", "leader_state", "action")).select(

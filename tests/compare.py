@@ -1,6 +1,6 @@
 """Side-by-side check of the registered queries against their SQL.
 
-    python tests/compare.py SF_DIR [name-prefix ...]      (environment: BLOCK_ROWS to force small blocks)
+    python tests/compare.py SF_DIR [name-prefix ...]      (environment: BLOCK_ROWS and HOT_ROWS force small blocks and the large-group way)
 """
 
 from __future__ import annotations
@@ -66,12 +66,14 @@ def compare(spark_table, duck_table) -> str:
 
 def main() -> int:
     from __spark_entry__ import oracle_sql, queries
-    from kinelake.session import BLOCK_ROWS_CONF, build_session
+    from kinelake.session import BLOCK_ROWS_CONF, HOT_ROWS_CONF, build_session
 
     root, prefixes = sys.argv[1], sys.argv[2:]
     extra = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"}
     if os.environ.get("BLOCK_ROWS"):
         extra[BLOCK_ROWS_CONF] = os.environ["BLOCK_ROWS"]
+    if os.environ.get("HOT_ROWS"):
+        extra[HOT_ROWS_CONF] = os.environ["HOT_ROWS"]
     spark = build_session("compare", "local[8]", **extra)
     spark.sparkContext.setLogLevel("ERROR")
     con, oracle, bad = connect(root), oracle_sql(), 0
