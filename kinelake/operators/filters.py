@@ -185,24 +185,30 @@ def spline_halo(lam: float) -> int:
     return math.ceil(VANISHED * math.sqrt(2.0) * max(1.0, lam) ** 0.25)
 
 
+def _factor(m: int, lam: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Banded factors (diagonal, first and second subdiagonal) of R + lam Q'Q at unit knots."""
+    diag, one, two = 2.0 / 3.0 + 6.0 * lam, 1.0 / 6.0 - 4.0 * lam, lam
+    d, l1, l2 = np.empty(m), np.zeros(m), np.zeros(m)
+    for i in range(m):
+        if i >= 2:
+            l2[i] = two / d[i - 2]
+        if i >= 1:
+            l1[i] = (one - (l2[i] * l1[i - 1] * d[i - 2] if i >= 2 else 0.0)) / d[i - 1]
+        d[i] = diag - (l1[i] ** 2 * d[i - 1] if i >= 1 else 0.0) - (l2[i] ** 2 * d[i - 2] if i >= 2 else 0.0)
+    return d, l1, l2
+
+
 def smoothing_spline(values: np.ndarray, lam: float) -> np.ndarray:
     """Natural cubic smoothing spline at unit knots, column-wise: minimises squared error + lam * integral of g''^2.
 
-    Second derivatives solve the banded system (R + lam Q'Q) c = Q'y by Cholesky elimination; the fit is y - lam Q c.
+    Second derivatives solve the banded system (R + lam Q'Q) c = Q'y; the fit is y - lam Q c.
     """
     n = len(values)
     if n < SPLINE_MIN_FRAMES:
         return values.copy()
-    curve = values[2:] - 2.0 * values[1:-1] + values[:-2]
     m = n - 2
-    diag, one, two = 2.0 / 3.0 + 6.0 * lam, 1.0 / 6.0 - 4.0 * lam, lam
-    d, l1, l2 = np.empty(m), np.zeros(m), np.zeros(m)
-    for i in range(m):
-        a2 = two / d[i - 2] if i >= 2 else 0.0
-        a1 = ((one - a2 * l1[i - 1] * d[i - 2] if i >= 2 else one) / d[i - 1]) if i >= 1 else 0.0
-        d[i] = diag - (a1 * a1 * d[i - 1] if i >= 1 else 0.0) - (a2 * a2 * d[i - 2] if i >= 2 else 0.0)
-        l1[i], l2[i] = a1, a2
-    c = curve.copy()
+    d, l1, l2 = _factor(m, lam)
+    c = values[2:] - 2.0 * values[1:-1] + values[:-2]
     for i in range(1, m):
         c[i] -= l1[i] * c[i - 1]
         if i >= 2:
@@ -219,24 +225,29 @@ def smoothing_spline(values: np.ndarray, lam: float) -> np.ndarray:
     return out
 
 
+def lost_freedom(n: int, lam: float) -> float:
+    """Trace of (identity - smoother), from the central bands of the inverse of the banded system."""
+    m = n - 2
+    d, l1, l2 = _factor(m, lam)
+    b0, b1, b2 = np.zeros(m + 2), np.zeros(m + 2), np.zeros(m + 2)
+    for i in range(m - 1, -1, -1):
+        f1 = l1[i + 1] if i + 1 < m else 0.0
+        f2 = l2[i + 2] if i + 2 < m else 0.0
+        b1[i] = -f1 * b0[i + 1] - f2 * b1[i + 1]
+        b2[i] = -f1 * b1[i + 1] - f2 * b0[i + 2]
+        b0[i] = 1.0 / d[i] - f1 * b1[i] - f2 * b2[i]
+    return lam * (6.0 * b0.sum() - 8.0 * b1[: m - 1].sum() + 2.0 * b2[: max(0, m - 2)].sum())
+
+
 def cross_validated_lambda(values: np.ndarray) -> float:
     """Smoothing parameter with the least generalised cross-validation score, on a grid of powers of two."""
     n = len(values)
-    bands = np.zeros((n, n - 2))
-    for i in range(n - 2):
-        bands[i : i + 3, i] = (1.0, -2.0, 1.0)
-    r = np.diag(np.full(n - 2, 2.0 / 3.0)) + np.diag(np.full(n - 3, 1.0 / 6.0), 1) + np.diag(np.full(n - 3, 1.0 / 6.0), -1)
-    w, u = np.linalg.eigh(bands @ np.linalg.solve(r, bands.T))
-    rotated = u.T @ values
-    best = (math.inf, 1.0)
-    for power in range(-20, 21):
-        lam = 2.0**power
-        shrink = lam * w / (1.0 + lam * w)
-        left = float((shrink[:, None] ** 2 * rotated**2).sum())
-        score = n * left / max(1e-300, float(shrink.sum()) ** 2)
-        if score < best[0]:
-            best = (score, lam)
-    return best[1]
+
+    def loss(lam: float) -> float:
+        left = float(((values - smoothing_spline(values, lam)) ** 2).sum())
+        return n * left / max(1e-300, lost_freedom(n, lam) ** 2)
+
+    return min((2.0**power for power in range(-20, 21)), key=loss)
 
 
 def one_euro_alpha(cutoff, dt: float):
