@@ -60,6 +60,8 @@ def still_there(df: DataFrame) -> bool:
 class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        # Clock times in the tables carry no zone; both engines read them as UTC.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
