@@ -21,12 +21,13 @@ BITS = 2
 PACKED = HASHES * BITS // 64
 #: What the estimate may lack against the threshold: five standard deviations of 128 two-bit agreements at 0.8.
 MARGIN = 0.21
-#: Rounds in which a bucket with several components tests one more pivot each, before the rest is paired off exactly.
-PIVOT_ROUNDS = 2
+#: Bits of the parity sketch: each shingle flips one, so two sketches differ in at most as many bits as the sets in shingles.
+PARITY = 1024
 SEED = 4
 KNOWN_WORDS = 1 << 19
 
-SIGNATURES = "doc_id long, n_shingles long, set_key string, bands array<long>, " + ", ".join(f"s{i} long" for i in range(PACKED))
+SKETCH = [*[f"s{i}" for i in range(PACKED)], *[f"p{i}" for i in range(PARITY // 64)]]
+SIGNATURES = "doc_id long, n_shingles long, set_key string, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
 
 
 class WordHashes(dict):
@@ -81,25 +82,31 @@ def packed_bits(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low << np.arange(0, 64, BITS, dtype=np.uint64), axis=2)
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """Per row: number of distinct shingles, digest of their set, band keys and packed low bits (null without words)."""
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (masks, factors, salts) = WordHashes(), _constants()
         for part in parts:
-            sizes, keys, rows = [], [], []
+            sizes, keys, rows, odd = [], [], [], []
             for text in part.column(1):
                 shingles = shingle_set(text.as_py(), size, known)
                 sizes.append(len(shingles))
+                odd.append(parity_bits(shingles))
                 keys.append(xxhash.xxh3_128_hexdigest(shingles.tobytes()) if len(shingles) else None)
                 rows.append(minima(shingles, masks, factors) if len(shingles) else np.zeros(HASHES, np.uint32))
             least = np.array(rows, np.uint32).reshape(len(rows), HASHES)
             bands = mixed((least.reshape(-1, BANDS, ROWS).astype(np.uint64) * salts).sum(axis=2, dtype=np.uint64)).view(np.int64)
-            bits = packed_bits(least).view(np.int64)
+            bits = np.concatenate([packed_bits(least).view(np.int64), np.array(odd, np.int64).reshape(len(rows), -1)], axis=1)
             ends = pa.array(np.arange(0, len(rows) * BANDS + 1, BANDS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()),
-                 pa.ListArray.from_arrays(ends, pa.array(bands.ravel())), *[pa.array(bits[:, i]) for i in range(PACKED)]],
+                 pa.ListArray.from_arrays(ends, pa.array(bands.ravel())), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(bits.shape[1])]],
                 names=[f.split()[0] for f in SIGNATURES.split(", ")],
             )
 
@@ -133,9 +140,18 @@ def estimate(a: str, b: str) -> Column:
     return (reduce(lambda x, y: x + y, equal) / F.lit(float(HASHES)) - chance) / (1 - chance)
 
 
+def differing(a: str, b: str) -> Column:
+    """At most the number of shingles in which two sets differ, and nearly it where that is well below the sketch's bits."""
+    return reduce(
+        lambda x, y: x + y, [F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(PARITY // 64)]
+    )
+
+
 def likely(a: str, b: str, percent: int) -> Column:
+    """Sizes and parities as the threshold demands them (no link fails these), and the estimate within its margin."""
     few, many = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    return (100 * few >= percent * many) & (estimate(a, b) >= percent / 100 - MARGIN)
+    near = (100 + percent) * differing(a, b) <= (100 - percent) * (few + many)
+    return (100 * few >= percent * many) & near & (estimate(a, b) >= percent / 100 - MARGIN)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,8 +206,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
 
     Rows with equal sets are one class, named by its least doc_id; only class representatives are compared. In every band
     each member of a bucket is tested against the bucket's least one, which is linear in the bucket. Pairs inside one
-    component need no test. A bucket that still holds several components tests further pivots, then all pairs between a
-    member outside its largest component and a member of another, so no link that joins two components is lost.
+    component need no test. Where a bucket then still holds several components, each member outside its largest one is compared
+    with the members of the others by sketch, inside the join, so that hardly more than the links themselves come out of it. No
+    link that joins two components is lost. That step grows with the members outside times the bucket.
 
     Null and empty texts have no shingles and are linked with nothing. A row without doc_id is linked with nothing, has a
     null component_id and is kept. Rows that repeat a doc_id count as one document, linked through either text.
@@ -201,7 +218,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     classes = stage(signed.where(full).groupBy("set_key").agg(F.min("doc_id").alias("node")))
     reps = stage(
         signed.where(full).join(classes, (signed["set_key"] == classes["set_key"]) & (signed["doc_id"] == classes["node"]))
-        .select("node", "n_shingles", "bands", *[f"s{i}" for i in range(PACKED)])
+        .select("node", "n_shingles", "bands", *SKETCH)
     )
     lean = reps.drop("bands")
     banded = reps.select(F.explode("bands").alias("band"), "node")
@@ -232,36 +249,22 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         classes.select(F.col("set_key").alias("k0"), F.col("node").alias("a")), "k0"
     )
     edges = stage(confirm(stars, sets, percent).union(same.select("a", "b")))
-    tested = shared.select("band", "node", "head")
-    for turn in range(PIVOT_ROUNDS + 1):
-        roots = components(edges)
-        placed = tested.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # Members per component and bucket; the largest component of a bucket is its main one.
-        weights = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("members"))
-        mains = weights.groupBy("band").agg(
-            F.max(F.struct("members", "root")).getField("root").alias("main"), F.count(F.lit(1)).alias("parts")
-        ).where("parts > 1").drop("parts")
-        open_ = stage(placed.join(mains, "band"))
-        if open_.isEmpty():
-            break
-        aside = open_.where("root <> main")
-        if turn < PIVOT_ROUNDS:
-            # The least node outside the main component, another one each round: it has become a part of what it links to.
-            pivots = aside.groupBy("band").agg(F.min(F.struct("node", "root")).alias("p"))
-            pairs = open_.join(pivots, "band").where("root <> p.root and p.node <> head and node <> head").select(
-                F.col("p.node").alias("a"), F.col("node").alias("b")
-            )
-            found = estimated(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        else:
-            x = aside.join(lean, "node").alias("x")
-            y = open_.join(lean, "node").alias("y")
-            # Both aside: once is enough. Pairs with the head of a bucket have been tested at the start.
-            once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-            apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.node") != F.col("x.head")) & (F.col("y.node") != F.col("y.head"))
-            found = x.join(y, (F.col("x.band") == F.col("y.band")) & apart & once & likely("x", "y", percent)).select(
-                F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
-            ).distinct()
-        edges = stage(edges.union(confirm(found, sets, percent)))
+    roots = components(edges)
+    placed = shared.select("band", "node", "head").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Members per component and bucket; the largest component of a bucket is its main one.
+    weights = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("members"))
+    mains = weights.groupBy("band").agg(
+        F.max(F.struct("members", "root")).getField("root").alias("main"), F.count(F.lit(1)).alias("parts")
+    ).where("parts > 1").drop("parts")
+    open_ = stage(placed.join(mains, "band").join(lean, "node"))
+    x, y = open_.where("root <> main").alias("x"), open_.alias("y")
+    # Both aside: once is enough. Pairs with the head of a bucket have been tested at the start.
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.node") != F.col("x.head")) & (F.col("y.node") != F.col("y.head"))
+    found = x.join(y, (F.col("x.band") == F.col("y.band")) & apart & once & likely("x", "y", percent)).select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
+    ).distinct()
+    edges = stage(edges.union(confirm(found, sets, percent)))
     roots = components(edges)
     placed = classes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     own = signed.select("doc_id", "n_shingles", "set_key")
