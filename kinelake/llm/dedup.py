@@ -264,8 +264,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     found = x.join(y, (F.col("x.band") == F.col("y.band")) & apart & once & likely("x", "y", percent)).select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
     ).distinct()
-    edges = stage(edges.union(confirm(found, sets, percent)))
-    roots = components(edges)
+    more = stage(confirm(found, sets, percent))
+    if not more.isEmpty():
+        # What is linked already goes on as one link from each node to its root.
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     placed = classes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     own = signed.select("doc_id", "n_shingles", "set_key")
     grouped = own.where(full).join(placed, "set_key").select("doc_id", "n_shingles", F.col("root").alias("component_id"))
