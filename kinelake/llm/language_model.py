@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from kinelake.llm.common import fold, stage
 
 PARTS, HELD_OUT = 5, 1
 #: Tokens tokenised into one row, and n-gram keys counted by one task.
-BATCH_TOKENS, TASK_KEYS = 1 << 21, 1 << 20
+BATCH_TOKENS, TASK_KEYS = 1 << 20, 1 << 20
 END, START = 0, 1
 #: Context frequencies are bucketed by powers of two; probabilities of held-out tokens by quarters of an octave.
 BUCKETS, BINS, PER_OCTAVE = 33, 160, 4
@@ -31,6 +32,17 @@ CELLS = "bucket int, f2 int, f1 int, n double"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers without sign, compressed byte by byte: high bytes are mostly zero."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values[:, None].view(np.uint8).T).tobytes())
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    """The numbers of ``packed``."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind)[:, 0]
+
+
 class Vocabulary(dict):
     """Indices of the words of one batch, in order of appearance after the two marks."""
 
@@ -51,7 +63,7 @@ def tokenise(docs: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             hashes = np.array([*MARKS, *map(xxhash.xxh3_64_intdigest, known)], np.uint64)
             flat = np.concatenate(tokens)
-            values = [uuid.uuid4().hex, ids, held, lens, flat.tobytes(), hashes.tobytes(), len(hashes) + len(flat)]
+            values = [uuid.uuid4().hex, ids, held, lens, packed(flat), hashes.tobytes(), len(hashes) + len(flat)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
 
         for part in parts:
@@ -86,7 +98,7 @@ class Batch:
     def __init__(self, lens, held, tokens: bytes, vocab: bytes):
         self.lens = np.asarray(lens, np.int64)
         self.held = np.asarray(held, bool)
-        self.tokens = np.frombuffer(tokens, np.uint32).astype(np.int64)
+        self.tokens = unpacked(tokens, np.uint32).astype(np.int64)
         self.hashes = np.frombuffer(vocab, np.uint64)
         self.starts = np.concatenate([[0], np.cumsum(self.lens)[:-1]]).astype(np.int64)
         self.training = ~np.repeat(self.held, self.lens)
@@ -123,7 +135,7 @@ def requests(batches: DataFrame, parts: int) -> DataFrame:
                     counts = batch.counts(kind)[batch.orders[kind]].astype(np.uint32)
                     cuts = batch.cuts(kind, parts)
                     out += [
-                        (kind, p, row.batch, keys[i:j].tobytes(), counts[i:j].tobytes())
+                        (kind, p, row.batch, packed(np.diff(keys[i:j], prepend=np.uint64(0))), packed(counts[i:j]))
                         for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i
                     ]
                 yield pd.DataFrame(out, columns=[f.split()[0] for f in REQUESTS.split(", ")])
@@ -133,12 +145,12 @@ def requests(batches: DataFrame, parts: int) -> DataFrame:
 
 def add_up(part: pd.DataFrame) -> pd.DataFrame:
     """Totals of one range of keys, handed back to every batch in the order in which it asked."""
-    keys = np.concatenate([np.frombuffer(k, np.uint64) for k in part["keys"]])
-    counts = np.concatenate([np.frombuffer(c, np.uint32) for c in part["counts"]])
+    asked = [np.cumsum(unpacked(k, np.uint64), dtype=np.uint64) for k in part["keys"]]
+    keys, counts = np.concatenate(asked), np.concatenate([unpacked(c, np.uint32) for c in part["counts"]])
     distinct, place = np.unique(keys, return_inverse=True)
     totals = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.uint64)
-    ends = np.cumsum([len(k) // 8 for k in part["keys"]])
-    answers = [x.tobytes() for x in np.split(totals[place], ends[:-1])]
+    ends = np.cumsum([len(k) for k in asked])
+    answers = [packed(x) for x in np.split(totals[place], ends[:-1])]
     first = np.arange(len(part)) == 0
     return pd.DataFrame({
         "batch": part["batch"], "kind": part["kind"], "part": part["part"], "totals": answers,
@@ -151,7 +163,7 @@ def _answered(row) -> tuple[Batch, np.ndarray, np.ndarray, np.ndarray]:
     batch, totals = Batch(row.lens, row.held, row.tokens, row.vocab), []
     for kind in (0, 1):
         parts = sorted((a["part"], a["totals"]) for a in row.answers if a["kind"] == kind)
-        ordered = np.concatenate([np.frombuffer(t, np.uint64) for _, t in parts])
+        ordered = np.concatenate([unpacked(t, np.uint64) for _, t in parts])
         back = np.empty(len(ordered), np.uint64)
         back[batch.orders[kind]] = ordered
         totals.append(back.astype(np.int64))
