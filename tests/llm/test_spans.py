@@ -112,7 +112,7 @@ def test_redaction(odd, none):
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[None] == "mail <EMAIL> from <IP> or 256.1.1.1 card <CARD> phone <PHONE>."
     before = {r.doc_id: r.text for r in odd.collect()}
-    assert all(texts[k] == before[k] for k in (1, 2, 3, 4, 5, 8, 9, 10)) and texts[7].endswith("Key <EMAIL>")
+    assert all(texts[k] == before[k] for k in (1, 2, 3, 4, 5, 8, 9, 10)) and texts[7] == before[7].replace("x@y.z", "<EMAIL>")
 
 
 def test_no_python_in_personal_data_plans(documents):
