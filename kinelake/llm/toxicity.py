@@ -16,8 +16,8 @@ PARTS, HELD_OUT = 5, 0
 #: The classifier is fitted on at most so many labelled documents, taken by hash of their id; the whole texts count.
 EXAMPLES = 20_000
 #: Terms that tell the classes apart: at most so many, in at least so many examples, with so large a likelihood ratio
-#: (chance exceeds it once in 20 million terms).
-TERMS, MIN_EXAMPLES, MIN_RATIO = 4096, 5, 28.0
+#: (chance exceeds it once in 20 million terms), and so many times the odds of other documents, or one over that.
+TERMS, MIN_EXAMPLES, MIN_RATIO, MIN_ODDS = 4096, 5, 28.0, 8.0
 NEIGHBOURS, BLOCK = 15, 64
 #: Weight of the overall rate against the neighbours' votes, and least distance of a neighbour.
 PRIOR, NEAR = 0.5, 0.05
@@ -80,7 +80,9 @@ def telling_terms(counts: DataFrame, total: int, toxic: int) -> list[bytes]:
         part(t, n * rate) + part(n - t, n * (1 - rate))
         + part(toxic - t, (total - n) * rate) + part((total - toxic) - (n - t), (total - n) * (1 - rate))
     )
-    best = counts.where((F.col("n") >= MIN_EXAMPLES) & (F.col("n") < total)).withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO)
+    odds = ((t + 0.5) / (n - t + 0.5)) / ((toxic - t + 0.5) / ((total - toxic) - (n - t) + 0.5))
+    usable = counts.where((F.col("n") >= MIN_EXAMPLES) & (F.col("n") < total))
+    best = usable.withColumn("ratio", ratio).where((F.col("ratio") >= MIN_RATIO) & ~odds.between(1 / MIN_ODDS, MIN_ODDS))
     return [bytes(r[0]) for r in best.orderBy(F.desc("ratio"), "term").select("term").limit(TERMS).collect()]
 
 
@@ -147,12 +149,13 @@ class BlockMaxIndex:
         at, width = 0, 4
         while at < len(order) and bounds[order[at]] > 0 and (len(found) < k or bounds[order[at]] >= least - 1e-12):
             opened = order[at : at + width]
-            score = np.zeros((len(opened), BLOCK))
-            for t, w in zip(terms, weights, strict=True):
-                for j, block in enumerate(opened):
-                    i, e = self.cuts[t, block], self.cuts[t, block + 1]
-                    if e > i:
-                        score[j, self.places[i:e] % BLOCK] += w * self.weights[i:e]
+            # All stretches of lists that belong to the opened blocks, one after another.
+            heads = self.cuts[terms[:, None], opened[None, :]].ravel()
+            sizes = self.cuts[terms[:, None], opened[None, :] + 1].ravel() - heads
+            row = np.repeat(np.arange(len(heads)), sizes)
+            entry = np.arange(len(row)) + (heads - (np.cumsum(sizes) - sizes))[row]
+            cell = (row % len(opened)) * BLOCK + self.places[entry] % BLOCK
+            score = np.bincount(cell, weights[row // len(opened)] * self.weights[entry], len(opened) * BLOCK).reshape(-1, BLOCK)
             j, offset = np.nonzero(score)
             places, values = opened[j] * BLOCK + offset, score[j, offset]
             keep = places != without
