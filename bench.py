@@ -46,7 +46,7 @@ BENCH = {
     "ingest_frames_events": lambda t: t.frames_events.groupBy().count(),
     "J1_sync_streams": lambda t: QUERIES["J1_sync_streams"](t.spark, t.root),
     "A4_feature_stats": lambda t: A.feature_stats(t.frames_lines, "observation_state"),
-    "A11_jerk_rms": lambda t: A.jerk_rms(t.frames_lines, CHANNELS, 4),
+    "A11_jerk_rms": lambda t: A.jerk_rms(t.frames_lines, CHANNELS),
     "A15_percentiles": lambda t: exact_quantiles(
         t.frames_lines.select("dataset_id", "episode_index", F.get("action", F.lit(0)).cast("double").alias("v")),
         ["dataset_id", "episode_index"], "v", {"p1": 0.01, "p60": 0.6, "p99": 0.99},

@@ -90,6 +90,6 @@ def age_seconds(captured_ns: Column, now_ns: Column) -> Column:
 
 
 def stale_detail(captured_ns: Column, age: Column, limit: float) -> Column:
-    return F.when(F.coalesce(captured_ns, F.lit(0)) == 0, F.lit("missing capture timestamp")).otherwise(
+    return F.when(F.coalesce(captured_ns, F.lit(0)) == 0, F.lit("no capture time")).otherwise(
         F.format_string(f"%.2fs > {limit:.2f}s", age)
     )

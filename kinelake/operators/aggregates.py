@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,38 +153,40 @@ def tracking_error(frames: DataFrame) -> DataFrame:
     )
 
 
-def vector_width(frames: DataFrame, columns: Sequence[str]) -> int:
-    """Widest joint vector of the table; give the width where it is known, this reads the table."""
-    return frames.agg(F.max(F.greatest(*[F.size(c) for c in columns]))).first()[0] or 0
+def jerk_rms(frames: DataFrame, channels: Sequence[str] = ("action",)) -> DataFrame:
+    """Root mean square of the third difference per (episode, channel) over all joints; 0 with fewer than four frames.
 
-
-def jerk_rms(frames: DataFrame, channels: Sequence[str] = ("action",), width: int | None = None) -> DataFrame:
-    """Root mean square of the third difference per (episode, channel); 0 with fewer than four frames."""
+    A joint that one of the four vectors lacks is left out there.
+    """
     columns = [CHANNEL_COLUMN[c] for c in channels]
-    width = width or vector_width(frames, columns)
-
     lags = {
         f"_{c}_{k}": (lambda w, c=c, k=k: F.lag(c, k).over(w)) for c in columns for k in (1, 2, 3)
     }
     lagged = with_neighbours(frames.select(*EPISODE, "frame_index", *columns), 3, 0, lags)
 
-    def joint(column: str, lag: int, j: int) -> Column:
-        return F.get(F.col(f"_{column}_{lag}" if lag else column), F.lit(j)).cast("double")
+    def thirds(column: str) -> Column:
+        near = [F.col(f"_{column}_{k}") for k in (1, 2, 3)]
 
-    def third(column: str, j: int) -> Column:
-        return joint(column, 0, j) - 3 * joint(column, 1, j) + 3 * joint(column, 2, j) - joint(column, 3, j)
+        def third(x: Column, j: Column) -> Column:
+            one, two, three = [F.get(v, j).cast("double") for v in near]
+            return x.cast("double") - 3 * one + 3 * two - three
 
-    differences = lagged.select(
-        *EPISODE, *[third(c, j).alias(f"_{c}_d{j}") for c in columns for j in range(width)]
-    )
+        return F.filter(F.transform(F.col(column), third), lambda d: d.isNotNull())
+
+    def squares(column: str) -> Column:
+        return F.aggregate(F.col(column), F.lit(0.0), lambda a, d: a + d * d)
+
+    differences = lagged.select(*EPISODE, *[thirds(c).alias(c) for c in columns])
+    sums = differences.select(
+        *EPISODE, *[squares(c).alias(f"_{c}_s") for c in columns],
+        *[F.coalesce(F.size(c), F.lit(0)).alias(f"_{c}_n") for c in columns],
+    )
 
     def one(column: str) -> Column:
-        cells = [F.col(f"_{column}_d{j}") for j in range(width)]
-        squares = reduce(add, [F.coalesce(F.sum(d * d), F.lit(0.0)) for d in cells])
-        count = reduce(add, [F.count(d) for d in cells])
-        return F.coalesce(F.sqrt(F.try_divide(squares, count)), F.lit(0.0))
+        total, count = F.coalesce(F.sum(f"_{column}_s"), F.lit(0.0)), F.sum(F.greatest(f"_{column}_n", F.lit(0)))
+        return F.coalesce(F.sqrt(F.try_divide(total, count)), F.lit(0.0))
 
-    wide = differences.groupBy(*EPISODE).agg(*[one(col).alias(c) for c, col in zip(channels, columns)])
+    wide = sums.groupBy(*EPISODE).agg(*[one(col).alias(c) for c, col in zip(channels, columns)])
     return wide.unpivot(list(EPISODE), list(channels), "channel", "jerk_rms")
 
 
@@ -194,12 +195,10 @@ def reduction(raw: Column, smooth: Column) -> Column:
     return F.when(raw > JERK_FLOOR, F.greatest(F.lit(0.0), (1 - smooth / raw) * 100)).otherwise(F.lit(0.0))
 
 
-def jerk_reduction(
-    raw: DataFrame, smoothed: DataFrame, channel: str = "action", width: int | None = None
-) -> DataFrame:
+def jerk_reduction(raw: DataFrame, smoothed: DataFrame, channel: str = "action") -> DataFrame:
     """Jerk before and after, and the reduction in percent, of the previewed channel."""
-    before = jerk_rms(raw, [channel], width).withColumnRenamed("jerk_rms", "jerk_raw")
-    after = jerk_rms(smoothed, [channel], width).withColumnRenamed("jerk_rms", "jerk_smoothed")
+    before = jerk_rms(raw, [channel]).withColumnRenamed("jerk_rms", "jerk_raw")
+    after = jerk_rms(smoothed, [channel]).withColumnRenamed("jerk_rms", "jerk_smoothed")
     return before.join(after, [*EPISODE, "channel"]).withColumn(
         "jerk_reduction_pct", reduction(F.col("jerk_raw"), F.col("jerk_smoothed"))
     )

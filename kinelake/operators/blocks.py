@@ -14,6 +14,7 @@ One row per block is all that is ever gathered per group, so one episode may hol
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -74,6 +75,13 @@ def with_neighbours(
     return drop_halo(haloed.withColumns({name: make(window) for name, make in columns.items()}))
 
 
+def join_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Give each row what its block's summary holds; keys may be NULL, and no row is lost to that."""
+    named = summary.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return rows.join(named, same, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, value: Column, out: str
 ) -> DataFrame:
@@ -87,7 +95,7 @@ def running_total(
     )
     within = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        blocked.join(offsets, [*keys, BLOCK])
+        join_summary(blocked, offsets, [*keys, BLOCK])
         .withColumn(out, F.col("_offset") + F.sum("_v").over(within))
         .drop("_v", "_offset", BLOCK)
     )
@@ -117,12 +125,28 @@ def carry(
     carried = summary.select(
         *keys, BLOCK, *[F.last(f"_s_{o}", ignorenulls=True).over(outside).alias(f"_p_{o}") for o in values]
     )
-    joined = blocked.join(carried, [*keys, BLOCK])
+    joined = join_summary(blocked, carried, [*keys, BLOCK])
     filled = {o: F.coalesce(F.last(f"_c_{o}", ignorenulls=True).over(inside), F.col(f"_p_{o}")) for o in values}
     helpers = [f"_{p}_{o}" for o in values for p in "cp"]
     return joined.withColumns(filled).drop(*helpers, BLOCK)
 
 
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, value: str, out: str) -> DataFrame:
+    """``value`` of the row before in ``order``, whatever gaps and repeats the order has; ``block`` must not decrease along it."""
+    blocked = df.withColumn(BLOCK, block)
+    place = F.struct(*order)
+    last = blocked.groupBy(*keys, BLOCK).agg(F.max_by(F.struct(F.col(value).alias("v")), place).alias("_l"))
+    outside = Window.partitionBy(*keys).orderBy(BLOCK)
+    before = last.select(*keys, BLOCK, F.lag("_l").over(outside).alias("_l"))
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    first = F.row_number().over(inside) == 1
+    return (
+        join_summary(blocked, before, [*keys, BLOCK])
+        .withColumn(out, F.when(first, F.col("_l.v")).otherwise(F.lag(value).over(inside)))
+        .drop("_l", BLOCK)
+    )
+
+
 # Ranks the sketch may be off by, as a share of the group: 1/accuracy by contract, four times that for the bracket.
 SKETCH_ACCURACY = 20_000
 BRACKET = 4.0 / SKETCH_ACCURACY
@@ -133,11 +157,11 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles per group, one row per group, plus the group's size ``_n``.
 
-    ``interpolate`` gives ``lo + (hi - lo) * fraction`` between the two neighbouring ranks; without it the first element
+    ``interpolate`` gives ``(1 - fraction) * lo + fraction * hi`` between the two neighbouring ranks; without it the first element
     that at least the share ``p`` of the group does not exceed is taken (the lower median for 0.5).
 
-    The built-in aggregate keeps every distinct value of a group in one task. That is fine for ordinary groups; those
-    above ``hot_rows`` are told apart by a count and take the bracketed way.
+    The built-in aggregate keeps every distinct value of a group in one task. Groups above ``hot_rows`` are told apart by a
+    count and are ordered inside a bracket only. Both ways take the same ranks and weigh them by the same formula.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
@@ -167,10 +191,27 @@ def _bracketed_quantiles(rows: DataFrame, keys: list[str], probs: dict[str, floa
     """Quantiles of groups too large for one task.
 
     A sketch brackets each wanted rank; rows below the bracket are only counted, equal values inside it are merged, and
-    only what is left is ordered. A bracket that misses its rank raises instead of giving a wrong answer.
+    only what is left is ordered. Groups whose bracket misses a rank are done again with one four times as wide, which in the
+    end is all of the group.
     """
+    found: DataFrame | None = None
     # Three ranks more on each side cover the neighbouring ranks themselves; every group here exceeds ``hot_rows``.
     reach = BRACKET + 3.0 / hot_rows(rows.sparkSession)
+    while True:
+        tried = stage(_bracketed_once(rows, keys, probs, interpolate, reach))
+        whole = tried.where("not _missed").drop("_missed")
+        found = whole if found is None else found.unionByName(whole)
+        missed = stage(tried.where("_missed").select(*keys))
+        if missed.isEmpty():
+            return found
+        named = missed.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+        rows, reach = rows.join(named, same, "left_semi"), reach * 4
+
+
+def _bracketed_once(
+    rows: DataFrame, keys: list[str], probs: dict[str, float], interpolate: bool, reach: float
+) -> DataFrame:
     cuts = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-reach, reach)})
     stats = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -214,9 +255,10 @@ def _bracketed_quantiles(rows: DataFrame, keys: list[str], probs: dict[str, floa
         F.first("_n").alias("_n"), at(low_rank).alias("_lo"), at(high_rank).alias("_hi"),
         F.first(position - low_rank).alias("_f"),
     )
-    found = F.when(
-        F.col("_lo").isNull() | F.col("_hi").isNull(), F.raise_error(F.lit("quantile bracket missed its rank"))
-    ).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f") if interpolate else F.col("_lo"))
+    # The built-in aggregate's formula, so that a group's size doesn't show in the last digit.
+    between = (1.0 - F.col("_f")) * F.col("_lo") + F.col("_f") * F.col("_hi")
+    value = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between) if interpolate else F.col("_lo")
     return picked.groupBy(*keys).agg(
-        F.max("_n").alias("_n"), *[F.max(F.when(F.col("q") == name, found)).alias(name) for name in probs]
+        F.max("_n").alias("_n"), *[F.max(F.when(F.col("q") == name, value)).alias(name) for name in probs],
+        F.bool_or(F.col("_lo").isNull() | F.col("_hi").isNull()).alias("_missed"),
     )

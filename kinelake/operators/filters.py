@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from kinelake.functions import vectors as V
 from kinelake.operators.blocks import BLOCK, EPISODE, HOME, add_halo, block_window, drop_halo
 from kinelake.schema import CHANNEL_COLUMN, CHANNELS
-from kinelake.session import block_rows
+from kinelake.session import block_rows, stage
 
 # --- fixed values -------------------------------------------------------------------------------------------------
 METHODS = ("spline", "gaussian", "savgol", "moving_average", "one_euro", "none")
@@ -239,15 +240,18 @@ def lost_freedom(n: int, lam: float) -> float:
     return lam * (6.0 * b0.sum() - 8.0 * b1[: m - 1].sum() + 2.0 * b2[: max(0, m - 2)].sum())
 
 
-def cross_validated_lambda(values: np.ndarray) -> float:
-    """Smoothing parameter with the least generalised cross-validation score, on a grid of powers of two."""
-    n = len(values)
+def freedom_of(n: int, lam: float) -> float:
+    """``lost_freedom``, for long series continued in proportion: beyond the reach of both ends each frame adds the same."""
+    base = 4 * spline_halo(lam)
+    if n <= base + 1:
+        return lost_freedom(n, lam)
+    at = lost_freedom(base, lam)
+    return at + (n - base) * (lost_freedom(base + 1, lam) - at)
 
-    def loss(lam: float) -> float:
-        left = float(((values - smoothing_spline(values, lam)) ** 2).sum())
-        return n * left / max(1e-300, lost_freedom(n, lam) ** 2)
 
-    return min((2.0**power for power in range(-20, 21)), key=loss)
+def penalty_grid(longest: int) -> list[float]:
+    """Penalties that cross-validation compares: powers of two up to the number of frames."""
+    return [2.0**power for power in range(-20, max(1, int(longest)).bit_length())]
 
 
 def one_euro_alpha(cutoff, dt: float):
@@ -278,14 +282,18 @@ def one_euro(values: np.ndarray, strength: float, fps: float) -> np.ndarray:
 
 def _grouped(
     frames: DataFrame, columns: Sequence[str], before: int, after: int, fit: Callable[[np.ndarray, float], np.ndarray],
-    fps: float | str, rows: int,
+    fps: float | str, rows: int, settings: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Apply a whole-series function to every block with its halo; columns other than the vectors are untouched."""
+    """Apply a whole-series function to every block with its halo; columns other than the vectors are untouched.
+
+    ``fit`` gets the values and the frame rate, or the vector's entry of ``settings``: a map column from joint to number.
+    """
     rate = F.col(fps) if isinstance(fps, str) else F.lit(float(fps))
     keyed = frames.withColumn("_fps", rate.cast("double"))
     haloed = add_halo(keyed, before, max(1, after), rows=rows)
     typed = haloed.withColumns({c: V.widen(F.col(c)) for c in columns})
-    out_schema = T.StructType([f for f in typed.schema.fields if f.name not in (HOME, BLOCK, "_fps")])
+    extra = set((settings or {}).values())
+    out_schema = T.StructType([f for f in typed.schema.fields if f.name not in {HOME, BLOCK, "_fps"} | extra])
     names = out_schema.names
 
     def run(table: pa.Table) -> pa.Table:
@@ -304,7 +312,11 @@ def _grouped(
                 new[c] = lists
                 continue
             raw = flat.reshape(len(lists), width).astype(float)
-            smooth = fit(raw, rate_value)
+            if settings:
+                lams = dict(table.column(settings[c])[0].as_py() or [])
+                smooth = fit(raw, [lams[j] for j in range(width)]) if len(lams) == width else raw.copy()
+            else:
+                smooth = fit(raw, rate_value)
             if index[0] == 0:
                 smooth[0] = raw[0]
             if last_is_end:
@@ -314,7 +326,7 @@ def _grouped(
         kept = pa.table([new[n] if n in new else table.column(n) for n in names], names=names)
         return kept.filter(pa.array(home))
 
-    # A block without home rows (a halo behind the last one) yields nothing and is dropped before the shuffle's map.
+    # A block without home rows (a halo behind the last one) yields nothing.
     return typed.groupBy(*EPISODE, BLOCK).applyInArrow(run, out_schema)
 
 
@@ -346,26 +358,83 @@ SERIES_ROWS = 65_536
 
 
 def spline(frames: DataFrame, strength: float = 1.0, channels: Sequence[str] = CHANNELS, rows: int | None = None) -> DataFrame:
-    """Cubic smoothing spline with the strength as its penalty; 0 picks the penalty by cross-validation.
+    """Cubic smoothing spline with the strength as its penalty; 0 picks the penalty of each joint by cross-validation.
 
-    Cross-validation scores the series it is given, up to ``CV_FRAMES`` frames at a time: a longer episode gets one
-    penalty per stretch of that length.
+    Cross-validation scores whole episodes: every block, with its full halo, adds its squared residuals for each penalty, and
+    the least generalised score of an episode's joint decides. Block sizes do not show in the result.
     """
+    size = rows or max(block_rows(frames.sparkSession), SERIES_ROWS)
+    columns = _columns(channels)
     if strength > 0:
         halo = spline_halo(strength)
-        size = rows or max(block_rows(frames.sparkSession), SERIES_ROWS)
-        return _grouped(frames, _columns(channels), halo, halo, lambda v, _: smoothing_spline(v, strength), 30.0, size)
+        return _grouped(frames, columns, halo, halo, lambda v, _: smoothing_spline(v, strength), 30.0, size)
+    lengths = stage(frames.groupBy(*EPISODE).agg(F.count(F.lit(1)).alias("_n")))
+    grid = penalty_grid(lengths.agg(F.max("_n")).first()[0] or 1)
+    halo = spline_halo(grid[-1])
+    chosen = stage(_least_scores(_residuals(frames, columns, halo, size, grid), lengths, grid))
+    penalties = chosen.groupBy(*EPISODE).agg(
+        *[F.map_from_entries(F.collect_list(F.when(F.col("column") == c, F.struct("joint", "lam")))).alias(f"_lam_{c}") for c in columns]
+    )
+    with_penalties = frames.join(penalties, list(EPISODE), "left")
+
+    def fit(values: np.ndarray, lams: list[float]) -> np.ndarray:
+        return np.stack([smoothing_spline(values[:, [j]], lam)[:, 0] for j, lam in enumerate(lams)], axis=1)
+
+    return _grouped(with_penalties, columns, halo, halo, fit, 30.0, size, {c: f"_lam_{c}" for c in columns})
+
+
+def _residuals(frames: DataFrame, columns: Sequence[str], halo: int, size: int, grid: list[float]) -> DataFrame:
+    """Squared residuals of each joint and penalty, added up over the frames of a block."""
+    haloed = add_halo(frames.select(*EPISODE, "frame_index", *[V.widen(F.col(c)).alias(c) for c in columns]), halo, halo, rows=size)
+    keys = frames.select(*EPISODE).schema.fields
+    schema = T.StructType([
+        *keys, T.StructField("column", T.StringType()), T.StructField("joint", T.IntegerType()),
+        T.StructField("power", T.IntegerType()), T.StructField("sse", T.DoubleType()),
+    ])
+
+    def measure(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("frame_index")
+        home = np.asarray(table.column(HOME).to_numpy(zero_copy_only=False), dtype=bool)
+        out = []
+        for c in columns:
+            lists = table.column(c).combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            width = len(flat) // len(lists) if len(lists) else 0
+            if not width or len(lists) < SPLINE_MIN_FRAMES or not home.any():
+                continue
+            raw = flat.reshape(len(lists), width).astype(float)
+            for power, lam in enumerate(grid):
+                left = ((raw - smoothing_spline(raw, lam)) ** 2)[home].sum(axis=0)
+                out += [(c, j, power, float(x)) for j, x in enumerate(left)]
+        key = [table.column(k)[0].as_py() if len(table) else None for k in EPISODE]
+        rows = [(*key, *x) for x in out]
+        return pa.table(
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate([table.schema.field(k).type for k in EPISODE] + [pa.string(), pa.int32(), pa.int32(), pa.float64()])],
+            names=[*EPISODE, "column", "joint", "power", "sse"],
+        )
 
-    def by_joint(values: np.ndarray, _: float) -> np.ndarray:
-        if len(values) < SPLINE_MIN_FRAMES:
-            return values.copy()
-        fits = [smoothing_spline(v, cross_validated_lambda(v)) for v in np.split(values, values.shape[1], axis=1)]
-        return np.concatenate(fits, axis=1)
+    found = haloed.groupBy(*EPISODE, BLOCK).applyInArrow(measure, schema)
+    return found.groupBy(*EPISODE, "column", "joint", "power").agg(F.sum("sse").alias("sse"))
 
-    return _grouped(frames, _columns(channels), 64, 64, by_joint, 30.0, rows or CV_FRAMES)
 
+def _least_scores(residuals: DataFrame, lengths: DataFrame, grid: list[float]) -> DataFrame:
+    """The penalty of the least generalised cross-validation score for each joint of an episode."""
 
-CV_FRAMES = 1_024
+    @F.pandas_udf("double")
+    def freedom(n: pd.Series, power: pd.Series) -> pd.Series:
+        known = {key: freedom_of(int(key[0]), grid[int(key[1])]) for key in set(zip(n, power))}
+        return pd.Series([known[key] for key in zip(n, power)], dtype=float)
+
+    # A penalty above an episode's length is outside its range.
+    allowed = F.lit(grid[0]) * F.pow(F.lit(2.0), F.col("power")) <= F.col("_n")
+    lost = lengths.select("_n").distinct().join(residuals.select("power").distinct()).withColumn("_lost", freedom("_n", "power"))
+    score = F.col("_n") * F.col("sse") / F.greatest(F.col("_lost") * F.col("_lost"), F.lit(1e-300))
+    return (
+        residuals.join(lengths, list(EPISODE)).where(allowed).join(lost, ["_n", "power"])
+        .groupBy(*EPISODE, "column", "joint").agg(F.min(F.struct(score.alias("score"), "power")).alias("_best"))
+        .withColumn("lam", F.lit(grid[0]) * F.pow(F.lit(2.0), F.col("_best.power"))).drop("_best")
+    )
 
 
 def one_euro_filter(
@@ -373,8 +442,9 @@ def one_euro_filter(
     rows: int | None = None,
 ) -> DataFrame:
     """Causal One-Euro filter. ``fps`` is a number or the name of a column."""
-    slowest = fps if isinstance(fps, (int, float)) else 240.0
-    halo = one_euro_halo(strength, slowest)
+    # The recursion forgets per second, not per frame: the highest rate needs the longest warm-up.
+    fastest = frames.agg(F.max(F.col(fps).cast("double"))).first()[0] or MIN_FPS if isinstance(fps, str) else float(fps)
+    halo = one_euro_halo(strength, fastest)
     size = rows or max(block_rows(frames.sparkSession), SERIES_ROWS)
     return _grouped(frames, _columns(channels), halo, 0, lambda v, rate: one_euro(v, strength, rate), fps, size)
 

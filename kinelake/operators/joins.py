@@ -14,16 +14,16 @@ from kinelake.operators.blocks import EPISODE, carry, frame_block
 from kinelake.operators.projections import STALE_AFTER_FLOOR, positions
 from kinelake.operators.windows import DAY_NS, time_block
 
-SMALL_SIDE_ROWS = 100_000
+SMALL_SIDE_BYTES = 32 << 20
 
 
-def small_side(df: DataFrame, rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Broadcast a dimension only after counting that it is small; otherwise the planner joins it as it sees fit.
+def small_side(df: DataFrame, most: int = SMALL_SIDE_BYTES) -> DataFrame:
+    """Broadcast a dimension only after measuring that it is small; otherwise the planner joins it as it sees fit.
 
-    Joint names are few, so a shuffle on them would send all frames to a handful of tasks; the count is a short job
-    that reads at most ``rows`` + 1 rows.
+    The measure is the size of its rows as JSON, added up by the executors.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 # --- synchronisation ----------------------------------------------------------------------------------------------
@@ -34,8 +34,8 @@ def camera_reason(camera: str, snapshot: Column, now_ns: Column, limit: float) -
     age = X.age_seconds(captured, now_ns)
     detail = X.stale_detail(captured, age, limit)
     return F.when(
-        age > limit, F.concat(F.lit(f"camera {camera} frame is stale ("), detail, F.lit(")"))
-    ).when(snapshot["empty"], F.lit(f"camera {camera} returned an empty frame"))
+        age > limit, F.concat(F.lit(f"camera {camera} frame too old ("), detail, F.lit(")"))
+    ).when(snapshot["empty"], F.lit(f"camera {camera} sent no picture"))
 
 
 def sync_streams(
@@ -111,9 +111,9 @@ def recover(journals: DataFrame, episodes: DataFrame, actions: DataFrame) -> Dat
     status = (
         F.when(~F.coalesce(action.isin("save", "finalize", "discard"), F.lit(False)),
                "recovery supports save, finalize, or discard")
-        .when(F.col("frames").isNull(), "incomplete episode was not found")
+        .when(F.col("frames").isNull(), "no such unfinished episode")
         .when(action == "discard", "discarded")
-        .when(F.col("frames") == 0, "cannot save an episode with zero frames")
+        .when(F.col("frames") == 0, "episode without frames not saved")
         .otherwise("saved")
     )
     return joined.withColumn("status", status)
@@ -140,8 +140,8 @@ def replay_targets(events: DataFrame, sessions: DataFrame) -> DataFrame:
     event = F.lower(F.trim(F.coalesce(F.col("event"), F.lit(""))))
     error = (
         F.when(~event.isin("play", "seek"), "replay event must be 'play' or 'seek'")
-        .when(F.col("frames").isNull(), "replay selection expired")
-        .when(F.col("frames") <= 0, "selected replay has no frames")
+        .when(F.col("frames").isNull(), "selection no longer known")
+        .when(F.col("frames") <= 0, "selection holds no frames")
     )
     at = X.clamp(F.col("requested_index"), F.lit(0), F.col("frames") - 1).cast("long")
     return (

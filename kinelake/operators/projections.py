@@ -38,21 +38,21 @@ def sample_reason(now_ns: Column, stale_after: float, require_armed: bool) -> Co
         return F.forall(names, lambda n: F.map_contains_key(F.col(channel), n))
 
     reason = F.when(
-        F.coalesce(F.col("kind"), F.lit("")) != KIND_SAMPLE, F.lit(f"sample stream did not return a {KIND_SAMPLE}")
+        F.coalesce(F.col("kind"), F.lit("")) != KIND_SAMPLE, F.lit(f"unexpected kind, wanted {KIND_SAMPLE}")
     ).when(
         age > limit,
-        F.concat(F.lit("robot sample is stale ("), X.stale_detail(F.col("captured_at_ns"), age, limit), F.lit(")")),
+        F.concat(F.lit("robot sample too old ("), X.stale_detail(F.col("captured_at_ns"), age, limit), F.lit(")")),
     )
     if require_armed:
-        reason = reason.when(~F.coalesce(F.col("armed"), F.lit(False)), F.lit("teleoperation is not armed"))
+        reason = reason.when(~F.coalesce(F.col("armed"), F.lit(False)), F.lit("robot not armed"))
     return (
-        reason.when(~F.coalesce(F.col("live"), F.lit(False)), F.lit("teleoperation sample is not live"))
+        reason.when(~F.coalesce(F.col("live"), F.lit(False)), F.lit("robot not live"))
         .when(
             names.isNull() | (F.size(names) == 0) | ~F.coalesce(covered("observation"), F.lit(False)),
-            F.lit("robot sample has no ordered observation joints"),
+            F.lit("observed joints missing or out of order"),
         )
         .when(
-            ~F.coalesce(covered("action"), F.lit(False)), F.lit("robot sample action does not match joint_names")
+            ~F.coalesce(covered("action"), F.lit(False)), F.lit("action lacks a listed joint")
         )
     )
 
@@ -123,7 +123,7 @@ def trim_status(start: Column, end: Column, total: Column) -> Column:
     """NULL for an acceptable keep range, else the refusal."""
     bad = (total <= 0) | (start < 0) | (end >= total) | (start > end)
     return F.when(bad, F.format_string("invalid trim range %d..%d for %d frames", start, end, total)).when(
-        (start == 0) & (end == total - 1), F.lit("trim range keeps the complete episode")
+        (start == 0) & (end == total - 1), F.lit("nothing to trim: all frames kept")
     )
 
 
@@ -176,8 +176,8 @@ def cut(cuts: DataFrame, episodes: DataFrame, active: DataFrame | None = None) -
         }
     )
     error = (
-        F.when(F.col("_active"), F.lit("cannot trim a dataset while it has an active recorder"))
-        .when(~side.isin("before", "after") | side.isNull(), F.lit("trim side must be 'before' or 'after'"))
+        F.when(F.col("_active"), F.lit("dataset is being recorded, trim refused"))
+        .when(~side.isin("before", "after") | side.isNull(), F.lit("side to trim is one of: 'before' or 'after'"))
         .otherwise(trim_status(F.col("keep_start"), F.col("keep_end"), F.col("frames")))
     )
     return ranged.withColumn("error", error).drop("_active")
@@ -229,7 +229,7 @@ def classify_stream(df: DataFrame) -> DataFrame:
         .when((kind == KIND_SAMPLE_STREAM) | ((kind == "") & present["url"]), "sample")
     )
     return df.withColumn("mode", mode).withColumn(
-        "error", F.when(F.col("mode").isNull(), F.lit("connect a replay stream or a sample stream handle"))
+        "error", F.when(F.col("mode").isNull(), F.lit("no source given: replay or sample stream wanted"))
     )
 
 
@@ -328,7 +328,7 @@ def browse(datasets: DataFrame, episodes: DataFrame, requests: DataFrame) -> Dat
             "error",
             F.when(
                 ~F.array_contains("cameras", F.col("camera")),
-                F.concat(F.lit("camera '"), F.col("camera"), F.lit("' is unavailable; choose one of: "), listing),
+                F.concat(F.lit("camera '"), F.col("camera"), F.lit("' not recorded; there are: "), listing),
             ),
         )
         .drop("_known", "_last", "_n")
@@ -382,14 +382,14 @@ def dedupe_cameras_first(handles: DataFrame, kind: str) -> DataFrame:
     wrong = F.coalesce(F.col("kind"), F.lit("")) != kind
     marked = handles.withColumns({"stream_id": stream, "_wrong": wrong})
     refused = marked.groupBy("request_id").agg(
-        F.when(F.max("_wrong"), F.lit(f"camera streams must be {kind} handles")).alias("error")
+        F.when(F.max("_wrong"), F.lit(f"every camera must be of kind {kind} handles")).alias("error")
     )
     kept = marked.where(~F.col("_wrong")).groupBy("request_id", "stream_id").agg(
         F.min_by("snapshot_url", "position").alias("snapshot_url"), F.min("position").alias("position")
     )
     return refused.join(kept, ["request_id"], "left").withColumn(
         "error", F.when(F.col("error").isNull() & F.col("stream_id").isNull(),
-                        F.lit("at least one camera stream is required")).otherwise(F.col("error"))
+                        F.lit("no camera given")).otherwise(F.col("error"))
     )
 
 

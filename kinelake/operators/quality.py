@@ -35,12 +35,15 @@ def check_manifest(catalog: DataFrame) -> DataFrame:
     return _rows(catalog.where(F.col("error").isNotNull()), "V1", F.col("error"), episode=False)
 
 
-def check_sequential(episodes: DataFrame, order: str = "episode_index") -> DataFrame:
-    """Episodes whose index is not their place in the manifest."""
-    placed = dense_index(
-        episodes.select("dataset_id", "episode_index", F.col(order).alias("_o")), ["dataset_id"], ["_o"],
-        frame_block(episodes, order), "_place",
-    )
+def check_sequential(episodes: DataFrame, order: str | None = None) -> DataFrame:
+    """Episodes whose index is not their place in the manifest.
+
+    ``order`` names the column of manifest places (any rising numbers); by default it is ``position`` where there is one, and
+    else the index itself, which shows gaps and repeats only.
+    """
+    order = order or ("position" if "position" in episodes.columns else "episode_index")
+    listed = episodes.select("dataset_id", "episode_index", F.col(order).cast("long").alias("_o"))
+    placed = dense_index(listed, ["dataset_id"], ["_o", "episode_index"], frame_block(listed, "_o"), "_place")
     message = F.format_string("episode manifest index %d is not sequential at %d", F.col("episode_index"), F.col("_place"))
     return _rows(placed.where(F.col("_place") != F.col("episode_index")), "V2", message)
 

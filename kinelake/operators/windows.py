@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.functions import vectors as V
-from kinelake.operators.blocks import EPISODE, dense_index, frame_block, running_total, with_neighbours
+from kinelake.operators.blocks import EPISODE, dense_index, frame_block, previous, running_total, with_neighbours
 
 # --- fixed values -------------------------------------------------------------------------------------------------
 RATE_CAPTURES = 30
@@ -85,9 +85,10 @@ def arm_velocity(frames: DataFrame, gripper: Column, column: str = "observation_
 
 
 def not_increasing(frames: DataFrame) -> DataFrame:
-    """Frames whose timestamp is not after the one before."""
-    late = {"_late": lambda w: F.lag("timestamp").over(w) >= F.col("timestamp")}
-    return with_neighbours(frames.select(*EPISODE, "frame_index", "timestamp"), 1, 0, late).where("_late").drop("_late")
+    """Frames whose timestamp is not after the one before; missing or repeated frame indices hide nothing."""
+    slim = frames.select(*EPISODE, "frame_index", "timestamp")
+    placed = previous(slim, EPISODE, ["frame_index", "timestamp"], frame_block(slim), "timestamp", "_before")
+    return placed.where(F.col("_before") >= F.col("timestamp")).drop("_before")
 
 
 def apply_autopause(ticks: DataFrame, controls: DataFrame) -> DataFrame:

@@ -201,7 +201,7 @@ def x13(t):
 # --- projections --------------------------------------------------------------------------------------------------
 
 STALE_SQL = """
-CASE WHEN captured_at_ns = 0 THEN 'missing capture timestamp'
+CASE WHEN captured_at_ns = 0 THEN 'no capture time'
      ELSE printf('%.2fs > 864000.00s', greatest(0, 1705363200000000000 - captured_at_ns)::DOUBLE / 1e9) END"""
 
 
@@ -209,13 +209,13 @@ CASE WHEN captured_at_ns = 0 THEN 'missing capture timestamp'
     "P1_validate_samples",
     "smp",
     sql=f"""
-SELECT sequence, CASE WHEN sequence % 23 = 0 THEN 'sample stream did not return a episode.teleoperation-sample'
+SELECT sequence, CASE WHEN sequence % 23 = 0 THEN 'unexpected kind, wanted episode.teleoperation-sample'
   WHEN captured_at_ns = 0 OR greatest(0, 1705363200000000000 - captured_at_ns)::DOUBLE / 1e9 > 864000
-       THEN 'robot sample is stale (' || {STALE_SQL} || ')'
-  WHEN NOT armed THEN 'teleoperation is not armed'
-  WHEN NOT live THEN 'teleoperation sample is not live'
-  WHEN sequence % 29 = 0 THEN 'robot sample has no ordered observation joints'
-  WHEN sequence % 31 = 0 THEN 'robot sample action does not match joint_names' END AS reason
+       THEN 'robot sample too old (' || {STALE_SQL} || ')'
+  WHEN NOT armed THEN 'robot not armed'
+  WHEN NOT live THEN 'robot not live'
+  WHEN sequence % 29 = 0 THEN 'observed joints missing or out of order'
+  WHEN sequence % 31 = 0 THEN 'action lacks a listed joint' END AS reason
 FROM (SELECT * REPLACE (CASE WHEN sequence % 37 = 0 THEN 0 ELSE captured_at_ns END AS captured_at_ns) FROM smp)""",
 )
 def p1(t):
@@ -320,7 +320,7 @@ WITH req AS (SELECT episode_index, n, CASE WHEN episode_index % 7 = 0 THEN 0 ELS
                          ELSE episode_index % 20 + 25 END AS e
              FROM (SELECT episode_index, max(n) AS n FROM fe GROUP BY 1)),
 chk AS (SELECT *, CASE WHEN s < 0 OR e >= n OR s > e THEN 'invalid trim range ' || s || '..' || e || ' for ' || n || ' frames'
-                       WHEN s = 0 AND e = n - 1 THEN 'trim range keeps the complete episode' END AS error FROM req)
+                       WHEN s = 0 AND e = n - 1 THEN 'nothing to trim: all frames kept' END AS error FROM req)
 """
 
 
@@ -360,10 +360,10 @@ WITH c AS (SELECT e.*, CASE e.episode_index % 3 WHEN 0 THEN 'before' WHEN 1 THEN
 r AS (SELECT *, CASE lower(trim(side)) WHEN 'before' THEN spot WHEN 'after' THEN 0 END AS s,
              CASE lower(trim(side)) WHEN 'before' THEN frames - 1 WHEN 'after' THEN spot END AS e FROM c)
 SELECT dataset_id, episode_index, s AS keep_start, e AS keep_end,
-  CASE WHEN busy THEN 'cannot trim a dataset while it has an active recorder'
-       WHEN s IS NULL THEN 'trim side must be ''before'' or ''after'''
+  CASE WHEN busy THEN 'dataset is being recorded, trim refused'
+       WHEN s IS NULL THEN 'side to trim is one of: ''before'' or ''after'''
        WHEN frames <= 0 OR s < 0 OR e >= frames OR s > e THEN 'invalid trim range ' || s || '..' || e || ' for ' || frames || ' frames'
-       WHEN s = 0 AND e = frames - 1 THEN 'trim range keeps the complete episode' END AS error
+       WHEN s = 0 AND e = frames - 1 THEN 'nothing to trim: all frames kept' END AS error
 FROM r""",
 )
 def p7(t):
@@ -382,7 +382,7 @@ WITH h AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'episode.replay-str
                   WHEN 'error' THEN 'other' ELSE '' END AS kind,
                   CASE WHEN k % 2 = 0 THEN 't' || k ELSE '' END AS token, CASE WHEN k % 3 = 0 THEN 'u' || k END AS url,
                   k % 5 = 0 AS has_frames FROM ev)
-SELECT event_id, mode, CASE WHEN mode IS NULL THEN 'connect a replay stream or a sample stream handle' END AS error
+SELECT event_id, mode, CASE WHEN mode IS NULL THEN 'no source given: replay or sample stream wanted' END AS error
 FROM (SELECT event_id, CASE WHEN kind = 'episode.replay-stream' AND has_frames THEN 'inline'
              WHEN kind = 'episode.replay-stream' OR (kind = '' AND token <> '') THEN 'replay'
              WHEN kind = 'episode.sample-stream' OR (kind = '' AND coalesce(url, '') <> '') THEN 'sample' END AS mode FROM h)""",
@@ -518,7 +518,7 @@ s AS (SELECT r.*, least(greatest(r.ep, 0), m.last) AS episode_index
 j AS (SELECT s.c_custkey, e.*, CASE WHEN s.cam <> '' THEN s.cam ELSE coalesce(list_sort(e.cameras)[1], '') END AS camera
       FROM s JOIN eps e ON e.dataset_id = s.dataset_id AND e.episode_index = s.episode_index)
 SELECT c_custkey, dataset_id, episode_index, frames, fps, camera,
-       CASE WHEN NOT list_contains(cameras, camera) THEN 'camera ''' || camera || ''' is unavailable; choose one of: ' ||
+       CASE WHEN NOT list_contains(cameras, camera) THEN 'camera ''' || camera || ''' not recorded; there are: ' ||
             CASE WHEN len(cameras) = 0 THEN 'none' ELSE array_to_string(list_sort(cameras), ', ') END END AS error
 FROM j""",
 )
@@ -578,7 +578,7 @@ def d1(t):
     sql=HANDLES_SQL + """,
 m AS (SELECT *, CASE WHEN trim(stream_id) = '' THEN 'camera' ELSE stream_id END AS sid, kind <> 'episode.frame-stream' AS wrong FROM h)
 SELECT r.request_id, sid AS stream_id, url AS snapshot_url, pos AS position,
-       CASE WHEN bad THEN 'camera streams must be episode.frame-stream handles' WHEN sid IS NULL THEN 'at least one camera stream is required' END AS error
+       CASE WHEN bad THEN 'every camera must be of kind episode.frame-stream handles' WHEN sid IS NULL THEN 'no camera given' END AS error
 FROM (SELECT request_id, bool_or(wrong) AS bad FROM m GROUP BY 1) r
 LEFT JOIN (SELECT request_id, sid, first(snapshot_url ORDER BY position) AS url, min(position) AS pos FROM m WHERE NOT wrong GROUP BY ALL) k
   ON k.request_id = r.request_id""",

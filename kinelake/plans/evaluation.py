@@ -293,6 +293,17 @@ def e10(t):
     return E.judge_rule(analysed(t)[2], RULE).select("episode_index", "success", "judge_confidence", "reason")
 
 
+@query(
+    "E10_rule_faults",
+    "e9",
+    sql="""
+SELECT episode_index, CASE WHEN n_move = 0 THEN NULL ELSE n_stall::DOUBLE / n_move > 1 END AS success, CASE WHEN n_move = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS judge_confidence FROM e9""",
+)
+def e10_faults(t):
+    """A rule that divides by zero on some episodes."""
+    return E.judge_rule(analysed(t)[2], "n_stall / n_move > 1").select("episode_index", "success", "judge_confidence")
+
+
 @query(
     "U1_rule_argument",
     "e9",
@@ -306,7 +317,7 @@ def u1(t):
 @query(
     "E11_judge_none",
     "e9",
-    sql="SELECT episode_index, NULL::BOOLEAN AS success, 0.0::DOUBLE AS judge_confidence, 'none' AS rater, 'no success criterion supplied' AS reason FROM e9",
+    sql="SELECT episode_index, NULL::BOOLEAN AS success, 0.0::DOUBLE AS judge_confidence, 'none' AS rater, 'no criterion given' AS reason FROM e9",
 )
 def e11(t):
     return E.judge(analysed(t)[2]).select("episode_index", "success", "judge_confidence", "rater", "reason")

@@ -119,6 +119,19 @@ def v2(t):
     return Q.check_sequential(t.episodes)
 
 
+@query(
+    "V2_shuffled_manifest",
+    "eps",
+    sql="""
+SELECT dataset_id, episode_index, 'V2' AS rule, 'error' AS severity, 'episode manifest index ' || episode_index || ' is not sequential at ' || place AS message
+FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY o_orderkey % 7, episode_index) - 1 AS place FROM eps) WHERE place <> episode_index""",
+)
+def v2_shuffled(t):
+    """A manifest that lists its episodes in another order."""
+    key = F.regexp_extract("run_id", "[0-9]+", 0).cast("long")
+    return Q.check_sequential(t.episodes.withColumn("position", key % 7))
+
+
 @query("V3_check_artifacts", "v3", sql="SELECT * FROM v3")
 def v3(t):
     return Q.check_artifacts(t.episodes, files(t))
@@ -266,7 +279,7 @@ def open_runs(t):
     "V9_check_journal",
     "jrn", "rec", "jl",
     sql="""
-SELECT r.dataset_id, r.run_id, r.frames, CASE WHEN r.frames = 0 THEN 'cannot save an episode with zero frames'
+SELECT r.dataset_id, r.run_id, r.frames, CASE WHEN r.frames = 0 THEN 'episode without frames not saved'
        WHEN CAST(substring(r.run_id, 5) AS BIGINT) % 150 = 0 AND r.frames > 1 THEN 'joint names or ordering changed inside the episode'
        WHEN r.dataset_id = 'NATION_3' THEN 'joint names or ordering differ from earlier episodes' END AS error FROM rec r""",
 )

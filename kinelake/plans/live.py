@@ -13,11 +13,19 @@ from kinelake.sources import streams as S
 from kinelake.streaming import operators as O
 
 
-def as_stream(t, df, name: str):
-    """A table as a file stream."""
+def as_stream(t, df, name: str, by: str | None = None, parts: int = 3):
+    """A table as a file stream; with ``by``, as so many micro-batches in the order of that column."""
     path = scratch(t, name)
-    df.write.parquet(path)
-    return t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:
+        cuts = df.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)])).first()[0] or []
+        edges = [None, *cuts, None]
+        for low, high in zip(edges, edges[1:]):
+            part = df.where(F.lit(True) if low is None else F.col(by) > low).where(F.lit(True) if high is None else F.col(by) <= high)
+            part.coalesce(1).write.mode("append").parquet(path)
+    reader = t.spark.readStream.schema(t.spark.read.parquet(path).schema)
+    return (reader if by is None else reader.option("maxFilesPerTrigger", 1)).parquet(path)
 
 
 def drain(t, stream, name: str, mode: str = "append"):
@@ -33,7 +41,7 @@ def drain(t, stream, name: str, mode: str = "append"):
 
 
 def sample_messages(t):
-    """Samples as JSON texts; some messages are of another kind or broken."""
+    """Samples as JSON texts in the order of time; some messages are of another kind or broken."""
     seq = F.col("sequence")
     body = F.to_json(
         F.struct(
@@ -42,7 +50,7 @@ def sample_messages(t):
         )
     )
     text = F.when(seq % 23 == 0, F.concat(F.lit("#"), body)).otherwise(body)
-    return t.samples.select("run_id", text.alias("value"))
+    return t.samples.select("run_id", text.alias("value"), "captured_at_ns")
 
 
 @query(
@@ -53,7 +61,7 @@ SELECT run_id, sequence, row_number() OVER (PARTITION BY run_id ORDER BY capture
 FROM smp WHERE sequence % 19 <> 0 AND sequence % 23 <> 0""",
 )
 def s4(t):
-    parsed = S.parse_samples(as_stream(t, sample_messages(t), "messages"))
+    parsed = S.parse_samples(as_stream(t, sample_messages(t), "messages", "captured_at_ns").drop("captured_at_ns"))
     numbered = drain(t, O.number_frames(S.stream_frames(parsed)), "stream-frames")
     return numbered.select("run_id", "sequence", "frame_index", F.round("timestamp", 3).alias("timestamp"))
 
@@ -81,16 +89,18 @@ def s5(t):
 cte(
     "near",
     """
-SELECT s.run_id, s.sequence, s.captured_at_ns, c.camera, max(c.captured_at_ns) AS camera_at, arg_max(c.sequence, c.captured_at_ns) AS camera_sequence
-FROM smp s JOIN cam c ON c.run_id = s.run_id AND c.captured_at_ns <= s.captured_at_ns AND c.captured_at_ns >= s.captured_at_ns - 86400000000000 AND NOT c.empty
-GROUP BY ALL""",
+SELECT run_id, sequence, captured_at_ns, camera, camera_at, camera_sequence FROM (
+  SELECT s.run_id, s.sequence, s.captured_at_ns, c.camera, last(c.captured_at_ns ORDER BY c.captured_at_ns, c.sequence) AS camera_at,
+         last(c.sequence ORDER BY c.captured_at_ns, c.sequence) AS camera_sequence, last(c.empty ORDER BY c.captured_at_ns, c.sequence) AS empty
+  FROM smp s JOIN cam c ON c.run_id = s.run_id AND c.captured_at_ns <= s.captured_at_ns AND c.captured_at_ns >= s.captured_at_ns - 86400000000000
+  GROUP BY s.run_id, s.sequence, s.captured_at_ns, c.camera) WHERE NOT empty""",
     "smp", "cam",
 )
 
 
 def recorded_pairs(t):
-    samples = as_stream(t, t.samples.select("run_id", "sequence", "captured_at_ns"), "samples")
-    cameras = as_stream(t, t.camera_frames, "camera-frames")
+    samples = as_stream(t, t.samples.select("run_id", "sequence", "captured_at_ns"), "samples", "captured_at_ns")
+    cameras = as_stream(t, t.camera_frames, "camera-frames", "captured_at_ns")
     return drain(t, O.sync_pairs(samples, cameras, STALE_SECONDS, "40 days"), "pairs")
 
 
@@ -121,9 +131,9 @@ def t4(t):
 SELECT run_id, captured_at_ns // 3600000000000 AS hour, count(*) AS polled, max(sequence) AS sequence FROM smp GROUP BY ALL""",
 )
 def t1(t):
-    stream = as_stream(t, t.samples.select("run_id", "captured_at_ns", "sequence"), "samples")
-    ticked = drain(t, O.tick_sample(stream, 1 / 3600, ["sequence"]), "ticks", "update")
-    return ticked.select(
+    stream = as_stream(t, t.samples.select("run_id", "captured_at_ns", "sequence"), "samples", "captured_at_ns")
+    ticked = drain(t, O.tick_sample(stream, 1 / 3600, ["sequence"], "2 hours"), "ticks", "update")
+    return O.latest_ticks(ticked).select(
         "run_id", F.floor(F.unix_seconds("tick_start") / 3600).cast("long").alias("hour"), "polled", "sequence"
     )
 
@@ -149,8 +159,8 @@ SELECT n.run_id, n.sequence, row_number() OVER (PARTITION BY n.run_id ORDER BY n
 FROM (SELECT run_id, sequence, captured_at_ns FROM near GROUP BY ALL HAVING count(*) = 2) n JOIN smp s ON s.run_id = n.run_id AND s.sequence = n.sequence WHERE s.armed AND s.live""",
 )
 def t3(t):
-    samples = as_stream(t, t.samples, "samples")
-    cameras = as_stream(t, t.camera_frames, "camera-frames")
+    samples = as_stream(t, t.samples, "samples", "captured_at_ns")
+    cameras = as_stream(t, t.camera_frames, "camera-frames", "captured_at_ns")
     sink = scratch(t, "recorded")
     writer = O.record(
         samples, cameras, F.col("captured_at_ns"), sink, scratch(t, "record-checkpoint"), STALE_SECONDS, True, "40 days"
@@ -166,7 +176,7 @@ def t5(t):
     both = ticked.withColumn("event", F.lit(None).cast("string")).unionByName(
         controls.withColumn("error", F.lit(None).cast("string"))
     )
-    out = drain(t, O.run_controller(as_stream(t, both, "control")), "controller")
+    out = drain(t, O.run_controller(as_stream(t, both, "control", "captured_at_ns")), "controller")
     return out.select("run_id", "sequence", "outcome")
 
 
@@ -187,7 +197,7 @@ e(run_id, joint, sequence, i, x, dx) AS (
 SELECT run_id, joint, sequence, round(x, 6) AS smoothed FROM e""",
 )
 def t6(t):
-    stream = as_stream(t, t.samples.select("run_id", "captured_at_ns", "sequence", "action"), "samples")
+    stream = as_stream(t, t.samples.select("run_id", "captured_at_ns", "sequence", "action"), "samples", "captured_at_ns")
     out = drain(t, O.one_euro_stream(stream), "one-euro")
     return out.select("run_id", "joint", "sequence", F.round("smoothed", 6).alias("smoothed"))
 
@@ -222,12 +232,12 @@ def t9(t):
     "T10_publish_live",
     "smp",
     sql="""
-SELECT run_id, CASE WHEN bad THEN NULL ELSE sequence END AS sequence, CASE WHEN bad THEN 'sample stream did not return a teleoperation sample' END AS error,
+SELECT run_id, CASE WHEN bad THEN NULL ELSE sequence END AS sequence, CASE WHEN bad THEN 'unexpected kind, wanted teleoperation sample' END AS error,
        CASE WHEN NOT bad THEN round(j1, 4) END AS elbow
 FROM (SELECT *, sequence % 19 = 0 OR sequence % 23 = 0 AS bad FROM smp)""",
 )
 def t10(t):
-    parsed = S.parse_samples(as_stream(t, sample_messages(t), "messages"))
+    parsed = S.parse_samples(as_stream(t, sample_messages(t), "messages", "captured_at_ns").drop("captured_at_ns"))
     out = drain(t, O.publish_live(parsed, "observation"), "wire")
     pose = F.from_json("value", "positions array<double>")
     return out.select(

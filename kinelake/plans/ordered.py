@@ -160,7 +160,7 @@ FROM (SELECT episode_index, channel, v - 3 * lag(v, 1) OVER w + 3 * lag(v, 2) OV
     sql=f"SELECT episode_index, channel, round(jerk, 6) AS jerk_rms FROM ({JERK_SQL.format(src='fel')})",
 )
 def a11(t):
-    return A.jerk_rms(t.frames_events, ("observation", "action", "leader"), 3).select("episode_index", "channel", r6(F.col("jerk_rms")).alias("jerk_rms"))
+    return A.jerk_rms(t.frames_events, ("observation", "action", "leader")).select("episode_index", "channel", r6(F.col("jerk_rms")).alias("jerk_rms"))
 
 
 @query(
@@ -407,9 +407,9 @@ def w12(t):
 
 def _camera_sql(cam: str) -> str:
     age = f"greatest(0, captured_at_ns - {cam}_at)::DOUBLE / 1e9"
-    return f"""CASE WHEN {cam}_at IS NULL THEN 'camera {cam} frame is stale (missing capture timestamp)'
-      WHEN {age} > 86400 THEN 'camera {cam} frame is stale (' || printf('%.2fs > 86400.00s', {age}) || ')'
-      WHEN {cam}_empty THEN 'camera {cam} returned an empty frame' END"""
+    return f"""CASE WHEN {cam}_at IS NULL THEN 'camera {cam} frame too old (no capture time)'
+      WHEN {age} > 86400 THEN 'camera {cam} frame too old (' || printf('%.2fs > 86400.00s', {age}) || ')'
+      WHEN {cam}_empty THEN 'camera {cam} sent no picture' END"""
 
 
 cte(
@@ -482,7 +482,7 @@ p AS (SELECT publisher_id, unnest(list_distinct([CASE WHEN k = 0 THEN tk ELSE ''
             UNION ALL SELECT 100000 + episode_index, token, (episode_index + 1) % 3 FROM s WHERE episode_index % 2 = 0)),
 r AS (SELECT e.event_id, e.token, e.requested_index, lower(trim(e.event)) AS event, s.episode_index, s.frames,
              CASE WHEN lower(trim(e.event)) NOT IN ('play', 'seek') THEN 'replay event must be ''play'' or ''seek'''
-                  WHEN s.frames IS NULL THEN 'replay selection expired' WHEN s.frames <= 0 THEN 'selected replay has no frames' END AS error
+                  WHEN s.frames IS NULL THEN 'selection no longer known' WHEN s.frames <= 0 THEN 'selection holds no frames' END AS error
       FROM e LEFT JOIN s ON s.token = e.token),
 q AS (SELECT *, CASE WHEN error IS NULL THEN least(greatest(requested_index, 0), frames - 1) END AS frame_index FROM r),
 pp AS (SELECT DISTINCT publisher_id, token FROM p WHERE token <> '')
@@ -666,8 +666,8 @@ def j10(t):
 WITH a AS (SELECT dataset_id, run_id, CASE CAST(substring(run_id, 5) AS BIGINT) % 150 WHEN 0 THEN 'save' WHEN 50 THEN ' Discard' ELSE 'keep' END AS action
            FROM jrn)
 SELECT a.dataset_id, a.run_id, CASE WHEN lower(trim(action)) NOT IN ('save', 'discard') THEN 'recovery supports save, finalize, or discard'
-       WHEN rec.run_id IS NULL THEN 'incomplete episode was not found' WHEN lower(trim(action)) = 'discard' THEN 'discarded'
-       WHEN rec.frames = 0 THEN 'cannot save an episode with zero frames' ELSE 'saved' END AS status
+       WHEN rec.run_id IS NULL THEN 'no such unfinished episode' WHEN lower(trim(action)) = 'discard' THEN 'discarded'
+       WHEN rec.frames = 0 THEN 'episode without frames not saved' ELSE 'saved' END AS status
 FROM a LEFT JOIN rec ON rec.dataset_id = a.dataset_id AND rec.run_id = a.run_id""",
 )
 def t11(t):

@@ -11,6 +11,7 @@ from kinelake.operators import projections as P
 from kinelake.plans.basics import r6
 from kinelake.plans.ordered import JERK_SQL
 from kinelake.plans.registry import cte, query
+from kinelake.schema import CHANNEL_COLUMN, CHANNELS
 
 ACTION = ("action",)
 
@@ -76,9 +77,60 @@ def f3(t):
     return long_action(t, S.savgol(t.frames_events, 1.0, ACTION))
 
 
-@query("F4_spline")
+def long_channels(t, smoothed):
+    """All smoothed channels, one row per joint."""
+    channels = [F.struct(F.lit(c).alias("channel"), F.col(CHANNEL_COLUMN[c]).alias("x")) for c in CHANNELS]
+    rows = smoothed.select("episode_index", "frame_index", F.explode(F.array(*channels)).alias("c"))
+    return rows.select("episode_index", "frame_index", F.col("c.channel").alias("channel"), F.posexplode("c.x").alias("joint", "v")).select(
+        "episode_index", "frame_index", "channel", "joint", r6(F.col("v")).alias("value")
+    )
+
+
+# Forward and backward substitution with the banded factors of R + Q'Q at unit knots and penalty 1: diagonal 2/3 + 6, then 1/6 - 4, then 1.
+SPLINE_SQL = """
+RECURSIVE WITH k AS (SELECT 2.0::DOUBLE / 3 + 6 AS diag, 1.0::DOUBLE / 6 - 4 AS one, 1.0::DOUBLE AS two),
+top AS (SELECT max(n) - 3 AS last FROM fel),
+fac(i, d, before, l1, l2) AS (
+  SELECT 0::BIGINT, diag, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM k
+  UNION ALL
+  SELECT i + 1, diag - n1 * n1 * d - CASE WHEN i >= 1 THEN n2 * n2 * before ELSE 0 END, d, n1, n2
+  FROM (SELECT *, (one - CASE WHEN i >= 1 THEN n2 * l1 * before ELSE 0 END) / d AS n1
+        FROM (SELECT fac.*, k.*, CASE WHEN i >= 1 THEN two / before ELSE 0 END AS n2 FROM fac, k)), top WHERE i < last),
+bend AS (
+  SELECT a.episode_index, a.channel, a.joint, a.frame_index AS i, a.n - 2 AS m, a.v - 2 * b.v + c.v AS g
+  FROM fel a JOIN fel b ON b.episode_index = a.episode_index AND b.channel = a.channel AND b.joint = a.joint AND b.frame_index = a.frame_index + 1
+  JOIN fel c ON c.episode_index = a.episode_index AND c.channel = a.channel AND c.joint = a.joint AND c.frame_index = a.frame_index + 2
+  WHERE a.n >= 5),
+fwd(episode_index, channel, joint, i, m, c, before) AS (
+  SELECT episode_index, channel, joint, i, m, g, 0.0::DOUBLE FROM bend WHERE i = 0
+  UNION ALL
+  SELECT b.episode_index, b.channel, b.joint, b.i, b.m, b.g - f.l1 * p.c - f.l2 * p.before, p.c
+  FROM fwd p JOIN bend b ON b.episode_index = p.episode_index AND b.channel = p.channel AND b.joint = p.joint AND b.i = p.i + 1 JOIN fac f ON f.i = b.i),
+scaled AS (SELECT w.*, w.c / f.d AS z, coalesce(f1.l1, 0) AS u1, coalesce(f2.l2, 0) AS u2
+  FROM fwd w JOIN fac f ON f.i = w.i LEFT JOIN fac f1 ON f1.i = w.i + 1 LEFT JOIN fac f2 ON f2.i = w.i + 2),
+back(episode_index, channel, joint, i, c, after) AS (
+  SELECT episode_index, channel, joint, i, z, 0.0::DOUBLE FROM scaled WHERE i = m - 1
+  UNION ALL
+  SELECT s.episode_index, s.channel, s.joint, s.i, s.z - s.u1 * p.c - s.u2 * p.after, p.c
+  FROM back p JOIN scaled s ON s.episode_index = p.episode_index AND s.channel = p.channel AND s.joint = p.joint AND s.i = p.i - 1)
+SELECT a.episode_index, a.frame_index, a.channel, a.joint,
+       round(CASE WHEN a.frame_index = 0 OR a.frame_index = a.n - 1 THEN a.v
+                  ELSE a.v - coalesce(c0.c, 0) + 2 * coalesce(c1.c, 0) - coalesce(c2.c, 0) END, 6) AS value
+FROM fel a
+LEFT JOIN back c0 ON c0.episode_index = a.episode_index AND c0.channel = a.channel AND c0.joint = a.joint AND c0.i = a.frame_index
+LEFT JOIN back c1 ON c1.episode_index = a.episode_index AND c1.channel = a.channel AND c1.joint = a.joint AND c1.i = a.frame_index - 1
+LEFT JOIN back c2 ON c2.episode_index = a.episode_index AND c2.channel = a.channel AND c2.joint = a.joint AND c2.i = a.frame_index - 2"""
+
+
+@query("F4_spline", "fel", sql=SPLINE_SQL)
 def f4(t):
-    return long_action(t, S.spline(t.frames_events, 1.0, ACTION))
+    return long_channels(t, S.spline(t.frames_events, 1.0, CHANNELS))
+
+
+@query("F4_spline_cross_validated")
+def f4_cross_validated(t):
+    """Not SQL: the penalty is a minimum over fits; tests compare it with a search over whole series."""
+    return long_channels(t, S.spline(t.frames_events, 0.0, CHANNELS))
 
 
 @query(
@@ -137,7 +189,7 @@ def f8(t):
     kinds = smoothed.groupBy("episode_index").agg(
         F.first("smoothing_method").alias("method"), F.first("smoothing_strength").alias("strength")
     )
-    return A.jerk_reduction(frames, smoothed, "action", 3).join(kinds, "episode_index").select(
+    return A.jerk_reduction(frames, smoothed, "action").join(kinds, "episode_index").select(
         "episode_index", "method", "strength",
         *[r6(F.col(c)).alias(c) for c in ("jerk_raw", "jerk_smoothed", "jerk_reduction_pct")],
     )
@@ -153,7 +205,7 @@ FROM a JOIN b ON b.episode_index = a.episode_index""",
 )
 def a12(t):
     smoothed = S.moving_average(t.frames_events, 1.0, ACTION)
-    return A.jerk_reduction(t.frames_events, smoothed, "action", 3).select(
+    return A.jerk_reduction(t.frames_events, smoothed, "action").select(
         "episode_index", r6(F.col("jerk_reduction_pct")).alias("jerk_reduction_pct")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -48,24 +50,26 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names for intermediate tables; only a local master gets a temporary one of its own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all executors share; only a local master may do without a named one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and spark.sparkContext.master.startswith("local"):
-        folder = _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="spark-kinelake-"))
+    if not folder and spark.sparkContext.master.startswith("local["):
+        if "folder" not in _LOCAL:
+            _LOCAL["folder"] = tempfile.mkdtemp(prefix="spark-kinelake-")
+            atexit.register(shutil.rmtree, _LOCAL["folder"], ignore_errors=True)
+        folder = _LOCAL["folder"]
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return folder
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write a result that several later branches read, and read it back.
 
-    Each branch then scans only its own columns, and a lost executor costs a re-read instead of the whole lineage.
-    The table goes to the shared folder; a cluster that names none gets the plan uncut.
+    Each branch then scans only its own columns, and a lost executor costs a re-read instead of the whole lineage. Tables of one
+    application lie in one folder of its name below the shared one, which can go when the application has ended.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/staged-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

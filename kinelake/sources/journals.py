@@ -89,7 +89,7 @@ def check_journal(vectors: DataFrame, runs: DataFrame, datasets: DataFrame) -> D
     )
     known = datasets.select("dataset_id", F.col("joint_names").alias("_known"))
     error = (
-        F.when(F.coalesce("frames", F.lit(0)) == 0, "cannot save an episode with zero frames")
+        F.when(F.coalesce("frames", F.lit(0)) == 0, "episode without frames not saved")
         .when((F.col("_lo") != F.col("_hi")) | (F.col("_off") > 0),
               "joint names or ordering changed inside the episode")
         .when(F.col("_known").isNotNull() & (F.col("_known") != F.col("joint_names")),

@@ -39,7 +39,7 @@ def parse_samples(messages: DataFrame) -> DataFrame:
     parsed = messages.withColumn("s", F.from_json("value", SAMPLE))
     error = F.when(
         F.col("s").isNull() | ~F.col("s.kind").eqNullSafe(F.lit(KIND_SAMPLE)),
-        F.lit("sample stream did not return a teleoperation sample"),
+        F.lit("unexpected kind, wanted teleoperation sample"),
     )
     keep = [c for c in messages.columns if c != "value"]
     return parsed.select(*keep, "s.*", error.alias("error"), F.when(error.isNotNull(), F.col("value")).alias("value"))

@@ -27,18 +27,31 @@ def event_time(ns: str = "captured_at_ns") -> Column:
     return F.timestamp_micros((F.col(ns) / 1000).cast("long"))
 
 
-def tick_sample(stream: DataFrame, fps: float, columns: Sequence[str]) -> DataFrame:
-    """The latest sample of each run in every tick of 1/fps seconds."""
+def tick_sample(stream: DataFrame, fps: float, columns: Sequence[str], lateness: str = "10 seconds") -> DataFrame:
+    """The latest sample of each run in every tick of 1/fps seconds.
+
+    As a stream, ticks older than the lateness leave the state. In update mode a tick that later micro-batches add to is sent
+    again; ``latest_ticks`` keeps its last row.
+    """
     micros = max(1, round(1e6 / fps))
-    tick = F.window(event_time(), f"{micros} microseconds")
+    timed = stream.withColumn("event_time", event_time())
+    timed = timed.withWatermark("event_time", lateness) if stream.isStreaming else timed
+    tick = F.window("event_time", f"{micros} microseconds")
     body = F.struct(*columns)
     return (
-        stream.groupBy("run_id", tick.alias("tick"))
+        timed.groupBy("run_id", tick.alias("tick"))
         .agg(F.max_by(body, F.struct("captured_at_ns", "sequence")).alias("_s"), F.count(F.lit(1)).alias("polled"))
         .select("run_id", F.col("tick.start").alias("tick_start"), "polled", "_s.*")
     )
 
 
+def latest_ticks(rows: DataFrame) -> DataFrame:
+    """Of a tick's rows from several micro-batches (column ``batch_id``) the last."""
+    others = [c for c in rows.columns if c not in ("run_id", "tick_start", "batch_id")]
+    last = rows.groupBy("run_id", "tick_start").agg(F.max_by(F.struct(*others), "batch_id").alias("_t"))
+    return last.select("run_id", "tick_start", "_t.*")
+
+
 def drop_stale(
     stream: DataFrame, received_ns: Column, stale_after: float = 0.5, lateness: str = "10 seconds"
 ) -> DataFrame:
@@ -54,13 +67,15 @@ def sync_pairs(
 ) -> DataFrame:
     """Stream-stream interval join: each sample with the camera frames at most ``stale_after`` older.
 
-    The interval and the watermarks bound the state kept on both sides. ``latest_pairs`` picks one frame per camera.
+    The interval and the watermarks bound the state kept on both sides. ``latest_pairs`` picks one frame per camera; an empty
+    frame takes part, as it hides the older ones behind it.
     """
     limit = max(STALE_AFTER_FLOOR, stale_after)
     left = samples.withColumn("sample_time", event_time())
-    right = cameras.where(~F.col("empty")).select(
+    right = cameras.select(
         F.col("run_id").alias("camera_run"),
         "camera",
+        F.col("empty").alias("camera_empty"),
         F.col("sequence").alias("camera_sequence"),
         F.col("captured_at_ns").alias("camera_at_ns"),
     ).withColumn("camera_time", event_time("camera_at_ns"))
@@ -76,9 +91,10 @@ def sync_pairs(
 
 
 def latest_pairs(pairs: DataFrame, keys: Sequence[str] = ("run_id", "sequence", "captured_at_ns")) -> DataFrame:
-    """The newest camera frame of each sample and camera."""
-    stamp = F.struct(F.col("camera_sequence").alias("sequence"), F.col("camera_at_ns").alias("captured_at_ns"))
-    return pairs.groupBy(*keys, "camera").agg(F.max_by(stamp, "camera_at_ns").alias("stamp"))
+    """The newest camera frame of each sample and camera; none where that frame is empty, however good older ones are."""
+    newest = F.max(F.struct("camera_at_ns", "camera_sequence", "camera_empty")).alias("_n")
+    stamp = F.struct(F.col("_n.camera_sequence").alias("sequence"), F.col("_n.camera_at_ns").alias("captured_at_ns"))
+    return pairs.groupBy(*keys, "camera").agg(newest).where(~F.col("_n.camera_empty")).select(*keys, "camera", stamp.alias("stamp"))
 
 
 def require_all_cameras(pairs: DataFrame, expected: Sequence[str]) -> DataFrame:
@@ -116,14 +132,30 @@ def publish_live(samples: DataFrame, source: str) -> DataFrame:
 
 # --- stateful -----------------------------------------------------------------------------------------------------
 
+# State of a run goes once event time has passed its last row by this much; rows as late as that are not applied any more.
+LATENESS, IDLE_MS = "1 day", 24 * 3600 * 1000
+STATE_TIME = "_state_time"
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(STATE_TIME, event_time()).withWatermark(STATE_TIME, LATENESS)
+
+
+def _keep(state: GroupState, value: tuple, last_ns: int) -> None:
+    state.update(value)
+    state.setTimeoutTimestamp(max(int(last_ns) // 1_000_000 + IDLE_MS, state.getCurrentWatermarkMs() + 1))
+
 
 def number_frames(frames: DataFrame) -> DataFrame:
     """Running count of the frames of each run, across micro-batches."""
 
     def count(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         done = state.get[0] if state.exists else 0
         rows = pd.concat(list(chunks)).sort_values(["captured_at_ns", "sequence"])
-        state.update((done + len(rows),))
+        _keep(state, (done + len(rows),), rows["captured_at_ns"].iloc[-1])
         yield pd.DataFrame(
             {
                 "run_id": key[0],
@@ -133,11 +165,11 @@ def number_frames(frames: DataFrame) -> DataFrame:
             }
         )
 
-    slim = frames.select("run_id", "sequence", "captured_at_ns", "timestamp")
+    slim = _timed(frames.select("run_id", "sequence", "captured_at_ns", "timestamp"))
     kind = frames.schema["run_id"].dataType.simpleString()
     return slim.groupBy("run_id").applyInPandasWithState(
         count, f"run_id {kind}, sequence bigint, frame_index bigint, timestamp double", "done bigint", "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -150,6 +182,9 @@ def run_controller(inputs: DataFrame) -> DataFrame:
     """
 
     def follow(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         captured, dropped, failures, paused, closed = state.get if state.exists else (0, 0, 0, False, False)
         rows = pd.concat(list(chunks)).sort_values(["captured_at_ns", "sequence"])
         out = []
@@ -172,18 +207,19 @@ def run_controller(inputs: DataFrame) -> DataFrame:
             else:
                 captured, failures, outcome = captured + 1, 0, "captured"
             out.append((sequence, outcome, captured, dropped, failures, paused))
-        state.update((captured, dropped, failures, paused, closed))
+        _keep(state, (captured, dropped, failures, paused, closed), rows["captured_at_ns"].iloc[-1])
         table = pd.DataFrame(out, columns=["sequence", "outcome", "captured", "dropped", "failures", "paused"])
         table.insert(0, "run_id", key[0])
         yield table
 
     kind = inputs.schema["run_id"].dataType.simpleString()
-    return inputs.select("run_id", "captured_at_ns", "sequence", "error", "event").groupBy("run_id").applyInPandasWithState(
+    slim = _timed(inputs.select("run_id", "captured_at_ns", "sequence", "error", "event"))
+    return slim.groupBy("run_id").applyInPandasWithState(
         follow,
         f"run_id {kind}, sequence bigint, outcome string, captured bigint, dropped bigint, failures bigint, paused boolean",
         "captured bigint, dropped bigint, failures bigint, paused boolean, closed boolean",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -194,6 +230,9 @@ def one_euro_stream(samples: DataFrame, channel: str = "action", strength: float
     gain = float(one_euro_alpha(ONE_EURO_DERIVATIVE_CUTOFF, dt))
 
     def smooth(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(chunks)).sort_values(["captured_at_ns", "sequence"])
         values = rows["value"].to_numpy()
         last, speed = state.get if state.exists else (None, 0.0)
@@ -204,16 +243,17 @@ def one_euro_stream(samples: DataFrame, channel: str = "action", strength: float
                 blend = float(one_euro_alpha(slow + ONE_EURO_BETA * abs(speed), dt))
                 value = blend * value + (1.0 - blend) * last
             out[i] = last = float(value)
-        state.update((last, speed))
+        _keep(state, (last, speed), rows["captured_at_ns"].iloc[-1])
         yield pd.DataFrame(
             {"run_id": key[0], "joint": key[1], "sequence": rows["sequence"].to_numpy(), "smoothed": out}
         )
 
-    long = samples.select("run_id", "captured_at_ns", "sequence", F.explode(channel).alias("joint", "value"))
+    timed = _timed(samples.select("run_id", "captured_at_ns", "sequence", channel))
+    long = timed.select("run_id", "captured_at_ns", "sequence", STATE_TIME, F.explode(channel).alias("joint", "value"))
     kind = samples.schema["run_id"].dataType.simpleString()
     return long.groupBy("run_id", "joint").applyInPandasWithState(
         smooth, f"run_id {kind}, joint string, sequence bigint, smoothed double", "last double, speed double", "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
