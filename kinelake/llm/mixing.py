@@ -14,6 +14,8 @@ from kinelake.llm.common import WORD, stage
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 SEED = 20
+#: Longest documents that the knapsack fits together, within so many words.
+RESERVE, RESERVE_WORDS = 8, 1 << 22
 #: Rows ranked together; a length that more documents of one source share is cut into this many rows by hash.
 BUCKET_ROWS = 256
 
@@ -40,19 +42,21 @@ def water_fill(sizes: pd.DataFrame, weights: Sequence[float], most: float, share
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come as near to ``budget`` from below as can be.
 
-    First every length gets its even share, rounded so that the running total follows the wanted total; what is left is then
-    at most the longest length. A bounded knapsack over the documents still free fills that remainder: ``first[s]`` is the
-    bundle that first reached the sum ``s``, and walking it back gives the counts.
+    First every length gets its even share of all but a reserve of some longest documents, rounded so that the running total
+    follows the wanted total. A bounded knapsack over the documents still free fills the reserve: ``first[s]`` is the bundle
+    that first reached the sum ``s``, and walking it back gives the counts. A budget within the reserve is fitted at its best.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
+    longest = int(lengths.max())
+    even = budget - min(budget, max(longest, min(RESERVE * longest, RESERVE_WORDS)))
     taken, done, wanted = np.zeros_like(counts), 0, 0.0
     for i, (length, count) in enumerate(zip(lengths.tolist(), counts.tolist(), strict=True)):
         if length == 0:
             continue
-        wanted += length * count * (budget / total)
-        taken[i] = min(count, max(0, int((min(wanted, budget) - done) // length)))
+        wanted += length * count * (even / total)
+        taken[i] = min(count, max(0, int((min(wanted, even) - done) // length)))
         done += int(taken[i]) * length
     rest = budget - done
     first = np.full(rest + 1, -1, np.int64)
