@@ -137,7 +137,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, id_column: str = "v
 
 NEAREST_SQL = f"""
 WITH v AS (
-    SELECT vec_id, CAST(list_aggregate(list_transform(embedding, x -> CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS BIT) AS b
+    SELECT vec_id, CAST(array_to_string([CASE WHEN x > 0 THEN '1' ELSE '0' END FOR x IN embedding], '') AS BIT) AS b
     FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
 ), p AS (
     SELECT q.vec_id AS query_id, v.vec_id, CAST(bit_count(xor(q.b, v.b)) AS INTEGER) AS distance
