@@ -156,6 +156,14 @@ def test_block_max_search_is_exact():
         expected = np.lexsort((np.arange(700), -np.round(cosines, 12)))[: int(min(9, (cosines > 0).sum()))]
         assert found.tolist() == expected.tolist() and np.allclose(values, cosines[expected])
 
+def test_toxicity_keeps_every_word(spark):
+    docs, labels, _ = labelled(spark)
+    rows = toxicity.score(docs.withColumn("text", F.regexp_replace("text", "(vile|rotten|foul)", "***$1***")), labels).collect()
+    again = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    # Texts without any word that tells the classes apart have neighbours too, and glued marks change nothing.
+    assert all(len(r.neighbours) == toxicity.NEIGHBOURS for r in rows)
+    assert all((r.score, r.neighbours) == (again[r.doc_id].score, again[r.doc_id].neighbours) for r in rows)
+
 
 def test_toxicity_of_odd_rows(spark, odd, none):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
