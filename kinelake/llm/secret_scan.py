@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import stage
-
 # The base kinds in their order, and how long a match must be.
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(
@@ -22,9 +20,8 @@ ASSIGN_CHARS = 8
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-#: A candidate is a run of token characters of this length that has a digit and a letter.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
+#: A candidate is a run of the base pattern's token characters of the base pattern's least length, whatever it is made of.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 #: Characters around and of a candidate that the network sees; a longer candidate shows its start.
 BEFORE, WIDTH = 40, 104
 #: The network is fitted on at most so many distinct findings of either label, taken by hash.
@@ -77,8 +74,7 @@ def find(docs: DataFrame) -> DataFrame:
                     while at < len(spans) and spans[at][1] <= s:
                         at += 1
                     hit = at < len(spans) and spans[at][0] < e
-                    if hit or MIXED.match(m[0]):
-                        own.append({"start": s, "end": e, "label": int(hit), "window": window(text, s, e)})
+                    own.append({"start": s, "end": e, "label": int(hit), "window": window(text, s, e)})
                 candidates.append(own)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *[pa.array(v, types.field(i + 1).type) for i, v in enumerate((base, candidates))]], schema=types
@@ -169,8 +165,14 @@ class CharNetwork:
 
 def learn(found: DataFrame, examples: int = EXAMPLES) -> tuple[CharNetwork | None, float]:
     """Fit on a bounded sample of distinct windows of either label; a fifth of them is held out for calibration and threshold."""
-    windows = found.select(F.explode("candidates").alias("c")).groupBy("c.window").agg(F.max("c.label").alias("label"))
-    order = (F.xxhash64(F.lit(SEED), "window"), "window")
+    each = found.select(F.explode("candidates").alias("c")).select("c.window", "c.label", F.xxhash64(F.lit(SEED + 1), "c.window").alias("h"))
+    # About four times the sample, by hash, meets to be made distinct; which windows are taken does not depend on it.
+    many = {r[0]: r[1] for r in each.groupBy("label").agg(F.approx_count_distinct("h")).collect()}
+    near = F.lit(False)
+    for label, n in many.items():
+        near |= (F.col("label") == label) & (F.pmod("h", F.lit(1 << 20)) < max(1, min(1 << 20, (examples * 4 << 20) // max(n, 1))))
+    windows = each.where(near).groupBy("window").agg(F.max("label").alias("label"))
+    order = (F.pmod(F.xxhash64(F.lit(SEED + 1), "window"), F.lit(1 << 20)), F.xxhash64(F.lit(SEED), "window"), "window")
     picked = [
         (bytes(r[0]), label)
         for label in (0, 1)
@@ -196,7 +198,8 @@ def scan(docs: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     its probability reaches the threshold and ``LEAST``. Null and empty texts have no spans, repeated rows are scanned each,
     tables with fewer than twenty findings of either label train no network and get base spans only.
     """
-    found = stage(find(docs))
+    # Not staged: the windows of all long words are several times the texts.
+    found = find(docs)
     network, threshold = learn(found, examples)
     least = max(threshold, LEAST)
 

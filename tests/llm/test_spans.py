@@ -69,6 +69,14 @@ def test_network_learns_the_shape_of_secrets(spark):
     assert all((a == b).all() for a, b in zip(network.parameters(), again.parameters(), strict=True))
 
 
+def test_ordinary_words_are_negatives_on_the_given_table(spark):
+    found = secret_scan.find(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    network, threshold = secret_scan.learn(found)
+    assert network is not None and threshold < 1
+    short = secret_scan.find(frame(spark, [(1, "see abcdefgh and ab.cd-12", "", "", 0)])).first().candidates
+    assert [(c["start"], c["end"]) for c in short] == [(4, 12), (17, 25)]
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(2)
     net, codes, labels = secret_scan.CharNetwork(rng), rng.integers(0, 256, (4, secret_scan.WIDTH)).astype(np.uint8), np.array([0, 1, 1, 0.0])
