@@ -27,8 +27,10 @@ BEFORE, WIDTH = 40, 104
 #: The network is fitted on at most so many distinct findings of either label, taken by hash.
 EXAMPLES = 1500
 FILTERS, REACH, DIMS, EPOCHS, BATCH, RATE = 24, 5, 12, 6, 64, 0.004
-#: Share of held-out findings that the threshold must still find, and the least calibrated probability of a learned span.
-RECALL, LEAST = 0.98, 0.9
+#: Share of held-out findings that the threshold must still find; windows are held out by hash, one part of so many.
+RECALL, PARTS = 0.98, 5
+#: Logits meet as a histogram: so many bins over this range to either side.
+BINS, RANGE = 1 << 14, 64.0
 SEED = 5
 
 FOUND = "doc_id long, base array<struct<start:int,end:int,kind:string>>, candidates array<struct<start:int,end:int,label:int,window:binary>>"
@@ -148,30 +150,45 @@ class CharNetwork:
                     v += 0.001 * (g * g - v)
                     p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, codes: np.ndarray, labels: np.ndarray) -> float:
-        """Fit slope and offset of the logit to held-out findings; return the threshold that keeps the recall wanted there."""
-        logit = self.logits(codes)
+    def calibrate(self, logit: np.ndarray, labels: np.ndarray, number: np.ndarray) -> float:
+        """Fit slope and offset of the logit to held-out findings, given by bins and their numbers; return the threshold that keeps
+        the recall wanted there."""
         scale = max(np.abs(logit).max(), 1e-9)
         x, a, b = logit / scale, 1.0, 0.0
-        targets = np.where(labels == 1, (labels.sum() + 1) / (labels.sum() + 2), 1 / ((1 - labels).sum() + 2))
-        for _ in range(50):
+        good, bad = number[labels == 1].sum(), number[labels == 0].sum()
+        targets = np.where(labels == 1, (good + 1) / (good + 2), 1 / (bad + 2))
+
+        def loss(a: float, b: float) -> float:
+            return float((number * (np.logaddexp(0, a * x + b) - targets * (a * x + b))).sum())
+
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-            w = np.maximum(p * (1 - p), 1e-6)
+            w = number * np.maximum(p * (1 - p), 1e-9)
             h = np.array([[(w * x * x).sum() + 1e-6, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
-            a, b = np.array([a, b]) - np.linalg.solve(h, [((p - targets) * x).sum(), (p - targets).sum()])
+            move, size = np.linalg.solve(h, [(number * (p - targets) * x).sum(), (number * (p - targets)).sum()]), 1.0
+            while size > 1e-6 and loss(a - size * move[0], b - size * move[1]) > loss(a, b):
+                size /= 2
+            a, b = a - size * move[0], b - size * move[1]
         self.slope, self.offset = max(a, 1e-6) / scale, b
-        return float(np.quantile(self.probabilities(codes[labels == 1]), 1 - RECALL, method="lower"))
+        order = np.flatnonzero(labels == 1)[np.argsort(logit[labels == 1], kind="stable")]
+        lost = np.cumsum(number[order]) > (1 - RECALL) * good
+        least = logit[order[lost.argmax()]] - RANGE / BINS  # the lower edge of the bin
+        if least <= -RANGE:
+            return 0.0
+        return float(1 / (1 + np.exp(-np.clip(self.slope * least + self.offset, -40, 40))))
 
 
 def learn(found: DataFrame, examples: int = EXAMPLES) -> tuple[CharNetwork | None, float]:
-    """Fit on a bounded sample of distinct windows of either label; a fifth of them is held out for calibration and threshold."""
+    """Fit on a bounded sample of distinct windows of either label; a fifth of all windows is held out by hash,
+    and calibration and threshold come from every finding among them."""
     each = found.select(F.explode("candidates").alias("c")).select("c.window", "c.label", F.xxhash64(F.lit(SEED + 1), "c.window").alias("h"))
     # About four times the sample, by hash, meets to be made distinct; which windows are taken does not depend on it.
     many = {r[0]: r[1] for r in each.groupBy("label").agg(F.approx_count_distinct("h")).collect()}
     near = F.lit(False)
     for label, n in many.items():
         near |= (F.col("label") == label) & (F.pmod("h", F.lit(1 << 20)) < max(1, min(1 << 20, (examples * 4 << 20) // max(n, 1))))
-    windows = each.where(near).groupBy("window").agg(F.max("label").alias("label"))
+    apart = F.pmod(F.xxhash64(F.lit(SEED + 2), "window"), F.lit(PARTS)) == 0
+    windows = each.where(near & ~apart).groupBy("window").agg(F.max("label").alias("label"))
     order = (F.pmod(F.xxhash64(F.lit(SEED + 1), "window"), F.lit(1 << 20)), F.xxhash64(F.lit(SEED), "window"), "window")
     picked = [
         (bytes(r[0]), label)
@@ -183,25 +200,36 @@ def learn(found: DataFrame, examples: int = EXAMPLES) -> tuple[CharNetwork | Non
         return None, 1.0
     codes = np.frombuffer(b"".join(x[0] for x in picked), np.uint8).reshape(len(picked), WIDTH)
     rng = np.random.default_rng(SEED)
-    held = rng.random(len(picked)) < 0.2
     network = CharNetwork(rng)
-    network.fit(codes[~held], labels[~held], rng)
-    if not 0 < labels[held].sum() < held.sum():
+    network.fit(codes, labels, rng)
+
+    def histogram(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2, BINS), np.int64)
+        for part in parts:
+            logit = network.logits(np.frombuffer(b"".join(part["window"]), np.uint8).reshape(len(part), WIDTH))
+            bins = np.clip(((logit + RANGE) * (BINS / (2 * RANGE))).astype(int), 0, BINS - 1)
+            np.add.at(total, (part["label"].to_numpy(), bins), 1)
+        label, bins = np.nonzero(total)
+        yield pd.DataFrame({"label": label, "bin": bins, "n": total[label, bins]})
+
+    counted = each.where(apart).select("window", "label").mapInPandas(histogram, "label int, bin int, n long")
+    cells = counted.groupBy("label", "bin").agg(F.sum("n").alias("n")).orderBy("label", "bin").collect()
+    label, bins, number = (np.array([r[i] for r in cells], float) for i in range(3))
+    if not 0 < label.sum() < len(label):
         return None, 1.0
-    return network, network.calibrate(codes[held], labels[held])
+    return network, network.calibrate((bins + 0.5) * (2 * RANGE / BINS) - RANGE, label, number)
 
 
 def scan(docs: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """(doc_id, spans) of every row; spans by start, then kind as listed, each with its calibrated probability (base spans: 1).
 
     The base spans always stay. The network scores every candidate; one outside all base spans becomes a ``learned`` span if
-    its probability reaches the threshold and ``LEAST``. Null and empty texts have no spans, repeated rows are scanned each,
+    its probability reaches the threshold. Null and empty texts have no spans, repeated rows are scanned each,
     tables with fewer than twenty findings of either label train no network and get base spans only.
     """
     # Not staged: the windows of all long words are several times the texts.
     found = find(docs)
     network, threshold = learn(found, examples)
-    least = max(threshold, LEAST)
 
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank = {k: i for i, k in enumerate(KINDS)}
@@ -211,7 +239,7 @@ def scan(docs: DataFrame, examples: int = EXAMPLES) -> DataFrame:
             scores = network.probabilities(codes) if network and len(free) else np.zeros(len(free))
             spans = [[(s["start"], rank[s["kind"]], s["end"], 1.0) for s in base] for base in part["base"]]
             for (i, c), p in zip(free, scores, strict=True):
-                if p >= least:
+                if p >= threshold:
                     spans[i].append((c["start"], rank["learned"], c["end"], float(p)))
             rows = [[{"kind": KINDS[k], "start": s, "end": e, "score": p} for s, k, e, p in sorted(own)] for own in spans]
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "spans": rows})

@@ -77,6 +77,15 @@ def test_ordinary_words_are_negatives_on_the_given_table(spark):
     assert [(c["start"], c["end"]) for c in short] == [(4, 12), (17, 25)]
 
 
+def test_threshold_keeps_recall_over_a_histogram():
+    network = secret_scan.CharNetwork(np.random.default_rng(0))
+    logit, labels = np.array([-3.0, 1.0, -1.0, 0.5, 3.0]), np.array([0, 0, 1, 1, 1.0])
+    threshold = network.calibrate(logit, labels, np.array([10_000.0, 900, 30, 500, 470]))
+    chance = lambda x: 1 / (1 + np.exp(-(network.slope * x + network.offset)))
+    # 30 of 1,000 findings are more than may be lost, so the threshold lies below them, however low their probability.
+    assert threshold <= chance(-1.0) < 0.9 and threshold > chance(-3.0) and not hasattr(secret_scan, "LEAST")
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(2)
     net, codes, labels = secret_scan.CharNetwork(rng), rng.integers(0, 256, (4, secret_scan.WIDTH)).astype(np.uint8), np.array([0, 1, 1, 0.0])
