@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm import dedup, language_model, mixing, pieces, pii, quality, secret_scan, topk, toxicity, warc
+from kinelake.llm import (
+    collocations, dedup, hard_negatives, language_model, mixing, near_vectors, pieces, pii, quality, secret_scan, topk, toxicity, warc,
+)
 from kinelake.llm.common import read, span_digest, span_list, stage
 
 #: A public vocabulary of pieces; another place is set by this configuration of the session.
@@ -82,6 +84,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), label=hard_negatives.shifted_label())
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_mixing": op2_mixing,
@@ -93,6 +107,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_model": op9_language_model,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_near_vectors": op13_near_vectors,
 }
 
-ORACLE: dict[str, str] = {"op1_topk": topk.NEAREST_SQL}
+ORACLE: dict[str, str] = {
+    "op1_topk": topk.NEAREST_SQL,
+    "op11_collocations": collocations.MINE_SQL,
+    "op12_hard_negatives": hard_negatives.MINE_SQL,
+    "op13_near_vectors": near_vectors.NEAR_SQL,
+}
