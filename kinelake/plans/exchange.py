@@ -15,7 +15,7 @@ from kinelake.plans.fixtures import JOINTS, OPEN, SHUT
 from kinelake.plans.ordered import BAD_MANIFESTS_SQL, bad_manifests, synced
 from kinelake.plans.registry import cte, query
 from kinelake.schema import KIND_DATASET, KIND_SAMPLE
-from kinelake.session import shared_folder
+from kinelake.session import shared_folder, stage
 from kinelake.sources import catalog as C
 from kinelake.sources import export as X
 from kinelake.sources import journals as R
@@ -307,6 +307,40 @@ def s6(t):
     )
 
 
+@query(
+    "S6_save_episodes",
+    "rec", "jl",
+    sql="""
+WITH a AS (SELECT *, CAST(substring(run_id, 5) AS BIGINT) % 150 AS k FROM rec),
+b AS (SELECT *, CASE WHEN k = 100 THEN 'discarded' WHEN frames = 0 THEN 'episode without frames not saved'
+       WHEN k = 0 AND frames > 1 THEN 'joint names or ordering changed inside the episode' ELSE 'saved' END AS status FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY k <> 50, started_at, run_id) - 1 AS episode_index FROM b WHERE status = 'saved'),
+f AS (SELECT run_id, count(*) AS frame_rows, round(sum(o0), 4) AS total FROM jl GROUP BY 1)
+SELECT b.dataset_id, b.run_id, b.status, c.episode_index, c.frames, 'episodes/episode-' || lpad(CAST(c.episode_index AS VARCHAR), 6, '0') AS path,
+       round(c.frames / CAST(c.fps AS DOUBLE), 6) AS duration_seconds, CASE WHEN c.run_id IS NOT NULL THEN frame_rows END AS frame_rows, CASE WHEN c.run_id IS NOT NULL THEN total END AS total
+FROM b LEFT JOIN c ON c.run_id = b.run_id LEFT JOIN f ON f.run_id = b.run_id""",
+)
+def s6_save(t):
+    """Unfinished runs finalised in one commit, the others saved or discarded in a second, then the first call repeated."""
+    root, lines, runs = scratch(t, "saved"), stage(journal(t)), open_runs(t).drop("episode_index")
+    key = F.substring("run_id", 5, 20).cast("long") % 150
+    fresh = t.datasets.select("dataset_id", F.lit(None).cast("array<string>").alias("joint_names"))
+    asked = runs.select("dataset_id", "run_id", F.when(key == 50, " Finalize").when(key == 0, "save").otherwise("discard").alias("action"))
+    first, second = asked.where("action = ' Finalize'"), asked.where("action <> ' Finalize'")
+    _, a = R.close_runs(lines, runs, fresh, first, root)
+    held, b = R.close_runs(lines, runs, fresh, second, root)
+    again, _ = R.close_runs(lines, runs, fresh, first, root)
+    if again != held:
+        raise AssertionError("a repeated call changed the tables")
+    saved = R.saved_tables(t.spark, root)
+    sums = saved["frames"].groupBy("dataset_id", "episode_index").agg(
+        F.count("*").alias("frame_rows"), F.round(F.sum(F.get("observation_state", F.lit(0)).cast("double")), 4).alias("total")
+    )
+    entry = saved["manifest"].join(saved["episodes"].select("episode_id", "run_id"), "episode_id").join(sums, ["dataset_id", "episode_index"])
+    entry = entry.select("dataset_id", "run_id", "episode_index", "frames", "path", r6(F.col("duration_seconds")).alias("duration_seconds"), "frame_rows", "total")
+    return a.union(b).select("dataset_id", "run_id", "status").join(entry, ["dataset_id", "run_id"], "left")
+
+
 def manifest_texts(t):
     """Manifests as JSON text; a few are of another kind or version, or no JSON at all."""
     entry = F.struct("episode_id", "episode_index", "frames", "duration_seconds", "task")

@@ -33,14 +33,21 @@ SAMPLE = T.StructType(
     ]
 )
 
+# What a journal keeps of a sample and of a camera frame beyond what the frame table holds.
+JOURNAL_SAMPLE = T.StructType(
+    [*SAMPLE.fields, T.StructField("leader_calibration_path", T.StringType()), T.StructField("follower_calibration_path", T.StringType())]
+)
+JOURNAL_CAMERA = T.StructType([*CAMERA_STAMP.fields, *[T.StructField(k, T.StringType()) for k in CAMERA_OPTIONAL]])
+ROBOT_KEYS = ("leader_hardware_id", "follower_hardware_id", "leader_calibration_path", "follower_calibration_path")
+
 JOURNAL_FRAME = T.StructType(
     [
         T.StructField("frame_index", T.LongType()),
         T.StructField("timestamp", T.DoubleType()),
         T.StructField("recorded_at_ns", T.LongType()),
         T.StructField("task", T.StringType()),
-        T.StructField("robot", SAMPLE),
-        T.StructField("cameras", T.MapType(T.StringType(), CAMERA_STAMP)),
+        T.StructField("robot", JOURNAL_SAMPLE),
+        T.StructField("cameras", T.MapType(T.StringType(), JOURNAL_CAMERA)),
         T.StructField("run_id", T.StringType()),
         T.StructField("_corrupt_record", T.StringType()),
     ]
@@ -98,6 +105,33 @@ EPISODE_ENTRY = T.StructType(
     ]
 )
 
+# An episode as it is saved: one row beside its frames.
+EPISODE_INFO = T.StructType(
+    [
+        T.StructField("dataset_id", T.StringType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("schema_version", T.IntegerType()),
+        T.StructField("episode_id", T.StringType()),
+        T.StructField("run_id", T.StringType()),
+        T.StructField("episode_index", T.LongType()),
+        T.StructField("started_at", T.StringType()),
+        T.StructField("completed_at", T.StringType()),
+        T.StructField("task", T.StringType()),
+        T.StructField("fps", T.LongType()),
+        T.StructField("frames", T.LongType()),
+        T.StructField("duration_seconds", T.DoubleType()),
+        T.StructField("joint_names", T.ArrayType(T.StringType())),
+        T.StructField("units", T.StringType()),
+        T.StructField("robot", T.StructType([T.StructField(k, T.StringType()) for k in ROBOT_KEYS])),
+        T.StructField("cameras", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))),
+        T.StructField("saved_at", T.StringType()),
+    ]
+)
+
+MANIFEST_ENTRY = T.StructType([T.StructField("dataset_id", T.StringType()), *EPISODE_ENTRY.fields])
+
+CLOSED_RUN = T.StructType([T.StructField(n, T.StringType()) for n in ("dataset_id", "run_id", "status", "closed_at")])
+
 MANIFEST = T.StructType(
     [
         T.StructField("kind", T.StringType()),

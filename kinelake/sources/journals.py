@@ -9,7 +9,12 @@ from pyspark.sql import types as T
 from kinelake.functions import scalars as X
 from kinelake.functions import vectors as V
 from kinelake.operators.blocks import EPISODE, dense_index
-from kinelake.schema import JOURNAL_FRAME
+from kinelake.operators.joins import recover
+from kinelake.schema import (
+    CAMERA_OPTIONAL, CLOSED_RUN, EPISODE_INFO, FRAMES, JOURNAL_FRAME, KIND_EPISODE, MANIFEST_ENTRY, ROBOT_KEYS, SCHEMA_VERSION,
+)
+from kinelake.session import stage
+from kinelake.sources import commits
 
 FRAME_JSON = T.StructType([f for f in JOURNAL_FRAME.fields if f.name != "_corrupt_record"])
 
@@ -67,7 +72,7 @@ def journal_vectors(journal: DataFrame) -> DataFrame:
         F.map_keys("robot.observation").alias("observation_order"),
         F.map_keys("robot.action").alias("action_order"),
         F.coalesce(F.nullif("robot.units", F.lit("")), F.lit("radians")).alias("units"),
-        "cameras",
+        F.transform_values("cameras", lambda _, v: F.struct(v["sequence"].alias("sequence"), v["captured_at_ns"].alias("captured_at_ns"))).alias("cameras"),
     )
 
 
@@ -140,3 +145,116 @@ def all_frames_writable(vectors: DataFrame) -> Column:
     return (
         V.all_finite(F.col("observation_state")) & V.all_finite(F.col("action")) & V.all_finite(F.col("leader_state"))
     )
+
+
+# --- saving -------------------------------------------------------------------------------------------------------
+
+
+def run_facts(journal: DataFrame) -> DataFrame:
+    """What a run's first frame says beside its vectors: hardware, and the calibration of each camera (only keys it has)."""
+
+    def given(camera: Column) -> Column:
+        pairs = [F.struct(F.lit(k).alias("key"), camera[k].alias("value")) for k in CAMERA_OPTIONAL]
+        return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
+
+    robot = F.struct(*[F.col(f"robot.{k}").alias(k) for k in ROBOT_KEYS])
+    cameras = F.transform_values("cameras", lambda _, c: given(c))
+    first = F.struct(robot.alias("robot"), cameras.alias("cameras"))
+    # The cameras of a run are those of any of its frames; maps are no keys, so their names are gathered (a handful per run).
+    named = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys("cameras")))))
+    rows = journal.where(F.col("robot").isNotNull()).groupBy("run_id").agg(
+        F.min_by(first, "frame_index").alias("_first"), named.alias("_names")
+    )
+    none = F.create_map().cast("map<string,string>")
+    cameras = F.map_from_arrays(F.col("_names"), F.transform("_names", lambda n: F.coalesce(F.col("_first.cameras")[n], none)))
+    return rows.select("run_id", F.col("_first.robot").alias("robot"), cameras.alias("cameras"))
+
+
+def known_joints(checked: DataFrame, datasets: DataFrame, saved: DataFrame) -> DataFrame:
+    """The joint order that runs of a dataset must have: of its saved episodes, else of its manifest, else of the earliest sound
+    run among those to be saved now."""
+    earlier = saved.groupBy("dataset_id").agg(F.max_by("joint_names", "episode_index").alias("_saved"))
+    sound = checked.where(F.col("error").isNull())
+    now = sound.groupBy("dataset_id").agg(F.min_by("joint_names", F.struct("started_at", "run_id")).alias("_now"))
+    both = datasets.select("dataset_id", F.col("joint_names").alias("_given")).join(earlier, ["dataset_id"], "full").join(now, ["dataset_id"], "full")
+    return both.select("dataset_id", F.coalesce("_saved", "_given", "_now").alias("joint_names"))
+
+
+def _texts(stamp: Column) -> Column:
+    return X.iso_utc(stamp.cast("timestamp"))
+
+
+def close_runs(
+    journal: DataFrame, runs: DataFrame, datasets: DataFrame, actions: DataFrame, root: str, at: Column | None = None
+) -> tuple[commits.Snapshot, DataFrame]:
+    """Carry out save and discard requests on unfinished runs; the new version of the tables and what became of each request.
+
+    ``runs``: ``run_id, dataset_id, fps, task, started_at``; ``datasets``: ``dataset_id, joint_names`` (NULL before the first
+    episode); ``actions``: ``dataset_id, run_id, action``. Tables below ``root``: ``frames``, ``episodes``, ``manifest`` and
+    ``closed`` (runs that are saved or discarded). They change in one commit, so a saved run has its frames, episode row and
+    manifest entry, or none of them. Repeating the call after a lost job, or after success, leads to the same tables. A
+    dataset's episodes are numbered on from those of the version the commit builds on; when another writer commits in between,
+    they are numbered again.
+    """
+    spark = journal.sparkSession
+    vectors = journal_vectors(journal)
+    held = vectors.groupBy("run_id").agg(F.count(F.lit(1)).alias("frames"))
+    open_runs = runs.join(held, ["run_id"], "left").withColumn("frames", F.coalesce("frames", F.lit(0)))
+    stamp = F.current_timestamp() if at is None else at
+    outcome: list[DataFrame] = []
+
+    def change(base: commits.Snapshot) -> commits.Snapshot | None:
+        saved = base.read(spark, "episodes", EPISODE_INFO)
+        closed = base.read(spark, "closed", CLOSED_RUN)
+        left = open_runs.join(closed.select("dataset_id", "run_id"), ["dataset_id", "run_id"], "left_anti")
+        asked = recover(left, saved, actions).select("dataset_id", "run_id", "action", "status")
+        to_save = left.join(asked.where("status = 'saved'").select("dataset_id", "run_id").distinct(), ["dataset_id", "run_id"]).drop("frames")
+        nothing = datasets.select("dataset_id", F.lit(None).cast("array<string>").alias("joint_names")).limit(0)
+        alone = check_journal(vectors, to_save, nothing)
+        checked = check_journal(vectors, to_save, known_joints(alone, datasets, saved))
+        count = saved.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("saved"))
+        good = assign_episode_index(checked.where(F.col("error").isNull()), count).select("run_id", "episode_index")
+        # Numbers and verdicts are read by every table that is written, so they are settled once.
+        settled = stage(checked.join(good, ["run_id"], "left").withColumn("at", stamp))
+        result = asked.join(settled.select("dataset_id", "run_id", "error", "episode_index", "frames"), ["dataset_id", "run_id"], "left")
+        result = stage(result.withColumn("status", F.coalesce("error", "status")).drop("error"))
+        outcome[:] = [result]
+        done = result.where("status in ('saved', 'discarded')").select("dataset_id", "run_id", "status").distinct()
+        if done.isEmpty():
+            return None
+        numbered = settled.where(F.col("error").isNull())
+        episodes = (
+            numbered.join(run_facts(journal), ["run_id"], "left")
+            .withColumns({
+                "kind": F.lit(KIND_EPISODE), "schema_version": F.lit(SCHEMA_VERSION), "fps": F.col("fps").cast("long"),
+                "episode_id": F.concat(F.lit("episode-"), X.identity_token(F.col("dataset_id"), F.col("run_id"))),
+                "started_at": _texts(F.col("started_at")), "completed_at": _texts(F.col("at")), "saved_at": _texts(F.col("at")),
+                "task": F.coalesce("task", F.lit("")), "duration_seconds": X.duration_seconds(F.col("frames"), F.col("fps")),
+            })
+        )
+        episodes = episodes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EPISODE_INFO.fields])
+        manifest = episodes.withColumn("path", F.format_string("episodes/episode-%06d", F.col("episode_index")))
+        ids = episodes.select("run_id", *EPISODE, "episode_id")
+        frames = vectors.join(ids, ["run_id"]).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FRAMES.fields])
+        return commits.commit(
+            spark, base,
+            {
+                "frames": frames, "episodes": episodes, "manifest": manifest.select(*[f.name for f in MANIFEST_ENTRY.fields]),
+                "closed": done.withColumn("closed_at", _texts(stamp)),
+            },
+        )
+
+    return commits.transact(spark, root, change), outcome[0]
+
+
+def saved_tables(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    """Frames, episode rows, manifest entries and closed runs of one version."""
+    held = commits.snapshot(spark, root, version)
+    kinds = {"frames": FRAMES, "episodes": EPISODE_INFO, "manifest": MANIFEST_ENTRY, "closed": CLOSED_RUN}
+    return {table: held.read(spark, table, kind) for table, kind in kinds.items()}
+
+
+def dataset_features(episodes: DataFrame) -> DataFrame:
+    """Joint order, units and cameras of each dataset, as its last saved episode has them."""
+    last = F.max_by(F.struct("joint_names", "units", "cameras"), "episode_index").alias("_f")
+    return episodes.groupBy("dataset_id").agg(last).select("dataset_id", "_f.*")
