@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,10 +22,12 @@ SUPPORT = 100
 ABSORBED = 100
 TOP = 2000
 UNKNOWN = "und"
-#: Words of one part of the occurrence relation; a document is never cut, so a longer one is a part of its own.
-PART_WORDS = 1 << 20
+#: Words of one part of an occurrence relation; a document is never cut, so a longer one is a part of its own.
+PART_WORDS = 1 << 22
 #: Parts of one file: a reader holds a file's parts at a time.
-FILE_PARTS = 8
+FILE_PARTS = 4
+#: Up to so many frequent groups (some tens of MB) are sent to all workers; more are joined by key and brought back by part.
+SENT_GROUPS = 1_000_000
 
 # Where pieces end; blank and tab are what is left between words.
 ENDS = ".,;:!?\n\x0b\x0c\r"
@@ -48,87 +52,184 @@ def folder(df: DataFrame) -> DataFrame:
     """A written table of few large rows per file, read back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/staged-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", FILE_PARTS).option("compression", "zstd").parquet(path)
+    df.write.option("maxRecordsPerFile", FILE_PARTS).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-# A part of a relation: sorted places and the number of the group that begins at each; and its groups by that number.
-WORD_PART = "part long, places binary, codes binary, groups array<struct<code:int,lang:string,word:binary,n:bigint>>"
-PHRASE_PART = "part long, places binary, codes binary, groups array<struct<code:int,left:bigint,right:bigint,n:bigint>>"
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as compressed bytes."""
+    return zstandard.compress(numbers.astype(np.int32).tobytes(), 1)
 
 
-def listed(lengths: list[int], fields: dict[str, pa.Array]) -> pa.Array:
-    return pa.ListArray.from_arrays(
-        pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
-    )
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.int32)
 
 
-def word_part(part: int, texts: list[tuple[str, list[bytes]]]) -> pa.RecordBatch:
-    """The first relation of some documents: every word occurrence by place, with the counts of its groups."""
-    codes: dict[str, Codes] = {}
-    found = [(lang, np.fromiter(map(codes.setdefault(lang, Codes({BORDER: 0})).__getitem__, words), np.int32, len(words))) for lang, words in texts]
-    # Numbers of a language follow those of the one before; borders stay 0.
-    base, at, langs, words = {}, 1, [], []
-    for lang, known in codes.items():
-        base[lang], at = at - 1, at + len(known) - 1
-        langs += [lang] * (len(known) - 1)
-        words += list(known)[1:]
-    flat = np.concatenate([np.where(c > 0, c + base[lang], 0) for lang, c in found]).astype(np.int32)
-    places = np.flatnonzero(flat).astype(np.int32)
-    counts = np.bincount(flat, minlength=at)[1:]
-    groups = {"code": pa.array(np.arange(1, at, dtype=np.int32)), "lang": pa.array(langs, pa.string()), "word": pa.array(words, pa.binary()), "n": pa.array(counts, pa.int64())}
-    return pa.RecordBatch.from_arrays(
-        [pa.array([part]), pa.array([places.tobytes()]), pa.array([flat[places].tobytes()]), listed([at - 1], groups)],
-        names=["part", "places", "codes", "groups"],
-    )
+# A part of the relation of all words: a number per token, and for each number from 1 its key (language, blank, word) and count.
+TOKENS = "part long, codes binary, groups array<struct<key:binary,n:bigint>>"
+# A part of the relation of frequent groups: places in rising order, the number of the group that begins at each, and their ids.
+OCCURRENCES = "part long, places binary, codes binary, ids array<bigint>"
+PAIRS = "part long, left long, right long, n long"
 
 
 def words_relation(docs: DataFrame) -> DataFrame:
     """Occurrences of all words, in parts that hold whole documents."""
 
+    def part(number: int, held: list[tuple[str, np.ndarray]], known: dict[str, Codes]) -> pa.RecordBatch:
+        # Numbers of a language follow those of the one before; borders stay 0.
+        base, at, keys = {}, 1, []
+        for lang, codes in known.items():
+            base[lang], at = at - 1, at + len(codes) - 1
+            keys += [lang.encode() + b" " + word for word in list(codes)[1:]]
+        flat = np.concatenate([np.where(c > 0, c + base[lang], 0) for lang, c in held]).astype(np.int32)
+        counts = np.bincount(flat, minlength=at)[1:]
+        groups = pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], names=["key", "n"])
+        listed = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), groups)
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([packed(flat)]), listed], names=["part", "codes", "groups"])
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, serial, held, size = TaskContext.get().partitionId(), 0, [], 0
+        task, serial, held, known, size = TaskContext.get().partitionId(), 0, [], {}, 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = tokens(text.as_py())
                 if held and size + len(words) > PART_WORDS:
-                    yield word_part((task << 32) + serial, held)
-                    serial, held, size = serial + 1, [], 0
-                held.append((lang, words))
+                    yield part((task << 32) + serial, held, known)
+                    serial, held, known, size = serial + 1, [], {}, 0
+                codes = known.setdefault(lang, Codes({BORDER: 0}))
+                held.append((lang, np.fromiter(map(codes.__getitem__, words), np.int32, len(words))))
                 size += len(words)
         if held:
-            yield word_part((task << 32) + serial, held)
+            yield part((task << 32) + serial, held, known)
 
     given = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text"))
-    return given.mapInArrow(gather, WORD_PART)
-
-
-def extend(relation: pa.Table, known: pa.Table) -> pa.Table:
-    """Keep the occurrences of frequent groups (semi-join), then merge-join the sorted rest with itself on the next place."""
-    empty = pa.Table.from_batches([], schema=pa.schema([("part", pa.int64()), ("places", pa.binary()), ("codes", pa.binary()), (
-        "groups", pa.list_(pa.struct([("code", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])))]))
-    if not relation.num_rows or not known.num_rows:
-        return empty
-    places = np.frombuffer(relation.column("places")[0].as_py(), np.int32)
-    codes = np.frombuffer(relation.column("codes")[0].as_py(), np.int32)
-    order = np.argsort(known.column("code").to_numpy())
-    frequent, ids = known.column("code").to_numpy()[order], known.column("id").to_numpy()[order]
-    rank = np.full(max(int(codes.max(initial=0)), int(frequent[-1])) + 1, -1, np.int32)
-    rank[frequent] = np.arange(len(frequent), dtype=np.int32)
-    ranked = rank[codes]
-    kept = ranked >= 0
-    places, ranked = places[kept], ranked[kept]
-    next_ = np.flatnonzero(places[1:] == places[:-1] + 1)
-    if not len(next_):
-        return empty
-    pairs = ranked[next_].astype(np.int64) * len(frequent) + ranked[next_ + 1]
-    distinct, codes, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-    left, right = ids[distinct // len(frequent)], ids[distinct % len(frequent)]
-    groups = {"code": pa.array(np.arange(len(distinct), dtype=np.int32)), "left": pa.array(left), "right": pa.array(right), "n": pa.array(counts, pa.int64())}
-    return pa.table({
-        "part": relation.column("part").slice(0, 1), "places": pa.array([places[next_].tobytes()], pa.binary()),
-        "codes": pa.array([codes.astype(np.int32).tobytes()], pa.binary()), "groups": listed([len(distinct)], groups),
-    })
+    return given.mapInArrow(gather, TOKENS)
+
+
+def kept(part: int, places: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
+    """The semi-join: occurrences whose group has an id (not -1), groups numbered anew."""
+    frequent = ids >= 0
+    own = frequent[codes]
+    if not own.any():
+        return None
+    renamed = np.cumsum(frequent) - 1
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part]), pa.array([packed(places[own])]), pa.array([packed(renamed[codes[own]])]), pa.array([ids[frequent]], pa.list_(pa.int64()))],
+        names=["part", "places", "codes", "ids"],
+    )
+
+
+def adjacent(places: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The merge-join of sorted occurrences with themselves on the next place: where each pair begins, the number of the pair, and
+    for each number the ids of both halves and its count."""
+    first = np.flatnonzero(places[1:] == places[:-1] + 1)
+    pairs = codes[first].astype(np.int64) * len(ids) + codes[first + 1]
+    distinct, number, count = np.unique(pairs, return_inverse=True, return_counts=True)
+    return places[first], number, ids[distinct // max(len(ids), 1)], ids[distinct % max(len(ids), 1)], count
+
+
+def occurrences(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return unpacked(row["places"]), unpacked(row["codes"]), np.array(row["ids"], np.int64)
+
+
+def pairs_of(relation: DataFrame) -> DataFrame:
+    """Distinct pairs of neighbours of each part, with how often they occur there."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, _, left, right, n = adjacent(*occurrences(row))
+                columns = [np.full(len(n), row["part"]), left, right, n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["part", "left", "right", "n"])
+
+    return relation.mapInArrow(count, PAIRS)
+
+
+def frequent_words(relation: DataFrame, frequent: DataFrame, sent: bool) -> DataFrame:
+    """Occurrences of the frequent words. ``frequent``: ``key, id``."""
+
+    def ids_of(row: dict, ids: np.ndarray) -> pa.RecordBatch | None:
+        codes = unpacked(row["codes"])
+        places = np.flatnonzero(codes)
+        return kept(row["part"], places, codes[places] - 1, ids)
+
+    if sent:
+        table = frequent.toArrow()
+        held = relation.sparkSession.sparkContext.broadcast((table.column("key").combine_chunks(), table.column("id").to_numpy()))
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, ids = held.value
+            ids = np.append(ids, -1)
+            for batch in batches:
+                for i, row in enumerate(batch.select(["part", "codes"]).to_pylist()):
+                    found = pc.index_in(batch.column("groups")[i].values.field("key"), value_set=keys)
+                    out = ids_of(row, ids[pc.fill_null(found, -1).to_numpy(zero_copy_only=False)])
+                    if out is not None:
+                        yield out
+
+        return relation.mapInArrow(look, OCCURRENCES)
+
+    def meet(own: pa.Table, known: pa.Table) -> pa.Table:
+        out = None
+        if own.num_rows:
+            ids = np.full(own.column("many")[0].as_py(), -1, np.int64)
+            ids[known.column("code").to_numpy()] = known.column("id").to_numpy()
+            out = ids_of(own.select(["part", "codes"]).to_pylist()[0], ids)
+        return pa.Table.from_batches([out] if out is not None else [], schema=None if out is not None else _NONE)
+
+    groups = relation.select(F.col("part").alias("of"), F.posexplode("groups").alias("code", "g")).select("of", "code", "g.key")
+    known = groups.join(frequent, "key").select("of", "code", "id")
+    slim = relation.select("part", "codes", F.size("groups").alias("many"))
+    return slim.groupBy("part").cogroup(known.groupBy("of")).applyInArrow(meet, OCCURRENCES)
+
+
+_NONE = pa.schema([("part", pa.int64()), ("places", pa.binary()), ("codes", pa.binary()), ("ids", pa.list_(pa.int64()))])
+
+
+def frequent_pairs(relation: DataFrame, frequent: DataFrame, sent: bool) -> DataFrame:
+    """Occurrences of the frequent pairs. ``frequent``: ``left, right, id``."""
+
+    def grown(row: dict, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch | None:
+        places, number, left, right, _ = adjacent(*occurrences(row))
+        return kept(row["part"], places, number, lookup(left, right, known)) if len(number) else None
+
+    if sent:
+        held = relation.sparkSession.sparkContext.broadcast(by_halves(frequent.toArrow()))
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if (out := grown(row, held.value)) is not None:
+                        yield out
+
+        return relation.mapInArrow(look, OCCURRENCES)
+
+    def meet(own: pa.Table, known: pa.Table) -> pa.Table:
+        out = grown(own.to_pylist()[0], by_halves(known)) if own.num_rows else None
+        return pa.Table.from_batches([out] if out is not None else [], schema=None if out is not None else _NONE)
+
+    known = pairs_of(relation).join(frequent, ["left", "right"]).select(F.col("part").alias("of"), "left", "right", "id")
+    return relation.groupBy("part").cogroup(known.groupBy("of")).applyInArrow(meet, OCCURRENCES)
+
+
+def by_halves(known: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs and their ids in the order of the pairs."""
+    left, right, ids = (known.column(c).to_numpy() for c in ("left", "right", "id"))
+    order = np.lexsort((right, left))
+    return left[order], right[order], ids[order]
+
+
+def lookup(left: np.ndarray, right: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Ids of pairs, -1 where unknown. Ids of halves are renumbered so that a pair is one number that can be searched."""
+    lefts, rights, ids = known
+    if not len(ids):
+        return np.full(len(left), -1, np.int64)
+    names, others = np.unique(lefts), np.unique(rights)
+    place = lambda values, among: np.minimum(np.searchsorted(among, values), len(among) - 1)
+    a, b = place(left, names), place(right, others)
+    asked = a * len(others) + b
+    held = place(lefts, names) * len(others) + place(rights, others)
+    at = place(asked, held)
+    return np.where((held[at] == asked) & (names[a] == left) & (others[b] == right), ids[at], -1)
 
 
 def mine(
@@ -143,37 +244,30 @@ def mine(
     further columns do not matter; an empty table gives no rows. A very long text is one part of the relation.
 
     Every relation is written, sorted by place, in parts of whole documents; borders between pieces take a place, so adjacent
-    places are adjacent words of one piece. A round counts groups by adding up the parts' counts, tells each part which of its
-    groups are frequent, and the part joins itself on the next place: only frequent groups grow, as both halves of a longer
-    frequent phrase are frequent. Nothing is broadcast, and shuffles move one row per part and distinct group, not per occurrence.
+    places are adjacent words of one piece. A round joins each part with itself on the next place, counts the groups over all
+    parts, and keeps (semi-join) the occurrences of frequent groups before the next round: both halves of a longer frequent phrase
+    are frequent. Shuffles move one row per part and distinct group, not per occurrence.
     """
-    relation, key = folder(words_relation(docs)), ["lang", "word"]
-    found: list[DataFrame] = []
-    total: DataFrame | None = None
-    for length in range(1, longest + 1):
-        groups = relation.select("part", F.explode("groups").alias("g")).select("part", "g.*")
-        counts = groups.groupBy(*key).agg(F.sum("n").alias("a"))
-        if length == 1:
-            counts = stage(counts)
-            total = counts.groupBy("lang").agg(F.sum("a").alias("n"))
-        frequent = counts.where(F.col("a") >= support)
-        if length > 1:
-            # The words of a phrase are its first part's words and the last word of its second part.
-            before = found[-1]
-            first = before.select(F.col("id").alias("left"), "lang", "phrase")
-            last = before.select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("last"))
-            frequent = frequent.join(first, "left").join(last, "right").withColumn("phrase", F.concat_ws(" ", "phrase", "last"))
-        else:
-            frequent = frequent.withColumn("phrase", F.col("word").cast("string"))
-        halves = [F.col(c) for c in key if c not in ("lang", "word")]
-        frequent = stage(frequent.select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", "a", *halves))
-        found.append(frequent)
-        if length == longest or frequent.isEmpty():
+    relation = folder(words_relation(docs))
+    counts = stage(relation.select(F.explode("groups").alias("g")).groupBy("g.key").agg(F.sum("g.n").alias("a")))
+    # A word holds no blank, so the last one ends the language.
+    word = F.element_at(F.split(F.col("key").cast("string"), " "), -1)
+    lang = F.col("key").cast("string").substr(F.lit(1), F.char_length(F.col("key").cast("string")) - F.char_length(word) - 1)
+    total = counts.groupBy(lang.alias("lang")).agg(F.sum("a").alias("n"))
+    found = [stage(counts.where(F.col("a") >= support).select(F.monotonically_increasing_id().alias("id"), lang.alias("lang"), word.alias("phrase"), "a", "key"))]
+    for length in range(2, longest + 1):
+        before = found[-1]
+        many = before.count()
+        if not many:
             break
-        ids = frequent.select("id", *([*halves] if length > 1 else ["lang", F.col("phrase").cast("binary").alias("word")]))
-        known = groups.join(ids, key).select(F.col("part").alias("of"), "code", "id")
-        grown = relation.select("part", "places", "codes").groupBy("part").cogroup(known.groupBy("of"))
-        relation, key = folder(grown.applyInArrow(extend, PHRASE_PART)), ["left", "right"]
+        grow, key = (frequent_words, ["key"]) if length == 2 else (frequent_pairs, ["left", "right"])
+        relation = folder(grow(relation, before.select(*key, "id"), many <= SENT_GROUPS))
+        frequent = pairs_of(relation).groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
+        # The words of a phrase are its first part's words and the last word of its second part.
+        first = before.select(F.col("id").alias("left"), "lang", "phrase")
+        last = before.select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("last"))
+        named = frequent.join(first, "left").join(last, "right").withColumn("phrase", F.concat_ws(" ", "phrase", "last"))
+        found.append(stage(named.select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", "a", "left", "right")))
     return _ranked(found, total, absorbed, top)
 
 
