@@ -97,7 +97,7 @@ def build_archive(records: list[bytes]) -> bytes:
         trained = zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except zstandard.ZstdError:  # too few or too even records: their own bytes serve as raw content
         trained = b"".join(sample)[-DICTIONARY_BYTES:] or VERSION.encode()
-    packed = zstandard.ZstdCompressor(level=9).compress(trained)
+    packed = zstandard.ZstdCompressor(level=9, write_checksum=True).compress(trained)
     out = [struct.pack("<II", DICTIONARY_MAGIC, len(packed)), packed]
     press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(trained), write_checksum=True)
     out += [press.compress(r) for r in records]
@@ -191,20 +191,32 @@ def parse_record(raw: bytes) -> dict:
     }
 
 
+def read_dictionary(data: memoryview) -> tuple[zstandard.ZstdCompressionDict | None, int]:
+    """The dictionary in the leading skippable frame, if there is one, and where the records start."""
+    if bytes(data[:4]) != struct.pack("<I", DICTIONARY_MAGIC):
+        return None, 0
+    if len(data) < 8 or 8 + (length := struct.unpack_from("<I", data, 4)[0]) > len(data):
+        raise ValueError("the archive ends inside its dictionary")
+    raw = bytes(data[8 : 8 + length])
+    if raw[:4] == struct.pack("<I", FRAME_MAGIC):
+        packed = zstandard.ZstdDecompressor().decompressobj()
+        raw = packed.decompress(raw)
+        if not packed.eof:
+            raise ValueError("the dictionary's frame has no end")
+    return zstandard.ZstdCompressionDict(raw), 8 + length
+
+
 def read_archive(content: bytes) -> Iterator[dict]:
     """Records of one archive in order. A frame that can't be decoded or validated gives a row with ``error``; damage that
-    hides where the next frame starts ends the archive with one such row."""
+    hides where the next frame starts, or a dictionary that can't be read, ends the archive with one such row."""
     data = memoryview(content)
     blank = dict.fromkeys(("page_id", "url", "record_type", "refers_to", "payload", "stored_digest"))
-    dictionary, at = None, 0
-    if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_MAGIC:
-        length = struct.unpack_from("<I", data, 4)[0]
-        raw = bytes(data[8 : 8 + length])
-        at = 8 + length
-        if raw[:4] == struct.pack("<I", FRAME_MAGIC):
-            raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-        dictionary = zstandard.ZstdCompressionDict(raw)
-    opener = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
+    try:
+        dictionary, at = read_dictionary(data)
+        opener = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
+    except (ValueError, zstandard.ZstdError) as broken:
+        yield {**blank, "position": 0, "error": f"dictionary: {broken}"}
+        return
     position = 0
     while at < len(data):
         try:

@@ -153,3 +153,18 @@ def test_estimate_is_corrected_for_chance():
 def test_columns_of_the_same_names_pass(odd):
     assert set(CLASHING) <= set(odd.columns)
     assert odd.where(F.col("kept") != "other").count() == 0
+
+
+def test_a_damaged_dictionary_is_one_error_row(spark):
+    from kinelake.llm import warc
+
+    content = warc.build_archive([warc.encode_record(i, "http://a", b"x" * 300, "0" * 64, None) for i in range(3)])
+    length = int.from_bytes(content[4:8], "little")
+    flipped = bytearray(content)
+    flipped[8 + length // 2] ^= 0xFF
+    for broken in (content[:6], content[: 8 + length // 2], bytes(flipped)):
+        rows = list(warc.read_archive(broken))
+        assert len(rows) == 1 and rows[0]["error"].startswith("dictionary") and rows[0]["page_id"] is None
+    assert list(warc.read_archive(content[: 8 + length])) == [] and list(warc.read_archive(b"")) == []
+    damaged = spark.createDataFrame([("a", bytes(flipped)), ("b", content[:6]), ("c", None)], "archive string, content binary")
+    assert {(r.archive, r.position) for r in warc.read_archives(damaged).collect()} == {("a", 0), ("b", 0)}
