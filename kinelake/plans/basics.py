@@ -10,6 +10,7 @@ from kinelake.operators import projections as P
 from kinelake.operators.aggregates import full_episodes
 from kinelake.plans.registry import query
 from kinelake.schema import KIND_CAMERA_STREAM, KIND_REPLAY, KIND_SAMPLE_STREAM
+from kinelake.sources import keyed as K
 
 NOW_NS = 1_705_363_200_000_000_000  # 2024-01-16, the middle of the event stream
 AGE_LIMIT = 864_000.0
@@ -505,6 +506,26 @@ def l1(t):
     )
 
 
+@query(
+    "L1_frame_at_keyed",
+    "fe", "ev",
+    sql="""
+SELECT ev.event_id, fe.episode_index, fe.frame_index, fe.sample_sequence, round(fe.a0, 6) AS a0
+FROM ev JOIN fe ON fe.episode_index = ev.user_id AND fe.frame_index = least(greatest(ev.k * 2 - 20, 0), fe.n - 1)""",
+)
+def l1_keyed(t):
+    """The same lookups over a table that is laid out by key."""
+    requests = t.events.select(
+        F.lit("events-demo").alias("dataset_id"), F.col("user_id").alias("episode_index"), "event_id",
+        (F.col("k") * 2 - 20).alias("frame_index"),
+    )
+    found = K.keyed_frame_at(requests, full_episodes(t.frames_events), t.keyed_events)
+    return found.select(
+        "event_id", "episode_index", "frame_index", "sample_sequence",
+        r6(F.get("action", F.lit(0)).cast("double")).alias("a0"),
+    )
+
+
 @query(
     "L2_browse",
     "eps", "ds",

@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,8 @@ from kinelake.functions import scalars as X
 from kinelake.operators.blocks import dense_index, running_total, with_neighbours
 from kinelake.plans.registry import cte
 from kinelake.schema import KIND_SAMPLE
-from kinelake.session import stage
+from kinelake.session import shared_folder, stage
+from kinelake.sources import keyed as K
 
 JOINTS = ("shoulder", "elbow", "gripper")
 EVENTS_DATASET = "events-demo"
@@ -35,6 +37,7 @@ def f32(col):
 
 
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
+_KEYED: dict[tuple[str, str], K.KeyedFrames] = {}
 
 
 def staged_view(build):
@@ -118,6 +121,16 @@ class Tables:
             F.array("a0", "a1", "a2").alias("leader_state"),
         )
 
+    @cached_property
+    def keyed_events(self) -> K.KeyedFrames:
+        """``frames_events`` laid out by key, once per application."""
+        key = (self.spark.sparkContext.applicationId, self.root)
+        if key not in _KEYED or not still_there(_KEYED[key].frames):
+            root = f"{shared_folder(self.spark)}/keyed-{uuid.uuid4().hex}"
+            K.write_keyed(self.frames_events, root, buckets=32, run=64)
+            _KEYED[key] = K.read_keyed(self.spark, root)
+        return _KEYED[key]
+
     @staged_view
     def frames_lines(self) -> DataFrame:
         order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",

@@ -9,8 +9,14 @@ from kinelake.plans.exchange import scratch
 from kinelake.plans.fixtures import STALE_SECONDS
 from kinelake.plans.ordered import AUTOPAUSE_SQL, REPLAY_SQL, replay_tables, ticks
 from kinelake.plans.registry import cte, query
+from kinelake.sources import keyed as K
 from kinelake.sources import streams as S
 from kinelake.streaming import operators as O
+from kinelake.streaming import sync as Y
+
+
+#: Rows of a file, about. Every part has the same number of files and the source takes them by age, so a micro-batch is one part.
+FILE_ROWS = 20_000
 
 
 def as_stream(t, df, name: str, by: str | None = None, parts: int = 3):
@@ -19,13 +25,16 @@ def as_stream(t, df, name: str, by: str | None = None, parts: int = 3):
     if by is None:
         df.write.parquet(path)
     else:
-        cuts = df.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)])).first()[0] or []
+        cuts, rows = df.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)]), F.count(F.lit(1))).first()
+        cuts, files = cuts or [], max(1, rows // FILE_ROWS)
         edges = [None, *cuts, None]
-        for low, high in zip(edges, edges[1:]):
-            part = df.where(F.lit(True) if low is None else F.col(by) > low).where(F.lit(True) if high is None else F.col(by) <= high)
-            part.coalesce(1).write.mode("append").parquet(path)
+        for i, (low, high) in enumerate(zip(edges, edges[1:])):
+            inside = (F.lit(True) if low is None else F.col(by) > low) & (F.lit(True) if high is None else F.col(by) <= high)
+            # Rows without a value of the order come first.
+            part = df.where(F.coalesce(inside, F.lit(i == 0)))
+            part.repartition(files).write.mode("append").parquet(path)
     reader = t.spark.readStream.schema(t.spark.read.parquet(path).schema)
-    return (reader if by is None else reader.option("maxFilesPerTrigger", 1)).parquet(path)
+    return (reader if by is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
 
 
 def drain(t, stream, name: str, mode: str = "append"):
@@ -124,6 +133,49 @@ def t4(t):
     )
 
 
+def merged_sides(t):
+    """Samples, camera frames and the ends of runs as streams that advance together, in three micro-batches."""
+    tagged = lambda df, side: df.withColumn("_side", F.lit(side))
+    both = tagged(t.samples, Y.SAMPLE).unionByName(tagged(t.camera_frames, Y.CAMERA), allowMissingColumns=True)
+    ends = both.groupBy("run_id").agg((F.max("captured_at_ns") + 1).alias("captured_at_ns"))
+    source = as_stream(t, both.unionByName(tagged(ends, Y.END), allowMissingColumns=True), "sides", "captured_at_ns")
+    return [source.where(F.col("_side") == side).drop("_side") for side in (Y.SAMPLE, Y.CAMERA, Y.END)]
+
+
+@query("J2_sync_stateful", "sync", sql="SELECT run_id, sequence, front_sequence, wrist_sequence, reason FROM sync")
+def j2_stateful(t):
+    """The synchronised table of J1 from streams: one row per sample."""
+    samples, cameras, ends = merged_sides(t)
+    synced = drain(t, Y.sync_stateful(samples, cameras, ["front", "wrist"], STALE_SECONDS, "1 second", ends), "synced")
+    return synced.select(
+        "run_id", "sequence", F.col("cameras")["front"]["sequence"].alias("front_sequence"),
+        F.col("cameras")["wrist"]["sequence"].alias("wrist_sequence"), "reason",
+    )
+
+
+@query(
+    "T3_record_stateful",
+    "near", "smp",
+    sql="""
+SELECT n.run_id, n.sequence, row_number() OVER (PARTITION BY n.run_id ORDER BY n.captured_at_ns, n.sequence) - 1 AS frame_index,
+       round((row_number() OVER (PARTITION BY n.run_id ORDER BY n.captured_at_ns, n.sequence) - 1) / 30.0::DOUBLE, 6) AS timestamp, front_sequence, wrist_sequence
+FROM (SELECT run_id, sequence, captured_at_ns, max(camera_sequence) FILTER (camera = 'front') AS front_sequence, max(camera_sequence) FILTER (camera = 'wrist') AS wrist_sequence
+      FROM near GROUP BY ALL HAVING count(*) = 2) n JOIN smp s ON s.run_id = n.run_id AND s.sequence = n.sequence WHERE s.armed AND s.live""",
+)
+def t3_stateful(t):
+    """The recorder that numbers frames while it streams; nothing but finished frames is stored."""
+    samples, cameras, ends = merged_sides(t)
+    sink = scratch(t, "recorded-frames")
+    writer = Y.record_stateful(
+        samples, cameras, ["front", "wrist"], F.col("captured_at_ns"), sink, scratch(t, "record-state"), F.lit(30), STALE_SECONDS, True, "1 second", ends
+    )
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(sink).select(
+        "run_id", "sequence", "frame_index", F.round("timestamp", 6).alias("timestamp"),
+        F.col("cameras")["front"]["sequence"].alias("front_sequence"), F.col("cameras")["wrist"]["sequence"].alias("wrist_sequence"),
+    )
+
+
 @query(
     "T1_tick_sample",
     "smp",
@@ -215,6 +267,24 @@ def t8(t):
     return out.select("event_id", "publisher_id", "frame_index")
 
 
+@query(
+    "T8_replay_keyed",
+    "ev", "fe",
+    sql=REPLAY_SQL + """
+SELECT q.event_id, pp.publisher_id, q.frame_index, round(fe.a0, 6) AS p0
+FROM q JOIN pp ON pp.token = q.token JOIN fe ON fe.episode_index = q.episode_index AND fe.frame_index = q.frame_index WHERE error IS NULL""",
+)
+def t8_keyed(t):
+    """Three micro-batches of events, each of which reads the buckets it needs."""
+    events, publishers, sessions = replay_tables(t)
+    path = scratch(t, "keyed-deliveries")
+    live = as_stream(t, events, "keyed-events", "event_id")
+    writer = K.replay_stream(live, publishers, sessions, t.keyed_events, "action", lambda out, _: out.write.mode("append").parquet(path))
+    writer.option("checkpointLocation", scratch(t, "keyed-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    out = t.spark.read.parquet(path)
+    return out.select("event_id", "publisher_id", "frame_index", F.round(F.get("positions", F.lit(0)), 6).alias("p0"))
+
+
 @query("T9_latest_only", "smp", sql="SELECT run_id, max(sequence) AS sequence, count(*) - 1 AS dropped, CAST(0 AS BIGINT) AS batch_id FROM smp GROUP BY 1")
 def t9(t):
     stream = as_stream(t, t.samples.select("run_id", "sequence", "captured_at_ns"), "samples")

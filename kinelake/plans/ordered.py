@@ -13,6 +13,7 @@ from kinelake.plans.basics import r6
 from kinelake.plans.fixtures import STALE_SECONDS
 from kinelake.plans.registry import cte, query
 from kinelake.sources.journals import assign_episode_index
+from kinelake.sources import keyed as K
 
 cte(
     "rec",
@@ -537,6 +538,21 @@ def j5_deliveries(t):
     )
 
 
+@query(
+    "J5_deliveries_keyed",
+    "ev", "fe",
+    sql=REPLAY_SQL + """
+SELECT q.event_id, pp.publisher_id, q.frame_index, round(fe.a0, 6) AS p0, round(fe.a1, 6) AS p1
+FROM q JOIN pp ON pp.token = q.token JOIN fe ON fe.episode_index = q.episode_index AND fe.frame_index = q.frame_index WHERE error IS NULL""",
+)
+def j5_keyed(t):
+    out = K.keyed_deliveries(*replay_tables(t), t.keyed_events, "action")
+    return out.select(
+        "event_id", "publisher_id", "frame_index", r6(F.get("positions", F.lit(0))).alias("p0"),
+        r6(F.get("positions", F.lit(1))).alias("p1"),
+    )
+
+
 def mapping(t):
     """Joint mappings per robot type of the regions; the gripper has none."""
     region = t("region").where("r_regionkey = 0")
