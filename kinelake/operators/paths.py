@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.functions import vectors as V
@@ -74,12 +76,71 @@ def steps(points: DataFrame) -> DataFrame:
     return with_neighbours(here, 1, 0, {"_q": lambda w: F.lag("_p").over(w)}).withColumn("step", gap("_p", "_q")).drop("_p", "_q")
 
 
+CHAIN = [f"{a}{k}" for a in ("p", "a") for k in AXES]
+KEPT = "struct<x:double,y:double,z:double>"
+
+
+def follow_block(kept: tuple[float, float, float], limit: float, points: list, after: list) -> tuple[tuple[float, float, float], list[int]]:
+    """The last kept point behind a block and the places of its spikes, given the last kept point before it."""
+    gone = []
+    for i, (p, a) in enumerate(zip(points, after, strict=True)):
+        x, y, z = kept
+        if math.sqrt((x - p[0]) * (x - p[0]) + (y - p[1]) * (y - p[1]) + (z - p[2]) * (z - p[2])) > limit and (
+            math.sqrt((x - a[0]) * (x - a[0]) + (y - a[1]) * (y - a[1]) + (z - a[2]) * (z - a[2])) <= limit * RETURN_FACTOR
+        ):
+            gone.append(i)
+        else:
+            kept = p
+    return kept, gone
+
+
+def follow_runs(doubtful: DataFrame) -> DataFrame:
+    """(episode, frame_index) of the spikes among the rows of each ``run``, cut into blocks ``_part``.
+
+    Each block follows its points from an assumed last kept point: at first the point right before it, as if that one had been
+    kept. A kept point makes what came before it forgotten, so nearly every block leaves the same point behind whatever it was
+    given. Blocks whose predecessor left another point than they assumed are done again, until all assumptions hold; a round
+    touches those blocks only. No run is gathered, however many points jump.
+    """
+    key = [*EPISODE, "run", "_part"]
+    flat = [F.col(f"_p.{k}").alias(f"p{k}") for k in AXES] + [F.col(f"_after.{k}").alias(f"a{k}") for k in AXES]
+    row = F.struct("frame_index", F.struct(*[F.col(f"_before.{k}").alias(k) for k in AXES]).alias("_before"), *flat)
+    blocks = doubtful.groupBy(*key).agg(F.array_sort(F.collect_list(row)).alias("_c"), F.first("_limit").alias("_limit"))
+    blocks = stage(
+        blocks.select(*key, "_limit", F.get("_c", F.lit(0))["_before"].cast(KEPT).alias("assumed"), F.col("_c.frame_index").alias("at"), *[F.col(f"_c.{c}").alias(c) for c in CHAIN])
+    )
+    kinds = dict(doubtful.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + f", assumed {KEPT}, left {KEPT}, gone array<bigint>"
+
+    def follow(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            left, gone = [], []
+            for r in part.to_pylist():
+                points, after = (list(zip(*(r[f"{a}{k}"] for k in AXES), strict=True)) for a in ("p", "a"))
+                kept, places = follow_block(tuple(r["assumed"][k] for k in AXES), r["_limit"], points, after)
+                left.append(dict(zip(AXES, kept, strict=True)))
+                gone.append([r["at"][i] for i in places])
+            kind = pa.struct([(k, pa.float64()) for k in AXES])
+            columns = [*[part.column(k) for k in key], part.column("assumed"), pa.array(left, kind), pa.array(gone, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*key, "assumed", "left", "gone"])
+
+    done = stage(blocks.mapInArrow(follow, schema))
+    while True:
+        before = Window.partitionBy(*EPISODE, "run").orderBy("_part")
+        held = done.select(*key, "assumed", F.lag("left").over(before).alias("given"))
+        wrong = stage(held.where(F.col("given").isNotNull() & (F.col("given") != F.col("assumed"))).select(*key, F.col("given").alias("assumed")))
+        if wrong.isEmpty():
+            return done.select(*EPISODE, F.explode("gone").alias("frame_index"))
+        again = blocks.drop("assumed").join(wrong, key).select(*blocks.columns).mapInArrow(follow, schema)
+        done = stage(done.join(wrong.select(*key), key, "left_anti").unionByName(again))
+
+
 def reject_spikes(points: DataFrame) -> DataFrame:
     """Drop isolated spikes: far from the last kept point and from the next one, while those two are close.
 
     Points that are not finite go first; a path of fewer than four points stays. The first and last point always stay.
     Only a point followed by a jump can be a spike, so any other point is kept for certain and starts afresh: the
-    recursion over kept points runs inside each run of consecutive jumps, not along the path.
+    recursion over kept points runs inside each run of consecutive jumps, and there block by block (``follow_runs``).
     """
     finite = points.where(V.is_finite(F.col("x")) & V.is_finite(F.col("y")) & V.is_finite(F.col("z")))
     stepped = stage(steps(reindex(finite)).withColumn("_p", point()))
@@ -100,39 +161,8 @@ def reject_spikes(points: DataFrame) -> DataFrame:
     )
     inner = (F.col("frame_index") > 0) & (F.col("frame_index") < F.col("_n") - 1) & (F.col("_n") >= MIN_PATH)
     doubtful = around.withColumn("_doubt", inner & F.coalesce(F.col("_next_step") > F.col("_limit"), F.lit(False)))
-    numbered = run_ids(doubtful, "_doubt")
-    chains = (
-        numbered.where(F.col("run").isNotNull())
-        .groupBy(*EPISODE, "run")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("frame_index", "_before", "_p", "_after"))
-            ).alias("_chain"),
-            F.first("_limit").alias("_limit"),
-        )
-    )
-
-    def far(a: Column, b: Column) -> Column:
-        return F.sqrt(sum((a[k] - b[k]) * (a[k] - b[k]) for k in AXES))
-
-    start = F.struct(
-        F.get("_chain", F.lit(0))["_before"].alias("kept"), F.array().cast("array<bigint>").alias("dropped")
-    )
-
-    def follow(state: Column, row: Column) -> Column:
-        spike = (far(state["kept"], row["_p"]) > F.col("_limit")) & (
-            far(state["kept"], row["_after"]) <= F.col("_limit") * RETURN_FACTOR
-        )
-        return F.struct(
-            F.when(spike, state["kept"]).otherwise(row["_p"]).alias("kept"),
-            F.when(spike, F.concat(state["dropped"], F.array(row["frame_index"])))
-            .otherwise(state["dropped"])
-            .alias("dropped"),
-        )
-
-    dropped = chains.select(
-        *EPISODE, F.explode(F.aggregate("_chain", start, follow)["dropped"]).alias("frame_index")
-    )
+    numbered = run_ids(doubtful, "_doubt").where(F.col("run").isNotNull())
+    dropped = follow_runs(numbered.withColumn("_part", frame_block(numbered)))
     return (
         stepped.drop("step", "_p")
         .join(dropped, [*EPISODE, "frame_index"], "left_anti")

@@ -46,6 +46,32 @@ def test_spikes_in_a_row_follow_the_last_kept_point(spark, small_blocks):
     assert kept(G.reject_spikes(points(spark, xyz))) == [tuple(map(float, p)) for p in expected]
 
 
+def brute_spikes(xyz):
+    steps = sorted(math.dist(a, b) for a, b in zip(xyz, xyz[1:]))
+    mid = steps[(len(steps) - 1) // 2]
+    mad = sorted(abs(s - mid) for s in steps)[(len(steps) - 1) // 2]
+    limit = max(8 * mid, mid + 8 * mad, 1e-4)
+    expected = [xyz[0]]
+    for p, nxt in zip(xyz[1:], xyz[2:]):
+        if not (math.dist(expected[-1], p) > limit and math.dist(p, nxt) > limit and math.dist(expected[-1], nxt) <= 2 * limit):
+            expected.append(p)
+    return [*expected, xyz[-1]]
+
+
+def test_one_run_of_jumps_over_many_blocks(spark, small_blocks):
+    import random
+
+    random.seed(5)
+    walk = [(float(i), 0.0, 0.0) for i in range(130)]
+    # Around the last point of the walk: no point of the ring is ever kept, so what is kept passes through every block.
+    ring = [(129 + 12 * math.cos(a), 12 * math.sin(a), 0.0) for a in (i * 2.5 for i in range(60))]
+    wild = [(random.uniform(-40, 40), random.uniform(-40, 40), random.uniform(-9, 9)) for _ in range(50)]
+    for xyz in (walk + ring, walk + ring + wild, walk + wild + ring + walk[:20]):
+        found, wanted = kept(G.reject_spikes(points(spark, xyz))), brute_spikes(xyz)
+        assert found == wanted
+    assert len(brute_spikes(walk + ring)) < len(walk) + 5
+
+
 def test_gap_splits_path(spark):
     rows = G.split_path(points(spark, [(x, 0, 0) for x in (0, 1, 2, 100, 101, 102)])).collect()
     assert {r.piece for r in rows} == {0, 1} and all(r.threshold < 98 for r in rows)
