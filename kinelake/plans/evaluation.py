@@ -8,8 +8,10 @@ from kinelake.operators import aggregates as A
 from kinelake.operators import analysis as N
 from kinelake.operators import evaluate as E
 from kinelake.plans.basics import r6
+from kinelake.plans.exchange import scratch
 from kinelake.plans.fixtures import JOINTS
 from kinelake.plans.registry import cte, query
+from kinelake.sources import verdicts as L
 
 RULE = "not grip_slip and array_contains(tags, 'move')"
 
@@ -418,6 +420,30 @@ def l3(t):
     return A.top_failure(given_verdicts(t))
 
 
+@query(
+    "S17_write_back",
+    "vd", "fe",
+    sql="""
+SELECT f.episode_index, 'task-' || (f.episode_index % 3) AS task, CASE WHEN f.episode_index % 2 = 0 THEN true ELSE vd.success END AS success,
+       CASE WHEN f.episode_index % 2 = 0 THEN 'second' ELSE vd.failed_stage END AS failed_stage
+FROM (SELECT DISTINCT episode_index FROM fe) f LEFT JOIN vd ON vd.episode_index = f.episode_index WHERE vd.episode_index IS NOT NULL OR f.episode_index % 2 <> 0
+UNION ALL SELECT DISTINCT fe.episode_index, 'task-' || (fe.episode_index % 3), NULL, NULL FROM fe LEFT JOIN vd ON vd.episode_index = fe.episode_index WHERE vd.episode_index IS NULL AND fe.episode_index % 2 = 0""",
+)
+def s17_write_back(t):
+    """Verdicts written, those of every second episode written again, the log compacted and read with its episodes."""
+    root = scratch(t, "verdicts")
+    given = given_verdicts(t).withColumn("ts", F.lit(2.0))
+    L.write_back(given, root)
+    # A later revision counts although its clock lies before.
+    again = given.where("episode_index % 2 = 0").withColumns({"success": F.lit(True), "failed_stage": F.lit("second"), "ts": F.lit(1.0)})
+    L.write_back(again, root)
+    L.compact(t.spark, root)
+    out = L.with_evaluation(episode_rows(t), root)
+    return out.select(
+        "episode_index", "task", F.col("evaluation.success").alias("success"), F.col("evaluation.failed_stage").alias("failed_stage")
+    )
+
+
 @query(
     "S17_with_verdicts",
     "vd", "fe",

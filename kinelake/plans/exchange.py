@@ -495,6 +495,42 @@ def s10_info(t):
     )
 
 
+@query(
+    "S10_lerobot_stats",
+    "fo",
+    sql="""
+SELECT dataset_id, c.feature, c.joint, count(*) AS "count", round(min(c.v), 6) AS "min", round(max(c.v), 6) AS "max", round(avg(c.v), 5) AS "mean", round(stddev_pop(c.v), 5) AS "std"
+FROM fo, LATERAL (VALUES ('observation.state', 0, o0), ('observation.state', 1, o1), ('observation.state', 2, o2), ('action', 0, a0), ('action', 1, a1), ('action', 2, a2)) AS c(feature, joint, v)
+GROUP BY ALL""",
+)
+def s10_stats(t):
+    """The stats documents, parsed again."""
+    texts = X.lerobot_stats_documents(X.lerobot_stats(t.frames_orders))
+    vector = "struct<min:array<double>,max:array<double>,mean:array<double>,std:array<double>,count:array<bigint>>"
+    parsed = texts.select("dataset_id", F.explode(F.from_json("value", f"map<string,{vector}>")).alias("feature", "s"))
+    joints = parsed.select("dataset_id", "feature", F.posexplode(F.arrays_zip("s.min", "s.max", "s.mean", "s.std", "s.count")).alias("joint", "j"))
+    return joints.select(
+        "dataset_id", "feature", "joint", "j.count", *[r6(F.col(f"j.{c}")).alias(c) for c in ("min", "max")],
+        *[F.round(f"j.{c}", 5).alias(c) for c in ("mean", "std")],
+    )
+
+
+@query(
+    "S10_lerobot_video_info",
+    "ds",
+    sql="""
+SELECT dataset_id, 'observation.images.' || camera AS feature, 480 AS height, 640 AS width, 'mpeg4' AS codec, 'yuv420p' AS pixels, CAST(fps AS INTEGER) AS fps, 3 AS channels
+FROM ds, LATERAL (VALUES ('front'), ('wrist')) AS c(camera)""",
+)
+def s10_video(t):
+    out = X.lerobot_video_info(t.datasets, camera_table(t))
+    return out.select(
+        "dataset_id", "feature", F.col("info")["video.height"].alias("height"), F.col("info")["video.width"].alias("width"),
+        F.col("info")["video.codec"].alias("codec"), F.col("info")["video.pix_fmt"].alias("pixels"), F.col("info")["video.fps"].cast("int").alias("fps"),
+        F.col("info")["video.channels"].alias("channels"),
+    )
+
+
 HUB_ID = "coalesce(nullif(trim(e.episode_id), ''), e.dataset_id || '-episode-' || lpad(CAST(e.episode_index AS VARCHAR), 6, '0'))"
 
 
@@ -590,12 +626,34 @@ def s15(t):
         X.write_export(rows, provenance, path, kind),
         X.write_export(rows, provenance, path, kind, overwrite=True),
     ]
-    back = t.spark.read.parquet(f"{path}/data")
+    back = X.read_export(t.spark, path)
     return back.groupBy("dataset_id").agg(F.count("*").alias("frames"), F.max("index").alias("last_index")).withColumn(
         "steps", F.lit(" ".join(seen))
     )
 
 
+@query(
+    "S14_training_sources",
+    "eps", "ds",
+    sql="""
+SELECT e.dataset_id, e.episode_index, 'datasets/' || e.dataset_id || '/episodes/episode-' || lpad(CAST(e.episode_index AS VARCHAR), 6, '0') AS source_episode,
+       '2024-01-01' AS exported_at, CASE WHEN o_orderkey % 3 = 0 THEN 'F-' || o_orderkey END AS follower, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS known
+FROM eps e JOIN ds d ON d.dataset_id = e.dataset_id""",
+)
+def s14_sources(t):
+    """Attributes with the robot's identity and where an episode comes from."""
+    key = F.substring("run_id", 5, 20).cast("long")
+    none = F.lit(None).cast("string")
+    robot = F.struct(
+        F.concat(F.lit("L-"), key).alias("leader_hardware_id"), F.when(key % 3 == 0, F.concat(F.lit("F-"), key)).alias("follower_hardware_id"),
+        none.alias("leader_calibration_path"), none.alias("follower_calibration_path"),
+    )
+    out = X.training_attributes(facts(t).withColumn("robot", robot), exported_at=F.lit("2024-01-01"))
+    return out.select(
+        "dataset_id", "episode_index", "source_episode", "exported_at", F.col("robot")["follower_hardware_id"].alias("follower"), F.size("robot").alias("known"),
+    )
+
+
 def event_sessions(t):
     return A.full_episodes(t.frames_events).select(
         "dataset_id", "episode_index", "frames", F.lit(30.0).alias("fps"), F.lit("radians").alias("units")

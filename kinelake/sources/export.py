@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.functions import scalars as X
-from kinelake.operators.aggregates import full_episodes
+from kinelake.operators.aggregates import feature_stats, feature_vectors, full_episodes
 from kinelake.operators.blocks import EPISODE, dense_index, frame_block
 from kinelake.operators.filters import smooth
 from kinelake.operators.windows import episode_offsets
-from kinelake.schema import SCHEMA_VERSION
+from kinelake.schema import ROBOT_KEYS, SCHEMA_VERSION
+from kinelake.sources import commits
 
 # --- fixed values of the exported formats -------------------------------------------------------------------------
 CODEBASE_VERSION = "v3.0"
@@ -119,6 +120,45 @@ def lerobot_features(datasets: DataFrame, cameras: DataFrame) -> DataFrame:
     return datasets.select("dataset_id", F.inline(F.array(*vectors, *scalars))).unionByName(images)
 
 
+def lerobot_video_info(datasets: DataFrame, cameras: DataFrame) -> DataFrame:
+    """What the info document says of each camera's video: ``dataset_id, feature, info``.
+
+    ``cameras``: ``dataset_id, camera, height, width, channels``, and where known ``codec, pixel_format, has_audio``.
+    """
+    def given(name: str, kind: str, default) -> Column:
+        return F.coalesce(F.col(name).cast(kind) if name in cameras.columns else F.lit(None).cast(kind), F.lit(default))
+
+    info = F.struct(
+        given("height", "int", 0).alias("video.height"), given("width", "int", 0).alias("video.width"),
+        given("codec", "string", VIDEO_CODEC).alias("video.codec"), given("pixel_format", "string", VIDEO_PIXELS).alias("video.pix_fmt"),
+        F.lit(False).alias("video.is_depth_map"), F.col("fps").alias("video.fps"), given("channels", "int", VIDEO_CHANNELS).alias("video.channels"),
+        given("has_audio", "boolean", False).alias("has_audio"),
+    )
+    return cameras.join(datasets.select("dataset_id", "fps"), ["dataset_id"]).select(
+        "dataset_id", F.concat(F.lit("observation.images."), "camera").alias("feature"), info.alias("info")
+    )
+
+
+def lerobot_stats(frames: DataFrame, method: str = "none", strength: float = 1.0, fps: float | str = 30.0) -> DataFrame:
+    """Statistics of each dataset's exported vectors: ``dataset_id, feature`` and min, max, mean, std, count per joint.
+
+    They are those of the values that are exported, after smoothing.
+    """
+    if method != "none":
+        frames = smooth(frames, method, strength, fps, ("observation", "action"))
+    parts = []
+    for feature, channel in zip(VECTOR_FEATURES, ("observation", "action"), strict=True):
+        parts.append(feature_vectors(feature_stats(frames, (channel,))).withColumn("feature", F.lit(feature)))
+    both = parts[0].unionByName(parts[1])
+    return both.select("dataset_id", "feature", "min", "max", "mean", "std", "count")
+
+
+def lerobot_stats_documents(stats: DataFrame) -> DataFrame:
+    """The stats document of each dataset as one JSON text."""
+    entry = F.struct("feature", F.struct("min", "max", "mean", "std", "count").alias("s"))
+    return stats.groupBy("dataset_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
+
+
 def lerobot_info(datasets: DataFrame, totals: DataFrame, features: DataFrame) -> DataFrame:
     """The info document of each dataset as columns, with its features as a map (a handful per dataset).
 
@@ -236,8 +276,10 @@ def training_table(
     )
 
 
-def training_attributes(facts: DataFrame, method: str = "none", strength: float = 1.0) -> DataFrame:
-    """One row of attributes per episode."""
+def training_attributes(
+    facts: DataFrame, method: str = "none", strength: float = 1.0, exported_at: Column | None = None
+) -> DataFrame:
+    """One row of attributes per episode; ``facts`` may carry the episode's ``robot`` record."""
     return facts.select(
         *EPISODE,
         F.lit(SCHEMA_VERSION).alias("schema_version"),
@@ -249,7 +291,13 @@ def training_attributes(facts: DataFrame, method: str = "none", strength: float
         F.lit("RGB").alias("image_color_space"),
         F.lit((method or "none").lower()).alias("smoothing"),
         F.lit(float(strength)).alias("smoothing_strength"),
-    )
+        F.concat(F.lit("datasets/"), F.col("dataset_id")).alias("source_dataset"),
+        F.format_string("datasets/%s/episodes/episode-%06d", F.col("dataset_id"), F.col("episode_index")).alias("source_episode"),
+        (X.iso_utc(F.current_timestamp()) if exported_at is None else exported_at).alias("exported_at"),
+        # What is known of the robot, key by key; keys it has not are left out.
+        (F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in ROBOT_KEYS]), F.array(*[F.col(f"robot.{k}").cast("string") for k in ROBOT_KEYS])),
+                      lambda _, v: v.isNotNull()) if "robot" in facts.columns else F.create_map().cast("map<string,string>")).alias("robot"),
+    )
 
 
 # --- provenance and write modes -----------------------------------------------------------------------------------
@@ -292,41 +340,61 @@ def hub_manifest_rows(facts: DataFrame, cameras: Sequence[str]) -> DataFrame:
     )
 
 
-MARKER = "_export"
+class ExportRefused(ValueError):
+    """An export that validation does not let pass. ``violations`` holds every error as rows; the text lists them up to ``LISTED``."""
 
+    LISTED = 1000
 
-def _exists(spark, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    def __init__(self, violations: DataFrame):
+        self.violations = violations
+        order = [F.asc_nulls_first(c) for c in ("dataset_id", "episode_index", "rule", "message") if c in violations.columns]
+        found = violations.select("message", *[c for c in ("dataset_id", "episode_index", "rule") if c in violations.columns])
+        texts = [r["message"] for r in found.orderBy(*order).limit(self.LISTED + 1).collect()]
+        more = f"; and {violations.count() - self.LISTED} more" if len(texts) > self.LISTED else ""
+        super().__init__("validation found errors: " + "; ".join(texts[: self.LISTED]) + more)
 
 
 def write_export(
-    rows: DataFrame, provenance: DataFrame, path: str, kind: str, action: str = "export", overwrite: bool = False,
+    rows: DataFrame | dict[str, DataFrame], provenance: DataFrame, path: str, kind: str, action: str = "export", overwrite: bool = False,
     violations: DataFrame | None = None,
 ) -> str:
     """Write an export or say why not: ``checked``, ``exported``, ``exists``; anything else raises.
 
-    Exports are gated on validation. A path holding another kind of data is never touched.
+    Exports are gated on validation, and the error names every violation. ``rows`` is the export's table, or several by name. They
+    and the provenance become visible in one commit as the next version of ``path``: a job that fails leaves the version before
+    readable, and readers that hold it keep their files until ``commits.sweep``. A path holding anything else is never touched.
     """
-    spark = rows.sparkSession
+    spark = provenance.sparkSession
     if action not in ("check", "export"):
         raise ValueError("action must be check or export")
     if violations is not None:
-        worst = violations.where(F.col("severity") == "error").limit(1).collect()
-        if worst:
-            raise ValueError(f"dataset validation failed: {worst[0]['message']}")
+        errors = violations.where(F.col("severity") == "error")
+        if not errors.isEmpty():
+            raise ExportRefused(errors)
     if action == "check":
         return "checked"
-    marker = f"{path}/{MARKER}"
-    ours = provenance.where(F.col("kind") == kind)
-    if _exists(spark, path):
-        held = spark.read.parquet(marker).where(F.col("kind") == kind) if _exists(spark, marker) else None
-        if held is None or not held.limit(1).count():
-            raise ValueError(f"export path holds something else: {path}")
-        if not overwrite and held.where("complete").limit(1).count():
-            return "exists"
-    # Marked unfinished before and finished after the data, so a lost job is seen and may be repeated.
-    ours.withColumn("complete", F.lit(False)).write.mode("overwrite").parquet(marker)
-    rows.write.mode("overwrite").option("compression", "snappy").parquet(f"{path}/data")
-    ours.withColumn("complete", F.lit(True)).write.mode("overwrite").parquet(marker)
-    return "exported"
+    tables = {**(rows if isinstance(rows, dict) else {"data": rows}), "provenance": provenance.where(F.col("kind") == kind)}
+    found: list[str] = []
+
+    def change(base: commits.Snapshot) -> commits.Snapshot | None:
+        if base.version < 0 and commits.names(spark, path):
+            # Folders of a lost first attempt carry no record; anything else is not ours.
+            if not set(commits.names(spark, path)) <= {*tables, commits.COMMITS}:
+                raise ValueError(f"{path} holds data of another kind")
+        if base.version >= 0 and base.notes.get("kind") != kind:
+            raise ValueError(f"{path} holds data of another kind")
+        if base.version >= 0 and not overwrite:
+            found.append("exists")
+            return None
+        return commits.commit(spark, base, tables, replace=tuple(base.tables), notes={"kind": kind})
+
+    commits.transact(spark, path, change)
+    return "exists" if found else "exported"
+
+
+def read_export(spark: SparkSession, path: str, table: str = "data", version: int | None = None) -> DataFrame:
+    """A table of the newest export at a path, or of an earlier version that has not been swept."""
+    held = commits.snapshot(spark, path, version)
+    if not held.paths(table):
+        raise ValueError(f"{path} holds no export with a table {table}")
+    return spark.read.parquet(*held.paths(table))
