@@ -288,9 +288,13 @@ def episode_features(signals: DataFrame, segment_rows: DataFrame, tracking: Data
         F.count_if(F.col("tag") == "move").alias("n_move"),
         F.array_sort(F.collect_set("tag")).alias("tags"),  # three tags at most
     )
-    worst = tracking.groupBy(*EPISODE).agg(F.max("max_error").alias("max_tracking_error"))
+    worst = tracking.groupBy(*EPISODE).agg(
+        F.max("max_error").alias("max_tracking_error"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("joint", "max_error")))).alias("tracking_error"),  # one entry per joint
+    )
     return (
         per_frame.join(per_segment, list(EPISODE))
         .join(worst, list(EPISODE), "left")
         .withColumn("max_tracking_error", F.coalesce("max_tracking_error", F.lit(0.0)))
+        .withColumn("tracking_error", F.coalesce("tracking_error", F.create_map().cast("map<int,double>")))
     )

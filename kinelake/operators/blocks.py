@@ -82,6 +82,25 @@ def join_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> Da
     return rows.join(named, same, "left").drop(*[f"_k_{k}" for k in keys])
 
 
+RANGE = "_range"
+
+
+def bounded_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column) -> tuple[DataFrame, Column]:
+    """The rows and a block for each that holds a bounded number of a group's rows, however they bunch along ``order``.
+
+    ``block`` (of time, say) serves where no block of a group exceeds ``hot_rows``; one count decides. Otherwise the rows are
+    cut at splitters of equal depth: Spark samples the order of (keys, order) and each range of about ``block_rows`` rows is a
+    block. The ranges are written once, so every reader sees the same ones. Only callers that drop ``RANGE`` see a clean table.
+    """
+    spark = df.sparkSession
+    sizes = df.groupBy(*keys, block.alias(BLOCK)).agg(F.count(F.lit(1)).alias("_n"))
+    largest, rows = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    if (largest or 0) <= hot_rows(spark):
+        return df, block
+    cut = df.repartitionByRange(-(-rows // block_rows(spark)), *keys, *order)
+    return stage(cut.withColumn(RANGE, F.spark_partition_id().cast("long"))), F.col(RANGE)
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, value: Column, out: str
 ) -> DataFrame:

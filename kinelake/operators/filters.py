@@ -1,8 +1,8 @@
 """Zero-lag trajectory filters on joint vectors, per episode and joint, endpoints kept exactly.
 
-Finite impulse response filters (moving average, Gaussian, Savitzky-Golay) are window expressions over blocks with a
-halo. The smoothing spline and the One-Euro filter depend on the whole series; they run as grouped maps over blocks whose
-halo is long enough for the dependence on what lies beyond it to fall under double precision.
+All run as grouped maps over blocks with a halo. Finite impulse response filters (moving average, Gaussian, Savitzky-Golay)
+need a halo of their window. The smoothing spline and the One-Euro filter depend on the whole series; their halo is long enough
+for the dependence on what lies beyond it to fall under double precision.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinelake.functions import vectors as V
-from kinelake.operators.blocks import BLOCK, EPISODE, HOME, add_halo, block_window, drop_halo
+from kinelake.operators.blocks import BLOCK, EPISODE, HOME, add_halo
 from kinelake.schema import CHANNEL_COLUMN, CHANNELS
 from kinelake.session import block_rows, stage
 
@@ -94,84 +95,37 @@ def savgol_matrix(frames: int, window: int) -> np.ndarray:
     return out
 
 
-# --- window filters -----------------------------------------------------------------------------------------------
+# --- block convolutions -------------------------------------------------------------------------------------------
 
 
-def _weighted(column: str, vectors: Column, weights: Column) -> Column:
-    """Per joint of a row, the weighted sum of a list of vectors."""
-    return F.transform(
-        F.col(column),
-        lambda _, j: F.aggregate(
-            F.zip_with(vectors, weights, lambda v, w: w * F.get(v, j).cast("double")), F.lit(0.0), lambda a, x: a + x
-        ),
-    )
+def convolved(values: np.ndarray, weights: Sequence[float]) -> np.ndarray:
+    """Weighted neighbour sum of each column (symmetric weights) with the first and last row repeated beyond the ends."""
+    reach = len(weights) // 2
+    padded = np.concatenate([values[:1].repeat(reach, axis=0), values, values[-1:].repeat(reach, axis=0)])
+    return np.stack([np.convolve(padded[:, j], weights, "valid") for j in range(values.shape[1])], axis=1)
 
 
-def _around(frames: DataFrame, columns: Sequence[str], reach: int) -> DataFrame:
-    """Adds ``_w_<column>``: the vectors at most ``reach`` frames away, fewer near an end of the episode."""
-    window = block_window().rowsBetween(-reach, reach)
-    haloed = add_halo(frames, reach, reach)
-    return drop_halo(haloed.withColumns({f"_w_{c}": F.collect_list(c).over(window) for c in columns}))
+def savgol_fit(values: np.ndarray, size: int) -> np.ndarray:
+    """Local cubic fit; within half a window of an end, the cubic of the outermost full window is followed."""
+    n, half = len(values), size // 2
+    if n < size:
+        return savgol_matrix(n, size) @ values
+    fit = polynomial_projection(size)
+    middle = np.stack([np.convolve(values[:, j], fit[half][::-1], "valid") for j in range(values.shape[1])], axis=1)
+    return np.concatenate([fit[:half] @ values[:size], middle, fit[half + 1 :] @ values[-size:]])
 
 
 def _fir(frames: DataFrame, columns: Sequence[str], weights: Sequence[float]) -> DataFrame:
-    """Weighted neighbour sum with the first and last sample repeated beyond the ends.
-
-    The neighbours are gathered as a short list and summed by higher-order functions: one expression per joint and
-    tap would make methods too large for the JVM to compile.
-    """
+    """Weighted neighbour sum per block with a halo of the window's reach."""
     reach = len(weights) // 2
     if reach == 0:
         return frames.withColumns({c: V.widen(F.col(c)) for c in columns})
-    taps = F.expr(_literal(list(weights)))
-
-    def smooth(c: str) -> Column:
-        near = F.col(f"_w_{c}")
-        ahead = F.greatest(F.lit(0), F.lit(reach) - F.col("frame_index")).cast("int")
-        behind = F.lit(len(weights)) - F.size(near) - ahead
-        full = F.when(F.size(near) == len(weights), near).otherwise(
-            F.concat(
-                F.array_repeat(F.get(near, F.lit(0)), ahead), near, F.array_repeat(F.try_element_at(near, F.lit(-1)), behind)
-            )
-        )
-        end = (F.col("frame_index") == 0) | (behind == reach)
-        return F.when(end, V.widen(F.col(c))).otherwise(_weighted(c, full, taps))
-
-    return _around(frames, columns, reach).withColumns({c: smooth(c) for c in columns}).drop(
-        *[f"_w_{c}" for c in columns]
-    )
-
-
-def _literal(values) -> str:
-    """Nested numbers as a SQL array literal."""
-    if isinstance(values, (list, np.ndarray)):
-        return f"array({', '.join(_literal(v) for v in values)})"
-    return f"{float(values)!r}D"
+    return _grouped(frames, columns, reach, reach, lambda v, _: convolved(v, weights), 30.0, max(block_rows(frames.sparkSession), SERIES_ROWS))
 
 
 def _savgol(frames: DataFrame, columns: Sequence[str], size: int) -> DataFrame:
-    """Local cubic fit; within half a window of an end, the cubic of the outermost full window is followed."""
-    half, reach = size // 2, size - 1
-    rows = F.expr(_literal(polynomial_projection(size)))
-    short = F.expr(_literal([savgol_matrix(n, size) for n in range(1, size)]))
-    at = F.col("frame_index").cast("int")
-
-    def smooth(c: str) -> Column:
-        near = F.col(f"_w_{c}")
-        base = F.greatest(F.lit(0), at - reach)
-        last = base + F.size(near) - 1
-        start = F.greatest(F.lit(0), F.least(at - half, last - size + 1))
-        # Fewer vectors than the window means the list is the whole episode.
-        whole = F.size(near) < size
-        return (
-            F.when((at == 0) | (last == at), V.widen(F.col(c)))
-            .when(whole, _weighted(c, near, F.get(F.get(short, F.size(near) - 1), at)))
-            .otherwise(_weighted(c, F.slice(near, start - base + 1, F.lit(size)), F.get(rows, at - start)))
-        )
-
-    return _around(frames, columns, reach).withColumns({c: smooth(c) for c in columns}).drop(
-        *[f"_w_{c}" for c in columns]
-    )
+    """A block sees a whole window beyond each of its edges, so only true ends of an episode are treated as ends."""
+    return _grouped(frames, columns, size - 1, size - 1, lambda v, _: savgol_fit(v, size), 30.0, max(block_rows(frames.sparkSession), SERIES_ROWS))
 
 
 # --- grouped maps -------------------------------------------------------------------------------------------------
@@ -280,6 +234,22 @@ def one_euro(values: np.ndarray, strength: float, fps: float) -> np.ndarray:
     return out
 
 
+def _ragged(lists: pa.ListArray, fit: Callable[[np.ndarray], np.ndarray], first: bool, last: bool) -> pa.ListArray:
+    """Smooth vectors of different widths: a joint is null where a vector that its window needs lacks it. The ends of an episode
+    stay as they are, and so does a missing vector."""
+    rows = lists.to_pylist()
+    width = max(len(r) for r in rows if r is not None)
+    raw = np.array([[r[j] if r is not None and j < len(r) and r[j] is not None else np.nan for j in range(width)] for r in rows], float)
+    absent = np.array([[r is None or j >= len(r) or r[j] is None for j in range(width)] for r in rows])
+    smooth = fit(np.where(absent, 0.0, raw))
+    lost = np.isnan(fit(np.where(absent, np.nan, 0.0)))
+    out = []
+    for i, r in enumerate(rows):
+        whole = (first and i == 0) or (last and i == len(rows) - 1)
+        out.append(r if r is None or whole else [None if lost[i, j] else float(smooth[i, j]) for j in range(len(r))])
+    return pa.array(out, pa.list_(pa.float64()))
+
+
 def _grouped(
     frames: DataFrame, columns: Sequence[str], before: int, after: int, fit: Callable[[np.ndarray, float], np.ndarray],
     fps: float | str, rows: int, settings: dict[str, str] | None = None,
@@ -311,6 +281,10 @@ def _grouped(
             if width == 0 or len(lists) < MIN_FRAMES:
                 new[c] = lists
                 continue
+            sizes = pc.list_value_length(lists)
+            if not settings and (sizes.null_count or pc.min(sizes).as_py() != width or pc.max(sizes).as_py() != width):
+                new[c] = _ragged(lists, lambda v: fit(v, rate_value), index[0] == 0, last_is_end)
+                continue
             raw = flat.reshape(len(lists), width).astype(float)
             if settings:
                 lams = dict(table.column(settings[c])[0].as_py() or [])
@@ -428,7 +402,8 @@ def _least_scores(residuals: DataFrame, lengths: DataFrame, grid: list[float]) -
 
     # A penalty above an episode's length is outside its range.
     allowed = F.lit(grid[0]) * F.pow(F.lit(2.0), F.col("power")) <= F.col("_n")
-    lost = lengths.select("_n").distinct().join(residuals.select("power").distinct()).withColumn("_lost", freedom("_n", "power"))
+    powers = F.explode(F.array(*[F.lit(i) for i in range(len(grid))])).alias("power")
+    lost = lengths.select("_n").distinct().select("_n", powers).withColumn("_lost", freedom("_n", "power"))
     score = F.col("_n") * F.col("sse") / F.greatest(F.col("_lost") * F.col("_lost"), F.lit(1e-300))
     return (
         residuals.join(lengths, list(EPISODE)).where(allowed).join(lost, ["_n", "power"])

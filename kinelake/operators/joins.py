@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinelake.functions import scalars as X
 from kinelake.functions import vectors as V
 from kinelake.operators.aggregates import full_episodes
-from kinelake.operators.blocks import EPISODE, carry, frame_block
+from kinelake.operators.blocks import EPISODE, bounded_blocks, carry, frame_block
 from kinelake.operators.projections import STALE_AFTER_FLOOR, positions
 from kinelake.operators.windows import DAY_NS, time_block
 
@@ -54,9 +54,9 @@ def sync_streams(
     merged = left.unionByName(right, allowMissingColumns=True)
     slot = {n: f"cam_{i}" for i, n in enumerate(names)}
     latest = {slot[n]: F.when(F.col("camera") == n, F.col("_stamp")) for n in names}
-    filled = carry(
-        merged, ["run_id"], ["captured_at_ns", "_side", "sequence"], time_block("captured_at_ns", width), latest
-    ).where(F.col("_side") == 1)
+    keys, order = ["run_id"], ["captured_at_ns", "_side", "sequence"]
+    held, block = bounded_blocks(merged, keys, order, time_block("captured_at_ns", width))
+    filled = carry(held, keys, order, block, latest).where(F.col("_side") == 1)
     reason = F.coalesce(*[camera_reason(n, F.col(slot[n]), F.col("captured_at_ns"), limit) for n in names])
     stamps = F.map_from_arrays(
         F.array(*[F.lit(n) for n in names]),
@@ -90,8 +90,8 @@ def recoverable(journals: DataFrame, episodes: DataFrame) -> DataFrame:
     """Journals no saved episode came from, with the frames they hold and what can be done."""
     saved = episodes.select("dataset_id", "run_id")
     message = F.when(
-        F.col("frames") == 0, "incomplete episode is recoverable; discard it before recording again"
-    ).otherwise("incomplete episode is recoverable; save or discard it before recording again")
+        F.col("frames") == 0, "unfinished run without frames, discard it to record again"
+    ).otherwise("unfinished run, save or discard it to record again")
     return (
         journals.join(saved, ["dataset_id", "run_id"], "left_anti")
         .withColumn("duration_seconds", X.duration_seconds(F.col("frames"), F.col("fps")))
@@ -110,7 +110,7 @@ def recover(journals: DataFrame, episodes: DataFrame, actions: DataFrame) -> Dat
     joined = actions.join(open_runs, ["dataset_id", "run_id"], "left")
     status = (
         F.when(~F.coalesce(action.isin("save", "finalize", "discard"), F.lit(False)),
-               "recovery supports save, finalize, or discard")
+               "unknown action, choose save, finalize or discard")
         .when(F.col("frames").isNull(), "no such unfinished episode")
         .when(action == "discard", "discarded")
         .when(F.col("frames") == 0, "episode without frames not saved")
@@ -139,7 +139,7 @@ def replay_targets(events: DataFrame, sessions: DataFrame) -> DataFrame:
     """
     event = F.lower(F.trim(F.coalesce(F.col("event"), F.lit(""))))
     error = (
-        F.when(~event.isin("play", "seek"), "replay event must be 'play' or 'seek'")
+        F.when(~event.isin("play", "seek"), "unknown replay event, choose play or seek")
         .when(F.col("frames").isNull(), "selection no longer known")
         .when(F.col("frames") <= 0, "selection holds no frames")
     )

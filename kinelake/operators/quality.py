@@ -58,26 +58,26 @@ def check_artifacts(episodes: DataFrame, files: DataFrame) -> DataFrame:
 def check_joint_order(episodes: DataFrame, datasets: DataFrame) -> DataFrame:
     expected = datasets.select("dataset_id", F.col("joint_names").alias("_expected"))
     differs = episodes.join(expected, ["dataset_id"]).where(~F.col("joint_names").eqNullSafe(F.col("_expected")))
-    return _rows(differs, "V4", _about("joint order differs from dataset features"))
+    return _rows(differs, "V4", _about("has its joints in another order than the dataset"))
 
 
 def check_timestamps(frames: DataFrame) -> DataFrame:
     late = not_increasing(frames).select(*EPISODE).distinct()
-    return _rows(late, "V5", _about("timestamps are not strictly increasing"))
+    return _rows(late, "V5", _about("has timestamps that do not rise"))
 
 
 def check_counts(episodes: DataFrame, frames: DataFrame) -> DataFrame:
     """Declared frames against the rows there are; an episode without frame data is V3's matter."""
     counts = full_episodes(frames).withColumnRenamed("frames", "_rows")
     off = episodes.join(counts, list(EPISODE)).where(F.coalesce("frames", F.lit(0)) != F.col("_rows"))
-    return _rows(off, "V6", _about("frame count does not match its rows"))
+    return _rows(off, "V6", _about("has another number of rows than frames"))
 
 
 def check_cameras(episodes: DataFrame, files: DataFrame) -> DataFrame:
     """Declared cameras without a media file. ``files``: episode key and ``camera``."""
     declared = episodes.select(*EPISODE, F.explode("cameras").alias("camera"))
     missing = declared.join(files.select(*EPISODE, "camera"), [*EPISODE, "camera"], "left_anti")
-    return _rows(missing, "V7", F.format_string("episode %d is missing camera video %s", F.col("episode_index"), F.col("camera")))
+    return _rows(missing, "V7", F.format_string("episode %d has no video of camera %s", F.col("episode_index"), F.col("camera")))
 
 
 def check_width(frames: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def check_width(frames: DataFrame) -> DataFrame:
 
 def warn_incomplete(journals: DataFrame, episodes: DataFrame) -> DataFrame:
     """Unfinished runs, one warning each."""
-    message = F.concat(F.lit("recoverable incomplete episode: "), F.col("run_id"))
+    message = F.concat(F.lit("unfinished run to save or discard: "), F.col("run_id"))
     return _rows(recoverable(journals, episodes), "V8", message, WARNING, episode=False)
 
 

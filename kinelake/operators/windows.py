@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.functions import vectors as V
-from kinelake.operators.blocks import EPISODE, dense_index, frame_block, previous, running_total, with_neighbours
+from kinelake.operators.blocks import (
+    EPISODE, RANGE, bounded_blocks, dense_index, frame_block, previous, running_total, with_neighbours,
+)
 
 # --- fixed values -------------------------------------------------------------------------------------------------
 RATE_CAPTURES = 30
@@ -21,11 +23,16 @@ def time_block(ns: str, width: int = DAY_NS) -> Column:
     return F.floor(F.col(ns) / F.lit(width)).cast("long")
 
 
+def placed_in_time(rows: DataFrame, out: str, width: int = DAY_NS) -> DataFrame:
+    """Place of each row in its run by time and sequence; a burst of any size in a block of time is cut by rows."""
+    keys, order = ["run_id"], ["captured_at_ns", "sequence"]
+    held, block = bounded_blocks(rows, keys, order, time_block("captured_at_ns", width))
+    return dense_index(held, keys, order, block, out).drop(RANGE)
+
+
 def assign_timeline(captures: DataFrame, fps: Column, width: int = DAY_NS) -> DataFrame:
     """Frame index and nominal timestamp of each accepted capture of a run; drops and pauses leave no gap."""
-    placed = dense_index(
-        captures, ["run_id"], ["captured_at_ns", "sequence"], time_block("captured_at_ns", width), "frame_index"
-    )
+    placed = placed_in_time(captures, "frame_index", width)
     return placed.withColumn("timestamp", (F.col("frame_index") / fps.cast("double")).cast("float"))
 
 
@@ -46,9 +53,7 @@ def capture_rate(captures: DataFrame) -> DataFrame:
         n = F.count(F.lit(1)).over(recent)
         return F.when((n > 1) & (elapsed > 0), (n - 1) / elapsed).otherwise(F.lit(0.0))
 
-    placed = dense_index(
-        captures, ["run_id"], ["captured_at_ns", "sequence"], time_block("captured_at_ns"), "frame_index"
-    )
+    placed = placed_in_time(captures, "frame_index")
     return with_neighbours(placed, RATE_CAPTURES - 1, 0, {"capture_rate_hz": span}, ["run_id"])
 
 
@@ -103,7 +108,7 @@ def apply_autopause(ticks: DataFrame, controls: DataFrame) -> DataFrame:
         controls.select("run_id", "captured_at_ns", "sequence", F.lit(None).cast("string").alias("error"), "event")
     )
     keys = ["run_id"]
-    placed = dense_index(joined, keys, ["captured_at_ns", "sequence"], time_block("captured_at_ns"), "_i")
+    placed = placed_in_time(joined, "_i")
     fails = placed.withColumn("_fail", F.col("error").isNotNull() & F.col("event").isNull())
 
     def third(w):

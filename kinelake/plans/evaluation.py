@@ -306,6 +306,23 @@ def e10_faults(t):
     return E.judge_rule(analysed(t)[2], "n_stall / n_move > 1").select("episode_index", "success", "judge_confidence")
 
 
+@query(
+    "E10_rule_evidence",
+    "e9", "fe",
+    sql="""
+SELECT f.episode_index, e9.episode_index IS NULL AS insufficient_data, coalesce(n_segments, 0) > 0 AS success
+FROM (SELECT DISTINCT episode_index FROM fe) f LEFT JOIN e9 ON e9.episode_index = f.episode_index""",
+)
+def e10_evidence(t):
+    """A rule over everything a rule may name; what it counts in the lists agrees with the counts for every episode."""
+    rule = (
+        "size(segments) = n_segments and size(ordered_tags) = n_segments and size(slip_frames) = n_slip and size(stall_frames) = n_stall"
+        " and size(settle_frames) = n_settle and n_segments > 0 and array_sort(array_distinct(ordered_tags)) = tags"
+        " and coalesce(array_max(map_values(tracking_error)), 0.0D) = max_tracking_error and segments[0].start_frame = 0"
+    )
+    return E.evaluate_analysed(analysed(t), episode_rows(t), rule).select("episode_index", "insufficient_data", "success")
+
+
 @query(
     "U1_rule_argument",
     "e9",

@@ -53,28 +53,28 @@ UNION ALL SELECT dataset_id, episode_index, 'V3', 'error', 'missing episode-info
 cte(
     "v4",
     """
-SELECT dataset_id, episode_index, 'V4' AS rule, 'error' AS severity, 'episode ' || episode_index || ' joint order differs from dataset features' AS message
+SELECT dataset_id, episode_index, 'V4' AS rule, 'error' AS severity, 'episode ' || episode_index || ' has its joints in another order than the dataset' AS message
 FROM eps WHERE joint_names <> 'shoulder,elbow,gripper'""",
     "eps",
 )
 cte(
     "v5",
     """
-SELECT DISTINCT dataset_id, episode_index, 'V5' AS rule, 'error' AS severity, 'episode ' || episode_index || ' timestamps are not strictly increasing' AS message
+SELECT DISTINCT dataset_id, episode_index, 'V5' AS rule, 'error' AS severity, 'episode ' || episode_index || ' has timestamps that do not rise' AS message
 FROM (SELECT *, lag(timestamp) OVER w >= timestamp AS late FROM fo WINDOW w AS (PARTITION BY dataset_id, episode_index ORDER BY frame_index)) WHERE late""",
     "fo",
 )
 cte(
     "v6",
     """
-SELECT dataset_id, episode_index, 'V6' AS rule, 'error' AS severity, 'episode ' || episode_index || ' frame count does not match its rows' AS message
+SELECT dataset_id, episode_index, 'V6' AS rule, 'error' AS severity, 'episode ' || episode_index || ' has another number of rows than frames' AS message
 FROM eps WHERE rows > 0 AND frames <> rows""",
     "eps",
 )
 cte(
     "v7",
     """
-SELECT dataset_id, episode_index, 'V7' AS rule, 'error' AS severity, 'episode ' || episode_index || ' is missing camera video ' || camera AS message
+SELECT dataset_id, episode_index, 'V7' AS rule, 'error' AS severity, 'episode ' || episode_index || ' has no video of camera ' || camera AS message
 FROM (SELECT dataset_id, episode_index, o_orderkey, unnest(cameras) AS camera FROM eps) WHERE camera = 'wrist' AND o_orderkey % 53 = 0""",
     "eps",
 )
@@ -88,7 +88,7 @@ FROM fo WHERE leader_width <> 3""",
 cte(
     "v8",
     """
-SELECT dataset_id, NULL::BIGINT AS episode_index, 'V8' AS rule, 'warning' AS severity, 'recoverable incomplete episode: ' || run_id AS message FROM rec""",
+SELECT dataset_id, NULL::BIGINT AS episode_index, 'V8' AS rule, 'warning' AS severity, 'unfinished run to save or discard: ' || run_id AS message FROM rec""",
     "rec",
 )
 cte("v1", f"SELECT dataset_id, NULL::BIGINT AS episode_index, 'V1' AS rule, 'error' AS severity, error AS message FROM ({BAD_MANIFESTS_SQL})")
@@ -280,8 +280,8 @@ def open_runs(t):
     "jrn", "rec", "jl",
     sql="""
 SELECT r.dataset_id, r.run_id, r.frames, CASE WHEN r.frames = 0 THEN 'episode without frames not saved'
-       WHEN CAST(substring(r.run_id, 5) AS BIGINT) % 150 = 0 AND r.frames > 1 THEN 'joint names or ordering changed inside the episode'
-       WHEN r.dataset_id = 'NATION_3' THEN 'joint names or ordering differ from earlier episodes' END AS error FROM rec r""",
+       WHEN CAST(substring(r.run_id, 5) AS BIGINT) % 150 = 0 AND r.frames > 1 THEN 'joint order changes within the run'
+       WHEN r.dataset_id = 'NATION_3' THEN 'joint order is not that of the saved episodes' END AS error FROM rec r""",
 )
 def v9(t):
     known = t.datasets.select(
@@ -313,7 +313,7 @@ def s6(t):
     sql="""
 WITH a AS (SELECT *, CAST(substring(run_id, 5) AS BIGINT) % 150 AS k FROM rec),
 b AS (SELECT *, CASE WHEN k = 100 THEN 'discarded' WHEN frames = 0 THEN 'episode without frames not saved'
-       WHEN k = 0 AND frames > 1 THEN 'joint names or ordering changed inside the episode' ELSE 'saved' END AS status FROM a),
+       WHEN k = 0 AND frames > 1 THEN 'joint order changes within the run' ELSE 'saved' END AS status FROM a),
 c AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY k <> 50, started_at, run_id) - 1 AS episode_index FROM b WHERE status = 'saved'),
 f AS (SELECT run_id, count(*) AS frame_rows, round(sum(o0), 4) AS total FROM jl GROUP BY 1)
 SELECT b.dataset_id, b.run_id, b.status, c.episode_index, c.frames, 'episodes/episode-' || lpad(CAST(c.episode_index AS VARCHAR), 6, '0') AS path,
@@ -323,7 +323,8 @@ FROM b LEFT JOIN c ON c.run_id = b.run_id LEFT JOIN f ON f.run_id = b.run_id""",
 def s6_save(t):
     """Unfinished runs finalised in one commit, the others saved or discarded in a second, then the first call repeated."""
     root, lines, runs = scratch(t, "saved"), stage(journal(t)), open_runs(t).drop("episode_index")
-    key = F.substring("run_id", 5, 20).cast("long") % 150
+    # Unreadable journal lines carry the name of their folder as run, which is no number.
+    key = F.expr("try_cast(substring(run_id, 5, 20) AS BIGINT)") % 150
     fresh = t.datasets.select("dataset_id", F.lit(None).cast("array<string>").alias("joint_names"))
     asked = runs.select("dataset_id", "run_id", F.when(key == 50, " Finalize").when(key == 0, "save").otherwise("discard").alias("action"))
     first, second = asked.where("action = ' Finalize'"), asked.where("action <> ' Finalize'")

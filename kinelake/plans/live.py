@@ -95,6 +95,38 @@ def s5(t):
     )
 
 
+@query(
+    "S5_late_sidecars",
+    "cam",
+    sql="""
+SELECT CASE WHEN sequence % 11 <> 0 THEN run_id END AS run_id, CASE WHEN sequence % 11 <> 0 THEN camera END AS camera, sequence AS file, CASE WHEN sequence % 11 <> 0 THEN captured_at_ns ELSE 0 END AS captured_at_ns,
+       empty, sequence % 11 <> 0 AS described, CAST(CASE WHEN sequence % 2 = 0 AND sequence % 11 <> 0 THEN 1 ELSE 0 END AS INTEGER) AS keys FROM cam""",
+)
+def s5_late(t):
+    """Files and sidecars as two streams: every fifth sidecar comes three days after its file, every eleventh never."""
+    seen = F.timestamp_micros((F.col("captured_at_ns") / 1000).cast("long"))
+    frames = t.camera_frames
+    # A file and a sidecar far behind all others let event time pass them.
+    last = frames.agg(F.max("captured_at_ns").alias("captured_at_ns")).select((F.col("captured_at_ns") + 100 * 86_400_000_000_000).alias("captured_at_ns"))
+    closing = last.select(F.lit(-1).cast("long").alias("sequence"), "captured_at_ns", F.lit(False).alias("empty"))
+    frames = frames.unionByName(closing, allowMissingColumns=True)
+    file = F.format_string("frame-%d.jpg", F.col("sequence"))
+    payloads = frames.select(
+        F.concat(F.lit("/camera/"), file).alias("path"), seen.alias("modificationTime"),
+        F.when(F.col("empty"), F.lit("")).otherwise(F.lit("jpeg")).cast("binary").alias("content"), "captured_at_ns",
+    )
+    fields = {k: F.lit(None).cast("string") for k in S.CAMERA_OPTIONAL}
+    fields["fov_horizontal"] = F.when(F.col("sequence") % 2 == 0, "60.0")
+    arrives = F.col("captured_at_ns") + F.when(F.col("sequence") % 5 == 0, 3 * 86_400_000_000_000).otherwise(0)
+    sides = frames.where(F.col("sequence") % 11 != 0).withColumn("file", file).withColumns(fields).drop("empty")
+    sides = as_stream(t, sides.withColumn("written_at", seen).withColumn("arrives", arrives), "sidecars", "arrives").drop("arrives")
+    joined = drain(t, S.attach_late_sidecars(as_stream(t, payloads, "files", "captured_at_ns").drop("captured_at_ns"), sides, "40 days"), "described")
+    number = F.regexp_extract("path", "frame-(-?[0-9]+)", 1).cast("long")
+    return joined.where(F.coalesce(number, F.lit(0)) >= 0).select(
+        "run_id", "camera", number.alias("file"), "captured_at_ns", "empty", "described", F.size("calibration").alias("keys")
+    )
+
+
 cte(
     "near",
     """

@@ -482,7 +482,7 @@ p AS (SELECT publisher_id, unnest(list_distinct([CASE WHEN k = 0 THEN tk ELSE ''
       FROM (SELECT episode_index AS publisher_id, token AS tk, episode_index % 3 AS k FROM s WHERE episode_index % 5 <> 0
             UNION ALL SELECT 100000 + episode_index, token, (episode_index + 1) % 3 FROM s WHERE episode_index % 2 = 0)),
 r AS (SELECT e.event_id, e.token, e.requested_index, lower(trim(e.event)) AS event, s.episode_index, s.frames,
-             CASE WHEN lower(trim(e.event)) NOT IN ('play', 'seek') THEN 'replay event must be ''play'' or ''seek'''
+             CASE WHEN lower(trim(e.event)) NOT IN ('play', 'seek') THEN 'unknown replay event, choose play or seek'
                   WHEN s.frames IS NULL THEN 'selection no longer known' WHEN s.frames <= 0 THEN 'selection holds no frames' END AS error
       FROM e LEFT JOIN s ON s.token = e.token),
 q AS (SELECT *, CASE WHEN error IS NULL THEN least(greatest(requested_index, 0), frames - 1) END AS frame_index FROM r),
@@ -681,7 +681,7 @@ def j10(t):
     sql="""
 WITH a AS (SELECT dataset_id, run_id, CASE CAST(substring(run_id, 5) AS BIGINT) % 150 WHEN 0 THEN 'save' WHEN 50 THEN ' Discard' ELSE 'keep' END AS action
            FROM jrn)
-SELECT a.dataset_id, a.run_id, CASE WHEN lower(trim(action)) NOT IN ('save', 'discard') THEN 'recovery supports save, finalize, or discard'
+SELECT a.dataset_id, a.run_id, CASE WHEN lower(trim(action)) NOT IN ('save', 'discard') THEN 'unknown action, choose save, finalize or discard'
        WHEN rec.run_id IS NULL THEN 'no such unfinished episode' WHEN lower(trim(action)) = 'discard' THEN 'discarded'
        WHEN rec.frames = 0 THEN 'episode without frames not saved' ELSE 'saved' END AS status
 FROM a LEFT JOIN rec ON rec.dataset_id = a.dataset_id AND rec.run_id = a.run_id""",

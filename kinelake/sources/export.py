@@ -146,11 +146,10 @@ def lerobot_stats(frames: DataFrame, method: str = "none", strength: float = 1.0
     """
     if method != "none":
         frames = smooth(frames, method, strength, fps, ("observation", "action"))
-    parts = []
-    for feature, channel in zip(VECTOR_FEATURES, ("observation", "action"), strict=True):
-        parts.append(feature_vectors(feature_stats(frames, (channel,))).withColumn("feature", F.lit(feature)))
-    both = parts[0].unionByName(parts[1])
-    return both.select("dataset_id", "feature", "min", "max", "mean", "std", "count")
+    vectors = [F.struct(F.lit(n).alias("feature"), F.col(c).alias("vector")) for n, c in zip(VECTOR_FEATURES, ("observation_state", "action"), strict=True)]
+    both = frames.select("dataset_id", F.inline(F.array(*vectors)))
+    keys = ("dataset_id", "feature")
+    return feature_vectors(feature_stats(both, "vector", keys), keys)
 
 
 def lerobot_stats_documents(stats: DataFrame) -> DataFrame:

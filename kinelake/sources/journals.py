@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from kinelake.functions import scalars as X
 from kinelake.functions import vectors as V
-from kinelake.operators.blocks import EPISODE, dense_index
+from kinelake.operators.blocks import EPISODE, RANGE, bounded_blocks, dense_index
 from kinelake.operators.joins import recover
 from kinelake.schema import (
     CAMERA_OPTIONAL, CLOSED_RUN, EPISODE_INFO, FRAMES, JOURNAL_FRAME, KIND_EPISODE, MANIFEST_ENTRY, ROBOT_KEYS, SCHEMA_VERSION,
@@ -96,9 +96,9 @@ def check_journal(vectors: DataFrame, runs: DataFrame, datasets: DataFrame) -> D
     error = (
         F.when(F.coalesce("frames", F.lit(0)) == 0, "episode without frames not saved")
         .when((F.col("_lo") != F.col("_hi")) | (F.col("_off") > 0),
-              "joint names or ordering changed inside the episode")
+              "joint order changes within the run")
         .when(F.col("_known").isNotNull() & (F.col("_known") != F.col("joint_names")),
-              "joint names or ordering differ from earlier episodes")
+              "joint order is not that of the saved episodes")
     )
     return (
         runs.join(per_run, ["run_id"], "left")
@@ -115,7 +115,9 @@ def assign_episode_index(runs: DataFrame, existing: DataFrame) -> DataFrame:
     ``existing`` holds ``dataset_id`` and ``saved`` (how many episodes it has).
     """
     block = F.floor(F.unix_micros(F.col("started_at").cast("timestamp")) / F.lit(86_400_000_000)).cast("long")
-    placed = dense_index(runs, ["dataset_id"], ["started_at", "run_id"], block, "_place")
+    keys, order = ["dataset_id"], ["started_at", "run_id"]
+    held, block = bounded_blocks(runs, keys, order, block)
+    placed = dense_index(held, keys, order, block, "_place").drop(RANGE)
     return (
         placed.join(existing.select("dataset_id", "saved"), ["dataset_id"], "left")
         .withColumn("episode_index", F.col("_place") + F.coalesce("saved", F.lit(0)))

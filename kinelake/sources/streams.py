@@ -84,7 +84,39 @@ def attach_sidecars(payloads: DataFrame, sidecars: DataFrame) -> DataFrame:
     )
 
 
-def camera_stream(spark: SparkSession, folder: str, sidecar_folder: str) -> DataFrame:
-    """Stream of payload files joined to the sidecars known when a batch starts."""
-    payloads = spark.readStream.format("binaryFile").schema(BINARY_FILE).load(folder)
-    return attach_sidecars(payloads, spark.read.schema(SIDECAR).json(sidecar_folder))
+def attach_late_sidecars(payloads: DataFrame, sidecars: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Camera frames from a stream of payload files and a stream of their metadata, whichever of the two comes first.
+
+    ``payloads``: ``path, modificationTime, content``; ``sidecars``: ``SIDECAR`` and ``written_at``. A file and its metadata find
+    each other when they were written at most ``late`` apart. A file that waits longer leaves with ``described`` false and no
+    capture time, which the checks on samples refuse; metadata that waits longer leaves as an empty frame without a path, as file
+    readers pass over files without bytes. Only names, times and sizes wait in the state, never pictures.
+    """
+    near = F.expr(f"INTERVAL {late}")
+    left = payloads.select(
+        "path", F.element_at(F.split("path", "/"), -1).alias("_name"), F.coalesce(F.length("content") == 0, F.lit(True)).alias("_empty"), "modificationTime"
+    )
+    right = sidecars.withColumn("described", F.lit(True))
+    if payloads.isStreaming:
+        left, right = left.withWatermark("modificationTime", late), right.withWatermark("written_at", late)
+    same = (
+        (F.col("_name") == F.col("file")) & (F.col("written_at") >= F.col("modificationTime") - near) & (F.col("written_at") <= F.col("modificationTime") + near)
+    )
+    pairs = [F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in CAMERA_OPTIONAL]
+    return left.join(right, same, "full").select(
+        "run_id",
+        "camera",
+        F.coalesce("sequence", F.lit(0)).alias("sequence"),
+        F.coalesce("captured_at_ns", F.lit(0)).alias("captured_at_ns"),
+        "path",
+        F.coalesce("_empty", F.lit(True)).alias("empty"),
+        F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())).alias("calibration"),
+        F.coalesce("described", F.lit(False)).alias("described"),
+    )
+
+
+def camera_stream(spark: SparkSession, folder: str, sidecar_folder: str, late: str = "10 minutes", pattern: str = "*.jpg") -> DataFrame:
+    """Stream of camera frames from a folder of payload files and one of JSON sidecars; either may come first."""
+    payloads = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).schema(BINARY_FILE).load(folder)
+    sidecars = spark.readStream.schema(SIDECAR).json(sidecar_folder).withColumn("written_at", F.col("_metadata.file_modification_time"))
+    return attach_late_sidecars(payloads, sidecars, late)

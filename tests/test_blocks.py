@@ -71,3 +71,26 @@ def test_quantiles_of_large_and_small_groups(spark, table, hot, interpolate):
         for name, p in probs.items():
             want = np.percentile(x, 100 * p) if interpolate else x[(len(x) - 1) // 2]
             assert abs(out[e][name] - want) < 1e-12
+
+
+def test_a_burst_is_cut_by_rows(spark, small_blocks):
+    """A run whose captures all fall into one day lies in many blocks and keeps its order, gaps and repeats included."""
+    from kinelake.operators import blocks as B
+    from kinelake.operators import windows as W
+    from kinelake.session import HOT_ROWS_CONF
+
+    rows = [(r, 10**15 + (i * 7919 % 500) // 2, i) for r, n in ((1, 500), (2, 3), (None, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "run_id long, captured_at_ns long, sequence long").repartition(4)
+    spark.conf.set(HOT_ROWS_CONF, "20")
+    try:
+        held, block = B.bounded_blocks(df, ["run_id"], ["captured_at_ns", "sequence"], W.time_block("captured_at_ns"))
+        sizes = [r["count"] for r in held.groupBy("run_id", block).count().collect()]
+        assert len(sizes) > 30 and max(sizes) < 60
+        placed = {(r.run_id, r.captured_at_ns, r.sequence): r.frame_index for r in W.placed_in_time(df, "frame_index").collect()}
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+    for run in (1, 2, None):
+        own = sorted(k for k in placed if k[0] == run) if run is not None else sorted((k for k in placed if k[0] is None), key=lambda k: k[1:])
+        assert [placed[k] for k in own] == list(range(len(own)))
+    assert len(placed) == len(rows)
+    assert W.placed_in_time(df.limit(0), "frame_index").count() == 0

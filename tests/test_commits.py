@@ -48,10 +48,10 @@ def test_saved_runs_have_frames_episode_and_manifest_entry(spark, recorded, tmp_
     status = {(r.run_id, r.action): (r.status, r.episode_index) for r in result.collect()}
     assert status == {
         ("r1", "save"): ("saved", 1), ("r2", "SAVE "): ("saved", 0),
-        ("r3", "save"): ("joint names or ordering changed inside the episode", None),
-        ("r4", "save"): ("episode without frames not saved", None), ("r5", "finalize"): ("joint names or ordering differ from earlier episodes", None),
+        ("r3", "save"): ("joint order changes within the run", None),
+        ("r4", "save"): ("episode without frames not saved", None), ("r5", "finalize"): ("joint order is not that of the saved episodes", None),
         ("r6", "discard"): ("discarded", None), ("r7", "save"): ("no such unfinished episode", None),
-        ("r1", "keep"): ("recovery supports save, finalize, or discard", 1),
+        ("r1", "keep"): ("unknown action, choose save, finalize or discard", 1),
     }
     assert held.version == 0
     saved = R.saved_tables(spark, root)

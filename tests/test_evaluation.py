@@ -76,3 +76,25 @@ def test_reference_outlier(analysed):
     reference = A.build_reference(features, features.where("episode_index < 5"))
     out = {r.episode_index: r for r in E.judge_reference(features, reference).collect()}
     assert out[0].success and out[5].success is False and out[5].driver == "grip_slip"
+
+
+def test_a_rule_may_name_frames_segments_and_joints(analysed, episodes):
+    rule = "slip_frames[0] = 40 and ordered_tags[0] <> 'settle' and size(stall_frames) = n_stall and tracking_error[2] > 0.8 and segments[0].start_frame = 0"
+    out = {r.episode_index: r for r in E.evaluate_analysed(analysed, episodes, rule).collect()}
+    assert out[5].success and out[5].reason.startswith("rule `slip_frames[0] = 40")
+    lists = {r.episode_index: r for r in E.rule_evidence("slip_frames segments settle_frames", analysed[0].frames, analysed[1]).collect()}
+    assert lists[5].slip_frames == list(range(40, 59)) and lists[0].slip_frames == [] and 0 not in lists[0].settle_frames
+    starts = [s.start_frame for s in lists[5].segments]
+    assert starts == sorted(starts) and starts[0] == 0 and lists[5].segments[-1].end_frame == 60
+    assert E.rule_evidence("not grip_slip", analysed[0].frames, analysed[1]) is None
+
+
+def test_reference_gives_a_distance_for_each_feature(spark, analysed):
+    features = analysed[2]
+    reference = spark.createDataFrame([("grip_slip", 0.0, 0.0), ("n_move", 1.0, 1.0)], "feature string, mean double, std double")
+    out = {r.episode_index: r for r in E.judge_reference(features, reference).collect()}
+    assert out[0].z_scores.keys() == {"grip_slip", "n_move"} and out[5].z_scores["grip_slip"] == 1e6 and out[5].success is False
+    nothing = E.judge_reference(features, reference.limit(0)).first()
+    assert nothing.success is None and nothing.reason == "reference has no features"
+    other = E.judge_reference(features, reference.withColumn("feature", F.lit("unheard"))).first()
+    assert other.reason == "reference shares no feature" and other.z_scores is None
