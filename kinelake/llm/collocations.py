@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kinelake.llm.common import LOWER, UPPER
 from kinelake.session import shared_folder, stage
+from kinelake.sources.commits import remove
 
 LONGEST = 5
 SUPPORT = 100
@@ -48,12 +49,15 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).replace(BORDER, b" . ").split() + [BORDER]
 
 
-def folder(df: DataFrame) -> DataFrame:
-    """A written table of few large rows per file, read back."""
+def folder(df: DataFrame, before: str | None = None) -> tuple[DataFrame, str]:
+    """A written table of few large rows per file, read back, and its folder. The folder ``before``, which nothing reads once this
+    table is complete, goes."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/staged-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("maxRecordsPerFile", FILE_PARTS).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if before is not None:
+        remove(spark, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -246,9 +250,9 @@ def mine(
     Every relation is written, sorted by place, in parts of whole documents; borders between pieces take a place, so adjacent
     places are adjacent words of one piece. A round joins each part with itself on the next place, counts the groups over all
     parts, and keeps (semi-join) the occurrences of frequent groups before the next round: both halves of a longer frequent phrase
-    are frequent. Shuffles move one row per part and distinct group, not per occurrence.
+    are frequent. Shuffles move one row per part and distinct group, not per occurrence. A relation goes when the next is written.
     """
-    relation = folder(words_relation(docs))
+    relation, place = folder(words_relation(docs))
     counts = stage(relation.select(F.explode("groups").alias("g")).groupBy("g.key").agg(F.sum("g.n").alias("a")))
     # A word holds no blank, so the last one ends the language.
     word = F.element_at(F.split(F.col("key").cast("string"), " "), -1)
@@ -261,13 +265,14 @@ def mine(
         if not many:
             break
         grow, key = (frequent_words, ["key"]) if length == 2 else (frequent_pairs, ["left", "right"])
-        relation = folder(grow(relation, before.select(*key, "id"), many <= SENT_GROUPS))
+        relation, place = folder(grow(relation, before.select(*key, "id"), many <= SENT_GROUPS), place)
         frequent = pairs_of(relation).groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
         # The words of a phrase are its first part's words and the last word of its second part.
         first = before.select(F.col("id").alias("left"), "lang", "phrase")
         last = before.select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("last"))
         named = frequent.join(first, "left").join(last, "right").withColumn("phrase", F.concat_ws(" ", "phrase", "last"))
         found.append(stage(named.select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", "a", "left", "right")))
+    remove(docs.sparkSession, place)
     return _ranked(found, total, absorbed, top)
 
 
