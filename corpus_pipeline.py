@@ -16,7 +16,7 @@ from kinelake.llm.queries import vocabulary
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the threshold table; null and empty texts go."""
-    return quality.judge(docs, into="__quality").where("__quality.kept").select(*docs.columns)
+    return docs.where(quality.keeps(F.col("text")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,6 +139,11 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
 
 
+def keeps(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """The verdict of ``judge`` alone. Its measures are bound once, so a filter evaluates them once however many rules read them."""
+    return let(measures(text), lambda m: F.when(base_failed(m), F.lit(False)).otherwise(verdict(m, rules)))
+
+
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, into: str = "quality") -> DataFrame:
     """Every row with a struct column of its measures, ``base_failed`` and ``kept``.
 
