@@ -60,21 +60,50 @@ def test_network_learns_the_shape_of_secrets(spark):
     rows += [f"order number {word(9)}-{rng.integers(10**5, 10**6)} was sent on" for _ in range(150)]
     rows += [f"another note on key {code(30).upper()}x{code(10)} here"]
     docs = frame(spark, [(i, t, "", "", 0) for i, t in enumerate(rows)])
-    found = secret_scan.find(docs)
-    network, threshold = secret_scan.learn(found)
-    scored = [(c["label"], network.probabilities(np.frombuffer(c["window"], np.uint8)[None])[0]) for r in found.collect() for c in r.candidates]
-    positive, negative = [p for y, p in scored if y], [p for y, p in scored if not y]
+    network = secret_scan.learn(docs)
+    scored = secret_scan.score(docs, network)
+    threshold = secret_scan.calibrated(network, scored)
+    rows = [(f, p) for r in scored.collect() for f, p in zip(np.frombuffer(r.flags, np.uint8) & 1, network.chance(np.frombuffer(r.logits, np.float32).astype(float)), strict=True)]
+    positive, negative = [p for y, p in rows if y], [p for y, p in rows if not y]
     assert np.mean(np.array(positive) >= threshold) >= 0.95 and np.mean(np.array(negative) < threshold) >= 0.95
-    again = secret_scan.learn(found)[0]
+    again = secret_scan.learn(docs)
     assert all((a == b).all() for a, b in zip(network.parameters(), again.parameters(), strict=True))
 
 
 def test_ordinary_words_are_negatives_on_the_given_table(spark):
-    found = secret_scan.find(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
-    network, threshold = secret_scan.learn(found)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    network = secret_scan.learn(docs)
+    threshold = secret_scan.calibrated(network, secret_scan.score(docs, network))
     assert network is not None and threshold < 1
-    short = secret_scan.find(frame(spark, [(1, "see abcdefgh and ab.cd-12", "", "", 0)])).first().candidates
-    assert [(c["start"], c["end"]) for c in short] == [(4, 12), (17, 25)]
+    short = secret_scan.Read(["see abcdefgh and ab.cd-12"])
+    assert [(s - short.offsets[0], e - short.offsets[0]) for s, e in zip(short.starts, short.ends, strict=True)] == [(4, 12), (17, 25)]
+
+
+def test_scores_of_texts_are_those_of_windows(monkeypatch):
+    """Convolving texts once in tiles gives each candidate the logit of its own window, however long it is."""
+    rng = np.random.default_rng(4)
+    letters = list("abcdefgh0123 .=-é\n\x00AKIA:'")
+    texts = ["".join(rng.choice(letters, int(n))) for n in rng.integers(0, 400, 30)] + ["", "abcdefgh", "x" * 5000 + " " + "y" * 300, " " * 50 + "Q" * 8]
+    network = secret_scan.CharNetwork(rng)
+    network.bias, network.shift = rng.normal(0, 0.3, secret_scan.FILTERS), np.array([0.3])
+    read = secret_scan.Read(texts)
+    windows = [read.window(i) for i in range(len(read.starts))]
+    sizes = np.array([len(w) for w in windows])
+    codes = np.zeros((len(windows), sizes.max()), np.uint8)
+    for row, w in zip(codes, windows, strict=True):
+        row[: len(w)] = np.frombuffer(w, np.uint8)
+    wanted = network.logits(codes, sizes)
+    for tile in (1 << 15, 64, 7):
+        monkeypatch.setattr(secret_scan, "TILE", tile)
+        assert np.abs(network.scores(read.codes, read.starts, read.ends) - wanted).max() < 1e-4
+    import re
+
+    own = [(i, m.start(), m.end()) for i, t in enumerate(texts) for m in re.finditer(r"[A-Za-z0-9+/_.=-]{8,}", t)]
+    assert own == [(int(o), int(s) - read.offsets[o], int(e) - read.offsets[o]) for o, s, e in zip(read.owner, read.starts, read.ends, strict=True)]
+    # A secret behind 5,000 harmless characters of its own run, or only in the context on the right, changes the score.
+    pair = secret_scan.Read(["x" * 5000, "x" * 5000 + "0=0=0=", "x" * 5000 + " :'0=0=0="])
+    a, b, c = network.scores(pair.codes, pair.starts, pair.ends)
+    assert a != b and a != c
 
 
 def test_threshold_keeps_recall_over_a_histogram():
@@ -88,7 +117,7 @@ def test_threshold_keeps_recall_over_a_histogram():
 
 def test_gradients_of_the_network():
     rng = np.random.default_rng(2)
-    net, codes, labels = secret_scan.CharNetwork(rng), rng.integers(0, 256, (4, secret_scan.WIDTH)).astype(np.uint8), np.array([0, 1, 1, 0.0])
+    net, codes, labels = secret_scan.CharNetwork(rng), rng.integers(0, 256, (4, 104)).astype(np.uint8), np.array([0, 1, 1, 0.0])
     loss = lambda: float(np.mean(np.logaddexp(0, net.logits(codes)) - labels * net.logits(codes)))
     for p, g in zip(net.parameters(), net.gradients(codes, labels, np.ones(4)), strict=True):
         at = tuple(int(x) for x in np.unravel_index(np.abs(g).argmax(), g.shape))
