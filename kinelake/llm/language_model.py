@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from kinelake.llm.common import fold, stage
 
 PARTS, HELD_OUT = 5, 1
+#: One of so many training documents, by the hash of its text, teaches the weights and is counted for nothing else of the model.
+DELETED = 10
+#: Roles of a document: its n-grams are counted, it is held out of everything, or it teaches the weights.
+COUNTED, APART, TEACHING = 0, 1, 2
 #: Tokens tokenised into one row, and n-gram keys counted by one task.
 BATCH_TOKENS, TASK_KEYS = 1 << 20, 1 << 20
 END, START = 0, 1
@@ -25,9 +29,9 @@ BUCKETS, BINS, PER_OCTAVE = 33, 160, 4
 ROUNDS = 60
 MARKS = (xxhash.xxh3_64_intdigest(b" end"), xxhash.xxh3_64_intdigest(b" start"))
 
-BATCHES = "batch string, doc_ids array<long>, held array<boolean>, lens array<int>, tokens binary, vocab binary, n_keys long"
+BATCHES = "batch string, doc_ids array<long>, roles array<tinyint>, lens array<int>, tokens binary, vocab binary, n_keys long"
 REQUESTS = "kind int, part int, batch string, keys binary, counts binary"
-REPLIES = "batch string, kind int, part int, totals binary, known long, mass long"
+REPLIES = "batch string, kind int, part int, totals binary, known long, mass long, counted long"
 CELLS = "bucket int, f2 int, f1 int, n double"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -57,27 +61,30 @@ def tokenise(docs: DataFrame) -> DataFrame:
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in BATCHES.split(", ")]
-        types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
-        ids, held, lens, tokens, known = [], [], [], [], Vocabulary()
+        types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
+        ids, roles, lens, tokens, known = [], [], [], [], Vocabulary()
 
         def flush() -> pa.RecordBatch:
             hashes = np.array([*MARKS, *map(xxhash.xxh3_64_intdigest, known)], np.uint64)
             flat = np.concatenate(tokens)
-            values = [uuid.uuid4().hex, ids, held, lens, packed(flat), hashes.tobytes(), len(hashes) + len(flat)]
+            values = [uuid.uuid4().hex, ids, roles, lens, packed(flat), hashes.tobytes(), len(hashes) + len(flat)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
 
         for part in parts:
             for i, text in enumerate(part.column(1)):
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                body = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                words = body.lower().split()
                 line = np.zeros(len(words) + 1, np.uint32)
                 line[:-1] = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
                 ids.append(part.column(0)[i].as_py())
-                held.append(part.column(2)[i].as_py())
+                # Equal texts have one role, so a text that occurs twice cannot vouch for itself.
+                teaching = xxhash.xxh3_64_intdigest(body) % DELETED == 0
+                roles.append(APART if part.column(2)[i].as_py() else TEACHING if teaching else COUNTED)
                 lens.append(len(line))
                 tokens.append(line)
                 if sum_of(lens) >= BATCH_TOKENS:
                     yield flush()
-                    ids, held, lens, tokens, known = [], [], [], [], Vocabulary()
+                    ids, roles, lens, tokens, known = [], [], [], [], Vocabulary()
         if ids:
             yield flush()
 
@@ -95,13 +102,13 @@ def tokenise(docs: DataFrame) -> DataFrame:
 class Batch:
     """N-grams of one batch row: distinct keys in a fixed order, and each token's place among them."""
 
-    def __init__(self, lens, held, tokens: bytes, vocab: bytes):
+    def __init__(self, lens, roles, tokens: bytes, vocab: bytes):
         self.lens = np.asarray(lens, np.int64)
-        self.held = np.asarray(held, bool)
+        self.held = np.asarray(roles, np.int8) == APART
         self.tokens = unpacked(tokens, np.uint32).astype(np.int64)
         self.hashes = np.frombuffer(vocab, np.uint64)
         self.starts = np.concatenate([[0], np.cumsum(self.lens)[:-1]]).astype(np.int64)
-        self.training = ~np.repeat(self.held, self.lens)
+        self.roles = np.repeat(np.asarray(roles, np.int8), self.lens)
         self.contexts = np.empty_like(self.tokens)
         self.contexts[1:] = self.tokens[:-1]
         self.contexts[self.starts] = START
@@ -112,9 +119,12 @@ class Batch:
         self.keys = (self.hashes, pairs ^ (pairs >> np.uint64(31)))
         self.orders = tuple(np.argsort(k, kind="stable") for k in self.keys)
 
-    def counts(self, kind: int) -> np.ndarray:
-        places = self.pair_of if kind else self.tokens
-        return np.bincount(places[self.training], minlength=len(self.keys[kind]))
+    def counts(self, kind: int) -> list[np.ndarray]:
+        """Counts that the model is made of, in counted documents; before them, for single words, those in all training documents."""
+        places, which = self.pair_of if kind else self.tokens, [self.roles == COUNTED]
+        if not kind:
+            which.insert(0, self.roles != APART)
+        return [np.bincount(places[w], minlength=len(self.keys[kind])) for w in which]
 
     def cuts(self, kind: int, parts: int) -> np.ndarray:
         """Where each part's stretch of the ordered keys begins and ends: parts are equal ranges of the key."""
@@ -129,47 +139,49 @@ def requests(batches: DataFrame, parts: int) -> DataFrame:
     def rows(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for table in tables:
             for row in table.itertuples(index=False):
-                batch, out = Batch(row.lens, row.held, row.tokens, row.vocab), []
+                batch, out = Batch(row.lens, row.roles, row.tokens, row.vocab), []
                 for kind in (0, 1):
                     keys = batch.keys[kind][batch.orders[kind]]
-                    counts = batch.counts(kind)[batch.orders[kind]].astype(np.uint32)
+                    counts = np.stack(batch.counts(kind))[:, batch.orders[kind]].astype(np.uint32)
                     cuts = batch.cuts(kind, parts)
                     out += [
-                        (kind, p, row.batch, packed(np.diff(keys[i:j], prepend=np.uint64(0))), packed(counts[i:j]))
+                        (kind, p, row.batch, packed(np.diff(keys[i:j], prepend=np.uint64(0))), packed(counts[:, i:j].ravel()))
                         for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i
                     ]
                 yield pd.DataFrame(out, columns=[f.split()[0] for f in REQUESTS.split(", ")])
 
-    return batches.select("batch", "held", "lens", "tokens", "vocab").mapInPandas(rows, REQUESTS)
+    return batches.select("batch", "roles", "lens", "tokens", "vocab").mapInPandas(rows, REQUESTS)
 
 
 def add_up(part: pd.DataFrame) -> pd.DataFrame:
     """Totals of one range of keys, handed back to every batch in the order in which it asked."""
     asked = [np.cumsum(unpacked(k, np.uint64), dtype=np.uint64) for k in part["keys"]]
-    keys, counts = np.concatenate(asked), np.concatenate([unpacked(c, np.uint32) for c in part["counts"]])
+    sizes, keys = [len(k) for k in asked], np.concatenate(asked)
+    given = [unpacked(c, np.uint32).reshape(-1, n) for c, n in zip(part["counts"], sizes, strict=True)]
     distinct, place = np.unique(keys, return_inverse=True)
-    totals = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.uint64)
-    ends = np.cumsum([len(k) for k in asked])
-    answers = [packed(x) for x in np.split(totals[place], ends[:-1])]
+    totals = np.stack([np.bincount(place, weights=c, minlength=len(distinct)) for c in np.concatenate(given, axis=1)]).astype(np.uint64)
+    answers = [packed(x.ravel()) for x in np.split(totals[:, place], np.cumsum(sizes)[:-1], axis=1)]
     first = np.arange(len(part)) == 0
     return pd.DataFrame({
         "batch": part["batch"], "kind": part["kind"], "part": part["part"], "totals": answers,
-        "known": np.where(first, int((totals > 0).sum()), 0), "mass": np.where(first, int(totals.sum()), 0),
+        "known": np.where(first, int((totals[0] > 0).sum()), 0), "mass": np.where(first, int(totals[0].sum()), 0),
+        "counted": np.where(first, int(totals[-1].sum()), 0),
     })
 
 
-def _answered(row) -> tuple[Batch, np.ndarray, np.ndarray, np.ndarray]:
-    """A batch with the corpus counts of each token, its context and the pair of both."""
-    batch, totals = Batch(row.lens, row.held, row.tokens, row.vocab), []
+def _answered(row) -> tuple[Batch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A batch with the corpus counts of each token: in all training documents, and in the counted ones, where also those of its
+    context and of the pair of both."""
+    batch, columns = Batch(row.lens, row.roles, row.tokens, row.vocab), []
     for kind in (0, 1):
-        parts = sorted((a["part"], a["totals"]) for a in row.answers if a["kind"] == kind)
-        ordered = np.concatenate([unpacked(t, np.uint64) for _, t in parts])
-        back = np.empty(len(ordered), np.uint64)
-        back[batch.orders[kind]] = ordered
-        totals.append(back.astype(np.int64))
-    single, double = totals
+        parts = [t for _, t in sorted((a["part"], a["totals"]) for a in row.answers if a["kind"] == kind)]
+        ordered = np.concatenate([unpacked(t, np.uint64).reshape(2 - kind, -1) for t in parts], axis=1)
+        back = np.empty(ordered.shape, np.uint64)
+        back[:, batch.orders[kind]] = ordered
+        columns += list(back.astype(np.int64))
+    trained, single, double = columns
     single[START] = single[END]  # a document starts as often as it ends
-    return batch, single[batch.tokens], single[batch.contexts], double[batch.pair_of]
+    return batch, trained[batch.tokens], single[batch.tokens], single[batch.contexts], double[batch.pair_of]
 
 
 def _bucket(count: np.ndarray) -> np.ndarray:
@@ -181,17 +193,16 @@ def _bin(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.minimum(np.rint(-PER_OCTAVE * np.log2(np.maximum(p, 1e-300))).astype(np.int64) + 1, BINS - 1), 0)
 
 
-def held_out_cells(answered: DataFrame, tokens: int) -> DataFrame:
-    """Training tokens counted by context bucket and by what bigram and unigram give them once they themselves are deleted."""
+def held_out_cells(answered: DataFrame, counted: int) -> DataFrame:
+    """Tokens of the teaching documents, by context bucket and by what bigram and unigram of the counted documents give them."""
 
     def rows(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = np.zeros(BUCKETS * BINS * BINS)
         for table in tables:
             for row in table.itertuples(index=False):
-                batch, c2, c1, c12 = _answered(row)
-                c2, c1, c12 = (x[batch.training] - 1 for x in (c2, c1, c12))
-                f2 = c12 / np.maximum(c1, 1)
-                place = (_bucket(c1) * BINS + _bin(f2)) * BINS + _bin(c2 / max(tokens - 1, 1))
+                batch, _, c2, c1, c12 = _answered(row)
+                c2, c1, c12 = (x[batch.roles == TEACHING] for x in (c2, c1, c12))
+                place = (_bucket(c1) * BINS + _bin(c12 / np.maximum(c1, 1))) * BINS + _bin(c2 / max(counted, 1))
                 cells += np.bincount(place, minlength=len(cells))
         at = np.flatnonzero(cells)
         yield pd.DataFrame({"bucket": at // (BINS * BINS), "f2": at // BINS % BINS, "f1": at % BINS, "n": cells[at]})
@@ -200,7 +211,7 @@ def held_out_cells(answered: DataFrame, tokens: int) -> DataFrame:
 
 
 def learn_weights(cells: pd.DataFrame, kinds: int) -> np.ndarray:
-    """Weights of bigram, unigram and uniform share for each bucket. A bucket that no held-out token has takes those of the
+    """Weights of bigram, unigram and uniform share for each bucket. A bucket that no teaching token has takes those of the
     next lower one; without any, all weight is on the uniform share. The bigram share of unseen contexts is nothing."""
     weights, last = np.zeros((BUCKETS, 3)), np.array([0.0, 0.0, 1.0])
     for bucket in range(BUCKETS):
@@ -225,7 +236,8 @@ def learn_weights(cells: pd.DataFrame, kinds: int) -> np.ndarray:
 def score(docs: DataFrame) -> DataFrame:
     """One row per document: base unigram score and the model's log10 probability of the text.
 
-    A null text is empty: its one token is the end. Each row is scored, repeated or without an id as well (a null id counts
+    The estimates come from counted training documents, their weights by expectation-maximisation from the tokens of teaching ones,
+    a tenth of the training documents by the hash of the text; the base counts all training documents. A null text is empty: its one token is the end. Each row is scored, repeated or without an id as well (a null id counts
     as the empty text for its part). With no training tokens the model is uniform over one unknown token.
 
     Batches tokenise the texts once. Their distinct n-grams meet by ranges of the key's hash, so a very common pair costs one
@@ -237,23 +249,22 @@ def score(docs: DataFrame) -> DataFrame:
     keys = batches.agg(F.sum("n_keys")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(keys / TASK_KEYS))
     replies = stage(requests(batches, parts).groupBy("kind", "part").applyInPandas(add_up, REPLIES))
-    tokens, kinds = replies.where("kind = 0").agg(F.sum("mass"), F.sum("known")).first()
-    tokens, kinds = tokens or 0, kinds or 0
+    tokens, kinds, counted = (x or 0 for x in replies.where("kind = 0").agg(F.sum("mass"), F.sum("known"), F.sum("counted")).first())
     answers = replies.groupBy("batch").agg(F.collect_list(F.struct("kind", "part", "totals")).alias("answers"))
     answered = stage(batches.drop("n_keys").join(answers, "batch"))
-    weights = learn_weights(held_out_cells(answered, tokens).toPandas(), kinds)
+    weights = learn_weights(held_out_cells(answered, counted).toPandas(), kinds)
 
     def rows(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for table in tables:
             for row in table.itertuples(index=False):
-                batch, c2, c1, c12 = _answered(row)
+                batch, known, c2, c1, c12 = _answered(row)
                 mix = weights[np.minimum(_bucket(c1), BUCKETS - 1)]
-                p = mix[:, 0] * c12 / np.maximum(c1, 1) + mix[:, 1] * c2 / max(tokens, 1) + mix[:, 2] / (kinds + 1)
-                base = np.log10((c2 + 0.5) / (tokens + 0.5 * (kinds + 1)))
+                p = mix[:, 0] * c12 / np.maximum(c1, 1) + mix[:, 1] * c2 / max(counted, 1) + mix[:, 2] / (kinds + 1)
+                base = np.log10((known + 0.5) / (tokens + 0.5 * (kinds + 1)))
                 yield pd.DataFrame({
                     "doc_id": pd.array([None if d is None or d != d else int(d) for d in row.doc_ids], "Int64"),
                     "held_out": batch.held, "n_tokens": batch.lens,
-                    "n_known": np.add.reduceat((c2 > 0).astype(np.int64), batch.starts), "train_tokens": tokens,
+                    "n_known": np.add.reduceat((known > 0).astype(np.int64), batch.starts), "train_tokens": tokens,
                     "base_score": np.add.reduceat(base, batch.starts), "score": np.add.reduceat(np.log10(p), batch.starts),
                 })
 

@@ -217,6 +217,86 @@ def test_model_sums_to_one_and_beats_the_base(spark):
     assert len(probes) >= len(words)
 
 
+def brute_model(docs):
+    """{doc_id: log10 probability} by plain counting: estimates of counted documents, weights by EM over teaching ones."""
+    import xxhash
+
+    role = {}
+    for i, text in docs:
+        teaching = xxhash.xxh3_64_intdigest((text or "").encode()) % lm.DELETED == 0
+        role[i] = "apart" if brute.crc(i) == 1 else "teach" if teaching else "count"
+    lines = {i: [*(text or "").lower().split(), "<end>"] for i, text in docs}
+    single, double, kinds = collections.Counter(), collections.Counter(), set()
+    for i, words in lines.items():
+        if role[i] != "apart":
+            kinds.update(words)
+        if role[i] == "count":
+            single.update(words)
+            double.update(zip(["<start>", *words], words, strict=False))
+    total = sum(single.values())
+    single["<start>"] = single["<end>"]
+    bucket = lambda n: int(math.log2(n)) + 1 if n else 0
+    rounded = lambda p: 2.0 ** (-min(round(-lm.PER_OCTAVE * math.log2(p)), lm.BINS - 2) / lm.PER_OCTAVE) if p else 0.0
+
+    def given(before, word):
+        return bucket(single[before]), double[before, word] / max(single[before], 1), single[word] / max(total, 1)
+
+    cells = collections.defaultdict(collections.Counter)
+    for i, words in lines.items():
+        if role[i] == "teach":
+            for before, word in zip(["<start>", *words], words, strict=False):
+                b, f2, f1 = given(before, word)
+                cells[b][rounded(f2), rounded(f1)] += 1
+    weights, last = {}, (0.0, 0.0, 1.0)
+    for b in range(lm.BUCKETS):
+        if cells[b]:
+            mix = [1 / 3] * 3
+            for _ in range(lm.ROUNDS):
+                new = [0.0] * 3
+                for (f2, f1), n in cells[b].items():
+                    joint = [m * p for m, p in zip(mix, (f2, f1, 1 / (len(kinds) + 1)), strict=True)]
+                    new = [x + n * j / sum(joint) for x, j in zip(new, joint, strict=True)]
+                mix = [x / sum(new) for x in new]
+            held = [max(m, 1e-6) for m in mix]
+            last = tuple(m / sum(held) for m in held)
+            if b == 0:
+                last = (0.0, last[1] / (last[1] + last[2]), last[2] / (last[1] + last[2]))
+        weights[b] = last
+    out = {}
+    for i, words in lines.items():
+        out[i] = 0.0
+        for before, word in zip(["<start>", *words], words, strict=False):
+            b, f2, f1 = given(before, word)
+            out[i] += math.log10(sum(w * p for w, p in zip(weights[b], (f2, f1, 1 / (len(kinds) + 1)), strict=True)))
+    return out, (single, double, total, kinds, weights)
+
+
+def zipf_texts(seed, n, words=30):
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"w{min(int(x), 400)}" for x in rng.zipf(1.4, words)) for _ in range(n)]
+
+
+def test_scores_match_brute_force(spark):
+    docs = list(enumerate([*zipf_texts(1, 150), "", "only once", *zipf_texts(1, 20)])) + [(900, None)]
+    wanted, (single, double, total, kinds, weights) = brute_model(docs)
+    found = {r["doc_id"]: r["score"] for r in scored(frame(spark, [(i, t, "", "", 0) for i, t in docs]))}
+    assert found.keys() == wanted.keys() and all(abs(found[i] - wanted[i]) < 1e-6 * max(1, abs(wanted[i])) for i in wanted)
+    # What follows one history: all words, the end and one unseen word have a probability of one together.
+    history = "w1"
+    w = weights[int(math.log2(single[history])) + 1]
+    shares = [w[0] * double[history, x] / single[history] + w[1] * single[x] / total + w[2] / (len(kinds) + 1) for x in kinds]
+    assert abs(sum(shares) + w[2] / (len(kinds) + 1) - 1) < 1e-9
+
+
+def test_texts_that_occur_twice_do_not_vouch_for_themselves(spark):
+    held_ids, ids = [i for i in range(3000) if brute.crc(i) == 1], [i for i in range(3000) if brute.crc(i) != 1]
+    held, texts = zipf_texts(11, 60), zipf_texts(12, 200)
+    for copies in (1, 2):
+        rows = [(i, t, "", "", 0) for i, t in zip(ids, texts * copies, strict=False)] + [(i, t, "", "", 0) for i, t in zip(held_ids, held, strict=False)]
+        out = [r for r in scored(frame(spark, rows)) if r["held_out"]]
+        assert len(out) == 60 and sum(r["score"] for r in out) > sum(r["base_score"] for r in out) - 0.02 * sum(r["n_tokens"] for r in out)
+
+
 def test_weights_by_expectation_maximisation():
     cells = pd.DataFrame({"bucket": [3, 3], "f2": [1 + lm.PER_OCTAVE, 0], "f1": [1 + 4 * lm.PER_OCTAVE, 1 + 4 * lm.PER_OCTAVE], "n": [600.0, 400.0]})
     weights = lm.learn_weights(cells, 1 << 20)
