@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinelake.functions import vectors as V
 from kinelake.operators.aggregates import long_form
@@ -18,7 +24,7 @@ from kinelake.operators.blocks import (
     running_total,
     with_neighbours,
 )
-from kinelake.session import stage
+from kinelake.session import hot_rows, stage
 
 # --- fixed values -------------------------------------------------------------------------------------------------
 OTSU_STEPS = 64
@@ -43,6 +49,83 @@ def nine(col: Column) -> Column:
 def otsu(frames: DataFrame) -> DataFrame:
     """Best two-cluster split of each joint: separation (between-class over total variance) and threshold.
 
+    An ordinary episode is one series of vectors in one task: nothing is spread out into rows per joint. Episodes above
+    ``hot_rows`` frames take the way over counted rows (``_otsu_counted``); both follow the same formulas, so the size does not show.
+    """
+    sizes = frames.groupBy(*EPISODE).agg(F.count(F.lit(1)).alias("_n"))
+    most = hot_rows(frames.sparkSession)
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= most:
+        return _otsu_series(frames)
+    large = stage(sizes.where(F.col("_n") > most).select(*EPISODE))
+    return _otsu_series(frames.join(large, list(EPISODE), "left_anti")).unionByName(_otsu_counted(frames.join(large, list(EPISODE))))
+
+
+def half_up(value: float, digits: int) -> float:
+    """As the engine rounds: on the shortest decimal form, halves away from zero."""
+    if not math.isfinite(value):
+        return value
+    return float(Decimal(repr(float(value))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
+def split_of(values: np.ndarray, rows: int) -> tuple[float, float]:
+    """Separation and threshold of one joint's rounded values; ``rows`` counts missing ones too."""
+    if not len(values):
+        return 0.0, math.nan
+    x = np.sort(values)
+
+    def percentile(p: float) -> float:
+        at = p * (len(x) - 1)
+        low, high = math.floor(at), math.ceil(at)
+        value = x[low] if low == high or x[low] == x[high] else (high - at) * x[low] + (at - low) * x[high]
+        return half_up(value, DIGITS)
+
+    low, high, mean, variance = percentile(OTSU_LOW), percentile(OTSU_HIGH), float(x.mean()), float(x.var())
+    fallback = mean if rows < OTSU_MIN_FRAMES else (low + high) / 2
+    if rows < OTSU_MIN_FRAMES or x[0] == x[-1] or not high > low:
+        return 0.0, fallback
+    limits = low + np.arange(OTSU_STEPS) * ((high - low) / float(OTSU_STEPS - 1))
+    limits[-1] = high
+    bucket = np.searchsorted(limits, x, "left")
+    below, sums = np.cumsum(np.bincount(bucket, minlength=OTSU_STEPS + 1)), np.cumsum(np.bincount(bucket, x, OTSU_STEPS + 1))
+    best, threshold = 0.0, fallback
+    for k in np.unique(bucket):
+        if k < OTSU_STEPS and below[k] < rows:
+            share = below[k] / rows
+            gap = sums[k] / below[k] - (rows * mean - sums[k]) / (rows - below[k])
+            ratio = half_up(share * (1 - share) * gap * gap / variance, RATIO_DIGITS)
+            if ratio > best:
+                best, threshold = ratio, float(limits[k])
+    return best, threshold
+
+
+def _otsu_series(frames: DataFrame) -> DataFrame:
+    keys = frames.select(*EPISODE).schema.fields
+    kinds = T.StructType([
+        *keys, T.StructField("joint", T.IntegerType()), T.StructField("separation", T.DoubleType()),
+        T.StructField("threshold", T.DoubleType()), T.StructField("n", T.LongType()),
+    ])
+
+    def split(table: pa.Table) -> pa.Table:
+        vectors = table.column("v").combine_chunks()
+        vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
+        sizes = np.nan_to_num(pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(float)).astype(int)
+        flat, starts = vectors.flatten(), np.cumsum(sizes) - sizes
+        values, known = flat.to_numpy(zero_copy_only=False).astype(float), np.asarray(flat.is_valid())
+        found = []
+        for joint in range(int(sizes.max(initial=0))):
+            at = starts[sizes > joint] + joint
+            found.append((joint, *split_of(values[at][known[at]], len(at)), len(at)))
+        key = [pa.array([table.column(k)[0].as_py()] * len(found), table.schema.field(k).type) for k in EPISODE]
+        columns = [pa.array([r[i] for r in found], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.float64(), pa.int64()))]
+        return pa.table([*key, *columns], names=[*EPISODE, "joint", "separation", "threshold", "n"])
+
+    rounded = F.transform(V.widen(F.col("observation_state")), nine)
+    return frames.select(*EPISODE, rounded.alias("v")).groupBy(*EPISODE).applyInArrow(split, kinds)
+
+
+def _otsu_counted(frames: DataFrame) -> DataFrame:
+    """The splits of episodes of any length over rows that are counted by bucket.
+
     The 64 candidate thresholds are evenly spaced between the 1st and 99th percentile. Each value is counted into the
     first threshold at or above it; cumulative counts and sums over those at most 65 buckets give every split, so the
     frames are read once per pass whatever the number of thresholds.

@@ -98,3 +98,32 @@ def test_reference_gives_a_distance_for_each_feature(spark, analysed):
     assert nothing.success is None and nothing.reason == "reference has no features"
     other = E.judge_reference(features, reference.withColumn("feature", F.lit("unheard"))).first()
     assert other.reason == "reference shares no feature" and other.z_scores is None
+
+
+def test_splits_do_not_depend_on_the_size_of_an_episode(spark):
+    """Series in one task and counted rows give the same splits: bimodal, flat, short, ragged, missing and far values."""
+    import numpy as np
+
+    from kinelake.session import HOT_ROWS_CONF
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for e in range(6):
+        for t in range(90 + e):
+            both = float(rng.normal(0.1 if rng.random() < 0.3 + e / 20 else 0.8, 0.05))
+            vector = [both, 0.25, float(rng.normal() * 10 ** (e - 2)), float(round(rng.random(), 1))]
+            rows.append(("d", e, t, vector[: 3 if t % 7 == 0 and e == 2 else 4], [0.0]))
+    rows += [("d", 7, t, [1.0 + t], [0.0]) for t in range(3)] + [("d", 8, 0, None, [0.0]), ("d", 9, 0, [], [0.0]), ("d", 10, 0, [2.5], [0.0])]
+    frames = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    take = lambda df: {(r.episode_index, r.joint): (r.separation, r.threshold, r.n) for r in df.collect()}
+    series, counted = take(N._otsu_series(frames)), take(N._otsu_counted(frames))
+    spark.conf.set(HOT_ROWS_CONF, "92")
+    try:
+        mixed = take(N.otsu(frames))
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+    assert series.keys() == counted.keys() == mixed.keys() and len(series) == 26
+    for k, (separation, threshold, n) in counted.items():
+        for other in (series[k], mixed[k]):
+            assert other[2] == n and abs(other[0] - separation) < 1e-9 and abs(other[1] - threshold) < 1e-9
+    assert series[0, 0][0] > 0.8 and series[0, 1][0] == 0
