@@ -314,9 +314,9 @@ def s6(t):
 WITH a AS (SELECT *, CAST(substring(run_id, 5) AS BIGINT) % 150 AS k FROM rec),
 b AS (SELECT *, CASE WHEN k = 100 THEN 'discarded' WHEN frames = 0 THEN 'episode without frames not saved'
        WHEN k = 0 AND frames > 1 THEN 'joint order changes within the run' ELSE 'saved' END AS status FROM a),
-c AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY k <> 50, started_at, run_id) - 1 AS episode_index FROM b WHERE status = 'saved'),
+c AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY k <> 50, started_at, run_id) - 1 AS place FROM b WHERE status = 'saved'),
 f AS (SELECT run_id, count(*) AS frame_rows, round(sum(o0), 4) AS total FROM jl GROUP BY 1)
-SELECT b.dataset_id, b.run_id, b.status, c.episode_index, c.frames, 'episodes/episode-' || lpad(CAST(c.episode_index AS VARCHAR), 6, '0') AS path,
+SELECT b.dataset_id, b.run_id, b.status, c.place AS episode_index, c.frames, 'episodes/episode-' || lpad(CAST(c.place AS VARCHAR), 6, '0') AS path,
        round(c.frames / CAST(c.fps AS DOUBLE), 6) AS duration_seconds, CASE WHEN c.run_id IS NOT NULL THEN frame_rows END AS frame_rows, CASE WHEN c.run_id IS NOT NULL THEN total END AS total
 FROM b LEFT JOIN c ON c.run_id = b.run_id LEFT JOIN f ON f.run_id = b.run_id""",
 )
@@ -448,15 +448,15 @@ def present(t):
 SELECT e.dataset_id, episode_index, d.task AS tasks, rows AS length, CAST(sum(rows) OVER w - rows AS BIGINT) AS dataset_from_index, CAST(sum(rows) OVER w AS BIGINT) AS dataset_to_index,
        CAST(0 AS BIGINT) AS "data/chunk_index", episode_index AS "data/file_index", CAST(0 AS BIGINT) AS "meta/episodes/chunk_index", CAST(0 AS BIGINT) AS "meta/episodes/file_index",
        CAST(0 AS BIGINT) AS "videos/observation.images.front/chunk_index", episode_index AS "videos/observation.images.front/file_index",
-       0.0::DOUBLE AS "videos/observation.images.front/from_timestamp", round(rows::DOUBLE / d.fps, 6) AS "videos/observation.images.front/to_timestamp"
+       0.0::DOUBLE AS "videos/observation.images.front/from_timestamp", round(rows::DOUBLE / d.fps, 6) AS "videos/observation.images.front/to_timestamp",
+       CAST(0 AS BIGINT) AS "videos/observation.images.wrist/chunk_index", episode_index AS "videos/observation.images.wrist/file_index",
+       0.0::DOUBLE AS "videos/observation.images.wrist/from_timestamp", round(rows::DOUBLE / d.fps, 6) AS "videos/observation.images.wrist/to_timestamp"
 FROM eps e JOIN ds d ON d.dataset_id = e.dataset_id WHERE rows > 0 WINDOW w AS (PARTITION BY e.dataset_id ORDER BY episode_index ROWS UNBOUNDED PRECEDING)""",
 )
 def s9(t):
-    out = X.lerobot_episodes(present(t), ["front"])
-    head = "videos/observation.images.front"
-    return out.withColumns(
-        {"tasks": F.concat_ws(",", "tasks"), f"{head}/to_timestamp": F.round(F.col(f"`{head}/to_timestamp`"), 6)}
-    )
+    out = X.lerobot_episodes(present(t), CAMERAS)
+    ends = [f"videos/observation.images.{c}/to_timestamp" for c in CAMERAS]
+    return out.withColumns({"tasks": F.concat_ws(",", "tasks"), **{end: F.round(F.col(f"`{end}`"), 6) for end in ends}})
 
 
 def camera_table(t):
@@ -696,11 +696,11 @@ def s18(t):
     "S18_hub_manifest",
     "hub",
     sql="""
-SELECT dataset_id, episode_id, episode_index, frames, 'data/train-' || pad || '.parquet' AS data_file, 'media/videos/front/episode-' || pad || '.mp4' AS front_video FROM hub""",
+SELECT dataset_id, episode_id, episode_index, frames, 'data/train-' || pad || '.parquet' AS data_file, 'media/videos/front/episode-' || pad || '.mp4' AS front_video, 'media/videos/wrist/episode-' || pad || '.mp4' AS wrist_video FROM hub""",
 )
 def s18_rows(t):
     return X.hub_manifest_rows(facts(t), CAMERAS).select(
-        "dataset_id", "episode_id", "episode_index", "frames", "data_file", F.col("videos")["front"].alias("front_video")
+        "dataset_id", "episode_id", "episode_index", "frames", "data_file", *[F.col("videos")[c].alias(f"{c}_video") for c in CAMERAS]
     )
 
 

@@ -456,7 +456,7 @@ def j3(t):
     "rec",
     sql="""
 SELECT dataset_id, run_id, frames, round(frames::DOUBLE / greatest(1, fps), 6) AS duration_seconds,
-       'incomplete episode is recoverable; ' || CASE WHEN frames = 0 THEN '' ELSE 'save or ' END || 'discard it before recording again' AS message
+       'unfinished run' || CASE WHEN frames = 0 THEN ' without frames, discard' ELSE ', save or discard' END || ' it to record again' AS message
 FROM rec""",
 )
 def j4(t):
@@ -554,10 +554,10 @@ def j5_keyed(t):
 
 
 def mapping(t):
-    """Joint mappings per robot type of the regions; the gripper has none."""
-    region = t("region").where("r_regionkey = 0")
+    """Joint mappings with a gain that comes from the regions; the gripper has none."""
+    region = t("region").agg(F.count("*").cast("double").alias("regions"))
     rows = F.array(
-        F.struct(F.lit("shoulder").alias("joint"), F.lit("rig.rotateX").alias("target"), F.lit(2.0).alias("scale"),
+        F.struct(F.lit("shoulder").alias("joint"), F.lit("rig.rotateX").alias("target"), (F.col("regions") - 3.0).alias("scale"),
                  F.lit(0.5).alias("offset"), F.lit(-1.0).alias("sign"), F.lit("dof_a").alias("dof")),
         F.struct(F.lit("elbow").alias("joint"), F.lit("rig.lift").alias("target"), F.lit(None).cast("double").alias("scale"),
                  F.lit(-0.25).alias("offset"), F.lit(None).cast("double").alias("sign"), F.lit("").alias("dof")),
@@ -567,22 +567,23 @@ def mapping(t):
 
 def calibration(t):
     rows = F.array(
-        F.struct(F.lit("shoulder").alias("joint"), F.lit(True).alias("calibrated"), F.lit(1.25).alias("sim_home"),
+        F.struct(F.lit("shoulder").alias("joint"), F.lit(True).alias("calibrated"), (F.col("regions") / 4).alias("sim_home"),
                  F.lit(None).cast("double").alias("dataset_home")),
         F.struct(F.lit("gripper").alias("joint"), F.lit(True).alias("calibrated"), F.lit(0.1).alias("sim_home"),
                  F.lit(0.05).alias("dataset_home")),
         F.struct(F.lit("elbow").alias("joint"), F.lit(False).alias("calibrated"), F.lit(9.0).alias("sim_home"),
                  F.lit(9.0).alias("dataset_home")),
     )
-    return t("region").where("r_regionkey = 0").select(F.inline(rows))
+    return t("region").agg(F.count("*").cast("double").alias("regions")).select(F.inline(rows))
 
 
 @query(
     "J6_retarget",
     "fe",
     sql="""
+WITH r AS (SELECT count(*)::DOUBLE AS regions FROM region)
 SELECT episode_index, frame_index, joint, target, round(CASE WHEN target = 'rig.rotateX' THEN degrees(v * s + o) ELSE v * s + o END, 6) + 0.0::DOUBLE AS output
-FROM fe, LATERAL (VALUES ('shoulder', 'rig.rotateX', a0, 2.0::DOUBLE, 0.5::DOUBLE), ('elbow', 'rig.lift', a1, 1.0::DOUBLE, -0.25::DOUBLE)) AS c(joint, target, v, s, o)""",
+FROM fe, r, LATERAL (VALUES ('shoulder', 'rig.rotateX', a0, regions - 3, 0.5::DOUBLE), ('elbow', 'rig.lift', a1, 1.0::DOUBLE, -0.25::DOUBLE)) AS c(joint, target, v, s, o)""",
 )
 def j6(t):
     return J.retarget(t.frames_events, mapping(t)).select(
@@ -594,15 +595,14 @@ def j6(t):
     "J7_retarget_home",
     "fe",
     sql="""
-WITH h AS (SELECT episode_index, a0 AS home FROM fe WHERE frame_index = 0)
+WITH h AS (SELECT episode_index, a0 AS home FROM fe WHERE frame_index = 0), r AS (SELECT count(*)::DOUBLE AS regions FROM region)
 SELECT fe.episode_index, frame_index, joint, dof, round(v, 6) + 0.0::DOUBLE AS output
-FROM fe JOIN h ON h.episode_index = fe.episode_index, LATERAL (VALUES ('shoulder', 'dof_a', 1.25::DOUBLE + -2.0::DOUBLE * (a0 - home)), ('elbow', 'elbow', a1),
+FROM fe JOIN h ON h.episode_index = fe.episode_index, r, LATERAL (VALUES ('shoulder', 'dof_a', regions / 4 - (regions - 3) * (a0 - home)), ('elbow', 'elbow', a1),
      ('gripper', 'gripper', 0.1::DOUBLE + (a2 - 0.05::DOUBLE))) AS c(joint, dof, v)""",
 )
 def j7(t):
-    dofs = t("region").where("r_regionkey = 0").select(
-        F.explode(F.array(*[F.lit(d) for d in ("dof_a", "elbow", "gripper", "unused")])).alias("dof")
-    )
+    named = F.array(*[F.lit(d) for d in ("dof_a", "elbow", "gripper")])
+    dofs = t("region").select(F.explode(F.concat(named, F.array(F.concat(F.lit("unused-"), "r_regionkey")))).alias("dof")).distinct()
     return J.retarget_home(t.frames_events, mapping(t), calibration(t), dofs).select(
         "episode_index", "frame_index", "joint", "dof", r6(F.col("output")).alias("output")
     )
@@ -612,15 +612,15 @@ def j7(t):
     "U4_mapping_arguments",
     "fe",
     sql="""
-SELECT episode_index, frame_index, joint, target, round(v * s, 6) + 0.0::DOUBLE AS output
-FROM fe, LATERAL (SELECT DISTINCT j.joint, 'axis-' || s_nationkey AS target, j.v, 1.0::DOUBLE + s_nationkey AS s FROM supplier JOIN (VALUES ('shoulder', o0, 0), ('gripper', o2, 1)) AS j(joint, v, k) ON k = s_suppkey)""",
+WITH m AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'shoulder' ELSE 'gripper' END AS joint, 'axis-' || max(s_nationkey) AS target, count(*) / 8.0::DOUBLE AS s FROM supplier GROUP BY 1)
+SELECT episode_index, frame_index, m.joint, target, round(v * s, 6) + 0.0::DOUBLE AS output
+FROM fe JOIN m ON true, LATERAL (VALUES ('shoulder', o0), ('gripper', o2)) AS j(joint, v) WHERE j.joint = m.joint""",
 )
 def u4(t):
-    """A mapping the caller supplies as a table, here from two suppliers."""
-    given = t("supplier").where("s_suppkey < 2").select(
-        F.when(F.col("s_suppkey") == 0, "shoulder").otherwise("gripper").alias("joint"),
-        F.concat(F.lit("axis-"), "s_nationkey").alias("target"), (F.lit(1.0) + F.col("s_nationkey")).alias("scale"),
-        F.lit(0.0).alias("offset"),
+    """A mapping the caller supplies as a table, here gathered from all suppliers."""
+    joint = F.when(F.col("s_suppkey") % 2 == 0, "shoulder").otherwise("gripper")
+    given = t("supplier").groupBy(joint.alias("joint")).agg(
+        F.concat(F.lit("axis-"), F.max("s_nationkey")).alias("target"), (F.count("*") / 8.0).alias("scale"), F.lit(0.0).alias("offset")
     )
     out = J.retarget(t.frames_events, given, "observation", "degrees")
     return out.select("episode_index", "frame_index", "joint", "target", r6(F.col("output")).alias("output"))
@@ -642,10 +642,10 @@ def j8(t):
     "J9_policy_error",
     "fe",
     sql="""
-SELECT episode_index, frame_index, round(abs(o0 - a0), 6) AS e0, round(abs(o1 - a1), 6) AS e1, round(abs(o2 - a2), 6) AS e2 FROM fe WHERE frame_index % 2 = 0""",
+SELECT episode_index, frame_index, round(abs(o0 - a0), 6) AS e0, round(abs(o1 - a1), 6) AS e1, round(abs(o2 - a2), 6) AS e2 FROM fe""",
 )
 def j9(t):
-    predicted = t.frames_events.where("frame_index % 2 = 0").select(
+    predicted = t.frames_events.select(
         "dataset_id", "episode_index", "frame_index", V.widen(F.col("observation_state")).alias("prediction")
     )
     out = J.policy_error(predicted, t.frames_events)

@@ -16,22 +16,16 @@ from kinelake.schema import CHANNEL_COLUMN, CHANNELS
 ACTION = ("action",)
 
 
-def long_action(t, smoothed):
-    """Smoothed action channel, one row per joint."""
-    return smoothed.select("episode_index", "frame_index", F.posexplode("action").alias("joint", "v")).select(
-        "episode_index", "frame_index", "joint", r6(F.col("v")).alias("value")
-    )
-
-
 def fir_cte(name: str, weights: list[float]) -> None:
     reach = len(weights) // 2
     rows = ", ".join(f"({k - reach}, {w!r}::DOUBLE)" for k, w in enumerate(weights))
+    cte(name, f"SELECT * FROM {name}_all WHERE channel = 'action'", f"{name}_all")
     cte(
-        name,
+        f"{name}_all",
         f"""
 SELECT a.episode_index, a.frame_index, a.channel, a.joint, a.n,
        CASE WHEN a.frame_index = 0 OR a.frame_index = a.n - 1 THEN any_value(a.v) ELSE sum(k.w * b.v) END AS v
-FROM (SELECT * FROM fel WHERE channel = 'action') a CROSS JOIN (VALUES {rows}) AS k(k, w)
+FROM fel a CROSS JOIN (VALUES {rows}) AS k(k, w)
 JOIN fel b ON b.episode_index = a.episode_index AND b.channel = a.channel AND b.joint = a.joint
           AND b.frame_index = least(greatest(a.frame_index + k.k, 0), a.n - 1)
 GROUP BY a.episode_index, a.frame_index, a.channel, a.joint, a.n""",
@@ -48,33 +42,33 @@ _ROWS = ", ".join(
     f"({i}, {k}, {float(_FIT[i][k])!r}::DOUBLE)" for i in range(_WINDOW) for k in range(_WINDOW)
 )
 cte(
-    "fsg",
+    "fsg_all",
     f"""
 SELECT a.episode_index, a.frame_index, a.channel, a.joint, a.n,
        CASE WHEN a.frame_index = 0 OR a.frame_index = a.n - 1 THEN any_value(a.v) ELSE sum(m.w * b.v) END AS v
-FROM (SELECT *, least(greatest(frame_index - {_WINDOW // 2}, 0), n - {_WINDOW}) AS start FROM fel WHERE channel = 'action') a
+FROM (SELECT *, least(greatest(frame_index - {_WINDOW // 2}, 0), n - {_WINDOW}) AS start FROM fel) a
 JOIN (VALUES {_ROWS}) AS m(i, k, w) ON m.i = a.frame_index - a.start
 JOIN fel b ON b.episode_index = a.episode_index AND b.channel = a.channel AND b.joint = a.joint AND b.frame_index = a.start + m.k
 GROUP BY a.episode_index, a.frame_index, a.channel, a.joint, a.n""",
     "fel",
 )
 
-FILTERED = "SELECT episode_index, frame_index, joint, round(v, 6) AS value FROM "
+FILTERED = "SELECT episode_index, frame_index, channel, joint, round(v, 6) AS value FROM "
 
 
-@query("F1_moving_average", "fma", sql=FILTERED + "fma")
+@query("F1_moving_average", "fma_all", sql=FILTERED + "fma_all")
 def f1(t):
-    return long_action(t, S.moving_average(t.frames_events, 1.0, ACTION))
+    return long_channels(t, S.moving_average(t.frames_events, 1.0, CHANNELS))
 
 
-@query("F2_gaussian", "fga", sql=FILTERED + "fga")
+@query("F2_gaussian", "fga_all", sql=FILTERED + "fga_all")
 def f2(t):
-    return long_action(t, S.gaussian(t.frames_events, 1.0, ACTION))
+    return long_channels(t, S.gaussian(t.frames_events, 1.0, CHANNELS))
 
 
-@query("F3_savgol", "fsg", sql=FILTERED + "fsg")
+@query("F3_savgol", "fsg_all", sql=FILTERED + "fsg_all")
 def f3(t):
-    return long_action(t, S.savgol(t.frames_events, 1.0, ACTION))
+    return long_channels(t, S.savgol(t.frames_events, 1.0, CHANNELS))
 
 
 def long_channels(t, smoothed):
@@ -137,25 +131,25 @@ def f4_cross_validated(t):
     "F5_one_euro",
     "fel",
     sql="""
-RECURSIVE WITH s AS (SELECT episode_index, frame_index, joint, n, v FROM fel WHERE channel = 'action'),
-e(episode_index, joint, frame_index, x, dx) AS (
-  SELECT episode_index, joint, frame_index, v, 0.0::DOUBLE FROM s WHERE frame_index = 0
+RECURSIVE WITH s AS (SELECT episode_index, frame_index, channel, joint, n, v FROM fel),
+e(episode_index, channel, joint, frame_index, x, dx) AS (
+  SELECT episode_index, channel, joint, frame_index, v, 0.0::DOUBLE FROM s WHERE frame_index = 0
   UNION ALL
-  SELECT episode_index, joint, frame_index, a * v + (1 - a) * x, dxh
+  SELECT episode_index, channel, joint, frame_index, a * v + (1 - a) * x, dxh
   FROM (SELECT *, 1.0 / (1.0 + (1.0 / (2 * pi() * (1.0 + 0.007 * abs(dxh)))) * 30) AS a
-        FROM (SELECT s.episode_index, s.joint, s.frame_index, s.v, e.x,
+        FROM (SELECT s.episode_index, s.channel, s.joint, s.frame_index, s.v, e.x,
                      (1.0 / (1.0 + (1.0 / (2 * pi())) * 30)) * ((s.v - e.x) * 30) + (1 - 1.0 / (1.0 + (1.0 / (2 * pi())) * 30)) * e.dx AS dxh
-              FROM e JOIN s ON s.episode_index = e.episode_index AND s.joint = e.joint AND s.frame_index = e.frame_index + 1)))
-SELECT s.episode_index, s.frame_index, s.joint, round(CASE WHEN s.frame_index = s.n - 1 THEN s.v ELSE e.x END, 6) AS value
-FROM e JOIN s ON s.episode_index = e.episode_index AND s.joint = e.joint AND s.frame_index = e.frame_index""",
+              FROM e JOIN s ON s.episode_index = e.episode_index AND s.channel = e.channel AND s.joint = e.joint AND s.frame_index = e.frame_index + 1)))
+SELECT s.episode_index, s.frame_index, s.channel, s.joint, round(CASE WHEN s.frame_index = s.n - 1 THEN s.v ELSE e.x END, 6) AS value
+FROM e JOIN s ON s.episode_index = e.episode_index AND s.channel = e.channel AND s.joint = e.joint AND s.frame_index = e.frame_index""",
 )
 def f5(t):
-    return long_action(t, S.one_euro_filter(t.frames_events, 1.0, 30.0, ACTION))
+    return long_channels(t, S.one_euro_filter(t.frames_events, 1.0, 30.0, CHANNELS))
 
 
-@query("F6_passthrough", "fel", sql=FILTERED + "fel WHERE channel = 'action'")
+@query("F6_passthrough", "fel", sql=FILTERED + "fel")
 def f6(t):
-    return long_action(t, S.smooth(t.frames_events, "none", 1.0, channels=ACTION))
+    return long_channels(t, S.smooth(t.frames_events, "none", 1.0, channels=CHANNELS))
 
 
 @query(
@@ -403,10 +397,10 @@ def f10(t):
     "U3_filter_arguments",
     "fel",
     sql="""
-SELECT a.episode_index, a.frame_index, a.joint, round(CASE WHEN a.frame_index = 0 OR a.frame_index = a.n - 1 THEN any_value(a.v) ELSE avg(b.v) END, 6) AS value
-FROM (SELECT * FROM fel WHERE channel = 'action') a CROSS JOIN range(-6, 7) AS k(k)
+SELECT a.episode_index, a.frame_index, a.channel, a.joint, round(CASE WHEN a.frame_index = 0 OR a.frame_index = a.n - 1 THEN any_value(a.v) ELSE avg(b.v) END, 6) AS value
+FROM fel a CROSS JOIN range(-6, 7) AS k(k)
 JOIN fel b ON b.episode_index = a.episode_index AND b.channel = a.channel AND b.joint = a.joint AND b.frame_index = least(greatest(a.frame_index + k.k, 0), a.n - 1)
-GROUP BY a.episode_index, a.frame_index, a.joint, a.n""",
+GROUP BY a.episode_index, a.frame_index, a.channel, a.joint, a.n""",
 )
 def u3(t):
-    return long_action(t, S.smooth(t.frames_events, "moving_average", 2.0, channels=ACTION))
+    return long_channels(t, S.smooth(t.frames_events, "moving_average", 2.0, channels=CHANNELS))
