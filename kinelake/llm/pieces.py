@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +29,12 @@ SAMPLED = "doc_id long, sample int, log_prob double, inclusion double, ids array
 
 
 class Pieces:
-    """Pieces of a vocabulary file, with hashes of all their prefixes by length."""
+    """Pieces of a vocabulary file's content, with hashes of all their prefixes by length."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        model = sentencepiece.SentencePieceProcessor(model_proto=model)
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.bytes_of: list[bytes] = []
         self.byte_ids = {}
@@ -232,16 +234,23 @@ def decode_ids(ids, pieces: Pieces) -> str:
     return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
+def shipped(df: DataFrame, model_file: str) -> Broadcast[bytes]:
+    """The content of a vocabulary file (some hundred kilobytes), read by the driver: workers need no file of their own."""
+    return df.sparkSession.sparkContext.broadcast(Path(model_file).read_bytes())
+
+
 def encode(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: int = SEED) -> DataFrame:
     """Up to ``k`` distinct sampled segmentations of every whole text, one row each: doc_id, sample, log_prob, inclusion, ids
     and round_trip (whether decoding gives the text back, its blank marks read as blanks).
 
     Rows draw from a generator seeded by their doc_id, so reruns and other partitionings agree; repeated rows agree too. A null
-    or empty text has one segmentation, without ids. Rows without an id are seeded by their text.
+    or empty text has one segmentation, without ids. Rows without an id are seeded by their text. A very long text is searched
+    whole; an empty table gives no rows; further columns are ignored.
     """
+    model = shipped(docs, model_file)
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model_file)
+        pieces = Pieces(model.value)
         names = [f.split()[0] for f in SAMPLED.split(", ")]
 
         def table(found: list[tuple]) -> pa.RecordBatch:
@@ -300,8 +309,10 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids", into: str = "t
     kept = [c for c in encoded.columns if c != into]
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.select(*kept).dtypes) + f", `{into}` string"
 
+    model = shipped(encoded, model_file)
+
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model_file)
+        pieces = Pieces(model.value)
         for part in parts:
             texts = [None if x is None else decode_ids(x, pieces) for x in part.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])

@@ -58,7 +58,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     sampled = pieces.encode(read(spark, sf_dir, "documents"), vocabulary(spark))
     return sampled.select(
-        "doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob",
+        "doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "ids", "log_prob",
         "inclusion", "round_trip",
     )
 

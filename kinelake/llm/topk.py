@@ -46,7 +46,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, id_column: str = "v
     """The ``k`` nearest rows of each query row by Hamming distance of sign codes: query_id, rank, vec_id, distance.
 
     Ties go to the smaller id; the query's own id is left out. Null embeddings neither search nor are found, rows with a null
-    id are not found; repeated ids count once per code. Fewer than ``k`` other rows give all of them.
+    id are not found; repeated ids count once per code. Fewer than ``k`` other rows give all of them. Empty tables give no rows;
+    further columns are ignored.
 
     Equal codes are one entry with its ``k + 1`` smallest ids, so a code that very many rows share costs one candidate. The
     search radius of all segments grows by one per round. A code that no segment has shown yet differs by more than the radius

@@ -62,7 +62,7 @@ def test_odd_vectors(spark, monkeypatch, most):
 
 @pytest.fixture(scope="module")
 def vocabulary():
-    return pieces.Pieces(VOCABULARY)
+    return pieces.Pieces(open(VOCABULARY, "rb").read())
 
 
 def ways(lattice, node, first):
