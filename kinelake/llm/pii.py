@@ -21,7 +21,7 @@ IP_VALID = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 CANDIDATE_CHARS = 6
 
-CONTEXT_CHARS = 48
+CONTEXT_CHARS = 128
 ROUNDS = 3
 #: What a pattern needs: distinct instances that are known, and the share of its weight that they have.
 MIN_SEEDS, MIN_PRECISION = 5, 0.9
@@ -34,7 +34,8 @@ TOKENS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"
 def occurrences(text: Column, pattern: str) -> Column:
     """Matches of a pattern as structs: start and end in code points, the match, and the text on either side.
 
-    Splitting at the pattern gives what lies between its matches; lengths of both add up to places.
+    Splitting at the pattern gives what lies between its matches; lengths of both add up to places. The text on a side runs over
+    up to two neighbouring matches, so a match close by hides no words.
     """
 
     def placed(found: Column) -> Column:
@@ -42,12 +43,22 @@ def occurrences(text: Column, pattern: str) -> Column:
             lengths = F.transform(found, lambda m, i: (F.length(F.get(gaps, i)) + F.length(m)).cast("long"))
 
             def by_start(starts: Column) -> Column:
+                def cut(x: Column, last: bool) -> Column:
+                    return F.coalesce((F.right if last else F.left)(x, F.lit(CONTEXT_CHARS)), F.lit(""))
+
+                def side(i: Column, step: int) -> Column:
+                    # Gap i lies before match i: going left the nearest piece is last, going right first.
+                    last, nearest = step < 0, i if step < 0 else i + 1
+                    pieces = [cut(F.get(gaps, nearest), last)]
+                    for k in (1, 2):
+                        pieces += [cut(F.get(found, i + step * k), last), cut(F.get(gaps, nearest + step * k), last)]
+                    return cut(F.concat(*(pieces[::-1] if last else pieces)), last)
+
                 def one(m: Column, i: Column) -> Column:
                     start = (F.get(starts, i) + F.length(F.get(gaps, i))).cast("int")
                     return F.struct(
                         start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"),
-                        F.right(F.get(gaps, i), F.lit(CONTEXT_CHARS)).alias("left"),
-                        F.left(F.get(gaps, i + 1), F.lit(CONTEXT_CHARS)).alias("right"),
+                        side(i, -1).alias("left"), side(i, 1).alias("right"),
                     )
 
                 return F.transform(found, one)
@@ -169,7 +180,7 @@ def extract(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
     Base entities are the seeds. The words around them become patterns; patterns whose instances are nearly all known, and
     instances that such patterns hold, are found in rounds. An identifier found that way is a ``learned`` span wherever it
     stands outside base spans. Null and empty texts have no spans; rows are told apart by a key of their own, so repeated
-    rows and null ids are kept. With ``keep_columns`` all columns of ``docs`` come along, for redaction.
+    rows and null ids are kept, an empty table stays empty, very long texts are read whole. With ``keep_columns`` all columns of ``docs`` come along, for redaction.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
     kinds = base_entities(body)

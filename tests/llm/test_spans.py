@@ -152,6 +152,18 @@ def test_patterns_find_unseen_identifiers(spark):
     assert not found[31] and not found[32]
 
 
+def test_numbers_beside_an_identifier_hide_no_context(spark):
+    rows = [f"ticket 12 user{i}@mail.example 99 closed" for i in range(30)] + ["ticket 13 QX-99-71-ZB 98 closed", "old 7 8 K4455667 and more"]
+    docs = frame(spark, [(i, t, "", "", 0) for i, t in enumerate(rows)])
+    found = {r.doc_id: [(s["kind"], rows[r.doc_id][s["start"] : s["end"]]) for s in r.spans] for r in pii.extract(docs).collect()}
+    assert found[30] == [("learned", "QX-99-71-ZB")] and found[31] == [] and found[3] == [("email", "user3@mail.example")]
+    text = "a b1 c2 d3 e f4"
+    sides = spark.createDataFrame([(text,)], "t string").select(pii.occurrences(F.col("t"), pii.CANDIDATE).alias("o")).first().o
+    assert [(o.value, o.left, o.right) for o in sides] == [
+        ("b1", "a ", " c2 d3 e "), ("c2", "a b1 ", " d3 e f4"), ("d3", "a b1 c2 ", " e f4"), ("f4", " c2 d3 e ", ""),
+    ]
+
+
 def test_redaction(odd, none):
     out = pii.redact(odd)
     assert out.columns == odd.columns and pii.redact(none).count() == 0
