@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinelake.functions import vectors as V
 from kinelake.operators.blocks import (
@@ -20,7 +22,7 @@ from kinelake.operators.blocks import (
     with_neighbours,
 )
 from kinelake.operators.windows import run_ids
-from kinelake.session import stage
+from kinelake.session import hot_rows, stage
 
 # --- fixed values -------------------------------------------------------------------------------------------------
 JUMP_FACTOR = 8.0
@@ -268,8 +270,66 @@ def sanitize(values: DataFrame, keys: Sequence[str] = (*EPISODE, "channel", "joi
     Adds ``repaired`` (whether the value was replaced). Limits scale with each series; the neighbours a point is judged
     by are the raw ones. A repaired value lies on the line between the nearest good frames, else equals the nearest one,
     else the median; a series without any finite value becomes 0.
+
+    An ordinary series is repaired in one task; one above ``hot_rows`` frames goes block by block (``_sanitize_blocks``). Both
+    follow the same formulas, so the size does not show.
     """
     keys = list(keys)
+    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    most = hot_rows(values.sparkSession)
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= most:
+        return _sanitize_series(values, keys)
+    large = stage(sizes.where(F.col("_n") > most).select(*keys))
+    return _sanitize_series(values.join(large, keys, "left_anti"), keys).unionByName(_sanitize_blocks(values.join(large, keys, "left_semi"), keys))
+
+
+def lower_median(values: np.ndarray) -> float:
+    """The middle value, of two the smaller one; NaN without any."""
+    return float(np.sort(values)[(len(values) + 1) // 2 - 1]) if len(values) else math.nan
+
+
+def repaired_series(frame: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Repaired values of one series in order of frames, and which were replaced; what is not finite counts as missing."""
+    v = np.where(np.isfinite(given), given, np.nan)
+    before, after = np.concatenate([[np.nan], v[:-1]]), np.concatenate([v[1:], [np.nan]])
+    steps = np.abs(v - before)
+    known, steps = v[~np.isnan(v)], steps[~np.isnan(steps)]
+    centre = lower_median(known)
+    mad = lower_median(np.abs(known - centre))
+    typical = lower_median(steps)
+    jump = REPAIR_FLOOR
+    if len(steps):
+        jump = max(typical * JUMP_FACTOR, typical + lower_median(np.abs(steps - typical)) * JUMP_FACTOR, REPAIR_FLOOR)
+    usual = max(0.0 if math.isnan(mad) else mad * RANGE_FACTOR, jump * RANGE_JUMPS, REPAIR_FLOOR)
+    far = (np.abs(v - before) > jump) & (np.abs(v - after) > jump) & (np.abs(before - after) <= jump * RETURN_FACTOR)
+    stray = (np.abs(v - centre) > usual) & (np.abs(before - centre) <= usual) & (np.abs(after - centre) <= usual)
+    bad = np.isnan(v) | far | stray
+    good = np.flatnonzero(~bad)
+    if not len(good):
+        return np.full(len(v), 0.0 if math.isnan(centre) else centre), bad
+    place = np.searchsorted(good, np.arange(len(v)), "right")
+    left, right = good[np.maximum(place - 1, 0)], good[np.minimum(place, len(good) - 1)]
+    share = (frame - frame[left]) / np.where(frame[right] > frame[left], frame[right] - frame[left], 1).astype(float)
+    between = v[left] + (v[right] - v[left]) * share
+    filled = np.where(place == 0, v[right], np.where(place == len(good), v[left], between))
+    return np.where(bad, filled, v), bad
+
+
+def _sanitize_series(values: DataFrame, keys: list[str]) -> DataFrame:
+    typed = values.withColumn("value", F.col("value").cast("double"))
+    schema = T.StructType([*typed.schema.fields, T.StructField("repaired", T.BooleanType())])
+
+    def repair(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame_index")
+        given = np.array(table.column("value").to_numpy(zero_copy_only=False), dtype=float)
+        fixed, bad = repaired_series(table.column("frame_index").to_numpy(), given)
+        at = table.schema.get_field_index("value")
+        return table.set_column(at, "value", pa.array(fixed)).append_column("repaired", pa.array(bad))
+
+    return typed.groupBy(*keys).applyInArrow(repair, schema)
+
+
+def _sanitize_blocks(values: DataFrame, keys: list[str]) -> DataFrame:
     raw = values.withColumn("_v", F.when(V.is_finite(F.col("value")), F.col("value")))
     beside = with_neighbours(
         raw, 1, 1, {"_prev": lambda w: F.lag("_v").over(w), "_next": lambda w: F.lead("_v").over(w)}, keys

@@ -107,3 +107,34 @@ def test_sanitize_repairs_the_bad_row(spark):
     assert sum(r.repaired for k, r in out.items() if k[0] < 2) == 2
     assert all(out[2, i].value == 0.0 and out[2, i].repaired for i in range(5))
     assert out[0, 0].value == 0.0 and out[0, 4].value == 3.0
+
+
+def test_repairs_do_not_depend_on_the_size_of_a_series(spark):
+    """Series in one task and block by block: gaps, spikes, strays, ends, missing throughout, short and constant ones."""
+    import random
+
+    from kinelake.session import HOT_ROWS_CONF
+
+    random.seed(9)
+    rows = []
+    for e in range(8):
+        for t in range(3 + e * 12):
+            value = math.sin(t / 5) + random.gauss(0, 0.01)
+            roll = random.random()
+            value = None if roll < 0.1 else math.nan if roll < 0.15 else math.inf if roll < 0.18 else value + 40 if roll < 0.25 else value
+            rows.append(("d", e, "action", 0, t, None if e == 3 else 1.5 if e == 4 else value, "kept"))
+    rows.append(("d", 9, "action", 0, 0, 2.0, "kept"))
+    df = spark.createDataFrame(rows, "dataset_id string, episode_index bigint, channel string, joint int, frame_index bigint, value double, extra string").repartition(3)
+    take = lambda out: {(r.episode_index, r.frame_index): (r.value, r.repaired, r.extra) for r in out.collect()}
+    keys = ["dataset_id", "episode_index", "channel", "joint"]
+    series, blocks = take(G._sanitize_series(df, keys)), take(G._sanitize_blocks(df, keys))
+    spark.conf.set(HOT_ROWS_CONF, "30")
+    try:
+        mixed = take(G.sanitize(df))
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+    assert series.keys() == blocks.keys() == mixed.keys() and len(series) == len(rows)
+    for k, (value, repaired, extra) in blocks.items():
+        for other in (series[k], mixed[k]):
+            assert other[1:] == (repaired, extra) and abs(other[0] - value) < 1e-12
+    assert sum(r[1] for r in series.values()) > 40 and series[3, 5][0] == 0.0 and series[4, 5] == (1.5, False, "kept")
