@@ -99,7 +99,13 @@ def catalog(summaries: DataFrame, invalid: DataFrame | None = None) -> DataFrame
     return listed.withColumn("dataset_count", count.scalar()).orderBy(F.lower("dataset_id"), "dataset_id")
 
 
-def summary_report(summaries: DataFrame) -> DataFrame:
+def summary_report(summaries: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
+    """One line per dataset. With ``shapes`` (``camera_shapes``) each camera is named with its resolution."""
+    if shapes is not None:
+        shape = F.struct("camera", F.format_string("%s %dx%dx%d", F.col("camera"), F.col("width"), F.col("height"), F.col("channels")).alias("text"))
+        listed = shapes.groupBy("dataset_id").agg(F.array_sort(F.collect_list(shape)).alias("_s"))  # the cameras of a dataset
+        summaries = summaries.join(listed.select("dataset_id", F.col("_s.text").alias("_shapes")), ["dataset_id"], "left")
+        summaries = summaries.withColumn("cameras", F.coalesce("_shapes", F.array().cast("array<string>")))
     cameras = F.coalesce(F.nullif(F.concat_ws(", ", "cameras"), F.lit("")), F.lit("unknown"))
     text = F.format_string(
         "%d episode(s), %d frames; cameras: %s", F.col("episode_count"), F.col("total_frames"), cameras

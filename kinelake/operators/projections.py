@@ -11,6 +11,7 @@ from kinelake.operators.blocks import EPISODE
 from kinelake.schema import (
     CHANNEL_COLUMN,
     CHANNELS,
+    KIND_EPISODE_REPLAY,
     KIND_FRAME,
     KIND_REPLAY,
     KIND_SAMPLE,
@@ -316,7 +317,7 @@ def browse(datasets: DataFrame, episodes: DataFrame, requests: DataFrame) -> Dat
     )
     info = episodes.select(
         *EPISODE, "frames", "fps", "units", "task", "duration_seconds", "joint_names",
-        F.sort_array("cameras").alias("cameras"),
+        F.sort_array("cameras").alias("cameras"), *[c for c in ("robot", "camera_info", "saved_at") if c in episodes.columns],
     )
     joined = resolved.join(info, list(EPISODE))
     wish = F.trim(F.coalesce(F.col("requested_camera"), F.lit("")))
@@ -335,6 +336,32 @@ def browse(datasets: DataFrame, episodes: DataFrame, requests: DataFrame) -> Dat
     )
 
 
+def replay_descriptor(datasets: DataFrame, episodes: DataFrame, requests: DataFrame) -> DataFrame:
+    """What a player needs of the episode and camera a request resolves to: places, timing, joints, robot and camera facts.
+
+    ``episodes`` may carry ``robot`` (a struct), ``camera_info`` (map from camera to its facts) and ``saved_at``; absent ones read
+    empty. ``datasets`` may carry ``path``. A request with an ``error`` names no files.
+    """
+    place = F.col("path") if "path" in datasets.columns else F.concat(F.lit("datasets/"), F.col("dataset_id"))
+    paths = datasets.select("dataset_id", place.alias("dataset_path"))
+    rows = browse(datasets, episodes, requests).join(paths, ["dataset_id"])
+    has, ok = set(rows.columns), F.col("error").isNull()
+    folder = F.concat("dataset_path", F.format_string("/episodes/episode-%06d", F.col("episode_index")))
+    none = F.create_map().cast("map<string,string>")
+    info = F.coalesce(F.element_at("camera_info", F.col("camera")), none) if "camera_info" in has else none
+    robot = F.map_filter(F.from_json(F.to_json("robot"), "map<string,string>"), lambda _, v: v.isNotNull()) if "robot" in has else none
+    kept = [c for c in requests.columns]
+    return rows.select(
+        *kept, F.lit(KIND_EPISODE_REPLAY).alias("kind"), F.lit(SCHEMA_VERSION).alias("schema_version"), "dataset_id", "dataset_path",
+        F.when(ok, folder).alias("episode_path"), F.when(ok, F.concat(folder, F.lit("/data.parquet"))).alias("data_path"),
+        F.when(ok, F.concat(folder, F.lit("/cameras/"), "camera", F.lit(".mp4"))).alias("video_path"), "episode_index", "camera",
+        info.alias("camera_info"), "cameras", F.coalesce("frames", F.lit(0)).alias("frames"), F.coalesce("fps", F.lit(0)).alias("fps"),
+        F.coalesce("duration_seconds", F.lit(0.0)).alias("duration_seconds"), "joint_names", F.coalesce("units", F.lit("")).alias("units"),
+        F.coalesce(robot, none).alias("robot"), F.coalesce("task", F.lit("")).alias("task"),
+        (F.coalesce(F.col("saved_at").cast("string"), F.lit("")) if "saved_at" in has else F.lit("")).alias("saved_at"), "error",
+    )
+
+
 def preview(raw: DataFrame, smoothed: DataFrame, channel: str, joint: int) -> DataFrame:
     """Raw and smoothed values of one joint; an unknown channel reads as action, an unknown joint as the first."""
     name = channel if channel in CHANNELS else "action"

@@ -544,8 +544,14 @@ SELECT c_custkey, dataset_id, episode_index, frames, fps, camera,
 FROM j""",
 )
 def l2(t):
+    return P.browse(t.datasets, t.episodes, browse_requests(t)).select(
+        "c_custkey", "dataset_id", "episode_index", "frames", "fps", "camera", "error"
+    )
+
+
+def browse_requests(t):
     key = F.col("c_custkey")
-    requests = t("customer").select(
+    return t("customer").select(
         "c_custkey",
         F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("NATION_"), F.col("c_nationkey") + key % 4 * 5)).alias(
             "requested_dataset"
@@ -553,8 +559,38 @@ def l2(t):
         (key % 70).alias("requested_episode"),
         F.when(key % 5 == 0, "wrist").when(key % 5 == 1, "side").otherwise("").alias("requested_camera"),
     )
-    return P.browse(t.datasets, t.episodes, requests).select(
-        "c_custkey", "dataset_id", "episode_index", "frames", "fps", "camera", "error"
+
+
+@query(
+    "L2_replay_descriptor",
+    "eps", "ds",
+    sql="""
+WITH q AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '' ELSE 'NATION_' || (c_nationkey + c_custkey % 4 * 5) END AS want,
+                  c_custkey % 70 AS ep, CASE c_custkey % 5 WHEN 0 THEN 'wrist' WHEN 1 THEN 'side' ELSE '' END AS cam FROM customer),
+r AS (SELECT q.*, coalesce(ds.dataset_id, (SELECT arg_min(dataset_id, lower(dataset_id)) FROM ds)) AS dataset_id
+      FROM q LEFT JOIN ds ON ds.dataset_id = q.want),
+s AS (SELECT r.*, least(greatest(r.ep, 0), m.last) AS episode_index
+      FROM r JOIN (SELECT dataset_id, max(episode_index) AS last FROM eps GROUP BY 1) m USING (dataset_id)),
+j AS (SELECT s.c_custkey, e.*, CASE WHEN s.cam <> '' THEN s.cam ELSE coalesce(list_sort(e.cameras)[1], '') END AS camera
+      FROM s JOIN eps e ON e.dataset_id = s.dataset_id AND e.episode_index = s.episode_index)
+SELECT c_custkey, dataset_id, episode_index, camera, error IS NULL AS found,
+       CASE WHEN error IS NULL THEN 'datasets/' || dataset_id || '/episodes/episode-' || lpad(CAST(episode_index AS VARCHAR), 6, '0') || '/cameras/' || camera || '.mp4' END AS video_path,
+       CASE WHEN list_contains(cameras, camera) AND camera = 'front' THEN 'pinhole' END AS camera_model, 'L-' || o_orderkey AS leader,
+       CAST(CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS robot_keys, coalesce(units, '') AS units, round(coalesce(duration_seconds, 0), 6) AS duration_seconds
+FROM (SELECT *, CASE WHEN NOT list_contains(cameras, camera) THEN 'x' END AS error FROM j)""",
+)
+def l2_descriptor(t):
+    """Descriptors with the robot's identity and what is known of the chosen camera."""
+    key = F.substring("run_id", 5, 20).cast("long")
+    robot = F.struct(F.concat(F.lit("L-"), key).alias("leader_hardware_id"), F.when(key % 3 == 0, F.concat(F.lit("F-"), key)).alias("follower_hardware_id"))
+    facts = F.map_from_arrays(
+        "cameras", F.transform("cameras", lambda c: F.when(c == "front", F.create_map(F.lit("camera_model"), F.lit("pinhole"))).otherwise(F.create_map().cast("map<string,string>")))
+    )
+    out = P.replay_descriptor(t.datasets, t.episodes.withColumns({"robot": robot, "camera_info": facts}), browse_requests(t))
+    return out.select(
+        "c_custkey", "dataset_id", "episode_index", "camera", F.col("error").isNull().alias("found"), "video_path",
+        F.col("camera_info")["camera_model"].alias("camera_model"), F.col("robot")["leader_hardware_id"].alias("leader"),
+        F.size("robot").alias("robot_keys"), "units", r6(F.col("duration_seconds")).alias("duration_seconds"),
     )
 
 

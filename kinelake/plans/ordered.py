@@ -101,6 +101,25 @@ def a3(t):
     return A.summary_report(summaries(t))
 
 
+@query(
+    "A3_report_resolutions",
+    "summ",
+    sql="""
+SELECT dataset_id, episode_count || ' episode(s), ' || total_frames || ' frames; cameras: ' || CASE WHEN CAST(substring(dataset_id, 8) AS BIGINT) % 4 = 3 THEN 'unknown'
+       ELSE 'front 640x480x3, wrist 320x' || (200 + CAST(substring(dataset_id, 8) AS BIGINT)) || 'x1' END AS report FROM summ""",
+)
+def a3_resolutions(t):
+    """Reports that name each camera's resolution; some datasets know none."""
+    number = F.col("n_nationkey")
+    seen = t.datasets.where(number % 4 != 3).select("dataset_id", "n_nationkey", F.explode("cameras").alias("camera"))
+    front = F.col("camera") == "front"
+    cameras = seen.select(
+        "dataset_id", "camera", F.when(front, 640).otherwise(320).alias("width"), F.when(front, 480).otherwise(200 + number).alias("height"),
+        F.when(front, F.lit(None)).otherwise(1).alias("channels"),
+    )
+    return A.summary_report(summaries(t), A.camera_shapes(cameras))
+
+
 @query(
     "A4_feature_stats",
     "fln",

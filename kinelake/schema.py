@@ -162,6 +162,7 @@ KIND_SAMPLE = "episode.teleoperation-sample"
 KIND_FRAME = "episode.frame"
 KIND_STREAM_FRAME = "episode.stream-frame"
 KIND_REPLAY = "episode.replay-stream"
+KIND_EPISODE_REPLAY = "episode.replay"
 KIND_SAMPLE_STREAM = "episode.sample-stream"
 KIND_CAMERA_STREAM = "episode.frame-stream"
 KIND_DATASET = "episode.dataset"
