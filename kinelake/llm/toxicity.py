@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,12 @@ VECTORS = "doc_id long, held_out boolean, terms array<int>, counts array<int>"
 SCORES = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>"
 
 
+def folded(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return [w.strip(EDGES) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
+    return [w.strip(EDGES) for w in folded(text)]
 
 
 def example_labels(labels: DataFrame, most: int = EXAMPLES) -> DataFrame:
@@ -88,10 +93,10 @@ def vectors(docs: DataFrame, terms: list[bytes]) -> DataFrame:
             found, numbers = [], []
             for text in part.column(2):
                 own: dict[int, int] = {}
-                for word in words_of(text.as_py()):
-                    i = place.get(word)
+                for word, n in Counter(folded(text.as_py())).items():
+                    i = place.get(word.strip(EDGES))
                     if i is not None:
-                        own[i] = own.get(i, 0) + 1
+                        own[i] = own.get(i, 0) + n
                 keys = sorted(own)
                 found.append(keys)
                 numbers.append([own[k] for k in keys])
@@ -173,19 +178,25 @@ class BlockMaxIndex:
             opened[wanted] = True
 
         def least() -> np.ndarray:
-            """The k-th best cosine of each text in what is opened."""
-            seen = np.where(opened[:, :, None], cells, 0).reshape(scores.shape)
+            """The k-th best cosine of each text in what is opened; only opened blocks are looked at."""
+            best = np.zeros(len(texts), np.float32)
             for i, (_, _, without) in enumerate(texts):
+                rows = np.flatnonzero(opened[i])
+                seen = cells[i, rows]
                 if without >= 0:
-                    seen[i, without] = 0
-            return np.partition(seen, -k, axis=1)[:, -k] if k < seen.shape[1] else np.zeros(len(texts), np.float32)
+                    seen[rows == without // BLOCK, without % BLOCK] = 0
+                if k <= seen.size and k < scores.shape[1]:
+                    best[i] = np.partition(seen.ravel(), -k)[-k]
+            return best
 
         open_blocks(bounds >= np.partition(bounds, -min(2, self.blocks), axis=1)[:, -min(2, self.blocks), None])
         open_blocks(bounds >= least()[:, None] - SLACK)
         enough = least() - SLACK
         lookup, out = np.zeros(len(self.idf)), []
         for i, (terms, weights) in enumerate(queries):
-            found = np.flatnonzero((scores[i] >= enough[i]) & (scores[i] > 0) & np.repeat(opened[i], BLOCK))
+            rows = np.flatnonzero(opened[i])
+            at, within = np.nonzero((cells[i, rows] >= enough[i]) & (cells[i, rows] > 0))
+            found = rows[at] * BLOCK + within
             found = found[found != texts[i][2]]
             lookup[terms] = weights
             sizes = self.starts[found + 1] - self.starts[found]
@@ -300,7 +311,8 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataF
             own = [index.vote(*x, rate) for x in searched(index, part, alone=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.float64())], names=["doc_id", "vote"])
 
-    own = known.select("doc_id", "terms", "counts").mapInArrow(vote_alone, "doc_id long, vote double").orderBy("doc_id").collect()
+    # At most as many rows as there are examples.
+    own = sorted(known.select("doc_id", "terms", "counts").mapInArrow(vote_alone, "doc_id long, vote double").collect())
     labelled = np.array([classes[r.doc_id] for r in own], float)
     steps, rates = calibration(np.array([r.vote for r in own]), labelled)
 
