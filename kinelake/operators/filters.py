@@ -36,6 +36,8 @@ MIN_FPS = 1e-3
 
 # A term that has shrunk by this many e-foldings is below the last digit of a double.
 VANISHED = 40.0
+# Factors kept per penalty, and cells that splines of several penalties are fitted to at once (16 MB).
+FACTORS_KEPT, FIT_CELLS = 1 << 17, 1 << 21
 
 
 def resolve_method(requested: str | None) -> str:
@@ -140,8 +142,25 @@ def spline_halo(lam: float) -> int:
     return math.ceil(VANISHED * math.sqrt(2.0) * max(1.0, lam) ** 0.25)
 
 
+_FACTORS: dict[float, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
 def _factor(m: int, lam: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Banded factors (diagonal, first and second subdiagonal) of R + lam Q'Q at unit knots."""
+    """Banded factors (diagonal, first and second subdiagonal) of R + lam Q'Q at unit knots.
+
+    A longer system begins with the factors of a shorter one, so the longest of each penalty so far serves all.
+    """
+    known = _FACTORS.get(lam)
+    if known is None or len(known[0]) < m:
+        if m > FACTORS_KEPT:
+            return _factored(m, lam)
+        known = _factored(min(FACTORS_KEPT, max(2 * m, 256)), lam)
+        _FACTORS[lam] = known
+    d, l1, l2 = known
+    return d[:m], l1[:m], l2[:m]
+
+
+def _factored(m: int, lam: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     diag, one, two = 2.0 / 3.0 + 6.0 * lam, 1.0 / 6.0 - 4.0 * lam, lam
     d, l1, l2 = np.empty(m), np.zeros(m), np.zeros(m)
     for i in range(m):
@@ -153,22 +172,27 @@ def _factor(m: int, lam: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return d, l1, l2
 
 
-def smoothing_spline(values: np.ndarray, lam: float) -> np.ndarray:
+def smoothing_spline(values: np.ndarray, lam: float | Sequence[float]) -> np.ndarray:
     """Natural cubic smoothing spline at unit knots, column-wise: minimises squared error + lam * integral of g''^2.
 
-    Second derivatives solve the banded system (R + lam Q'Q) c = Q'y; the fit is y - lam Q c.
+    Second derivatives solve the banded system (R + lam Q'Q) c = Q'y; the fit is y - lam Q c. A penalty for each column may be given.
     """
     n = len(values)
     if n < SPLINE_MIN_FRAMES:
         return values.copy()
     m = n - 2
-    d, l1, l2 = _factor(m, lam)
+    if isinstance(lam, (int, float)):
+        d, l1, l2 = (f[:, None] for f in _factor(m, lam))
+    else:
+        each = {x: _factor(m, float(x)) for x in set(lam)}
+        d, l1, l2 = (np.stack([each[x][i] for x in lam], axis=1) for i in range(3))
+        lam = np.asarray(lam, float)
     c = values[2:] - 2.0 * values[1:-1] + values[:-2]
     for i in range(1, m):
         c[i] -= l1[i] * c[i - 1]
         if i >= 2:
             c[i] -= l2[i] * c[i - 2]
-    c /= d[:, None]
+    c /= d
     for i in range(m - 2, -1, -1):
         c[i] -= l1[i + 1] * c[i + 1]
         if i + 2 < m:
@@ -250,6 +274,11 @@ def _ragged(lists: pa.ListArray, fit: Callable[[np.ndarray], np.ndarray], first:
     return pa.array(out, pa.list_(pa.float64()))
 
 
+def _vectors(values: np.ndarray) -> pa.ListArray:
+    offsets = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).ravel()))
+
+
 def _grouped(
     frames: DataFrame, columns: Sequence[str], before: int, after: int, fit: Callable[[np.ndarray, float], np.ndarray],
     fps: float | str, rows: int, settings: dict[str, str] | None = None,
@@ -272,7 +301,7 @@ def _grouped(
         index = table.column("frame_index").to_numpy()
         rate_value = table.column("_fps")[0].as_py()
         last_is_end = not (len(home) and not home[-1])
-        new = {}
+        new, raws, lams = {}, {}, []
         for c in columns:
             lists = table.column(c).combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -287,16 +316,22 @@ def _grouped(
                 continue
             raw = flat.reshape(len(lists), width).astype(float)
             if settings:
-                lams = dict(table.column(settings[c])[0].as_py() or [])
-                smooth = fit(raw, [lams[j] for j in range(width)]) if len(lams) == width else raw.copy()
-            else:
-                smooth = fit(raw, rate_value)
+                known = dict(table.column(settings[c])[0].as_py() or [])
+                if len(known) != width:
+                    new[c] = _vectors(raw)
+                    continue
+                lams += [known[j] for j in range(width)]
+            raws[c] = raw
+        if raws:
+            # The joints of all channels are columns of one fit.
+            raw = np.concatenate(list(raws.values()), axis=1)
+            smooth = fit(raw, lams if settings else rate_value)
             if index[0] == 0:
                 smooth[0] = raw[0]
             if last_is_end:
                 smooth[-1] = raw[-1]
-            offsets = np.arange(0, (len(lists) + 1) * width, width, dtype=np.int32)
-            new[c] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(smooth.ravel()))
+            edges = np.cumsum([r.shape[1] for r in raws.values()])[:-1]
+            new.update({c: _vectors(part) for c, part in zip(raws, np.split(smooth, edges, axis=1))})
         kept = pa.table([new[n] if n in new else table.column(n) for n in names], names=names)
         return kept.filter(pa.array(home))
 
@@ -352,7 +387,7 @@ def spline(frames: DataFrame, strength: float = 1.0, channels: Sequence[str] = C
     with_penalties = frames.join(penalties, list(EPISODE), "left")
 
     def fit(values: np.ndarray, lams: list[float]) -> np.ndarray:
-        return np.stack([smoothing_spline(values[:, [j]], lam)[:, 0] for j, lam in enumerate(lams)], axis=1)
+        return smoothing_spline(values, lams)
 
     return _grouped(with_penalties, columns, halo, halo, fit, 30.0, size, {c: f"_lam_{c}" for c in columns})
 
@@ -369,7 +404,7 @@ def _residuals(frames: DataFrame, columns: Sequence[str], halo: int, size: int,
     def measure(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("frame_index")
         home = np.asarray(table.column(HOME).to_numpy(zero_copy_only=False), dtype=bool)
-        out = []
+        out, raws = [], {}
         for c in columns:
             lists = table.column(c).combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -377,10 +412,17 @@ def _residuals(frames: DataFrame, columns: Sequence[str], halo: int, size: int,
             width = len(flat) // len(lists) if len(lists) else 0
             if not width or len(lists) < SPLINE_MIN_FRAMES or not home.any():
                 continue
-            raw = flat.reshape(len(lists), width).astype(float)
-            for power, lam in enumerate(grid):
-                left = ((raw - smoothing_spline(raw, lam)) ** 2)[home].sum(axis=0)
-                out += [(c, j, power, float(x)) for j, x in enumerate(left)]
+            raws[c] = flat.reshape(len(lists), width).astype(float)
+        if raws:
+            raw = np.concatenate(list(raws.values()), axis=1)
+            names = [(c, j) for c, r in raws.items() for j in range(r.shape[1])]
+            # As many penalties at once as keep the copies small.
+            some = max(1, FIT_CELLS // raw.size)
+            for at in range(0, len(grid), some):
+                lams = [lam for lam in grid[at : at + some] for _ in names]
+                copies = np.tile(raw, len(lams) // len(names))
+                left = ((copies - smoothing_spline(copies, lams)) ** 2)[home].sum(axis=0)
+                out += [(*names[j % len(names)], at + j // len(names), float(x)) for j, x in enumerate(left)]
         key = [table.column(k)[0].as_py() if len(table) else None for k in EPISODE]
         rows = [(*key, *x) for x in out]
         return pa.table(

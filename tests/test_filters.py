@@ -129,3 +129,17 @@ def test_windows():
     assert len(S.moving_average_weights(1.0)) == 7 and len(S.gaussian_weights(1.0)) == 13 and S.savgol_window(1.0) == 13
     assert math.isclose(sum(S.gaussian_weights(0.3)), 1.0)
     assert S.resolve_method("none") == "none" and S.resolve_method("median") == "gaussian" and S.resolve_method(None) == "spline"
+
+
+def test_spline_fits_each_column_with_its_own_penalty():
+    values = np.random.default_rng(8).normal(size=(70, 6))
+    lams = [0.5, 4.0, 0.5, 2.0**-20, 64.0, 1.0]
+    together = S.smoothing_spline(values, lams)
+    for j, lam in enumerate(lams):
+        np.testing.assert_array_equal(together[:, j], S.smoothing_spline(values[:, [j]], lam)[:, 0])
+
+
+def test_spline_factors_do_not_depend_on_the_lengths_before():
+    for m in (5, 900, 40, 300):
+        for found, alone in zip(S._factor(m, 3.0), S._factored(m, 3.0)):
+            np.testing.assert_array_equal(found, alone)
