@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kinelake.operators import blocks as B
 from kinelake.operators import windows as W
 from kinelake.operators.blocks import carry, dense_index, exact_quantiles, frame_block, running_total
 from kinelake.session import HOT_ROWS_CONF
@@ -94,3 +95,26 @@ def test_a_burst_is_cut_by_rows(spark, small_blocks):
         assert [placed[k] for k in own] == list(range(len(own)))
     assert len(placed) == len(rows)
     assert W.placed_in_time(df.limit(0), "frame_index").count() == 0
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_short_groups_are_indexed_in_one_shuffle(spark):
+    rows = spark.range(500).select((F.col("id") % 40).alias("g"), (F.col("id") * 7 % 500).alias("i"))
+    assert B.short_groups(rows, ["g"])
+    block = F.floor(F.col("i") / 16).cast("long")
+    whole = B.dense_index(rows, ["g"], ["i"], block, "n", short=True)
+    cut = B.dense_index(rows, ["g"], ["i"], block, "n")
+    assert sorted(whole.collect()) == sorted(cut.collect())
+    assert exchanges(whole) == 1
+    near = {"before": lambda w: F.lag("i").over(w), "after": lambda w: F.lead("i").over(w)}
+    beside = lambda short: B.with_neighbours(whole, 1, 1, near, ["g"], "n", short)
+    assert sorted(beside(True).collect(), key=str) == sorted(beside(False).select(beside(True).columns).collect(), key=str)
+    assert exchanges(beside(True)) == 1
+
+
+def test_long_groups_are_not_short(spark, small_blocks):
+    assert not B.short_groups(spark.range(9).select(F.lit(1).alias("g")), ["g"])
+    assert B.short_groups(spark.range(8).select(F.lit(1).alias("g")), ["g"])
