@@ -24,7 +24,7 @@ from kinelake.operators.blocks import (
     running_total,
     with_neighbours,
 )
-from kinelake.session import hot_rows, stage
+from kinelake.session import block_rows, hot_rows, stage
 
 # --- fixed values -------------------------------------------------------------------------------------------------
 OTSU_STEPS = 64
@@ -62,7 +62,7 @@ def otsu(frames: DataFrame) -> DataFrame:
 
 def half_up(value: float, digits: int) -> float:
     """As the engine rounds: on the shortest decimal form, halves away from zero."""
-    if not math.isfinite(value):
+    if not math.isfinite(value) or abs(value) >= 2.0**52:
         return value
     return float(Decimal(repr(float(value))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
 
@@ -98,29 +98,137 @@ def split_of(values: np.ndarray, rows: int) -> tuple[float, float]:
     return best, threshold
 
 
+def half_up_all(values: np.ndarray, digits: int) -> np.ndarray:
+    """``half_up`` of many numbers: scaled integers where these are clear of a tie, one by one where not."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        scaled = values * 10.0**digits
+        down = np.floor(scaled)
+        out = (down + (scaled - down >= 0.5)) / 10.0**digits
+        clear = (np.abs(scaled) < 2.0**40) & (np.abs(scaled - down - 0.5) > 1e-3)
+    for i in np.flatnonzero(~clear):
+        out[i] = half_up(float(values[i]), digits)
+    return out
+
+
+def splits_of(values: np.ndarray, series: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``split_of`` of many series at once: ``series`` numbers the series of each value, ``rows`` has the length of each."""
+    count = len(rows)
+    best, threshold = np.zeros(count), np.full(count, math.nan)
+    odd = np.unique(series[~np.isfinite(values)])
+    for i in odd:
+        best[i], threshold[i] = split_of(values[series == i], int(rows[i]))
+    n = np.bincount(series, minlength=count)
+    n[odd] = 0
+    order = np.lexsort((values, series))
+    order = order[n[series[order]] > 0]
+    x, of = values[order], series[order]
+    here = np.flatnonzero(n)
+    if not len(here):
+        return best, threshold
+    start, size, total = np.zeros(count, int), np.maximum(n, 1), rows.astype(float)
+    start[here] = np.cumsum(n[here]) - n[here]
+
+    def percentile(p: float) -> np.ndarray:
+        at = p * (size - 1)
+        low, high = np.floor(at), np.ceil(at)
+        a, b = x[start + low.astype(int)], x[start + high.astype(int)]
+        return half_up_all(np.where(a == b, a, (high - at) * a + (at - low) * b), DIGITS)
+
+    start[n == 0] = 0
+    size[n == 0] = 1
+    low, high = percentile(OTSU_LOW), percentile(OTSU_HIGH)
+    mean = np.bincount(of, x, count) / size
+    variance = np.bincount(of, (x - mean[of]) ** 2, count) / size
+    threshold[here] = np.where(rows < OTSU_MIN_FRAMES, mean, (low + high) / 2)[here]
+    usable = (n > 0) & (rows >= OTSU_MIN_FRAMES) & (x[start] != x[start + size - 1]) & (high > low)
+    x, of = x[usable[of]], of[usable[of]]
+    if not len(x):
+        return best, threshold
+    step = (high - low) / float(OTSU_STEPS - 1)
+
+    def limit(i: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return np.where(k == OTSU_STEPS - 1, high[i], low[i] + k * step[i])
+
+    # Rounding may put a value off its bucket; the comparison with the limits settles it.
+    bucket = np.clip(np.ceil((x - low[of]) / step[of]), 0, OTSU_STEPS).astype(int)
+    while (late := (bucket > 0) & (x <= limit(of, bucket - 1))).any():
+        bucket -= late
+    while (early := (bucket < OTSU_STEPS) & (x > limit(of, bucket))).any():
+        bucket += early
+    first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (bucket[1:] != bucket[:-1])])
+    at, k, c = of[first], bucket[first], np.diff(np.r_[first, len(x)])
+    sums, below = np.add.reduceat(x, first), c.copy()
+    place = np.arange(len(at)) - np.maximum.accumulate(np.where(np.r_[True, at[1:] != at[:-1]], np.arange(len(at)), 0))
+    for rank in range(1, int(place.max()) + 1):
+        i = np.flatnonzero(place == rank)
+        sums[i] += sums[i - 1]
+        below[i] += below[i - 1]
+    inner = (k < OTSU_STEPS) & (below < rows[at])
+    at, k, sums, below = at[inner], k[inner], sums[inner], below[inner]
+    share = below / total[at]
+    gap = sums / below - (total[at] * mean[at] - sums) / (total[at] - below)
+    ratio = half_up_all(share * (1 - share) * gap * gap / variance[at], RATIO_DIGITS)
+    # The largest ratio of each series, at its lowest threshold.
+    ranked = np.lexsort((k, -ratio, at))
+    top = ranked[np.r_[True, at[ranked][1:] != at[ranked][:-1]]] if len(ranked) else ranked
+    top = top[ratio[top] > 0]
+    best[at[top]], threshold[at[top]] = ratio[top], limit(at[top], k[top])
+    return best, threshold
+
+
 def _otsu_series(frames: DataFrame) -> DataFrame:
+    """Splits of whole episodes, as many at once as a batch of rows holds: most episodes are far too short for a call of their own."""
     keys = frames.select(*EPISODE).schema.fields
     kinds = T.StructType([
         *keys, T.StructField("joint", T.IntegerType()), T.StructField("separation", T.DoubleType()),
         T.StructField("threshold", T.DoubleType()), T.StructField("n", T.LongType()),
     ])
 
-    def split(table: pa.Table) -> pa.Table:
-        vectors = table.column("v").combine_chunks()
-        vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
+    def starts_of(table: pa.Table) -> np.ndarray:
+        """First row of each episode."""
+        new = np.zeros(max(0, len(table) - 1), bool)
+        for name in EPISODE:
+            column = table.column(name)
+            a, b = column.slice(1), column.slice(0, len(column) - 1)
+            new |= np.asarray(pc.fill_null(pc.not_equal(a, b), False)) | (np.asarray(pc.is_null(a)) != np.asarray(pc.is_null(b)))
+        return np.r_[0, np.flatnonzero(new) + 1]
+
+    def split(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        vectors = pa.concat_arrays(table.column("v").chunks)
         sizes = np.nan_to_num(pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(float)).astype(int)
-        flat, starts = vectors.flatten(), np.cumsum(sizes) - sizes
+        flat, begins = vectors.flatten(), np.cumsum(sizes) - sizes
         values, known = flat.to_numpy(zero_copy_only=False).astype(float), np.asarray(flat.is_valid())
+        episode = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(table)]))
         found = []
         for joint in range(int(sizes.max(initial=0))):
-            at = starts[sizes > joint] + joint
-            found.append((joint, *split_of(values[at][known[at]], len(at)), len(at)))
-        key = [pa.array([table.column(k)[0].as_py()] * len(found), table.schema.field(k).type) for k in EPISODE]
-        columns = [pa.array([r[i] for r in found], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.float64(), pa.int64()))]
-        return pa.table([*key, *columns], names=[*EPISODE, "joint", "separation", "threshold", "n"])
+            has = sizes > joint
+            rows = np.bincount(episode[has], minlength=len(starts))
+            at, of = begins[has] + joint, episode[has]
+            separation, threshold = splits_of(values[at][known[at]], of[known[at]], rows)
+            e = np.flatnonzero(rows)
+            found.append((e, np.full(len(e), joint), separation[e], threshold[e], rows[e]))
+        e, *columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, int)] * 5
+        key = [pa.concat_arrays(table.column(k).chunks).take(pa.array(starts[e])) for k in EPISODE]
+        kind = (pa.int32(), pa.float64(), pa.float64(), pa.int64())
+        return pa.record_batch([*key, *[pa.array(c, t) for c, t in zip(columns, kind)]], names=[*EPISODE, "joint", "separation", "threshold", "n"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            starts = starts_of(table) if len(table) else np.zeros(0, int)
+            # The last episode may go on in the next batch.
+            if len(starts) > 1:
+                yield split(table.slice(0, starts[-1]), starts[:-1])
+                held = table.slice(starts[-1]).to_batches()
+        table = pa.Table.from_batches(held) if held else None
+        if table is not None and len(table):
+            yield split(table, starts_of(table))
 
     rounded = F.transform(V.widen(F.col("observation_state")), nine)
-    return frames.select(*EPISODE, rounded.alias("v")).groupBy(*EPISODE).applyInArrow(split, kinds)
+    rows = frames.select(*EPISODE, rounded.alias("v"))
+    return rows.repartition(*EPISODE).sortWithinPartitions(*EPISODE).mapInArrow(run, kinds)
 
 
 def _otsu_counted(frames: DataFrame) -> DataFrame:
@@ -282,7 +390,9 @@ def derive_signals(frames: DataFrame, separations: DataFrame | None = None) -> S
             F.lag("frame_index").over(w).isNotNull(), nine(V.vec_distance(F.col("arm"), F.lag("arm").over(w)))
         )
     }
-    velocities = stage(with_neighbours(base, 1, 0, speed))
+    # One block per episode: its windows need neither copies of rows nor sums of earlier blocks, and share one shuffle.
+    short = (frames.agg(F.max("frame_index")).first()[0] or 0) < block_rows(frames.sparkSession)
+    velocities = stage(with_neighbours(base, 1, 0, speed, short=short))
     move = moving_cutoffs(velocities)
     moved = stage(
         velocities.join(move, list(EPISODE), "left").withColumn(
@@ -302,7 +412,7 @@ def derive_signals(frames: DataFrame, separations: DataFrame | None = None) -> S
     }
     beside["_next_moving"] = lambda w: F.lead("moving").over(w)
     beside["previous_state"] = lambda w: F.lag("state").over(w)
-    neighbours = with_neighbours(judged, SLIP_FRAMES - 1, SLIP_FRAMES - 1, beside)
+    neighbours = with_neighbours(judged, SLIP_FRAMES - 1, SLIP_FRAMES - 1, beside, short=short)
 
     def held(start: int) -> Column:
         cells = [F.col(f"_m{k}") if k else F.col("mismatch") for k in range(start, start + SLIP_FRAMES)]
@@ -321,10 +431,12 @@ def derive_signals(frames: DataFrame, separations: DataFrame | None = None) -> S
                 (F.col("previous_state") != F.col("state")) | (F.lag("move_full").over(w) != F.col("move_full"))
             )
         },
+        short=short,
     )
     begins = F.coalesce(F.col("begins"), F.lit(False)).cast("long")
-    # The flags are staged before segments are numbered: the running total reads them twice.
-    numbered = running_total(stage(flips), EPISODE, ["frame_index"], frame_block(flips), begins, "segment")
+    # The flags are staged before segments are numbered where the running total reads them twice.
+    flagged = flips if short else stage(flips)
+    numbered = running_total(flagged, EPISODE, ["frame_index"], frame_block(flips), begins, "segment", short)
     cutoffs = move.join(stalls, list(EPISODE), "left")
     return Signals(grippers, cutoffs, stage(numbered.drop("begins", "move_cutoff", "stall_cutoff", "mismatch")))
 
