@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -146,6 +147,20 @@ def _keep(state: GroupState, value: tuple, last_ns: int) -> None:
     state.setTimeoutTimestamp(max(int(last_ns) // 1_000_000 + IDLE_MS, state.getCurrentWatermarkMs() + 1))
 
 
+def _ordered(chunks: Iterator[pd.DataFrame], *names: str) -> tuple[list[np.ndarray], int]:
+    """The named columns of a run's rows in the order of time and sequence, and the time of the last row.
+
+    Plain arrays: a micro-batch holds few rows of very many runs, where frames made per run cost more than the work on them.
+    """
+    parts = list(chunks)
+    at, sequence, *others = (
+        parts[0][n].to_numpy() if len(parts) == 1 else np.concatenate([p[n].to_numpy() for p in parts])
+        for n in ("captured_at_ns", "sequence", *names)
+    )
+    order = np.lexsort((sequence, at))
+    return [sequence[order], *(o[order] for o in others)], at[order[-1]]
+
+
 def number_frames(frames: DataFrame) -> DataFrame:
     """Running count of the frames of each run, across micro-batches."""
 
@@ -154,15 +169,10 @@ def number_frames(frames: DataFrame) -> DataFrame:
             state.remove()
             return
         done = state.get[0] if state.exists else 0
-        rows = pd.concat(list(chunks)).sort_values(["captured_at_ns", "sequence"])
-        _keep(state, (done + len(rows),), rows["captured_at_ns"].iloc[-1])
+        (sequence, timestamp), last = _ordered(chunks, "timestamp")
+        _keep(state, (done + len(sequence),), last)
         yield pd.DataFrame(
-            {
-                "run_id": key[0],
-                "sequence": rows["sequence"].to_numpy(),
-                "frame_index": np.arange(done, done + len(rows)),
-                "timestamp": rows["timestamp"].to_numpy(),
-            }
+            {"run_id": key[0], "sequence": sequence, "frame_index": np.arange(done, done + len(sequence)), "timestamp": timestamp}
         )
 
     slim = _timed(frames.select("run_id", "sequence", "captured_at_ns", "timestamp"))
@@ -186,9 +196,9 @@ def run_controller(inputs: DataFrame) -> DataFrame:
             state.remove()
             return
         captured, dropped, failures, paused, closed = state.get if state.exists else (0, 0, 0, False, False)
-        rows = pd.concat(list(chunks)).sort_values(["captured_at_ns", "sequence"])
+        rows, last = _ordered(chunks, "error", "event")
         out = []
-        for sequence, error, event in zip(rows["sequence"], rows["error"], rows["event"]):
+        for sequence, error, event in zip(*rows):
             if isinstance(event, str):
                 if event == "resume":
                     paused, failures = False, 0
@@ -207,7 +217,7 @@ def run_controller(inputs: DataFrame) -> DataFrame:
             else:
                 captured, failures, outcome = captured + 1, 0, "captured"
             out.append((sequence, outcome, captured, dropped, failures, paused))
-        _keep(state, (captured, dropped, failures, paused, closed), rows["captured_at_ns"].iloc[-1])
+        _keep(state, (captured, dropped, failures, paused, closed), last)
         table = pd.DataFrame(out, columns=["sequence", "outcome", "captured", "dropped", "failures", "paused"])
         table.insert(0, "run_id", key[0])
         yield table
@@ -224,36 +234,40 @@ def run_controller(inputs: DataFrame) -> DataFrame:
 
 
 def one_euro_stream(samples: DataFrame, channel: str = "action", strength: float = 1.0, fps: float = 30.0) -> DataFrame:
-    """Causal smoothing of live samples; the state of each (run, joint) is its last value and speed."""
+    """Causal smoothing of live samples; the state of a run is the last value and speed of each joint."""
     dt = 1.0 / max(MIN_FPS, fps)
     slow = 1.0 / max(ONE_EURO_MIN_STRENGTH, strength)
     gain = float(one_euro_alpha(ONE_EURO_DERIVATIVE_CUTOFF, dt))
 
+    def alpha(cutoff: float) -> float:
+        return 1.0 / (1.0 + 1.0 / (2.0 * math.pi * max(cutoff, 1e-6)) / dt)
+
     def smooth(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(chunks)).sort_values(["captured_at_ns", "sequence"])
-        values = rows["value"].to_numpy()
-        last, speed = state.get if state.exists else (None, 0.0)
+        (sequence, joints, values), latest = _ordered(chunks, "joint", "value")
+        known = {j: (x, v) for j, x, v in zip(*state.get)} if state.exists else {}
         out = np.empty(len(values))
-        for i, value in enumerate(values):
-            if last is not None:
+        for i, (joint, value) in enumerate(zip(joints, values.tolist())):
+            speed = 0.0
+            if joint in known:
+                last, speed = known[joint]
                 speed = gain * (value - last) / dt + (1.0 - gain) * speed
-                blend = float(one_euro_alpha(slow + ONE_EURO_BETA * abs(speed), dt))
+                blend = alpha(slow + ONE_EURO_BETA * abs(speed))
                 value = blend * value + (1.0 - blend) * last
-            out[i] = last = float(value)
-        _keep(state, (last, speed), rows["captured_at_ns"].iloc[-1])
-        yield pd.DataFrame(
-            {"run_id": key[0], "joint": key[1], "sequence": rows["sequence"].to_numpy(), "smoothed": out}
-        )
+            out[i] = value
+            known[joint] = (value, speed)
+        _keep(state, (list(known), [x for x, _ in known.values()], [v for _, v in known.values()]), latest)
+        yield pd.DataFrame({"run_id": key[0], "joint": joints, "sequence": sequence, "smoothed": out})
 
     timed = _timed(samples.select("run_id", "captured_at_ns", "sequence", channel))
     long = timed.select("run_id", "captured_at_ns", "sequence", STATE_TIME, F.explode(channel).alias("joint", "value"))
     kind = samples.schema["run_id"].dataType.simpleString()
-    return long.groupBy("run_id", "joint").applyInPandasWithState(
-        smooth, f"run_id {kind}, joint string, sequence bigint, smoothed double", "last double, speed double", "append",
-        GroupStateTimeout.EventTimeTimeout,
+    # All joints of a run are one group: its rows leave the run's tasks once, not once per joint.
+    return long.groupBy("run_id").applyInPandasWithState(
+        smooth, f"run_id {kind}, joint string, sequence bigint, smoothed double",
+        "joints array<string>, last array<double>, speed array<double>", "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
