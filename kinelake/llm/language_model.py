@@ -23,6 +23,8 @@ DELETED = 10
 COUNTED, APART, TEACHING = 0, 1, 2
 #: Tokens tokenised into one row, and n-gram keys counted by one task.
 BATCH_TOKENS, TASK_KEYS = 1 << 20, 1 << 20
+#: Tokens of a batch whose probabilities are worked out at once.
+SLICE = 1 << 17
 END, START = 0, 1
 #: Context frequencies are bucketed by powers of two; probabilities of held-out tokens by quarters of an octave.
 BUCKETS, BINS, PER_OCTAVE = 33, 160, 4
@@ -136,19 +138,23 @@ class Batch:
 def requests(batches: DataFrame, parts: int) -> DataFrame:
     """The distinct n-grams of each batch with their training counts, cut by key range."""
 
+    def asked(row) -> pd.DataFrame:
+        # A function of its own, so that the arrays of one batch are gone before the next one's are made.
+        batch, out = Batch(row.lens, row.roles, row.tokens, row.vocab), []
+        for kind in (0, 1):
+            keys = batch.keys[kind][batch.orders[kind]]
+            counts = np.stack(batch.counts(kind))[:, batch.orders[kind]].astype(np.uint32)
+            cuts = batch.cuts(kind, parts)
+            out += [
+                (kind, p, row.batch, packed(np.diff(keys[i:j], prepend=np.uint64(0))), packed(counts[:, i:j].ravel()))
+                for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i
+            ]
+        return pd.DataFrame(out, columns=[f.split()[0] for f in REQUESTS.split(", ")])
+
     def rows(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for table in tables:
             for row in table.itertuples(index=False):
-                batch, out = Batch(row.lens, row.roles, row.tokens, row.vocab), []
-                for kind in (0, 1):
-                    keys = batch.keys[kind][batch.orders[kind]]
-                    counts = np.stack(batch.counts(kind))[:, batch.orders[kind]].astype(np.uint32)
-                    cuts = batch.cuts(kind, parts)
-                    out += [
-                        (kind, p, row.batch, packed(np.diff(keys[i:j], prepend=np.uint64(0))), packed(counts[:, i:j].ravel()))
-                        for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i
-                    ]
-                yield pd.DataFrame(out, columns=[f.split()[0] for f in REQUESTS.split(", ")])
+                yield asked(row)
 
     return batches.select("batch", "roles", "lens", "tokens", "vocab").mapInPandas(rows, REQUESTS)
 
@@ -178,7 +184,7 @@ def _answered(row) -> tuple[Batch, np.ndarray, np.ndarray, np.ndarray, np.ndarra
         ordered = np.concatenate([unpacked(t, np.uint64).reshape(2 - kind, -1) for t in parts], axis=1)
         back = np.empty(ordered.shape, np.uint64)
         back[:, batch.orders[kind]] = ordered
-        columns += list(back.astype(np.int64))
+        columns += list(back.view(np.int64))
     trained, single, double = columns
     single[START] = single[END]  # a document starts as often as it ends
     return batch, trained[batch.tokens], single[batch.tokens], single[batch.contexts], double[batch.pair_of]
@@ -196,14 +202,16 @@ def _bin(p: np.ndarray) -> np.ndarray:
 def held_out_cells(answered: DataFrame, counted: int) -> DataFrame:
     """Tokens of the teaching documents, by context bucket and by what bigram and unigram of the counted documents give them."""
 
+    def places(row) -> np.ndarray:
+        batch, _, c2, c1, c12 = _answered(row)
+        c2, c1, c12 = (x[batch.roles == TEACHING] for x in (c2, c1, c12))
+        return (_bucket(c1) * BINS + _bin(c12 / np.maximum(c1, 1))) * BINS + _bin(c2 / max(counted, 1))
+
     def rows(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = np.zeros(BUCKETS * BINS * BINS)
         for table in tables:
             for row in table.itertuples(index=False):
-                batch, _, c2, c1, c12 = _answered(row)
-                c2, c1, c12 = (x[batch.roles == TEACHING] for x in (c2, c1, c12))
-                place = (_bucket(c1) * BINS + _bin(c12 / np.maximum(c1, 1))) * BINS + _bin(c2 / max(counted, 1))
-                cells += np.bincount(place, minlength=len(cells))
+                cells += np.bincount(places(row), minlength=len(cells))
         at = np.flatnonzero(cells)
         yield pd.DataFrame({"bucket": at // (BINS * BINS), "f2": at // BINS % BINS, "f1": at % BINS, "n": cells[at]})
 
@@ -254,18 +262,25 @@ def score(docs: DataFrame) -> DataFrame:
     answered = stage(batches.drop("n_keys").join(answers, "batch"))
     weights = learn_weights(held_out_cells(answered, counted).toPandas(), kinds)
 
+    def scored(row) -> pd.DataFrame:
+        # A function of its own, so that the arrays of one batch are gone before the next one's are made.
+        batch, known, c2, c1, c12 = _answered(row)
+        base, logs = np.empty(len(known)), np.empty(len(known))
+        for at in range(0, len(known), SLICE):
+            i = slice(at, at + SLICE)
+            mix = weights[np.minimum(_bucket(c1[i]), BUCKETS - 1)]
+            p = mix[:, 0] * c12[i] / np.maximum(c1[i], 1) + mix[:, 1] * c2[i] / max(counted, 1) + mix[:, 2] / (kinds + 1)
+            base[i], logs[i] = np.log10((known[i] + 0.5) / (tokens + 0.5 * (kinds + 1))), np.log10(p)
+        return pd.DataFrame({
+            "doc_id": pd.array([None if d is None or d != d else int(d) for d in row.doc_ids], "Int64"),
+            "held_out": batch.held, "n_tokens": batch.lens,
+            "n_known": np.add.reduceat((known > 0).astype(np.int64), batch.starts), "train_tokens": tokens,
+            "base_score": np.add.reduceat(base, batch.starts), "score": np.add.reduceat(logs, batch.starts),
+        })
+
     def rows(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for table in tables:
             for row in table.itertuples(index=False):
-                batch, known, c2, c1, c12 = _answered(row)
-                mix = weights[np.minimum(_bucket(c1), BUCKETS - 1)]
-                p = mix[:, 0] * c12 / np.maximum(c1, 1) + mix[:, 1] * c2 / max(counted, 1) + mix[:, 2] / (kinds + 1)
-                base = np.log10((known + 0.5) / (tokens + 0.5 * (kinds + 1)))
-                yield pd.DataFrame({
-                    "doc_id": pd.array([None if d is None or d != d else int(d) for d in row.doc_ids], "Int64"),
-                    "held_out": batch.held, "n_tokens": batch.lens,
-                    "n_known": np.add.reduceat((known > 0).astype(np.int64), batch.starts), "train_tokens": tokens,
-                    "base_score": np.add.reduceat(base, batch.starts), "score": np.add.reduceat(np.log10(p), batch.starts),
-                })
+                yield scored(row)
 
     return answered.mapInPandas(rows, SCORES)
