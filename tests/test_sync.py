@@ -68,3 +68,27 @@ def test_samples_wait_until_the_watermark_has_passed(spark, rows, tmp_path):
     assert times and max(times) <= last - 3 * SECOND
     whole = {(r[1], r[3]) for r in rows if r[0] == Y.SAMPLE and r[1] and r[2] and r[2] <= last - 3 * SECOND}
     assert {(r.run_id, r.sequence) for r in found.collect()} == whole
+
+
+def test_runs_share_buckets_of_state(spark, tmp_path):
+    """State has one group per bucket however many runs there are; runs of a bucket do not mix, and idle ones are forgotten."""
+    rows = []
+    for r in range(60):
+        rows += [(Y.CAMERA, r, (10 + r) * SECOND, 1, "front", False), (Y.CAMERA, r, (10 + r) * SECOND, 1, "wrist", r % 5 == 0)]
+        rows += [(Y.SAMPLE, r, (10 + r) * SECOND + i, i, None, None) for i in (1, 2)]
+    # A row without a number keeps large numbers beside it exact; a day later all but the last run have gone.
+    rows += [(Y.SAMPLE, 0, 11 * SECOND, 2**60 + 1, None, None), (Y.SAMPLE, 0, 11 * SECOND + 1, None, None, None)]
+    rows += [(Y.SAMPLE, 99, 3 * 86_400 * SECOND, 1, None, None)]
+    spark.createDataFrame(rows[:-1], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.createDataFrame(rows[-1:], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    samples, cameras = (source.where(F.col("side") == s).drop("side") for s in (Y.SAMPLE, Y.CAMERA))
+    out = Y.sync_stateful(samples, cameras, NAMES, 5.0, "3 seconds", buckets=4)
+    query = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert 1 < max(held) <= 4 and held[-1] == 1
+    found = spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.run_id, r.frame_index) for r in found if r.run_id % 5) == [(r, i) for r in range(60) if r % 5 for i in (0, 1)]
+    assert all(r.frame_index is None for r in found if r.run_id % 5 == 0) and len(found) == 122
+    assert {r.sequence for r in found if r.run_id == 0} == {1, 2, 2**60 + 1, None}
