@@ -13,6 +13,7 @@ from kinelake.operators.blocks import EPISODE, dense_index, frame_block
 from kinelake.operators.filters import smooth
 from kinelake.operators.windows import episode_offsets
 from kinelake.schema import ROBOT_KEYS, SCHEMA_VERSION
+from kinelake.session import block_rows, stage
 from kinelake.sources import commits
 
 # --- fixed values of the exported formats -------------------------------------------------------------------------
@@ -41,15 +42,18 @@ def lerobot_frames(
 
     The global index is the episode's offset plus the frame's place in it; nothing is ordered across episodes.
     """
-    sized = full_episodes(frames)
-    offsets = episode_offsets(sized).select(*EPISODE, "dataset_from_index")
+    # One row per episode, read for the sizes and for the join.
+    offsets = stage(episode_offsets(full_episodes(frames)).select(*EPISODE, "frames", "dataset_from_index"))
     if method != "none":
         frames = smooth(frames, method, strength, fps, ("observation", "action"))
+    frames = _floats(frames, ("observation_state", "action")).select(*EPISODE, "frame_index", "timestamp", "observation_state", "action")
     if renumber:
-        frames = dense_index(frames, EPISODE, ["frame_index"], frame_block(frames), "_place").withColumn(
+        # Short episodes are numbered and joined in one shuffle by their key.
+        short = (offsets.agg(F.max("frames")).first()[0] or 0) <= block_rows(frames.sparkSession)
+        frames = dense_index(frames, EPISODE, ["frame_index"], frame_block(frames), "_place", short).withColumn(
             "frame_index", F.col("_place")
         )
-    return _floats(frames, ("observation_state", "action")).join(offsets, list(EPISODE)).select(
+    return frames.join(offsets.drop("frames"), list(EPISODE)).select(
         "dataset_id",
         F.col("observation_state").alias("observation.state"),
         "action",
