@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -20,8 +23,8 @@ BLANK = "▁"
 SHIFT = 2.7
 #: Pieces with a score below this are out of use in the file; single characters (the blank mark) then count as last in rank.
 UNUSED = -1e8
-#: Characters of texts whose lattices are built together, and ids handed on at once.
-CHUNK_CHARS, CHUNK_IDS = 1 << 21, 1 << 20
+#: Bytes of texts whose lattices are built together, segments searched together, and edges of lattices kept for later texts.
+CHUNK_BYTES, BLOCK_SEGMENTS, KEPT_EDGES = 1 << 21, 1 << 15, 1 << 21
 SEGMENT = re.compile(f"{BLANK}[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,12 +69,62 @@ class Pieces:
             keys = np.array(sorted(table), np.uint64)
             self.tables.append((keys, np.array([table[int(k)][0] for k in keys], np.int64), np.array([table[int(k)][1] for k in keys])))
 
+        sizes = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.flat, self.sizes, self.places = np.frombuffer(b"".join(self.bytes_of), np.uint8), sizes, np.cumsum(sizes) - sizes
+
     def fallback(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
 
+    def spelt(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with those of unknown characters (-1 - code point) as their bytes, and how many each became."""
+        counts = np.ones(len(ids), np.int64)
+        unknown = np.flatnonzero(ids < 0)
+        if not len(unknown):
+            return ids, counts
+        chars, which = np.unique(ids[unknown], return_inverse=True)
+        spelt = [self.fallback(chr(-1 - c)) for c in chars.tolist()]
+        sizes = np.array([len(x) for x in spelt], np.int64)
+        counts[unknown] = sizes[which]
+        out = np.repeat(ids, counts)
+        firsts = (np.cumsum(counts) - counts)[unknown]
+        out[ranges(firsts, sizes[which])] = np.concatenate([np.array(x, ids.dtype) for x in spelt])[
+            ranges((np.cumsum(sizes) - sizes)[which], sizes[which])
+        ]
+        return out, counts
+
+    def spelling(self, ids: np.ndarray) -> bytes:
+        return self.flat[ranges(self.places[ids], self.sizes[ids])].tobytes()
+
+
+@lru_cache(maxsize=1)
+def loaded(model: bytes) -> Pieces:
+    """The pieces of a file's content, built once per worker process."""
+    return Pieces(model)
+
+
+def ranges(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each first on, as many as its size, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(firsts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def scrambled(keys: np.ndarray) -> np.ndarray:
+    """The output function of SplitMix64."""
+    keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    keys = (keys ^ (keys >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return keys ^ (keys >> np.uint64(31))
+
+
+def uniform(keys: np.ndarray) -> np.ndarray:
+    """Uniform variables in [0, 1) that depend on the keys alone: the generator SplitMix64 at any place of its sequence."""
+    return (scrambled(keys) >> np.uint64(11)) * 2.0**-53
+
 
 class Lattices:
-    """Lattices of distinct segments in one numbering of nodes: the edges into each node, with their share of all ways there."""
+    """Lattices of distinct segments in one numbering of nodes: the edges into each node, with their share of all ways there.
+
+    Nothing of a segment's lattice but its numbers depends on the other segments, to the last bit.
+    """
 
     def __init__(self, segments: list[str], pieces: Pieces):
         text = "".join(segments)
@@ -79,153 +132,251 @@ class Lattices:
         lens = np.array([len(s) for s in segments], np.int64)
         firsts = np.cumsum(lens) - lens
         # Node of a place in a segment: every segment has one node more than characters.
-        owner = np.repeat(np.arange(len(segments)), lens)
+        node = np.arange(len(codes)) + np.repeat(np.arange(len(segments)), lens)
         rest = np.repeat(firsts + lens, lens) - np.arange(len(codes))
         alive, hashes = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
-        starts, ends, ids, weights = [], [], [], []
+        found = []
         for n, (keys, numbers, probs) in enumerate(pieces.tables, 1):
-            keep = rest[alive] >= n
-            alive, hashes = alive[keep], hashes[keep]
-            hashes = (hashes + codes[alive + n - 1] + np.uint64(1)) * BASE
+            if n > 1:
+                keep = np.flatnonzero(rest[alive] >= n)
+                alive, hashes = alive[keep], hashes[keep]
+            hashes = (hashes + codes[alive + (n - 1)] + np.uint64(1)) * BASE
             place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            keep = keys[place] == hashes
+            keep = np.flatnonzero(keys[place] == hashes)
+            alive, hashes, place = alive[keep], hashes[keep], place[keep]
+            number = numbers[place]
+            real = np.flatnonzero(number >= 0)
+            starts = alive[real]
+            found.append((node[starts], n, number[real].astype(np.int32), probs[place[real]]))
             if n == 1:
                 lost = np.ones(len(codes), bool)
-                lost[alive[keep & (numbers[place] >= 0)]] = False
-            alive, hashes, place = alive[keep], hashes[keep], place[keep]
-            real = numbers[place] >= 0
-            starts.append(alive[real])
-            ends.append(alive[real] + n)
-            ids.append(numbers[place[real]])
-            weights.append(probs[place[real]])
+                lost[starts] = False
             if not len(alive):
                 break
         unknown = np.flatnonzero(lost)
-        self.unknown = {-1 - i: pieces.fallback(text[at]) for i, at in enumerate(unknown.tolist())}
-        starts.append(unknown)
-        ends.append(unknown + 1)
-        ids.append(-1 - np.arange(len(unknown)))
-        weights.append(np.array([len(self.unknown[-1 - i]) * pieces.byte_weight for i in range(len(unknown))]))
-        starts, ends, ids, weights = (np.concatenate(x) for x in (starts, ends, ids, weights))
-        shift = owner[starts]
-        order = np.argsort(ends, kind="stable")
-        start, end, self.ids, weight = starts[order] + shift[order], ends[order] + shift[order], ids[order], weights[order]
+        chars = codes[unknown].astype(np.int64)
+        spelt = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+        found.append((node[unknown], 1, (-1 - chars).astype(np.int32), spelt * pieces.byte_weight))
         self.first = firsts + np.arange(len(segments))
         self.last = self.first + lens
+        # Edges into a node lie together, the longest first; of one length only one ends there.
+        nodes = len(codes) + len(segments)
+        degree = np.zeros(nodes, np.int64)
+        for starts, n, _, _ in found:
+            degree[starts + n] += 1
+        self.edges = np.concatenate([[0], np.cumsum(degree)])
+        free, total = self.edges[:-1].copy(), int(self.edges[-1])
+        self.start, self.ids, weight = np.empty(total, np.int64), np.empty(total, np.int32), np.empty(total)
+        spots = []
+        for starts, n, number, prob in reversed(found):
+            spot = free[starts + n]
+            free[starts + n] += 1
+            self.start[spot], self.ids[spot], weight[spot] = starts, number, prob
+            spots.append((starts + n, spot))
         # Log of the summed weight of all ways to each node, one distance from the segment's start at a time.
-        ways = np.full(len(codes) + len(segments), -np.inf)
-        ways[self.first] = 0.0
-        distance = end - self.first[shift[order]]
-        by_distance = np.argsort(distance, kind="stable")
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(distance[by_distance])) + 1, [len(by_distance)]])
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            e = by_distance[i:j]
-            if not len(e):
-                continue
-            values, nodes = ways[start[e]] + weight[e], end[e]
-            heads = np.concatenate([[0], np.flatnonzero(np.diff(nodes)) + 1])
-            top = np.maximum.reduceat(values, heads)
-            spread = np.repeat(top, np.diff(np.concatenate([heads, [len(values)]])))
-            ways[nodes[heads]] = top + np.log(np.add.reduceat(np.exp(values - spread), heads))
-        self.start, self.log_share = start, ways[start] + weight - ways[end]
-        self.share = np.exp(self.log_share)
-        self.edges = np.searchsorted(end, np.arange(len(ways) + 1))
-        running = np.cumsum(self.share)
-        before = np.concatenate([[0.0], running])[self.edges[end]]
-        self.ladder = end + np.minimum(running - before, 1.0)
-        self.ladder[self.edges[end + 1] - 1] = end[self.edges[end + 1] - 1] + 1.0
-
-    def walk(self, nodes: np.ndarray, firsts: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """Sample a way back from each node to its segment's start; edges in order of segment, then from its end, and their owners."""
-        owners, taken, at = [], [], np.arange(len(nodes))
-        nodes = nodes.copy()
-        at = at[nodes[at] > firsts[at]]
+        ways = np.zeros(nodes)
+        self.log_share = np.empty(total)
+        distance = np.arange(nodes) - np.repeat(self.first, lens + 1)
+        far = int(lens.max())
+        by_distance = np.argsort(distance.astype(np.uint16 if far < 1 << 16 else np.int64), kind="stable")
+        cuts = np.cumsum(np.bincount(distance))
+        degree = degree[by_distance]
+        edges = ranges(self.edges[by_distance], degree)
+        heads = np.cumsum(degree) - degree
+        start, weight = self.start[edges], weight[edges]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            i, j = int(heads[a]), int(heads[b]) if b < nodes else total
+            values, own, many = ways[start[i:j]] + weight[i:j], heads[a:b] - i, degree[a:b]
+            top = np.maximum.reduceat(values, own)
+            top += np.log(np.add.reduceat(np.exp(values - np.repeat(top, many)), own))
+            ways[by_distance[a:b]] = top
+            self.log_share[edges[i:j]] = values - np.repeat(top, many)
+        # Upper ends of the edges' shares of [0, 1) at their node; that of the last edge is out of reach.
+        share, below = np.exp(self.log_share), np.zeros(nodes)
+        self.reach = np.empty(total)
+        for end, spot in spots:
+            below[end] += share[spot]
+            self.reach[spot] = below[end]
+        self.reach[self.edges[1:][self.edges[1:] > self.edges[:-1]] - 1] = 2.0
+
+    def with_more(self, other: Lattices) -> Lattices:
+        """These segments and then those of the other."""
+        both, nodes = object.__new__(Lattices), len(self.edges) - 1
+        for name in ("ids", "log_share", "reach"):
+            setattr(both, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+        for name in ("first", "last", "start"):
+            setattr(both, name, np.concatenate([getattr(self, name), getattr(other, name) + nodes]))
+        both.edges = np.concatenate([self.edges, other.edges[1:] + self.edges[-1]])
+        return both
+
+    def head(self, n: int) -> Lattices:
+        """The first ``n`` segments."""
+        some, nodes = object.__new__(Lattices), int(self.last[n - 1]) + 1
+        some.first, some.last, some.edges = self.first[:n].copy(), self.last[:n].copy(), self.edges[: nodes + 1].copy()
+        for name in ("start", "ids", "log_share", "reach"):
+            setattr(some, name, getattr(self, name)[: some.edges[-1]].copy())
+        return some
+
+    def walk(self, nodes: np.ndarray, firsts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sample a way back from each node to its segment's start: edges, one way after the other, and their number by way.
+
+        The choice at a node depends on the way's key and the node's distance from the segment's start only.
+        """
+        counts = np.zeros(len(nodes), np.int64)
+        at = np.flatnonzero(nodes > firsts)
+        here, first = nodes[at], firsts[at]
+        key = keys[at] - first.astype(np.uint64) * BASE
+        taken = []
         while len(at):
-            here = nodes[at]
-            edge = np.searchsorted(self.ladder, here + rng.random(len(at)), side="right")
-            edge = np.minimum(np.maximum(edge, self.edges[here]), self.edges[here + 1] - 1)
-            owners.append(at)
-            taken.append(edge)
-            nodes[at] = self.start[edge]
-            at = at[nodes[at] > firsts[at]]
-        if not taken:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        owners, taken = np.concatenate(owners), np.concatenate(taken)
-        order = np.argsort(owners, kind="stable")
-        return taken[order], owners[order]
-
-
-def below(place: np.ndarray, limit: float, rng: np.random.Generator) -> np.ndarray:
-    """Gumbel variables at ``place``, given that they are below ``limit``."""
-    with np.errstate(over="ignore"):
-        return place - np.log(np.exp(place - limit) - np.log(1.0 - rng.random(len(place))))
+            drawn = uniform(key + here.astype(np.uint64) * BASE)
+            edge = self.edges[here]
+            late = np.flatnonzero(drawn >= self.reach[edge])
+            while len(late):
+                edge[late] += 1
+                late = late[drawn[late] >= self.reach[edge[late]]]
+            taken.append((at, edge))
+            counts[at] += 1
+            here = self.start[edge]
+            more = np.flatnonzero(here > first)
+            if len(more) < len(at):
+                at, here, first, key = at[more], here[more], first[more], key[more]
+        places = np.cumsum(counts) - counts
+        edges = np.empty(int(counts.sum()), np.int64)
+        for step, (at, edge) in enumerate(taken):
+            edges[places[at] + step] = edge
+        return edges, counts
+
+
+def below(place: float, limit: float, drawn: float) -> float:
+    """A Gumbel variable at ``place``, given that it is below ``limit``."""
+    if place == -math.inf:
+        return place
+    over, drawn = place - limit, -math.log1p(-drawn)
+    return limit - math.log1p(drawn * math.exp(-over)) if over > 0 else place - math.log(math.exp(over) + drawn)
 
 
 class Way:
-    """One sampled segmentation: its edges, and for each the best perturbed value among the choices left aside there."""
+    """One sampled segmentation, its edges from the text's end to its start, and the choices left aside on it.
 
-    def __init__(self, edges: np.ndarray, owners: np.ndarray, lattices: Lattices, value: float, since: int, rng: np.random.Generator):
-        self.edges, self.owners, self.value, self.since = edges, owners, value, since
-        steps = lattices.log_share[edges]
+    The choices left aside from step ``since`` on make one set of subtrees. ``mass`` has the share of each step's subtrees relative
+    to what comes before ``since``, ``bound`` the largest perturbed log probability in all of them: the maximum of independent
+    Gumbel variables below the same limit is one at their summed mass, and lies in each of them in proportion to its mass.
+    """
+
+    def __init__(self, edges: np.ndarray, counts: np.ndarray, steps: np.ndarray, value: float, since: int, drawn: float):
+        self.edges, self.counts, self.since = edges, counts, since
         self.before = np.concatenate([[0.0], np.cumsum(steps)])
-        self.aside = np.full(len(edges), -np.inf)
-        free = since + np.flatnonzero(lattices.share[edges[since:]] < 1 - 1e-12)
-        place = self.before[free] + np.log1p(-lattices.share[edges[free]])
-        self.aside[free] = below(place, value, rng)
+        share = np.exp(steps[since:])
+        self.mass = np.exp(self.before[since:-1] - self.before[since]) * np.where(share < 1 - 1e-12, 1.0 - share, 0.0)
         self.barred: dict[int, list[int]] = {}
-
-
-def sample(segments: np.ndarray, lattices: Lattices, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float]]:
-    """``k`` distinct segmentations without replacement: (edges in text order, log probability, inclusion probability).
-
-    Every subtree of choices has the largest perturbed log probability of its leaves as exact bound. The best open subtree is
-    always the next to be searched, and a walk down it keeps its value, so each search ends in the next best leaf. Fewer come
-    back if the lattice has fewer. The value after the k-th is the threshold of the inclusion probabilities.
+        self.draw(value, drawn)
+
+    def draw(self, limit: float, drawn: float) -> None:
+        total = float(self.mass.sum())
+        self.bound = below(float(self.before[self.since]) + math.log(total), limit, drawn) if total > 0 else -math.inf
+
+    def leave(self, lattices: Lattices, lasts: np.ndarray, drawn: list[float]) -> tuple[int, int, int]:
+        """Search the set left aside: the step and the segment where the way of its bound turns off, and the edge taken there.
+
+        What is left of the set is drawn anew, below the old bound.
+        """
+        sums = np.cumsum(self.mass)
+        step = int(np.searchsorted(sums, drawn[0] * sums[-1], side="right"))
+        if step == len(sums) or not self.mass[step]:
+            step = int(np.flatnonzero(self.mass)[-1])
+        at = self.since + step
+        ends = np.cumsum(self.counts)
+        owner = int(np.searchsorted(ends, at, side="right"))
+        here = lasts[owner] if at == ends[owner] - self.counts[owner] else lattices.start[self.edges[at - 1]]
+        barred = self.barred.setdefault(at, [int(self.edges[at])])
+        options = [e for e in range(int(lattices.edges[here]), int(lattices.edges[here + 1])) if e not in barred]
+        shares = [math.exp(lattices.log_share[e]) for e in options]
+        pick, rest = 0, drawn[1] * sum(shares)
+        while pick < len(options) - 1 and rest >= shares[pick]:
+            rest -= shares[pick]
+            pick += 1
+        barred.append(options[pick])
+        self.mass[step] = math.exp(self.before[at] - self.before[self.since]) * sum(shares[:pick] + shares[pick + 1 :])
+        self.draw(self.bound, drawn[2])
+        return at, owner, options[pick]
+
+
+def sample_all(
+    texts: list[np.ndarray], lattices: Lattices, k: int, seeds: np.ndarray
+) -> list[list[tuple[np.ndarray, float, float]]]:
+    """For each text (its segments) ``k`` distinct segmentations without replacement: (edges in text order, log probability,
+    inclusion probability).
+
+    Every set of subtrees of choices has the largest perturbed log probability of its leaves as exact bound. In each text the best
+    open set is always the next to be searched, and a walk down it keeps its value, so each search ends in the next best leaf;
+    the walks of all texts take their steps together. Fewer come back if a lattice has fewer. The value after the k-th is the
+    threshold of the inclusion probabilities. What is drawn for a text depends on its seed only.
     """
+    if not texts:
+        return []
+    # Segments from each text's end to its start, as the edges of a way come.
+    segments = np.concatenate([own[::-1] for own in texts])
+    sizes = np.array([len(own) for own in texts])
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
     lasts, firsts = lattices.last[segments], lattices.first[segments]
-    edges, owners = lattices.walk(lasts, firsts, rng)
-    ways = [Way(edges, owners, lattices, -np.log(-np.log(1.0 - rng.random())), 0, rng)]
-    while True:
-        tops = [int(w.aside.argmax()) if len(w.aside) else -1 for w in ways]
-        values = [w.aside[t] if t >= 0 else -np.inf for w, t in zip(ways, tops, strict=True)]
-        best = int(np.argmax(values))
-        threshold = values[best]
-        if len(ways) == k or threshold == -np.inf:
+    nodes = lasts - firsts + 1
+    places = np.cumsum(nodes) - nodes
+    places -= np.repeat(places[begins], sizes)
+    # One sequence for the walks of each round, one for all else.
+    sequences = scrambled(seeds[:, None] + np.arange(1, k + 2, dtype=np.uint64) * BASE)
+    draws = iter(uniform(sequences[:, -1:] + np.arange(1, 4 * k + 1, dtype=np.uint64) * BASE).T)
+
+    def walks(n: int, some: np.ndarray, skipped: np.ndarray, heads: np.ndarray | None) -> Iterator[tuple]:
+        """Ways through the texts from a segment on, whose node may be given, with the log shares of their steps."""
+        many = ends[some] - begins[some] - skipped
+        which = ranges(begins[some] + skipped, many)
+        from_, cuts = lasts[which], np.cumsum(many)
+        if heads is not None:
+            from_[cuts - many] = heads
+        keys = np.repeat(sequences[some, n], many) + places[which].astype(np.uint64) * BASE
+        edges, counts = lattices.walk(from_, firsts[which], keys)
+        steps, sums = lattices.log_share[edges], np.concatenate([[0], np.cumsum(counts)])
+        for i, j in zip((cuts - many).tolist(), cuts.tolist(), strict=True):
+            yield edges[sums[i] : sums[j]], counts[i:j], steps[sums[i] : sums[j]]
+
+    everyone = np.arange(len(texts))
+    values, asides = next(draws).tolist(), next(draws).tolist()
+    ways = [
+        [Way(edges, counts, steps, -math.log(-math.log1p(-value) or 5e-324), 0, aside)]
+        for (edges, counts, steps), value, aside in zip(walks(0, everyone, 0 * everyone, None), values, asides, strict=True)
+    ]
+    for n in range(1, k):
+        drawn = np.stack([next(draws) for _ in range(4)], axis=1).tolist()
+        turns = []
+        for i, own in enumerate(ways):
+            way = max(own, key=lambda w: w.bound)
+            if way.bound > -math.inf:
+                turns.append((i, way, way.bound, *way.leave(lattices, lasts[begins[i] : ends[i]], drawn[i])))
+        if not turns:
             break
-        way, at = ways[best], tops[best]
-        node = way.owners[at]
-        here = lasts[node] if at == 0 or way.owners[at - 1] != node else lattices.start[way.edges[at - 1]]
-        barred = way.barred.setdefault(at, [int(way.edges[at])])
-        options = np.arange(lattices.edges[here], lattices.edges[here + 1])
-        options = options[~np.isin(options, barred)]
-        shares = lattices.share[options]
-        left = shares.sum()
-        pick = int(min(np.searchsorted(np.cumsum(shares), rng.random() * left, side="right"), len(options) - 1))
-        other = int(options[pick])
-        barred.append(other)
-        left -= shares[pick]
-        way.aside[at] = below(np.array([way.before[at] + np.log(left)]), threshold, rng)[0] if len(options) > 1 and left > 0 else -np.inf
         # Earlier choices stay; the rest of this segment and all later ones are sampled anew.
-        nodes = np.concatenate([[lattices.start[other]], lasts[node + 1 :]])
-        more, owner = lattices.walk(nodes, firsts[node:], rng)
-        ways.append(Way(
-            np.concatenate([way.edges[:at], [other], more]), np.concatenate([way.owners[:at], [node], owner + node]), lattices,
-            threshold, at + 1, rng,
-        ))
+        others = np.array([t[5] for t in turns])
+        new = walks(n, np.array([t[0] for t in turns]), np.array([t[4] for t in turns]), lattices.start[others])
+        for (i, way, value, at, owner, other), (edges, counts, steps) in zip(turns, new, strict=True):
+            counts = np.concatenate([way.counts[:owner], counts])
+            counts[owner] += at + 1 - int(way.counts[:owner].sum())
+            edges = np.concatenate([way.edges[:at], [other], edges])
+            steps = np.concatenate([lattices.log_share[edges[: at + 1]], steps])
+            ways[i].append(Way(edges, counts, steps, value, at + 1, drawn[i][3]))
     out = []
-    for way in ways:
-        # Edges of a segment come from its end; turn each segment around.
-        order = np.lexsort((-np.arange(len(way.edges)), way.owners))
-        log_prob = float(way.before[-1])
+    for own in ways:
+        threshold = max(w.bound for w in own)
+        log_probs = [float(w.before[-1]) for w in own]
         with np.errstate(over="ignore"):
-            inclusion = 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(log_prob - threshold)))
-        out.append((way.edges[order], log_prob, inclusion))
+            inclusions = [1.0 if threshold == -math.inf else float(-np.expm1(-np.exp(p - threshold))) for p in log_probs]
+        out.append([(w.edges[::-1], p, q) for w, p, q in zip(own, log_probs, inclusions, strict=True)])
     return out
 
 
-def normalise(text: str) -> str:
-    """As the vocabulary wants it: a blank in front, blanks as their mark, nothing else changed; an empty text stays empty."""
-    return BLANK + text.replace(" ", BLANK) if text else ""
+def sample(segments: np.ndarray, lattices: Lattices, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float]]:
+    """The segmentations of one text, its seed drawn from a generator."""
+    return sample_all([segments], lattices, k, rng.integers(1 << 64, size=1, dtype=np.uint64))[0]
 
 
 def decode_ids(ids, pieces: Pieces) -> str:
@@ -239,6 +390,114 @@ def shipped(df: DataFrame, model_file: str) -> Broadcast[bytes]:
     return df.sparkSession.sparkContext.broadcast(Path(model_file).read_bytes())
 
 
+def chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts (null: empty) of rows in chunks of about CHUNK_BYTES, whatever the sizes of the batches."""
+    held, size = [], 0
+    for part in parts:
+        texts = pc.fill_null(part.column(1).cast(pa.large_string()), "")
+        sums, i = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+        while i < len(texts):
+            # Up to the row that fills the chunk.
+            before = int(sums[i - 1]) if i else 0
+            j = min(int(np.searchsorted(sums, before + CHUNK_BYTES - size)) + 1, len(texts))
+            held.append((part.column(0)[i:j], texts[i:j]))
+            size += int(sums[j - 1]) - before
+            if size >= CHUNK_BYTES:
+                yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+                held, size = [], 0
+            i = j
+    if held:
+        yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+
+
+def blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about BLOCK_SEGMENTS segments each."""
+    first, total = 0, 0
+    for i, n in enumerate(sizes, 1):
+        total += n
+        if total >= BLOCK_SEGMENTS or i == len(sizes):
+            yield first, i
+            first, total = i, 0
+
+
+def spoken(texts: pa.Array) -> list[bytes]:
+    """What decoding should give: the texts with their blank marks as blanks."""
+    return pc.replace_substring(texts, BLANK, " ").cast(pa.large_binary()).to_pylist()
+
+
+class Store:
+    """Numbers and lattices of segments, those that one chunk had more than once kept for the next ones."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.numbers, self.lattices = pieces, {}, None
+
+    def segments(self, texts: pa.Array) -> tuple[list[np.ndarray], Lattices | None]:
+        """The numbers of each text's segments, and the lattices that these numbers mean until the next call."""
+        if self.lattices is not None and len(self.lattices.ids) > KEPT_EDGES:
+            self.numbers, self.lattices = {}, None
+        # As the vocabulary wants it: a blank in front, blanks as their mark, nothing else changed; an empty text stays empty.
+        tokens = pc.split_pattern(pc.replace_substring(texts, " ", BLANK), BLANK)
+        ends = np.cumsum(np.where(pc.binary_length(texts).to_numpy() > 0, pc.list_value_length(tokens).to_numpy(), 0))
+        coded = pc.list_flatten(tokens.filter(pc.greater(pc.binary_length(texts), 0))).dictionary_encode()
+        which = coded.indices.to_numpy()
+        if not len(which):
+            return [np.empty(0, np.int64) for _ in range(len(texts))], None
+        parts = [[BLANK + t] if "\n" not in t else SEGMENT.findall(BLANK + t) for t in coded.dictionary.to_pylist()]
+        often: dict[str, int] = {}
+        for own, n in zip(parts, np.bincount(which, minlength=len(parts)).tolist(), strict=True):
+            for s in own:
+                if s not in self.numbers:
+                    often[s] = often.get(s, 0) + n
+        new = [s for s, n in often.items() if n > 1]
+        kept = len(self.numbers) + len(new)
+        once = [s for s, n in often.items() if n == 1]
+        numbers = self.numbers
+        numbers.update(zip(new + once, range(len(numbers), kept + len(once)), strict=True))
+        lattices = self.lattices
+        if often:
+            more = Lattices(new + once, self.pieces)
+            lattices = more if lattices is None else lattices.with_more(more)
+        sizes = np.array([len(own) for own in parts], np.int64)
+        flat = np.array([numbers[s] for own in parts for s in own], np.int64)
+        many = sizes[which]
+        segments = flat[ranges((np.cumsum(sizes) - sizes)[which], many)]
+        sums = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], ends])].tolist()
+        for s in once:
+            del numbers[s]
+        self.lattices = lattices.head(kept) if kept else None
+        return [segments[i:j] for i, j in zip(sums[:-1], sums[1:], strict=True)], lattices
+
+
+def encoded(
+    keys: list[int | None], wanted: list[bytes], segments: list[np.ndarray], texts: pa.Array, lattices: Lattices | None,
+    pieces: Pieces, k: int, seed: int,
+) -> list[pa.Array]:
+    """The columns of SAMPLED for a run of texts."""
+    full = [i for i, own in enumerate(segments) if len(own)]
+    names = [texts[i].as_py() if keys[i] is None else str(keys[i]) for i in full]
+    seeds = np.array([xxhash.xxh3_64_intdigest(n.encode("utf-8", "surrogatepass"), seed) for n in names], np.uint64)
+    found = dict(zip(full, sample_all([segments[i] for i in full], lattices, k, seeds), strict=True))
+    empty = [(np.empty(0, np.int64), 0.0, 1.0)]
+    rows = [(i, n, *way) for i in range(len(segments)) for n, way in enumerate(found.get(i, empty))]
+    sizes = np.array([len(r[2]) for r in rows], np.int64)
+    edges = np.concatenate([r[2] for r in rows])
+    ids, counts = pieces.spelt(lattices.ids[edges] if lattices is not None else np.empty(0, np.int32))
+    ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
+    raw = pieces.spelling(ids)
+    cuts = np.concatenate([[0], np.cumsum(pieces.sizes[ids])])[ends].tolist()
+    same = [agrees(raw[i:j], wanted[r[0]]) for i, j, r in zip(cuts[:-1], cuts[1:], rows, strict=True)]
+    return [
+        pa.array([keys[r[0]] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
+        pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows], pa.float64()),
+        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), pa.array(same, pa.bool_()),
+    ]
+
+
+def agrees(raw: bytes, wanted: bytes) -> bool:
+    raw = raw.removeprefix(b" ")
+    return raw == wanted or raw.decode("utf-8", "replace") == wanted.decode()
+
+
 def encode(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: int = SEED) -> DataFrame:
     """Up to ``k`` distinct sampled segmentations of every whole text, one row each: doc_id, sample, log_prob, inclusion, ids
     and round_trip (whether decoding gives the text back, its blank marks read as blanks).
@@ -248,58 +507,15 @@ def encode(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: int = SEED)
     whole; an empty table gives no rows; further columns are ignored.
     """
     model = shipped(docs, model_file)
+    names = [f.split()[0] for f in SAMPLED.split(", ")]
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model.value)
-        names = [f.split()[0] for f in SAMPLED.split(", ")]
-
-        def table(found: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*found, strict=True))
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in columns[4]])]).astype(np.int32))
-            flat = pa.array(np.concatenate([np.empty(0, np.int32), *columns[4]]).astype(np.int32))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.float64()),
-                 pa.array(columns[3], pa.float64()), pa.ListArray.from_arrays(ends, flat), pa.array(columns[5], pa.bool_())],
-                names=names,
-            )
-
-        def chunk(texts: list[tuple[int | None, str]]) -> Iterator[pa.RecordBatch]:
-            known: dict[str, int] = {}
-            segments = [
-                np.array([known.setdefault(s, len(known)) for s in SEGMENT.findall(normalise(t))], np.int64) for _, t in texts
-            ]
-            lattices = Lattices(list(known), pieces) if known else None
-            found, size = [], 0
-            for (key, text), own in zip(texts, segments, strict=True):
-                if not len(own):
-                    found.append((key, 0, 0.0, 1.0, np.empty(0, np.int32), True))
-                    continue
-                name = text if key is None else str(key)
-                rng = np.random.default_rng([seed, xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"))])
-                for i, (edges, log_prob, inclusion) in enumerate(sample(own, lattices, k, rng)):
-                    ids = lattices.ids[edges]
-                    if (ids < 0).any():
-                        spelt = [lattices.unknown[j] if j < 0 else [j] for j in ids.tolist()]
-                        ids = np.array([j for s in spelt for j in s], np.int64)
-                    same = decode_ids(ids.tolist(), pieces) == text.replace(BLANK, " ")
-                    found.append((key, i, log_prob, inclusion, ids.astype(np.int32), same))
-                    size += len(ids)
-                if size > CHUNK_IDS:
-                    yield table(found)
-                    found, size = [], 0
-            if found:
-                yield table(found)
-
-        texts, chars = [], 0
-        for part in parts:
-            for key, value in zip(part.column(0), part.column(1), strict=True):
-                texts.append((key.as_py(), value.as_py() or ""))
-                chars += len(texts[-1][1])
-                if chars > CHUNK_CHARS:
-                    yield from chunk(texts)
-                    texts, chars = [], 0
-        if texts:
-            yield from chunk(texts)
+        store = Store(loaded(model.value))
+        for keys, texts in chunks(parts):
+            keys, wanted = keys.to_pylist(), spoken(texts)
+            own, lattices = store.segments(texts)
+            for i, j in blocks([len(x) for x in own]):
+                yield pa.RecordBatch.from_arrays(encoded(keys[i:j], wanted[i:j], own[i:j], texts[i:j], lattices, store.pieces, k, seed), names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(rows, SAMPLED)
 
@@ -312,7 +528,7 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids", into: str = "t
     model = shipped(encoded, model_file)
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model.value)
+        pieces = loaded(model.value)
         for part in parts:
             texts = [None if x is None else decode_ids(x, pieces) for x in part.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])

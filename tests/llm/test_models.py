@@ -7,6 +7,7 @@ import math
 import brute
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import ROWS, SMALL, frame
 from pyspark.sql import functions as F
@@ -111,6 +112,42 @@ def test_encoding_of_odd_rows(spark, odd, none, documents):
     assert decoded.where("not round_trip").count() == 0
 
 
+def test_texts_are_searched_together_and_as_if_alone(vocabulary, monkeypatch):
+    segments = ["▁then", "▁is", "▁otherwise,", "\n", "▁é\U0001f600", "words", "▁", "▁international"]
+    lattice, turned = pieces.Lattices(segments, vocabulary), pieces.Lattices(segments[::-1], vocabulary)
+    rng, calls, walk = np.random.default_rng(3), [], pieces.Lattices.walk
+    monkeypatch.setattr(pieces.Lattices, "walk", lambda self, *args: calls.append(self) or walk(self, *args))
+    texts = [rng.integers(0, len(segments), n) for n in range(1, 60)]
+    seeds = rng.integers(1 << 64, size=len(texts), dtype=np.uint64)
+    together = pieces.sample_all(texts, lattice, 3, seeds)
+    assert len(calls) == 3  # one for each sample, not for each text
+    for i, text in enumerate(texts):
+        alone = pieces.sample_all([len(segments) - 1 - text], turned, 3, seeds[i : i + 1])[0]
+        plain = lambda rows, own: [(own.ids[e].tolist(), p, q) for e, p, q in rows]
+        assert plain(together[i], lattice) == plain(alone, turned)
+
+
+def test_lattices_of_repeated_segments_are_kept(vocabulary, monkeypatch):
+    built, init = [], pieces.Lattices.__init__
+    monkeypatch.setattr(pieces.Lattices, "__init__", lambda self, segments, own: built.append(list(segments)) or init(self, segments, own))
+    texts = [pa.array(["then is\nthen once", "", "is  is"], pa.large_string()), pa.array(["is then once", None], pa.large_string())]
+    store = pieces.Store(vocabulary)
+    for part, wanted in zip(texts, (["▁then", "▁is", "\n", "then", "▁once", "▁is", "▁", "▁is"], ["▁is", "▁then", "▁once"]), strict=True):
+        own, lattices = store.segments(part.fill_null(""))
+        fresh = pieces.Lattices(wanted, vocabulary)
+        numbers = np.concatenate(own)
+        assert len(own) == len(part) and len(numbers) == len(wanted)
+        for i, n in enumerate(numbers):
+            some, same = (
+                slice(one.edges[one.first[j]], one.edges[one.last[j] + 1]) for one, j in ((lattices, n), (fresh, i))
+            )
+            assert lattices.ids[some].tolist() == fresh.ids[same].tolist()
+            assert lattices.reach[some].tolist() == fresh.reach[same].tolist()
+    mine = [b for b in built if b not in (["▁then", "▁is", "\n", "then", "▁once", "▁is", "▁", "▁is"], ["▁is", "▁then", "▁once"])]
+    assert sorted(mine[0]) == sorted({"▁then", "▁is", "\n", "then", "▁once", "▁"})
+    assert mine[1:] == [["▁then", "▁once"]]
+
+
 def labelled(spark, n=600):
     rng = np.random.default_rng(4)
     common, bad = [f"word{i}" for i in range(60)], ["vile", "rotten", "foul"]
