@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -23,9 +22,11 @@ BLANK = "▁"
 SHIFT = 2.7
 #: Pieces with a score below this are out of use in the file; single characters (the blank mark) then count as last in rank.
 UNUSED = -1e8
-#: Bytes of texts whose lattices are built together, segments searched together, and edges of lattices kept for later texts.
-CHUNK_BYTES, BLOCK_SEGMENTS, KEPT_EDGES = 1 << 21, 1 << 15, 1 << 21
-SEGMENT = re.compile(f"{BLANK}[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
+#: Bytes of texts that share lattices, characters of segments whose lattices are built at once, segments searched together, and
+#: edges of lattices kept for later texts.
+CHUNK_BYTES, PORTION_CHARS, BLOCK_SEGMENTS, KEPT_EDGES = 1 << 21, 1 << 16, 1 << 15, 1 << 21
+#: So many ways are followed one by one.
+FEW = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 SAMPLED = "doc_id long, sample int, log_prob double, inclusion double, ids array<int>, round_trip boolean"
@@ -66,8 +67,14 @@ class Pieces:
             prefixes[len(name)][h] = (i, p - total)
         self.tables = []
         for table in prefixes[1:]:
-            keys = np.array(sorted(table), np.uint64)
-            self.tables.append((keys, np.array([table[int(k)][0] for k in keys], np.int64), np.array([table[int(k)][1] for k in keys])))
+            # The last key stands for none; the first key of each range of equal leading bits.
+            keys = np.array([*sorted(table), (1 << 64) - 1], np.uint64)
+            found = [table.get(k, (-1, 0.0)) for k in keys.tolist()]
+            bits = len(keys).bit_length() + 1
+            heads = np.searchsorted(keys[:-1] >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+            self.tables.append((
+                keys, np.array([i for i, _ in found], np.int64), np.array([p for _, p in found]), heads, np.uint64(64 - bits),
+            ))
 
         sizes = np.array([len(b) for b in self.bytes_of], np.int64)
         self.flat, self.sizes, self.places = np.frombuffer(b"".join(self.bytes_of), np.uint8), sizes, np.cumsum(sizes) - sizes
@@ -136,12 +143,16 @@ class Lattices:
         rest = np.repeat(firsts + lens, lens) - np.arange(len(codes))
         alive, hashes = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
         found = []
-        for n, (keys, numbers, probs) in enumerate(pieces.tables, 1):
+        for n, (keys, numbers, probs, heads, bits) in enumerate(pieces.tables, 1):
             if n > 1:
                 keep = np.flatnonzero(rest[alive] >= n)
                 alive, hashes = alive[keep], hashes[keep]
             hashes = (hashes + codes[alive + (n - 1)] + np.uint64(1)) * BASE
-            place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            place = heads[hashes >> bits].astype(np.int64)
+            late = np.flatnonzero(keys[place] < hashes)
+            while len(late):
+                place[late] += 1
+                late = late[keys[place[late]] < hashes[late]]
             keep = np.flatnonzero(keys[place] == hashes)
             alive, hashes, place = alive[keep], hashes[keep], place[keep]
             number = numbers[place]
@@ -199,16 +210,6 @@ class Lattices:
             self.reach[spot] = below[end]
         self.reach[self.edges[1:][self.edges[1:] > self.edges[:-1]] - 1] = 2.0
 
-    def with_more(self, other: Lattices) -> Lattices:
-        """These segments and then those of the other."""
-        both, nodes = object.__new__(Lattices), len(self.edges) - 1
-        for name in ("ids", "log_share", "reach"):
-            setattr(both, name, np.concatenate([getattr(self, name), getattr(other, name)]))
-        for name in ("first", "last", "start"):
-            setattr(both, name, np.concatenate([getattr(self, name), getattr(other, name) + nodes]))
-        both.edges = np.concatenate([self.edges, other.edges[1:] + self.edges[-1]])
-        return both
-
     def head(self, n: int) -> Lattices:
         """The first ``n`` segments."""
         some, nodes = object.__new__(Lattices), int(self.last[n - 1]) + 1
@@ -226,8 +227,8 @@ class Lattices:
         at = np.flatnonzero(nodes > firsts)
         here, first = nodes[at], firsts[at]
         key = keys[at] - first.astype(np.uint64) * BASE
-        taken = []
-        while len(at):
+        taken, tails = [], []
+        while len(at) > FEW:
             drawn = uniform(key + here.astype(np.uint64) * BASE)
             edge = self.edges[here]
             late = np.flatnonzero(drawn >= self.reach[edge])
@@ -240,12 +241,47 @@ class Lattices:
             more = np.flatnonzero(here > first)
             if len(more) < len(at):
                 at, here, first, key = at[more], here[more], first[more], key[more]
+        # The last ways are long ones: each is followed to its end by itself.
+        for i, node, least, own in zip(at.tolist(), here.tolist(), first.tolist(), key, strict=True):
+            tails.append((i, self.follow(node, least, own)))
+            counts[i] += len(tails[-1][1])
         places = np.cumsum(counts) - counts
         edges = np.empty(int(counts.sum()), np.int64)
         for step, (at, edge) in enumerate(taken):
             edges[places[at] + step] = edge
+        for i, tail in tails:
+            edges[places[i] + len(taken) : places[i] + counts[i]] = tail
         return edges, counts
 
+    def follow(self, node: int, first: int, key: np.uint64) -> list[int]:
+        """The edges of one way from a node to its segment's start, chosen as in ``walk``."""
+        drawn = uniform(key + np.arange(first, node + 1, dtype=np.uint64) * BASE).tolist()
+        heads = self.edges[first : node + 1].tolist()
+        some = slice(heads[0], int(self.edges[node + 1]))
+        start, reach, taken = self.start[some].tolist(), self.reach[some].tolist(), []
+        while node > first:
+            edge, value = heads[node - first] - heads[0], drawn[node - first]
+            while value >= reach[edge]:
+                edge += 1
+            taken.append(edge + heads[0])
+            node = start[edge]
+        return taken
+
+
+def joined(parts: list[Lattices]) -> Lattices:
+    """The segments of all parts, one part after the other."""
+    if len(parts) == 1:
+        return parts[0]
+    whole = object.__new__(Lattices)
+    nodes = np.cumsum([0, *(len(p.edges) - 1 for p in parts)])
+    edges = np.cumsum([0, *(len(p.ids) for p in parts)])
+    for name in ("ids", "log_share", "reach"):
+        setattr(whole, name, np.concatenate([getattr(p, name) for p in parts]))
+    for name in ("first", "last", "start"):
+        setattr(whole, name, np.concatenate([getattr(p, name) + n for p, n in zip(parts, nodes, strict=False)]))
+    whole.edges = np.concatenate([*(p.edges[:-1] + n for p, n in zip(parts, edges, strict=False)), edges[-1:]])
+    return whole
+
 
 def below(place: float, limit: float, drawn: float) -> float:
     """A Gumbel variable at ``place``, given that it is below ``limit``."""
@@ -258,16 +294,18 @@ def below(place: float, limit: float, drawn: float) -> float:
 class Way:
     """One sampled segmentation, its edges from the text's end to its start, and the choices left aside on it.
 
-    The choices left aside from step ``since`` on make one set of subtrees. ``mass`` has the share of each step's subtrees relative
-    to what comes before ``since``, ``bound`` the largest perturbed log probability in all of them: the maximum of independent
+    The choices left aside from step ``since`` on make one set of subtrees, with ``rest`` as their share at each step. ``mass`` has
+    the share of each step's subtrees relative to what comes before ``since``, ``bound`` the largest perturbed log probability in all of them: the maximum of independent
     Gumbel variables below the same limit is one at their summed mass, and lies in each of them in proportion to its mass.
     """
 
-    def __init__(self, edges: np.ndarray, counts: np.ndarray, steps: np.ndarray, value: float, since: int, drawn: float):
+    def __init__(
+        self, edges: np.ndarray, counts: np.ndarray, steps: np.ndarray, rest: np.ndarray, value: float, since: int, drawn: float
+    ):
         self.edges, self.counts, self.since = edges, counts, since
-        self.before = np.concatenate([[0.0], np.cumsum(steps)])
-        share = np.exp(steps[since:])
-        self.mass = np.exp(self.before[since:-1] - self.before[since]) * np.where(share < 1 - 1e-12, 1.0 - share, 0.0)
+        self.before = np.zeros(len(steps) + 1)
+        steps.cumsum(out=self.before[1:])
+        self.mass = np.exp(self.before[since:-1] - self.before[since]) * rest
         self.barred: dict[int, list[int]] = {}
         self.draw(value, drawn)
 
@@ -328,7 +366,7 @@ def sample_all(
     draws = iter(uniform(sequences[:, -1:] + np.arange(1, 4 * k + 1, dtype=np.uint64) * BASE).T)
 
     def walks(n: int, some: np.ndarray, skipped: np.ndarray, heads: np.ndarray | None) -> Iterator[tuple]:
-        """Ways through the texts from a segment on, whose node may be given, with the log shares of their steps."""
+        """Ways through the texts from a segment on, whose node may be given, with the log shares of their steps and what those leave."""
         many = ends[some] - begins[some] - skipped
         which = ranges(begins[some] + skipped, many)
         from_, cuts = lasts[which], np.cumsum(many)
@@ -337,14 +375,16 @@ def sample_all(
         keys = np.repeat(sequences[some, n], many) + places[which].astype(np.uint64) * BASE
         edges, counts = lattices.walk(from_, firsts[which], keys)
         steps, sums = lattices.log_share[edges], np.concatenate([[0], np.cumsum(counts)])
-        for i, j in zip((cuts - many).tolist(), cuts.tolist(), strict=True):
-            yield edges[sums[i] : sums[j]], counts[i:j], steps[sums[i] : sums[j]]
+        share = np.exp(steps)
+        rest = np.where(share < 1 - 1e-12, 1.0 - share, 0.0)
+        for i, j, a, b in zip(*(x.tolist() for x in (cuts - many, cuts, sums[cuts - many], sums[cuts])), strict=True):
+            yield edges[a:b], counts[i:j], steps[a:b], rest[a:b]
 
     everyone = np.arange(len(texts))
     values, asides = next(draws).tolist(), next(draws).tolist()
     ways = [
-        [Way(edges, counts, steps, -math.log(-math.log1p(-value) or 5e-324), 0, aside)]
-        for (edges, counts, steps), value, aside in zip(walks(0, everyone, 0 * everyone, None), values, asides, strict=True)
+        [Way(edges, counts, steps, rest, -math.log(-math.log1p(-value) or 5e-324), 0, aside)]
+        for (edges, counts, steps, rest), value, aside in zip(walks(0, everyone, 0 * everyone, None), values, asides, strict=True)
     ]
     for n in range(1, k):
         drawn = np.stack([next(draws) for _ in range(4)], axis=1).tolist()
@@ -358,12 +398,12 @@ def sample_all(
         # Earlier choices stay; the rest of this segment and all later ones are sampled anew.
         others = np.array([t[5] for t in turns])
         new = walks(n, np.array([t[0] for t in turns]), np.array([t[4] for t in turns]), lattices.start[others])
-        for (i, way, value, at, owner, other), (edges, counts, steps) in zip(turns, new, strict=True):
+        for (i, way, value, at, owner, other), (edges, counts, steps, rest) in zip(turns, new, strict=True):
             counts = np.concatenate([way.counts[:owner], counts])
             counts[owner] += at + 1 - int(way.counts[:owner].sum())
             edges = np.concatenate([way.edges[:at], [other], edges])
             steps = np.concatenate([lattices.log_share[edges[: at + 1]], steps])
-            ways[i].append(Way(edges, counts, steps, value, at + 1, drawn[i][3]))
+            ways[i].append(Way(edges, counts, steps, rest, value, at + 1, drawn[i][3]))
     out = []
     for own in ways:
         threshold = max(w.bound for w in own)
@@ -426,45 +466,45 @@ def spoken(texts: pa.Array) -> list[bytes]:
 
 
 class Store:
-    """Numbers and lattices of segments, those that one chunk had more than once kept for the next ones."""
+    """Lattices of segments, by the tokens that stand for them; those that one chunk had more than once are kept for the next."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.numbers, self.lattices = pieces, {}, None
+        self.pieces, self.tokens, self.lattices = pieces, pa.array([], pa.large_string()), None
 
     def segments(self, texts: pa.Array) -> tuple[list[np.ndarray], Lattices | None]:
         """The numbers of each text's segments, and the lattices that these numbers mean until the next call."""
         if self.lattices is not None and len(self.lattices.ids) > KEPT_EDGES:
-            self.numbers, self.lattices = {}, None
+            self.tokens, self.lattices = self.tokens[:0], None
         # As the vocabulary wants it: a blank in front, blanks as their mark, nothing else changed; an empty text stays empty.
-        tokens = pc.split_pattern(pc.replace_substring(texts, " ", BLANK), BLANK)
-        ends = np.cumsum(np.where(pc.binary_length(texts).to_numpy() > 0, pc.list_value_length(tokens).to_numpy(), 0))
-        coded = pc.list_flatten(tokens.filter(pc.greater(pc.binary_length(texts), 0))).dictionary_encode()
-        which = coded.indices.to_numpy()
-        if not len(which):
+        # A line's end is a token of its own, and one more begins what follows, which has no blank in front.
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", BLANK), "\n", f"{BLANK}\n\n{BLANK}\n")
+        full = pc.greater(pc.binary_length(texts), 0)
+        tokens = pc.split_pattern(marked.filter(full), BLANK)
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[full.to_numpy(zero_copy_only=False)] = pc.list_value_length(tokens).to_numpy()
+        coded = pc.list_flatten(tokens).dictionary_encode()
+        which, names = coded.indices.to_numpy(), coded.dictionary
+        if not len(names):
             return [np.empty(0, np.int64) for _ in range(len(texts))], None
-        parts = [[BLANK + t] if "\n" not in t else SEGMENT.findall(BLANK + t) for t in coded.dictionary.to_pylist()]
-        often: dict[str, int] = {}
-        for own, n in zip(parts, np.bincount(which, minlength=len(parts)).tolist(), strict=True):
-            for s in own:
-                if s not in self.numbers:
-                    often[s] = often.get(s, 0) + n
-        new = [s for s, n in often.items() if n > 1]
-        kept = len(self.numbers) + len(new)
-        once = [s for s, n in often.items() if n == 1]
-        numbers = self.numbers
-        numbers.update(zip(new + once, range(len(numbers), kept + len(once)), strict=True))
-        lattices = self.lattices
-        if often:
-            more = Lattices(new + once, self.pieces)
-            lattices = more if lattices is None else lattices.with_more(more)
-        sizes = np.array([len(own) for own in parts], np.int64)
-        flat = np.array([numbers[s] for own in parts for s in own], np.int64)
-        many = sizes[which]
-        segments = flat[ranges((np.cumsum(sizes) - sizes)[which], many)]
-        sums = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], ends])].tolist()
-        for s in once:
-            del numbers[s]
+        number = pc.fill_null(pc.index_in(names, value_set=self.tokens), -1).to_numpy().astype(np.int64)
+        nothing = pc.equal(names, "\n").to_numpy(zero_copy_only=False)
+        new, many = np.flatnonzero((number < 0) & ~nothing), np.bincount(which, minlength=len(names))
+        often = many[new] > 1
+        new, known = np.concatenate([new[often], new[~often]]), len(self.tokens)
+        number[new] = np.arange(known, known + len(new))
+        kept, lattices = known + int(often.sum()), self.lattices
+        if len(new):
+            added = names.take(pa.array(new))
+            self.tokens = pa.concat_arrays([self.tokens, added[: kept - known]])
+            cuts = np.flatnonzero(np.diff(np.cumsum(pc.utf8_length(added).to_numpy()) // PORTION_CHARS)) + 1
+            added = added.to_numpy(zero_copy_only=False).tolist()
+            added = [BLANK + t if t[:1] != "\n" else "\n" if t == "\n\n" else t[1:] for t in added]
+            more = [Lattices(added[i:j], self.pieces) for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(added)], strict=True)]
+            lattices = joined(more if lattices is None else [lattices, *more])
         self.lattices = lattices.head(kept) if kept else None
+        there = ~nothing[which]
+        sums = np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        segments = number[which[there]]
         return [segments[i:j] for i, j in zip(sums[:-1], sums[1:], strict=True)], lattices
 
 

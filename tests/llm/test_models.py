@@ -127,6 +127,21 @@ def test_texts_are_searched_together_and_as_if_alone(vocabulary, monkeypatch):
         assert plain(together[i], lattice) == plain(alone, turned)
 
 
+def test_a_long_word_is_followed_by_itself(vocabulary, monkeypatch):
+    segments = ["▁" + "the" * 300, "▁the", "\n", "▁é" + "ab" * 50]
+    lattice, texts, seeds = pieces.Lattices(segments, vocabulary), [np.arange(4), np.array([1, 0])], np.array([5, 6], np.uint64)
+    followed, follow = [], pieces.Lattices.follow
+    monkeypatch.setattr(pieces.Lattices, "follow", lambda self, *args: followed.append(args) or follow(self, *args))
+    few = pieces.sample_all(texts, lattice, 3, seeds)
+    assert followed
+    followed.clear()
+    monkeypatch.setattr(pieces, "FEW", 0)
+    steps = pieces.sample_all(texts, lattice, 3, seeds)
+    assert not followed
+    plain = lambda rows: [[(e.tolist(), p, q) for e, p, q in own] for own in rows]
+    assert plain(few) == plain(steps)
+
+
 def test_lattices_of_repeated_segments_are_kept(vocabulary, monkeypatch):
     built, init = [], pieces.Lattices.__init__
     monkeypatch.setattr(pieces.Lattices, "__init__", lambda self, segments, own: built.append(list(segments)) or init(self, segments, own))
