@@ -24,7 +24,7 @@ SHIFT = 2.7
 UNUSED = -1e8
 #: Bytes of texts that share lattices, characters of segments whose lattices are built at once, segments searched together, and
 #: edges of lattices kept for later texts.
-CHUNK_BYTES, PORTION_CHARS, BLOCK_SEGMENTS, KEPT_EDGES = 1 << 21, 1 << 16, 1 << 15, 1 << 21
+CHUNK_BYTES, PORTION_CHARS, BLOCK_SEGMENTS, KEPT_EDGES = 1 << 21, 1 << 16, 1 << 14, 1 << 20
 #: So many ways are followed one by one.
 FEW = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -469,12 +469,14 @@ class Store:
     """Lattices of segments, by the tokens that stand for them; those that one chunk had more than once are kept for the next."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.tokens, self.lattices = pieces, pa.array([], pa.large_string()), None
+        self.pieces, self.tokens = pieces, pa.array([], pa.large_string())
+        self.lattices: Lattices | None = None
 
     def segments(self, texts: pa.Array) -> tuple[list[np.ndarray], Lattices | None]:
         """The numbers of each text's segments, and the lattices that these numbers mean until the next call."""
+        self.lattices = self.lattices.head(len(self.tokens)) if len(self.tokens) else None
         if self.lattices is not None and len(self.lattices.ids) > KEPT_EDGES:
-            self.tokens, self.lattices = self.tokens[:0], None
+            self.tokens, self.lattices = pa.array([], pa.large_string()), None
         # As the vocabulary wants it: a blank in front, blanks as their mark, nothing else changed; an empty text stays empty.
         # A line's end is a token of its own, and one more begins what follows, which has no blank in front.
         marked = pc.replace_substring(pc.replace_substring(texts, " ", BLANK), "\n", f"{BLANK}\n\n{BLANK}\n")
@@ -492,16 +494,16 @@ class Store:
         often = many[new] > 1
         new, known = np.concatenate([new[often], new[~often]]), len(self.tokens)
         number[new] = np.arange(known, known + len(new))
-        kept, lattices = known + int(often.sum()), self.lattices
+        lattices = self.lattices
         if len(new):
             added = names.take(pa.array(new))
-            self.tokens = pa.concat_arrays([self.tokens, added[: kept - known]])
+            self.tokens = pa.concat_arrays([self.tokens, added[: int(often.sum())]])
             cuts = np.flatnonzero(np.diff(np.cumsum(pc.utf8_length(added).to_numpy()) // PORTION_CHARS)) + 1
             added = added.to_numpy(zero_copy_only=False).tolist()
             added = [BLANK + t if t[:1] != "\n" else "\n" if t == "\n\n" else t[1:] for t in added]
             more = [Lattices(added[i:j], self.pieces) for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(added)], strict=True)]
             lattices = joined(more if lattices is None else [lattices, *more])
-        self.lattices = lattices.head(kept) if kept else None
+        self.lattices = lattices
         there = ~nothing[which]
         sums = np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
         segments = number[which[there]]
@@ -556,6 +558,8 @@ def encode(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: int = SEED)
             own, lattices = store.segments(texts)
             for i, j in blocks([len(x) for x in own]):
                 yield pa.RecordBatch.from_arrays(encoded(keys[i:j], wanted[i:j], own[i:j], texts[i:j], lattices, store.pieces, k, seed), names=names)
+            # The store lets go of what it doesn't keep before it builds anew.
+            del lattices
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(rows, SAMPLED)
 
