@@ -61,6 +61,43 @@ def test_odd_vectors(spark, monkeypatch, most):
     assert not answers(topk.nearest(df.limit(0), queries)) and not answers(topk.nearest(df, queries.limit(0)))
 
 
+def test_nearest_sends_no_probes_through_the_driver(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = [x for x in rows if x[0] % 2 == 0]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "256k")
+    try:
+        found = answers(topk.nearest(df, df.where("vec_id % 2 = 0")))
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(found) == 10 * len(queries)
+    some = {i for i, _ in queries[:20]}
+    assert [x for x in found if x[0] in some] == brute_nearest(rows, queries[:20], 10, 64)
+
+
+@pytest.mark.parametrize(("width", "most"), [(64, 20_000), (100, 3)])
+def test_nearest_in_groups_of_any_size(spark, monkeypatch, width, most):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=width)]) for i in range(300)]
+    rows += [(1000 + i, rows[i % 7][1]) for i in range(100)] + [(i, rows[i + 1][1]) for i in range(0, 60, 3)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = [x for x in rows if x[0] % 20 == 0]
+    whole = answers(topk.nearest(df, df.where("vec_id % 20 = 0")))
+    sizes = {"MAX_MASKS": most, "CODE_WORDS": 150, "QUERIES": 6, "BATCH": 4, "PROBES": 16, "CANDIDATES": 8}
+    for name, value in sizes.items():
+        monkeypatch.setattr(topk, name, value)
+    assert answers(topk.nearest(df, df.where("vec_id % 20 = 0"))) == whole == brute_nearest(rows, queries, 10, width)
+
+
+def test_segments_are_of_one_length():
+    for width, bits in ((64, 12), (64, 20), (20, 7), (1000, 16), (5, 16)):
+        places = topk.segment_places(width, bits)
+        lengths = [n for _, n in places]
+        assert max(lengths) - min(lengths) <= 1 and max(lengths) <= bits and sum(lengths) == width
+        assert [a for a, _ in places] == [sum(lengths[:i]) for i in range(len(places))]
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.Pieces(open(VOCABULARY, "rb").read())
